@@ -1,13 +1,16 @@
 """The queries of this subpackage and the SQL of those that DuckDB can state."""
 
-from gridloom.llm import decontaminate, line_dedup, simhash_dedup
+from gridloom.llm import decontaminate, line_dedup, mixing, pii, sharding, simhash_dedup
 
 
 def queries() -> dict:
     return {
+        "op2_kd_sharding": sharding.op2_kd_sharding,
         "op3_decontaminate": decontaminate.op3_decontaminate,
+        "op4_find_pii": pii.op4_find_pii,
         "op6_simhash_dedup": simhash_dedup.op6_simhash_dedup,
         "op8_line_dedup": line_dedup.op8_line_dedup,
+        "op10_mix_sources": mixing.op10_mix_sources,
     }
 
 
