@@ -1,15 +1,18 @@
 """The queries of this subpackage and the SQL of those that DuckDB can state."""
 
-from gridloom.llm import decontaminate, line_dedup, mixing, pii, sharding, simhash_dedup
+from gridloom.llm import decontaminate, language_id, line_dedup, mixing, pii, sharding, simhash_dedup, token_counts, toxicity
 
 
 def queries() -> dict:
     return {
+        "op1_toxicity": toxicity.op1_toxicity,
         "op2_kd_sharding": sharding.op2_kd_sharding,
         "op3_decontaminate": decontaminate.op3_decontaminate,
         "op4_find_pii": pii.op4_find_pii,
+        "op5_token_counts": token_counts.op5_token_counts,
         "op6_simhash_dedup": simhash_dedup.op6_simhash_dedup,
         "op8_line_dedup": line_dedup.op8_line_dedup,
+        "op9_language_id": language_id.op9_language_id,
         "op10_mix_sources": mixing.op10_mix_sources,
     }
 
