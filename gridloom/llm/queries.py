@@ -1,6 +1,6 @@
 """The queries of this subpackage and the SQL of those that DuckDB can state."""
 
-from gridloom.llm import decontaminate, language_id, line_dedup, mixing, pii, sharding, simhash_dedup, token_counts, toxicity
+from gridloom.llm import decontaminate, embedding_dedup, language_id, line_dedup, mixing, pii, sharding, simhash_dedup, token_counts, toxicity
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op4_find_pii": pii.op4_find_pii,
         "op5_token_counts": token_counts.op5_token_counts,
         "op6_simhash_dedup": simhash_dedup.op6_simhash_dedup,
+        "op7_embedding_dedup": embedding_dedup.op7_embedding_dedup,
         "op8_line_dedup": line_dedup.op8_line_dedup,
         "op9_language_id": language_id.op9_language_id,
         "op10_mix_sources": mixing.op10_mix_sources,
@@ -20,5 +21,6 @@ def queries() -> dict:
 def oracle_sql() -> dict[str, str]:
     return {
         "op3_decontaminate": decontaminate.OP3_SQL,
+        "op7_embedding_dedup": embedding_dedup.OP7_SQL,
         "op8_line_dedup": line_dedup.OP8_SQL,
     }
