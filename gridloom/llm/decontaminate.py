@@ -145,6 +145,14 @@ def contaminated_spans(docs: DataFrame, benchmark: DataFrame, **params) -> DataF
     return hit.select("id", "t", "hit_from", "hit_to").mapInPandas(cut, "id long, start int, end int, text string")
 
 
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **params) -> DataFrame:
+    """``docs`` without the rows that hold a window of a test item. All columns of the others are kept, null texts too."""
+    hit = contamination(docs, benchmark, id_col, text_col, **params).where(F.size("hit_from") > 0)
+    hit = materialize(hit.select(F.col("id").alias("_i"), F.xxhash64("t").alias("_h")).distinct(), "hit")
+    match = docs[id_col].cast("long").eqNullSafe(hit["_i"]) & (F.xxhash64(docs[text_col]) == hit["_h"])
+    return docs.join(hit, match, "left_anti")
+
+
 def op3_decontaminate(spark, sf_dir: str) -> DataFrame:
     found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     hits = F.aggregate(F.zip_with("hit_from", "hit_to", lambda a, b: b - a), F.lit(0), lambda x, y: x + y).cast("long")

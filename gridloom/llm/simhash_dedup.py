@@ -48,13 +48,14 @@ def fingerprint(hashes: np.ndarray) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3) -> DataFrame:
-    """``(id, fp)`` for every row of ``docs``, repeats and null ids included; null and empty texts have fingerprint 0."""
+    """``(id, h, fp)`` for every row of ``docs``, repeats and null ids included; h is xxhash64 of the text. Null and empty texts have fingerprint 0."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pd.DataFrame({"id": pdf.id.astype("Int64"), "fp": [fingerprint(shingle_hashes(t, size)) for t in pdf.t]})
+            yield pd.DataFrame({"id": pdf.id.astype("Int64"), "h": pdf.h, "fp": [fingerprint(shingle_hashes(t, size)) for t in pdf.t]})
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t")).mapInPandas(run, "id long, fp long")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("t"))
+    return rows.mapInPandas(run, "id long, h long, fp long")
 
 
 def bit_planes(fps: np.ndarray) -> np.ndarray:
@@ -177,7 +178,8 @@ def fingerprint_links(fps: DataFrame, radius: int = 2, tile: int = TILE) -> Data
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, radius: int = 2) -> DataFrame:
-    """``id, fp, component_id`` per row of ``docs``; component_id is the least id reachable over fingerprints within ``radius`` bits.
+    """``id, h, fp, component_id, group`` per row of ``docs``; component_id is the least id reachable over fingerprints within ``radius`` bits,
+    group a fingerprint that stands for the component.
 
     Rows with null or empty texts share fingerprint 0 and link like others. Null ids are kept; a component of null ids only has
     component_id null. Repeated rows get equal results. Other columns play no part."""
@@ -186,8 +188,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     comp = connected_components(fingerprint_links(reps.select("fp"), radius))
     named = reps.join(comp.select(F.col("node").alias("fp"), "component"), "fp", "left").select("fp", "rep", F.coalesce("component", "fp").alias("c"))
     least = named.groupBy("c").agg(F.min("rep").alias("component_id"))
-    known = named.join(least, "c").select(F.col("fp").alias("f2"), "component_id")
-    return fps.join(known, F.col("fp") == F.col("f2")).select("id", "fp", "component_id")
+    known = named.join(least, "c").select(F.col("fp").alias("f2"), "component_id", F.col("c").alias("group"))
+    return fps.join(known, F.col("fp") == F.col("f2")).select("id", "h", "fp", "component_id", "group")
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, radius: int = 2) -> DataFrame:
+    """``docs`` with one row of each component: that of the least id (of null ids only: one of them). All columns are kept."""
+    found = near_duplicates(docs, id_col, text_col, size, radius).where("id <=> component_id")
+    key = F.coalesce(F.col(id_col).cast("string"), F.lit("\0"))
+    first = found.groupBy("id", "group").agg(F.min("h").alias("_h")).select(F.coalesce(F.col("id").cast("string"), F.lit("\0")).alias("_i"), "_h")
+    keyed = docs.withColumns({"_i": key, "_h": F.xxhash64(text_col)})
+    return keyed.dropDuplicates(["_i", "_h"]).join(first, ["_i", "_h"], "left_semi").drop("_i", "_h")
 
 
 def op6_simhash_dedup(spark, sf_dir: str) -> DataFrame:

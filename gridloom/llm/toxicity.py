@@ -221,22 +221,27 @@ def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str
     return sorted({r.id: (r.id, r.t, r.y) for r in got.orderBy(F.xxhash64("id"), "t").limit(2 * (toxic + clean)).collect()}.values())
 
 
-def score_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", may_learn=lambda c: F.lit(True), **bounds) -> DataFrame:
-    """``id, t, score`` per row of ``docs``: the probability of label 1, from the text alone.
-
-    The classifier is fitted on a bounded sample of labelled rows (see :func:`training_rows`). Null and blank texts have the score
-    of a window without n-grams. Without labelled rows of both classes every score is 0. Every row is kept, repeated rows and null ids too;
-    other columns play no part."""
+def text_scorer(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", may_learn=lambda c: F.lit(True), **bounds):
+    """Fit the classifier on a bounded sample of labelled rows (see :func:`training_rows`); a function of a text column that gives the probability of label 1."""
     rows = training_rows(docs, labels, id_col, text_col, label_col, may_learn, **bounds)
     shared = docs.sparkSession.sparkContext.broadcast(fit([t for _, t, _ in rows], [y for *_, y in rows]))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf("double")
+    def score(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         m = shared.value
-        for pdf in batches:
-            s = np.zeros(len(pdf)) if m is None else 1 / (1 + np.exp(-np.clip(m["slope"] * worst_logits(list(pdf.t), m["value"]) + m["shift"], -30, 30)))
-            yield pd.DataFrame({"id": pdf.id.astype("Int64"), "t": pdf.t, "score": s})
+        for t in parts:
+            yield pd.Series(np.zeros(len(t)) if m is None else 1 / (1 + np.exp(-np.clip(m["slope"] * worst_logits(list(t), m["value"]) + m["shift"], -30, 30))))
+
+    return score
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t")).mapInPandas(run, "id long, t string, score double")
+
+def score_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", may_learn=lambda c: F.lit(True), **bounds) -> DataFrame:
+    """``id, score`` per row of ``docs``: the probability of label 1, from the text alone.
+
+    Null and blank texts have the score of a window without n-grams. Without labelled rows of both classes every score is 0. Every row is kept, repeated rows and null ids too;
+    other columns play no part."""
+    score = text_scorer(docs, labels, id_col, text_col, label_col, may_learn, **bounds)
+    return docs.select(F.col(id_col).cast("long").alias("id"), score(F.col(text_col)).alias("score"))
 
 
 def fold(c, n: int):
