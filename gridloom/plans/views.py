@@ -136,3 +136,24 @@ def query(name: str, sql: str | None = None, *views: str):
         return f
 
     return add
+
+
+# ---- only for the SQL of other engines: the projection and what follows from it, as plain SQL
+
+
+def _series(fn_x: str, fn_y: str, a: str, b: str, coef, outer: str, sign: str) -> str:
+    return outer + "".join(f" {sign} {c!r} * {fn_x}({2 * j}e0 * {a}) * {fn_y}({2 * j}e0 * {b})" for j, c in enumerate(coef, 1))
+
+
+def _projected(source: str, lon: str, lat: str, keep: str) -> str:
+    from gridloom.functions import geo as g
+
+    t = f"sinh(atanh(sin(radians({lat}))) - {g._E!r} * atanh({g._E!r} * sin(radians({lat}))))"
+    x, y = _series("cos", "sinh", "xi", "eta", g._ALPHA, "eta", "+"), _series("sin", "cosh", "xi", "eta", g._ALPHA, "xi", "+")
+    return f"""SELECT {keep}, {g._FE} + {g._K0 * g._RECT!r} * ({x}) AS x, {g._FN} + {g._K0 * g._RECT!r} * ({y}) AS y FROM (
+ SELECT *, atan2(t, cos(d)) AS xi, atanh(sin(d) / sqrt(1e0 + t * t)) AS eta FROM (SELECT *, {t} AS t, radians({lon} - 19e0) AS d FROM {source}))"""
+
+
+VIEWS["metric"] = _projected("{geo_node}", "lon", "lat", "id, way_id, seq, tag_id, dup_count, lon, lat")
+VIEWS["metric_segment"] = """SELECT way_id, CAST(way_id % 31 AS INT) AS tag_id, seq, lon AS lon1, lat AS lat1, x AS x1, y AS y1, lead(lon) OVER w AS lon2, lead(lat) OVER w AS lat2, lead(x) OVER w AS x2, lead(y) OVER w AS y2
+ FROM {metric} WINDOW w AS (PARTITION BY way_id ORDER BY seq)"""
