@@ -282,7 +282,7 @@ def raster_clip(t):
     return _selected(t).where("value <> -9999").select("row_ix", "col_ix", "value")
 
 
-@query("raster_coverage", f"{_SEL} SELECT count(*) AS n_selected, count(*) FILTER (WHERE value <> -9999) AS n_valid, count(*) FILTER (WHERE value = -9999) AS n_nodata, round(coalesce(count(*) FILTER (WHERE value = -9999) / nullif(count(*), 0), 1e0), 6) AS nodata_share, CASE WHEN count(*) FILTER (WHERE value <> -9999) = 0 THEN 'nodata' ELSE 'partial' END AS status FROM s", "raster_cell")
+@query("raster_coverage", f"{_SEL} SELECT count(*) AS n_selected, count(*) FILTER (WHERE value <> -9999) AS n_valid, count(*) FILTER (WHERE value = -9999) AS n_nodata, round(coalesce(count(*) FILTER (WHERE value = -9999) / nullif(count(*), 0), 1e0), 6) AS nodata_share, CASE WHEN count(*) FILTER (WHERE value <> -9999) = 0 THEN 'nodata' WHEN count(*) * {SIZE * SIZE} / {math.pi * _RR**2!r} >= 0.999999 THEN 'valid' ELSE 'partial' END AS status FROM s", "raster_cell")
 def raster_coverage(t):
     g = _selected(t).agg(F.count("*").alias("n_selected"), F.count_if(F.col("value") != -9999).alias("n_valid"), F.count_if(F.col("value") == -9999).alias("n_nodata"))
     share = F.coalesce(F.col("n_nodata") / F.nullif(F.col("n_selected"), F.lit(0)), F.lit(1.0))

@@ -5,7 +5,7 @@ from importlib import import_module
 from gridloom.plans import views
 
 FLAGSHIP = "power_summary"
-_AREAS = ("classify", "layers", "geometry")
+_AREAS = ("classify", "layers", "geometry", "hexes")
 
 
 def _load() -> None:
