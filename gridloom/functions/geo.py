@@ -173,7 +173,7 @@ def hilbert(x: Column, y: Column, bits: int) -> Column:
     """Place of a cell along a Hilbert curve of 2**bits by 2**bits cells."""
 
     def step(acc, i):
-        s = F.shiftleft(F.lit(1).cast("long"), F.lit(0)) * F.pow(F.lit(2.0), F.lit(bits) - i).cast("long")
+        s = F.pow(F.lit(2.0), F.lit(bits) - i).cast("long")
         px, py = acc["x"], acc["y"]
         rx, ry = (F.floor(px / s) % 2).cast("long"), (F.floor(py / s) % 2).cast("long")
         d = acc["d"] + s * s * ((3 * rx).bitwiseXOR(ry))
