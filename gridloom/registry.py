@@ -5,7 +5,7 @@ from importlib import import_module
 from gridloom.plans import views
 
 FLAGSHIP = "power_summary"
-_AREAS = ("classify", "layers", "geometry", "hexes", "tiles")
+_AREAS = ("classify", "layers", "geometry", "hexes", "tiles", "quality", "governance")
 
 
 def _load() -> None:
