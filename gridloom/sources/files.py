@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 ELEMENT = "type string, id long, lat double, lon double, nodes array<long>, tags map<string,string>, members array<struct<type:string,ref:long,role:string>>"
 GRID_KEYS = ("ncols", "nrows", "xllcorner", "yllcorner", "cellsize", "nodata_value")
@@ -67,7 +66,7 @@ def gml_members(texts: DataFrame, column: str = "text") -> DataFrame:
     x = F.from_xml(column, _GML)
     d = texts.withColumn("_x", x)
     n = F.filter(F.split(F.trim("_x.posList"), r"\s+"), lambda v: v != "")
-    pair = F.transform(F.sequence(F.lit(0), F.size(n) / 2 - 1), lambda i: F.struct(F.round(F.element_at(n, (2 * i + 2).cast("int")).cast("double"), 7).alias("x"), F.round(F.element_at(n, (2 * i + 1).cast("int")).cast("double"), 7).alias("y")))
+    pair = F.transform(F.sequence(F.lit(0), (F.size(n) / 2).cast("int") - 1), lambda i: F.struct(F.round(F.element_at(n, 2 * i + 2).cast("double"), 7).alias("x"), F.round(F.element_at(n, 2 * i + 1).cast("double"), 7).alias("y")))
     ident = F.coalesce("_x.IIP_IDENTY", "_x.JPT_ID")
     fine = F.coalesce(F.size(n) >= 2, F.lit(False))
     error = F.when(ident.isNull(), "id").when(~fine, "geometry")
@@ -76,7 +75,7 @@ def gml_members(texts: DataFrame, column: str = "text") -> DataFrame:
 
 def capability_layers(texts: DataFrame, column: str = "text") -> DataFrame:
     """Layers of capability documents: name, title, scale range and box."""
-    schema = T._parse_datatype_string("Layer array<struct<Name:string,Title:string,MinScaleDenominator:double,MaxScaleDenominator:double>>") if hasattr(T, "_parse_datatype_string") else "Layer array<struct<Name:string,Title:string,MinScaleDenominator:double,MaxScaleDenominator:double>>"
+    schema = "Layer array<struct<Name:string,Title:string,MinScaleDenominator:double,MaxScaleDenominator:double>>"
     d = texts.withColumn("_l", F.explode(F.from_xml(column, schema)["Layer"]))
     return d.select(*[c for c in texts.columns if c != column], F.col("_l.Name").alias("layer"), F.col("_l.Title").alias("title"), F.col("_l.MinScaleDenominator").alias("min_scale"), F.col("_l.MaxScaleDenominator").alias("max_scale"))
 
@@ -93,17 +92,17 @@ def grid_cells(files: DataFrame, id_col: str = "raster_id", column: str = "text"
     """Cells of ASCII grids: the six header fields in order, exact numbers of rows and columns, finite values; a file that breaks a rule gives no cell."""
     lines = F.filter(F.transform(F.split(column, "\n"), lambda x: F.trim(x)), lambda x: x != "")
     d = files.select(F.col(id_col), lines.alias("_l"))
-    part = lambda i, j: F.element_at(F.split(F.element_at("_l", i + 1), r"\s+"), j + 1)
+    part = lambda i, j: F.get(F.split(F.get("_l", F.lit(i)), r"\s+"), F.lit(j))
     d = d.where(F.size("_l") > 6)
     fine = F.lit(True)
     for i, k in enumerate(GRID_KEYS):
         fine = fine & F.coalesce((F.lower(part(i, 0)) == k) & part(i, 1).try_cast("double").isNotNull(), F.lit(False))
     rows = F.transform(F.slice("_l", 7, F.size("_l") - 6), lambda x: F.split(x, r"\s+"))
-    d = d.where(fine).select(id_col, part(0, 1).cast("int").alias("_n"), part(1, 1).cast("int").alias("_m"), rows.alias("_v"))
+    d = d.where(fine).select(id_col, part(0, 1).try_cast("int").alias("_n"), part(1, 1).try_cast("int").alias("_m"), rows.alias("_v"))
     number = lambda v: F.coalesce(F.abs(v.try_cast("double")) < F.lit(float("inf")), F.lit(False))
     d = d.where((F.size("_v") == F.col("_m")) & F.forall("_v", lambda r: (F.size(r) == F.col("_n")) & F.forall(r, number)))
     d = d.select(id_col, F.posexplode("_v").alias("row_ix", "_r")).select(id_col, "row_ix", F.posexplode("_r").alias("col_ix", "_x"))
-    return d.select(id_col, "row_ix", "col_ix", F.col("_x").cast("double").alias("value"))
+    return d.select(id_col, "row_ix", "col_ix", F.col("_x").try_cast("double").alias("value"))
 
 
 def write_layers(features: DataFrame, path: str) -> None:
