@@ -48,9 +48,8 @@ def points(features: DataFrame, gtype: str) -> DataFrame:
     return features.where(F.col("gtype") == gtype).withColumn("coordinates", F.from_json("coordinates", _COORDS[gtype]))
 
 
-def class_scan(spark: SparkSession, path: str, columns: list[str], box: tuple[float, float, float, float]) -> DataFrame:
-    """Four columns or so of a class file, only of row groups and rows whose box meets ``box``; the predicate reaches the Parquet reader."""
-    d = spark.read.parquet(path)
+def in_box(d: DataFrame, columns: list[str], box: tuple[float, float, float, float]) -> DataFrame:
+    """The named columns of rows whose box (xmin, ymin, xmax, ymax) meets ``box``; over a Parquet scan the predicate reaches the reader."""
     lost = [c for c in (*columns, "xmin", "ymin", "xmax", "ymax") if c not in d.columns]
     if lost:
         raise ValueError(f"the class file lacks {', '.join(lost)}")
@@ -58,6 +57,11 @@ def class_scan(spark: SparkSession, path: str, columns: list[str], box: tuple[fl
     return d.where((F.col("xmax") >= x0) & (F.col("xmin") <= x1) & (F.col("ymax") >= y0) & (F.col("ymin") <= y1)).select(*columns)
 
 
+def class_scan(spark: SparkSession, path: str, columns: list[str], box: tuple[float, float, float, float]) -> DataFrame:
+    """A class file: the needed columns of the row groups and rows near ``box``."""
+    return in_box(spark.read.parquet(path), columns, box)
+
+
 _GML = "JPT_NAZWA_ string, IIP_IDENTY string, JPT_ID string, posList string"
 
 
@@ -97,7 +101,7 @@ def grid_cells(files: DataFrame, id_col: str = "raster_id", column: str = "text"
     fine = F.lit(True)
     for i, k in enumerate(GRID_KEYS):
         fine = fine & F.coalesce((F.lower(part(i, 0)) == k) & part(i, 1).try_cast("double").isNotNull(), F.lit(False))
-    rows = F.transform(F.slice("_l", 7, F.size("_l") - 6), lambda x: F.split(x, r"\s+"))
+    rows = F.transform(F.slice("_l", 7, F.greatest(F.size("_l") - 6, F.lit(0))), lambda x: F.split(x, r"\s+"))
     d = d.where(fine).select(id_col, part(0, 1).try_cast("int").alias("_n"), part(1, 1).try_cast("int").alias("_m"), rows.alias("_v"))
     number = lambda v: F.coalesce(F.abs(v.try_cast("double")) < F.lit(float("inf")), F.lit(False))
     d = d.where((F.size("_v") == F.col("_m")) & F.forall("_v", lambda r: (F.size(r) == F.col("_n")) & F.forall(r, number)))
@@ -108,3 +112,12 @@ def grid_cells(files: DataFrame, id_col: str = "raster_id", column: str = "text"
 def write_layers(features: DataFrame, path: str) -> None:
     """One folder for each area, domain and layer."""
     features.write.mode("overwrite").partitionBy("aoi_id", "domain", "layer_id").parquet(path)
+
+
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that driver and executors share (spark.checkpoint.dir), or a temporary one where that is unset, as in tests."""
+    import tempfile
+    import uuid
+
+    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}"
+    return f"{base.rstrip('/')}/gridloom-{uuid.uuid4().hex}/{name}"

@@ -255,3 +255,33 @@ def test_stream_equals_batch(spark, tmp_path):
     q.stop()
     batch = registry.queries()["job_latest"](spark, SF)
     assert {tuple(r) for r in spark.sql("select job_id, status, n_events from job_states").collect()} == {tuple(r) for r in batch.select("job_id", "status", "n_events").collect()}
+
+
+def test_polygons(spark):
+    import numpy as np
+
+    from gridloom.functions import polygons as p
+
+    square = np.array([(0, 0), (4, 0), (4, 4), (0, 4), (0, 0)], float)
+    area = lambda r: abs(sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(r, np.roll(r, -1, axis=0)))) / 2
+    triangle = np.array([(2, -10), (12, 2), (2, 14)], float)
+    cut = p.clip_convex(square, triangle)
+    assert area(cut) == pytest.approx(8) and (cut[:, 0] >= 2 - 1e-9).all()
+    assert len(p.clip_convex(square + 100, triangle)) == 0
+    x, y = p.surface_point(np.array([(0, 0), (6, 0), (6, 6), (5, 6), (5, 1), (0, 1), (0, 0)], float))
+    assert 5 < x < 6 or y < 1
+    rng = np.random.default_rng(2)
+    line = np.cumsum(rng.normal(size=(300, 2)), axis=0)
+    kept = p.simplify_line(line, 1.0)
+    assert (kept[0] == line[0]).all() and (kept[-1] == line[-1]).all() and len(kept) < 300
+
+    def off(q):
+        best = np.inf
+        for a, b in zip(kept, kept[1:]):
+            d = b - a
+            t = np.clip((q - a) @ d / max(d @ d, 1e-30), 0, 1)
+            best = min(best, np.hypot(*(a + t * d - q)))
+        return best
+
+    assert max(off(q) for q in line) <= 1.0 + 1e-9
+    assert len(p.simplify_line(np.zeros((0, 2)), 1.0)) == 0
