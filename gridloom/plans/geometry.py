@@ -26,7 +26,7 @@ def _far(x="x", y="y"):
     return F.hypot(F.col(x) - CX, F.col(y) - CY)
 
 
-@query("power_summary", f"""SELECT asset_type, bucket, count(*) AS n, sum(dup_count) AS n_rows, round(avg({_IN}), 1) AS mean_distance_m FROM (
+@query("power_summary", f"""SELECT asset_type, bucket, count(*) AS n, CAST(sum(dup_count) AS BIGINT) AS n_rows, round(avg({_IN}), 1) AS mean_distance_m FROM (
 SELECT m.*, {CASES['power']} AS asset_type, {_BUCKET} AS bucket FROM (SELECT m.*, w.power, w.man_made, w.voltage, list_max(list_transform(string_split(w.voltage, ';'), lambda q: TRY_CAST(q AS BIGINT))) AS v FROM metric m JOIN tag_wide w ON m.tag_id = w.tag_id) m)
 WHERE {_IN} <= {R} AND asset_type <> 'other' GROUP BY 1, 2""", "metric", "tag_wide")
 def power_summary(t):
