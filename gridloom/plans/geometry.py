@@ -128,9 +128,9 @@ def clip_runtime_points(t):
     return t("geo_node").where(F.col("lon").between(min(_XS), max(_XS)) & F.col("lat").between(min(_YS), max(_YS))).select("id")
 
 
-@query("bbox_overlap", f"SELECT id FROM admin_unit WHERE kind = 'county' AND max_lon >= {min(_XS)} AND min_lon <= {max(_XS)} AND max_lat >= {min(_YS)} AND min_lat <= {max(_YS)}", "admin_unit")
+@query("bbox_overlap", f"SELECT id FROM site_box WHERE max_lon >= {min(_XS)} AND min_lon <= {max(_XS)} AND max_lat >= {min(_YS)} AND min_lat <= {max(_YS)}", "site_box")
 def bbox_overlap(t):
-    return t("admin_unit").where("kind = 'county'").where((F.col("max_lon") >= min(_XS)) & (F.col("min_lon") <= max(_XS)) & (F.col("max_lat") >= min(_YS)) & (F.col("min_lat") <= max(_YS))).select("id")
+    return t("site_box").where((F.col("max_lon") >= min(_XS)) & (F.col("min_lon") <= max(_XS)) & (F.col("max_lat") >= min(_YS)) & (F.col("min_lat") <= max(_YS))).select("id")
 
 
 @query("country_bounds", "SELECT id FROM geo_node WHERE NOT (lon BETWEEN 14.0 AND 24.2 AND lat BETWEEN 49.0 AND 54.9)", "geo_node")
@@ -207,15 +207,15 @@ def outside_aoi(t):
 
 
 def _rings(t):
-    """Rectangles of counties as closed rings, some of them broken on purpose."""
+    """Boxes of sites as closed rings, some of them broken on purpose."""
     p = lambda x, y: F.struct(F.col(x).alias("x"), F.col(y).alias("y"))
-    u = t("admin_unit").where("kind = 'county'").withColumn("n", F.substring_index("id", "_", -1).cast("int"))
+    u = t("site_box")
     full = F.array(p("max_lon", "min_lat"), p("max_lon", "max_lat"), p("min_lon", "max_lat"), p("min_lon", "min_lat"), p("max_lon", "min_lat"))
     ring = F.when(F.col("n") % 5 == 1, F.slice(full, 1, 3)).when(F.col("n") % 5 == 2, F.slice(full, 1, 4)).when(F.col("n") % 5 == 3, F.transform(full, lambda q: F.struct((q["x"] + 170).alias("x"), q["y"].alias("y")))).otherwise(full)
     return u.select("id", "n", full.alias("full"), ring.alias("ring"))
 
 
-@query("ring_checks", "SELECT id, CASE CAST(split_part(id, '_', 2) AS INT) % 5 WHEN 1 THEN 'too_short,not_closed' WHEN 2 THEN 'not_closed' WHEN 3 THEN 'out_of_range' END AS problems FROM admin_unit WHERE kind = 'county' AND CAST(split_part(id, '_', 2) AS INT) % 5 IN (1, 2, 3)", "admin_unit")
+@query("ring_checks", "SELECT id, CASE n % 5 WHEN 1 THEN 'too_short,not_closed' WHEN 2 THEN 'not_closed' WHEN 3 THEN 'out_of_range' END AS problems FROM site_box WHERE n % 5 IN (1, 2, 3)", "site_box")
 def ring_checks(t):
     r = F.col("ring")
     bad = F.array_compact(F.array(F.when(F.size(r) < 4, "too_short"), F.when(F.element_at(r, 1) != F.element_at(r, -1), "not_closed"),
@@ -223,14 +223,17 @@ def ring_checks(t):
     return _rings(t).select("id", F.array_join(bad, ",").alias("problems")).where("problems <> ''")
 
 
-@query("canonical_ring", "SELECT id, concat_ws(',', p(min_lon, min_lat), p(max_lon, min_lat), p(max_lon, max_lat), p(min_lon, max_lat), p(min_lon, min_lat)) AS ring FROM admin_unit WHERE kind = 'county'".replace("p(", "concat_ws(' ', ").replace("concat_ws(' ', min_lon, ", "concat_ws(' ', printf('%.7f', round(min_lon, 7)), ").replace("concat_ws(' ', max_lon, ", "concat_ws(' ', printf('%.7f', round(max_lon, 7)), ").replace("min_lat)", "printf('%.7f', round(min_lat, 7)))").replace("max_lat)", "printf('%.7f', round(max_lat, 7)))"), "admin_unit")
+_P = lambda x, y: f"concat_ws(' ', printf('%.7f', round({x}, 7)), printf('%.7f', round({y}, 7)))"
+
+
+@query("canonical_ring", f"SELECT id, concat_ws(',', {', '.join(_P(x, y) for x, y in (('min_lon', 'min_lat'), ('max_lon', 'min_lat'), ('max_lon', 'max_lat'), ('min_lon', 'max_lat'), ('min_lon', 'min_lat')))}) AS ring FROM site_box", "site_box")
 def canonical_ring(t):
     return _rings(t).select("id", geo.canonical_ring(F.col("full")).alias("ring"))
 
 
 @query("aoi_area_limit")
 def aoi_area_limit(t):
-    """Area of each county in the metric plane against the largest area that may be asked for."""
+    """Area of each site in the metric plane against the largest area that may be asked for."""
     def project(q):
         x, y = geo.to_metric(q["x"], q["y"])
         return F.struct(x.alias("x"), y.alias("y"))

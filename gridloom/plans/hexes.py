@@ -51,16 +51,34 @@ def measured(t):
     return h.connected(m)
 
 
-@query("hex_grid", f"WITH {_HEX} SELECT \"row\", col, CAST(round(x, 1) AS DOUBLE) AS x, CAST(round(y, 1) AS DOUBLE) AS y FROM hex, (SELECT count(*) AS n FROM geo_node) WHERE n > 0", "geo_node")
+_W = h.ROOT3 * EDGE
+_AREAS = f"""corner(i, ax, ay, dx, dy) AS (SELECT i, ax, ay, b - ax, e - ay FROM (VALUES {_C}) AS v(i, ax, ay, b, e)),
+area AS (SELECT c_custkey AS aoi_id, {CX!r} + c_custkey % 50 * 100e0 AS cx, {CY!r} + c_custkey % 40 * 100e0 AS cy, 6000e0 + c_custkey % 5 * 1000e0 AS rad FROM customer),
+cell AS (SELECT aoi_id, cx, cy, rad, CAST(k AS INT) AS "row", CAST(l AS INT) AS col, cx - rad - {_W!r} + CASE WHEN k % 2 = 1 THEN {_W / 2!r} ELSE 0 END + l * {_W!r} AS x, cy - rad - {EDGE} + k * {1.5 * EDGE} AS y FROM area, range(12) a(k), range(12) b(l) WHERE k <= floor((2 * rad + {2 * EDGE}) / {1.5 * EDGE}) AND l <= floor((2 * rad + {2 * _W!r}) / {_W!r})),
+hexes AS (SELECT aoi_id, "row", col, x, y FROM (SELECT *, greatest(0e0, least(1e0, ((cx - x - ax) * dx + (cy - y - ay) * dy) / (dx * dx + dy * dy))) AS q FROM cell, corner)
+ GROUP BY aoi_id, "row", col, x, y, cx, cy, rad HAVING min(sqrt(power(x + ax + q * dx - cx, 2) + power(y + ay + q * dy - cy, 2))) < rad OR sqrt(power(x - cx, 2) + power(y - cy, 2)) < rad)"""
+
+
+def grids(t):
+    """A grid for the area of each customer."""
+    k = F.col("c_custkey")
+    a = t("customer").select(k.alias("aoi_id"), (CX + k % 50 * 100.0).alias("cx"), (CY + k % 40 * 100.0).alias("cy"), (6000.0 + k % 5 * 1000.0).alias("r"))
+    return h.hex_grids(a, EDGE)
+
+
+@query("hex_grid", f"WITH {_AREAS} SELECT aoi_id, \"row\", col, CAST(round(x, 1) AS DOUBLE) AS x, CAST(round(y, 1) AS DOUBLE) AS y FROM hexes")
 def hex_grid(t):
-    some = t("geo_node").limit(1).select(F.lit(1).alias("one"))  # an area without objects has no grid
-    return grid(t).withColumn("one", F.lit(1)).join(some, "one", "left_semi").select("row", "col", F.round("x", 1).alias("x"), F.round("y", 1).alias("y"))
+    return grids(t).select("aoi_id", "row", "col", F.round("x", 1).alias("x"), F.round("y", 1).alias("y"))
 
 
-@query("hex_ids", f"WITH {_HEX} SELECT \"row\", col, concat('coarse-', lpad(CAST(row_number() OVER (ORDER BY \"row\", col) - 1 AS VARCHAR), 4, '0')) AS hex_id FROM hex, (SELECT count(*) AS n FROM geo_node) WHERE n > 0", "geo_node")
+@query("hex_ids", f"WITH {_AREAS} SELECT aoi_id, \"row\", col, concat('coarse-', lpad(CAST(row_number() OVER (PARTITION BY aoi_id ORDER BY \"row\", col) - 1 AS VARCHAR), 4, '0')) AS hex_id FROM hexes")
 def hex_ids(t):
-    some = t("geo_node").limit(1).select(F.lit(1).alias("one"))
-    return h.hex_ids(grid(t), "coarse").withColumn("one", F.lit(1)).join(some, "one", "left_semi").select("row", "col", "hex_id")
+    return h.hex_ids(grids(t), "coarse").select("aoi_id", "row", "col", "hex_id")
+
+
+@query("hex_neighbors", f"WITH {_AREAS} SELECT a.aoi_id, a.\"row\", a.col, b.\"row\" AS nrow, b.col AS ncol FROM hexes a JOIN hexes b ON a.aoi_id = b.aoi_id AND (a.\"row\" <> b.\"row\" OR a.col <> b.col) AND sqrt(power(a.x - b.x, 2) + power(a.y - b.y, 2)) <= {h.ROOT3 * EDGE * 1.05!r}")
+def hex_neighbors(t):
+    return h.neighbours(grids(t), ("aoi_id",))
 
 
 @query("hex_line_join", f"WITH {_HEX}, {_CROSS} SELECT way_id, \"row\", col, round(sum((u1 - u0) * sqrt(vx * vx + vy * vy)), 1) AS length_m FROM crossing GROUP BY 1, 2, 3", "metric_segment")
@@ -105,12 +123,6 @@ def hex_nearest(t):
 _NB = f"nb AS (SELECT a.\"row\", a.col, b.\"row\" AS nrow, b.col AS ncol FROM hex a, hex b WHERE (a.\"row\" <> b.\"row\" OR a.col <> b.col) AND sqrt(power(a.x - b.x, 2) + power(a.y - b.y, 2)) <= {h.ROOT3 * EDGE * 1.05!r})"
 
 
-@query("hex_neighbors", f"WITH {_HEX}, {_NB} SELECT \"row\", col, nrow, ncol FROM nb, (SELECT count(*) AS n FROM geo_node) WHERE n > 0", "geo_node")
-def hex_neighbors(t):
-    some = t("geo_node").limit(1).select(F.lit(1).alias("one"))
-    return h.neighbours(grid(t)).withColumn("one", F.lit(1)).join(some, "one", "left_semi").select("row", "col", "nrow", "ncol")
-
-
 _FULL = f"""WITH {_HEX}, {_CROSS}, {_PLACED}, {_LM}, {_NM}, {_NB}, {_NEAREST}, base AS (SELECT h."row", h.col, {', '.join(f'coalesce({k}, 0) AS {k}' for k in (*_LMC, *_NMC))}, nearest_m FROM hex h LEFT JOIN lm ON h."row" = lm."row" AND h.col = lm.col LEFT JOIN nm ON h."row" = nm."row" AND h.col = nm.col LEFT JOIN near ON h."row" = near."row" AND h.col = near.col),
 act AS (SELECT *, line_length_m > 0 OR node_count > 0 AS active FROM base), con AS (SELECT nb."row", nb.col, count(*) AS k FROM nb JOIN act a ON a."row" = nrow AND a.col = ncol WHERE a.active GROUP BY 1, 2),
 done AS (SELECT act.*, coalesce(k, 0) AS connected_count, CASE WHEN line_length_m >= 500 AND substation_count + transformer_count + generator_count + plant_count > 0 THEN 'high' WHEN line_length_m > 0 OR substation_count + transformer_count + generator_count + plant_count > 0 THEN 'medium' WHEN node_count > 0 OR nearest_m <= {1.5 * EDGE} THEN 'low' ELSE 'unknown' END AS confidence FROM act LEFT JOIN con ON con."row" = act."row" AND con.col = act.col)"""

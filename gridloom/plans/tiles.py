@@ -29,10 +29,10 @@ def tile_bounds(t):
     return d.select("x", "y", F.round(geo.tile_west(F.col("x"), z), 7).alias("west"), F.round(geo.tile_north(F.col("y"), z), 7).alias("north"), F.round(geo.tile_north(F.col("y") + 1, z), 7).alias("south"))
 
 
-@query("tile_cover", f"SELECT id, z, x, y FROM (SELECT id, z, unnest(range({_TX('min_lon', 'z')}, {_TX('max_lon', 'z')} + 1)) AS x, y0, y1 FROM (SELECT *, {_TY('max_lat', 'z')} AS y0, {_TY('min_lat', 'z')} AS y1 FROM admin_unit, (SELECT CAST(i AS INT) AS z FROM range(7, 13) r(i)) WHERE kind = 'county')), range(4096) q(y) WHERE y BETWEEN y0 AND y1", "admin_unit")
+@query("tile_cover", f"SELECT id, z, x, y FROM (SELECT id, z, unnest(range({_TX('min_lon', 'z')}, {_TX('max_lon', 'z')} + 1)) AS x, y0, y1 FROM (SELECT *, {_TY('max_lat', 'z')} AS y0, {_TY('min_lat', 'z')} AS y1 FROM site_box, (SELECT CAST(i AS INT) AS z FROM range(7, 11) r(i)))), range(4096) q(y) WHERE y BETWEEN y0 AND y1", "site_box")
 def tile_cover(t):
-    u = t("admin_unit").where("kind = 'county'").select("id", F.col("min_lon").alias("xmin"), F.col("min_lat").alias("ymin"), F.col("max_lon").alias("xmax"), F.col("max_lat").alias("ymax"))
-    return ops.tile_cover(u, F.lit(7), 12).select("id", "z", F.col("x").cast("long").alias("x"), F.col("y").cast("long").alias("y"))
+    u = t("site_box").select("id", F.col("min_lon").alias("xmin"), F.col("min_lat").alias("ymin"), F.col("max_lon").alias("xmax"), F.col("max_lat").alias("ymax"))
+    return ops.tile_cover(u, F.lit(7), 10).select("id", "z", F.col("x").cast("long").alias("x"), F.col("y").cast("long").alias("y"))
 
 
 def _placed(t):

@@ -69,6 +69,9 @@ UNION ALL SELECT CASE WHEN id % 29 = 0 THEN 'kiut_gesut_wms' ELSE 'bdot10k' END,
  CASE WHEN count(CASE WHEN o_orderstatus = 'F' THEN 1 END) = count(*) THEN 'failed' WHEN max(o_orderkey) % 6 = 0 THEN 'pending_qualification' WHEN max(o_orderkey) % 5 = 0 THEN 'needs_source' ELSE 'ready' END AS status,
  min(o_orderdate) AS source_observed_at, sum(o_orderkey % 500) AS queried_feature_count, sum(o_orderkey % 300) AS accepted_feature_count, CASE WHEN o_custkey % 9 = 0 THEN 'mirror_b' ELSE 'mirror_a' END AS endpoint
  FROM {{orders}} GROUP BY o_custkey, {_DOMAIN_CASE}""",
+    # one box per customer: sites and requested areas
+    "site_box": """SELECT c_custkey AS id, CAST(c_custkey % 25 AS INT) AS n, 17.95e0 + 0.0024e0 * CAST(c_custkey % 400 AS DOUBLE) AS min_lon, 49.75e0 + 0.0014e0 * CAST(c_custkey % 390 AS DOUBLE) AS min_lat,
+ 17.95e0 + 0.0024e0 * CAST(c_custkey % 400 AS DOUBLE) + 0.24e0 AS max_lon, 49.75e0 + 0.0014e0 * CAST(c_custkey % 390 AS DOUBLE) + 0.14e0 AS max_lat FROM {customer}""",
     # one summary row per layer of an area: what quality rules and readiness look at
     "layer_summary": """SELECT o_custkey AS aoi_id, concat('layer.', CAST(o_orderkey AS STRING)) AS layer_id,
  CASE o_orderkey % 4 WHEN 0 THEN 'reference_overlay' WHEN 1 THEN 'manual_seed' ELSE 'analytical_vector' END AS source_type,
