@@ -23,12 +23,12 @@ HIDDEN, STEPS, LANES = 8, 64, 4096
 #: Bounds of the training sample: languages, rows of each, code points of a text, stretches of each language.
 MAX_LANGS, TRAIN_ROWS, TRAIN_CHARS, TRAIN_STRETCHES = 200, 300, 20_000, 1500
 
-_OTHER = regex.compile(r"[^\p{L}\p{M}]+")
+_OTHER, _ANY = regex.compile(r"[^\p{L}\p{M}]+"), regex.compile(r"\p{L}")
 
 
 def letters(text: str | None) -> bytes:
-    """Lower-case letters, runs of all else as one space."""
-    return _OTHER.sub(" ", (text or "").lower()).encode()
+    """Lower-case letters with their marks, runs of all else as one space; nothing for a text without letters."""
+    return _OTHER.sub(" ", text.lower()).encode() if text and _ANY.search(text) else b""
 
 
 def stretches(texts: list[bytes], steps: int = STEPS) -> tuple[np.ndarray, np.ndarray]:
