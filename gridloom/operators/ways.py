@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -52,3 +54,12 @@ def line_representative(line: Column) -> Column:
     inner = F.when(n > 2, F.slice(line, 2, n - 2)).otherwise(line)
     ranked = F.transform(inner, lambda p: F.struct(F.round(F.hypot(p["x"] - mx, p["y"] - my), 12).alias("d"), p["x"].alias("x"), p["y"].alias("y")))
     return F.array_min(ranked)
+
+
+def circle_points(areas: DataFrame, segments: int = 32) -> DataFrame:
+    """``areas`` (cx, cy, r in metres) once for each point of their closed ring: ``pos, lon, lat``, rounded to 7 decimals. Rows rather than arrays, so that
+    the projection runs in generated code."""
+    d = areas.withColumn("pos", F.explode(F.sequence(F.lit(0), F.lit(segments))))
+    angle = (F.col("pos") % segments).cast("double") * (2 * math.pi / segments)
+    lon, lat = geo.to_degrees(F.col("cx") + F.col("r") * F.cos(angle), F.col("cy") + F.col("r") * F.sin(angle))
+    return d.withColumn("lon", F.round(lon, 7)).withColumn("lat", F.round(lat, 7))

@@ -57,8 +57,8 @@ def project_inverse(t):
 def aoi_ring(t):
     """Rings of areas around customers; the golden values are in the tests."""
     x, y = geo.to_metric(17.95 + F.col("c_custkey") % 100 * 0.01, F.lit(LAT))
-    ring = geo.circle_ring(x, y, 1000.0 + F.col("c_custkey") % 30 * 1000.0)
-    return t("customer").select(F.col("c_custkey").alias("aoi_id"), F.posexplode(ring).alias("pos", "p")).select("aoi_id", "pos", F.col("p.x").alias("lon"), F.col("p.y").alias("lat"))
+    a = t("customer").select(F.col("c_custkey").alias("aoi_id"), x.alias("cx"), y.alias("cy"), (1000.0 + F.col("c_custkey") % 30 * 1000.0).alias("r"))
+    return ops.circle_points(a).select("aoi_id", "pos", "lon", "lat")
 
 
 @query("geodesic_ring", f"""SELECT c_custkey AS aoi_id, CAST(i AS INT) AS pos, round(degrees(lam + atan2(sin(b) * sin(d) * cos(phi), cos(d) - sin(phi) * sin(p))), 6) AS lon, round(degrees(p), 6) AS lat FROM (
