@@ -93,6 +93,7 @@ def line_keep_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     dealt = lines.repartitionByRange(*order).sortWithinPartitions(*order, "h", "pos")
     found = materialize(dealt.mapInArrow(_stream(min_docs), _DECIDED), "runs")
     runs = found.where("kind = 1").groupBy("hi", "lo").agg(F.sum("n").alias("docs"), F.max("id").alias("top")).where(F.col("docs") >= min_docs)
+    runs = materialize(runs, "open")  # two runs a partition and one a batch at most: its known size lets the planner broadcast it, so that a hot run is not shuffled
     late = found.where("kind = 2").join(runs, ["hi", "lo"]).where(~F.col("id").eqNullSafe(F.col("top"))).select("id", "h", "pos")
     gone = found.where("kind = 0").select("id", "h", "pos").union(late)
 
