@@ -81,7 +81,7 @@ def draw_slots(targets: DataFrame, block: int = BLOCK_WORDS, seed: int = 7) -> D
 def pack_blocks(rows: DataFrame, block: int = BLOCK_WORDS) -> DataFrame:
     """``rows`` (s, id, size, spread) with their place in the stream of their source: ``start`` in words."""
     n = rows.count()
-    return prefix_sum(rows, ["s"], ["id", "size"], "size", "start", "spread", max(16, n // 50_000))
+    return prefix_sum(rows, ["s"], ["id", "size"], "size", "start", "spread", max(256, n // 20_000))
 
 
 def pieces(packed: DataFrame, block: int = BLOCK_WORDS) -> DataFrame:
