@@ -1,0 +1,236 @@
+"""Near copies by the Jaccard similarity of word shingles: every pair at or above the threshold is found.
+
+Texts with equal shingle sets collapse first. In any one order of all shingles, two sets of similarity ``t`` share a shingle among the first
+``n - ceil(t n) + 1`` of each, so those prefixes are bucket keys that lose no pair. The order puts shingles that are frequent in a sample last, which keeps
+buckets small and changes no result. Buckets of equal members count once. In a bucket texts meet as parity bitmaps of their sets: the bits that differ are a lower
+bound of the shingles that differ, so no pair is lost there either. The components of these possible links get the sets themselves, each once, and exact similarities.
+One pivot at a time meets all texts that are not yet linked to it, so a dense group costs a few pivots and not all its pairs. Large buckets and components are cut into tiles.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from gridloom.llm.common import connected_components, materialize
+from gridloom.llm.simhash_dedup import shingle_hashes
+
+#: Texts on each side of a tile of a large bucket.
+TILE = 1024
+#: The sample that says which shingles are frequent, and how many of them are held. They set an order only.
+SAMPLE, FREQUENT = 3000, 200_000
+
+
+def shingle_set(text: str | None, size: int) -> np.ndarray:
+    return np.unique(shingle_hashes(text, size))
+
+
+def signature(s: np.ndarray) -> int:
+    return int(np.array([xxhash.xxh64_intdigest(s.tobytes())], np.uint64).view(np.int64)[0])
+
+
+def prefix(s: np.ndarray, threshold: float, late: np.ndarray) -> np.ndarray:
+    """The first shingles of a sorted set, those of ``late`` (sorted) after all others."""
+    n = len(s)
+    m = n - int(np.ceil(threshold * n - 1e-9)) + 1 if n else 0
+    if len(late) and n:
+        at = np.minimum(np.searchsorted(late, s), len(late) - 1)
+        known = late[at] == s
+        s = np.concatenate([s[~known], s[known]])
+    return s[:m]
+
+
+def _frequent(docs: DataFrame, text_col: str, size: int) -> np.ndarray:
+    step = max(1, docs.count() // SAMPLE)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for t in pdf.t:
+                yield pd.DataFrame({"k": shingle_set(t, size).view(np.int64)})
+
+    some = docs.select(F.col(text_col).alias("t")).where(F.pmod(F.xxhash64(F.lit("sample"), "t"), F.lit(step)) == 0).distinct()
+    top = some.mapInPandas(run, "k long").groupBy("k").count().where("count > 2").orderBy(F.desc("count"), "k").limit(FREQUENT).select("k")
+    return np.sort(top.toPandas().k.to_numpy(np.int64).view(np.uint64))
+
+
+def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted rows (k, sig) to those whose key has two rows or more, with a print of the bucket's members."""
+
+    def shared(k: np.ndarray, s: np.ndarray) -> pa.RecordBatch:
+        start = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
+        n = np.diff(np.concatenate([start, [len(k)]]))
+        with np.errstate(over="ignore"):
+            x = s.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+            x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+            g = np.add.reduceat(x ^ (x >> np.uint64(32)), start)
+        keep = np.repeat(n > 1, n)
+        return pa.RecordBatch.from_arrays([pa.array(k[keep]), pa.array(s[keep]), pa.array(np.repeat(g, n)[keep].view(np.int64)), pa.array(np.repeat(n, n)[keep].astype(np.int64))], names=["k", "sig", "g", "n"])
+
+    rest: list[tuple[np.ndarray, np.ndarray]] = []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        k, s = (b.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+        if k[0] == k[-1] and (not rest or rest[0][0][0] == k[0]):
+            rest.append((k, s))  # goes on with the open bucket
+            continue
+        at = int(np.searchsorted(k, k[-1]))
+        yield shared(np.concatenate([*(r[0] for r in rest), k[:at]]), np.concatenate([*(r[1] for r in rest), s[:at]]))
+        rest = [(k[at:], s[at:])]
+    if rest:
+        yield shared(np.concatenate([r[0] for r in rest]), np.concatenate([r[1] for r in rest]))
+
+
+def parity(s: np.ndarray) -> np.ndarray:
+    """Bit i is the parity of the shingles whose hash is i; as many bits as shingles at least, a power of two. Halves fold by xor."""
+    bits = 64
+    while bits < len(s):
+        bits *= 2
+    odd = np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.uint64)
+
+
+def _pivots(size: np.ndarray, threshold: float, side: np.ndarray | None, meets) -> np.ndarray:
+    """For each item the least index of its component over the pairs of fitting size and different sides for which ``meets(pivot)`` has True."""
+    m = len(size)
+    comp, todo = np.arange(m), np.ones(m, bool)
+    while True:
+        open_ = np.flatnonzero(todo)
+        count = np.bincount(comp[open_], minlength=m)
+        if (count > 0).sum() < 2:
+            return comp
+        p = open_[count[comp[open_]].argmin()]  # members of the largest component last: they may never be asked
+        todo[p] = False
+        far = todo & (comp != comp[p]) & (size >= threshold * size[p] - 1e-6) & (size[p] >= threshold * size - 1e-6)
+        if side is not None:
+            far &= side != side[p]
+        if far.any():
+            hit = np.flatnonzero(far & meets(p))
+            if len(hit):
+                old = np.unique(np.append(comp[hit], comp[p]))
+                comp[np.isin(comp, old)] = old[0]
+
+
+def linked(sets: list[np.ndarray], threshold: float, side: np.ndarray | None = None) -> np.ndarray:
+    """Components of sets over pairs at ``threshold`` or above. With ``side`` only pairs of different sides are asked for."""
+    size = np.array([len(s) for s in sets])
+    words, ids = np.unique(np.concatenate(sets), return_inverse=True)
+    ends = np.concatenate([[0], np.cumsum(size)])
+    mark = np.zeros(len(words), bool)
+
+    def meets(p: int) -> np.ndarray:
+        own = ids[ends[p] : ends[p + 1]]
+        mark[own] = True
+        both = np.add.reduceat(mark[ids].astype(np.int32), ends[:-1])
+        mark[own] = False
+        return both >= threshold * (size + size[p] - both) - 1e-9
+
+    return _pivots(size, threshold, side, meets)
+
+
+def maybe_linked(bits: list[np.ndarray], size: np.ndarray, threshold: float, side: np.ndarray | None = None) -> np.ndarray:
+    """Components over a superset of the pairs at ``threshold`` or above, by parity bitmaps."""
+    width = np.array([len(x) for x in bits])
+    fold = lambda x: x[..., : x.shape[-1] // 2] ^ x[..., x.shape[-1] // 2 :]
+    rows = {w: np.flatnonzero(width == w) for w in np.unique(width).tolist()}
+    grid = {w: np.stack([bits[i] for i in at]) for w, at in rows.items()}
+    half = {w: fold(x) for w, x in grid.items() if w > 1}
+
+    def meets(p: int) -> np.ndarray:
+        out, w = np.zeros(len(bits), bool), len(bits[p])
+        for other, x, own in ((w, grid.get(w), bits[p]), (2 * w, half.get(2 * w), bits[p]), (w // 2, grid.get(w // 2), fold(bits[p]) if w > 1 else None)):
+            if x is not None and own is not None:  # sizes that fit differ by less than two
+                at = rows[other]
+                out[at] = np.bitwise_count(x ^ own).sum(1) <= (size[at] + size[p]) * (1 - threshold) / (1 + threshold) + 1e-6
+        return out
+
+    return _pivots(size, threshold, side, meets)
+
+
+def _linker(threshold: float, exact: bool):
+    def links(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("sig")
+        sig = pdf.sig.to_numpy()
+        side = pdf.part.to_numpy() if pdf.i.iloc[0] != pdf.j.iloc[0] else None
+        data = [np.frombuffer(x, np.uint64) for x in pdf.data]
+        c = linked(data, threshold, side) if exact else maybe_linked(data, pdf["size"].to_numpy(), threshold, side)
+        at = np.flatnonzero(c != np.arange(len(c)))
+        return pd.DataFrame({"a": sig[at], "b": sig[c[at]]})
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rest: list[pd.DataFrame] = []  # rows of the last bucket, which the next batch may go on with
+        for pdf in batches:
+            for _, x in pdf.groupby(["k", "i", "j"], sort=False):
+                if rest and tuple(rest[0][["k", "i", "j"]].iloc[0]) != tuple(x[["k", "i", "j"]].iloc[0]):
+                    yield links(pd.concat(rest))
+                    rest = []
+                rest.append(x)
+        if rest:
+            yield links(pd.concat(rest))
+    return run
+
+
+def _in_tiles(members: DataFrame, data: DataFrame, threshold: float, exact: bool, tile: int) -> DataFrame:
+    """Links in each group k of ``members`` (k, sig, n); ``data`` has sig2, size and data of each sig."""
+    t = members.withColumn("t", F.ceil(F.col("n") / tile).cast("int")).withColumn("part", F.pmod(F.xxhash64("sig"), F.col("t")).cast("int"))
+    t = t.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("t") - 1)))
+    t = t.select("k", "sig", "part", F.least("part", "o").alias("i"), F.greatest("part", "o").alias("j")).join(data, F.col("sig") == F.col("sig2")).drop("sig2")
+    dealt = t.repartition("k", "i", "j").sortWithinPartitions("k", "i", "j")
+    return dealt.mapInPandas(_linker(threshold, exact), "a long, b long").distinct()
+
+
+def set_links(docs: DataFrame, known: DataFrame, text_col: str, size: int, threshold: float, tile: int = TILE) -> DataFrame:
+    """``(a, b)`` links of signatures whose closure is that of all pairs at ``threshold`` or above. ``known`` has h, sig, size, bits and keys of every row of ``docs``."""
+    keyed = known.select(F.explode("keys").alias("k"), "sig").dropDuplicates(["k", "sig"]).repartition("k").sortWithinPartitions("k")
+    met = materialize(keyed.mapInArrow(_buckets, "k long, sig long, g long, n long"), "met")
+    once = met.groupBy("g", "n").agg(F.min("k").alias("k1")).select(F.col("g").alias("g1"), F.col("n").alias("n1"), "k1")
+    met = materialize(met.join(once, (F.col("g") == F.col("g1")) & (F.col("n") == F.col("n1")) & (F.col("k") == F.col("k1"))).select("k", "sig", "n"), "once")
+    bits = known.select(F.col("sig").alias("sig2"), "size", F.col("bits").alias("data")).join(met.select("sig").distinct(), F.col("sig2") == F.col("sig"), "left_semi").dropDuplicates(["sig2"])
+    maybe = connected_components(_in_tiles(met, bits, threshold, False, tile)).select(F.col("component").alias("k"), F.col("node").alias("sig"))
+    maybe = materialize(maybe.join(maybe.groupBy(F.col("k").alias("k1")).agg(F.count("*").alias("n")), F.col("k") == F.col("k1")).drop("k1"), "maybe")
+    asked = materialize(known.select("h", "sig").join(maybe.select("sig"), "sig", "left_semi").groupBy("sig").agg(F.min("h").alias("h")).select("h"), "asked")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            s = [shingle_set(t, size) for t in pdf.t]
+            yield pd.DataFrame({"sig2": [signature(x) for x in s], "size": [len(x) for x in s], "data": [x.tobytes() for x in s]})
+
+    texts = docs.select(F.xxhash64(text_col).alias("h"), F.col(text_col).alias("t")).join(asked, "h", "left_semi").dropDuplicates(["h"]).select("t")
+    sets = materialize(texts.mapInPandas(run, "sig2 long, size long, data binary"), "sets")
+    return _in_tiles(maybe, sets, threshold, True, tile)
+
+
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, threshold: float = 0.8) -> DataFrame:
+    """``id, h, component_id, group`` per row of ``docs``; component_id is the least id reachable over pairs of texts whose sets of ``size`` words have a
+    Jaccard similarity of ``threshold`` or more, group a signature that stands for the component. h is xxhash64 of the text.
+
+    Texts without words are copies of each other; a text of fewer words than ``size`` is one shingle. Null ids are kept."""
+    late = docs.sparkSession.sparkContext.broadcast(_frequent(docs, text_col, size))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            s = [shingle_set(t, size) for t in pdf.t]
+            yield pd.DataFrame({"id": pdf.id.astype("Int64"), "h": pdf.h, "sig": [signature(x) for x in s], "size": [len(x) for x in s], "bits": [parity(x).tobytes() for x in s], "keys": [prefix(x, threshold, late.value).view(np.int64) for x in s]})
+
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("t"))
+    known = materialize(rows.mapInPandas(run, "id long, h long, sig long, size long, bits binary, keys array<long>"), "known")
+    comp = connected_components(set_links(docs, known, text_col, size, threshold))
+    reps = known.groupBy("sig").agg(F.min("id").alias("rep"))
+    named = reps.join(comp.select(F.col("node").alias("sig"), "component"), "sig", "left").select("sig", "rep", F.coalesce("component", "sig").alias("c"))
+    least = named.groupBy("c").agg(F.min("rep").alias("component_id"))
+    found = named.join(least, "c").select(F.col("sig").alias("s2"), "component_id", F.col("c").alias("group"))
+    return known.select("id", "h", "sig").join(found, F.col("sig") == F.col("s2")).select("id", "h", "component_id", "group")
+
+
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, threshold: float = 0.8) -> DataFrame:
+    """``docs`` with one row of each component: that of the least id (of null ids only: one of them). All columns are kept."""
+    found = near_copies(docs, id_col, text_col, size, threshold).where("id <=> component_id")
+    first = found.groupBy("id", "group").agg(F.min("h").alias("_h")).select(F.coalesce(F.col("id").cast("string"), F.lit("\0")).alias("_i"), "_h")
+    keyed = docs.withColumns({"_i": F.coalesce(F.col(id_col).cast("string"), F.lit("\0")), "_h": F.xxhash64(text_col)})
+    return keyed.dropDuplicates(["_i", "_h"]).join(first, ["_i", "_h"], "left_semi").drop("_i", "_h")
