@@ -216,7 +216,8 @@ def _centroids(classes: DataFrame) -> dict:
     return out
 
 
-def _links(classes: DataFrame, sample: dict, overlap: int, min_cos: float) -> DataFrame:
+def _links(classes: DataFrame, sample: dict, overlap: int, min_cos: float, exact: bool = False) -> DataFrame:
+    """Links of each class in its shards; ``exact``: every shard in tiles, whatever its size."""
     centers = {key: k_means(x, int(min(CENTROIDS, len(x), max(1, -(-overlap * n // TARGET))))).astype(np.float32) for key, (x, n) in sample.items()}
     shared = classes.sparkSession.sparkContext.broadcast(centers)
 
@@ -237,7 +238,7 @@ def _links(classes: DataFrame, sample: dict, overlap: int, min_cos: float) -> Da
     dealt = materialize(dealt.withColumn("dim", F.size("vec")), "dealt")
     each = dealt.withColumn("shard", F.explode("shards"))
     key = ["label", "dim", "shard"]
-    count = each.groupBy(*key).agg(F.count("*").alias("rows")).withColumn("parts", F.when(F.col("rows") > LARGEST, F.ceil(F.col("rows") / TILE)).otherwise(F.lit(0)).cast("int")).drop("rows")
+    count = each.groupBy(*key).agg(F.count("*").alias("rows")).withColumn("parts", F.when(F.col("rows") > (0 if exact else LARGEST), F.ceil(F.col("rows") / TILE)).otherwise(F.lit(0)).cast("int")).drop("rows")
     each = each.join(count, key)
     small = each.where("parts = 0")
     near = small.select("cid", "vec", *key).groupBy(*key).applyInPandas(_build, "cid long, near array<long>")
@@ -277,11 +278,14 @@ def near_duplicate_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col:
 
     Rows link if their labels are equal and not null, their vectors have one length and a cosine of ``min_cos`` or more. Vectors that are null, zero, or hold null or non-finite numbers link with
     nothing. Repeated rows are rows of their own and link. Null ids count as links of others; component_id is the least id that is not null. Other columns play no part; an empty table gives an
-    empty result. With ``audit`` the overlap doubles until the recall of a sample reaches RECALL."""
+    empty result. With ``audit`` the overlap doubles until the recall of a sample reaches RECALL; if it does not at 24, all pairs of a label are compared."""
     rows, classes = _vector_classes(vectors, id_col, vec_col, label_col)
     sample = _centroids(classes)
     links = _links(classes, sample, overlap, min_cos)
-    while audit and overlap < 24 and _recall(classes, links, min_cos) < RECALL:
+    while audit and _recall(classes, links, min_cos) < RECALL:
+        if overlap >= 24:
+            links = _links(classes, {}, 1, min_cos, exact=True)
+            break
         overlap *= 2
         links = _links(classes, sample, overlap, min_cos)
     total = links.groupBy("cid").agg(F.sum("n").alias("n"))

@@ -83,3 +83,12 @@ def test_overlapping_shards_and_tiles(spark, monkeypatch, tiles):
     assert sum(r.n_links for r in got.values()) >= 0.95 * sum(r[1] for r in want.values())
     assert all(got[i].n_links <= want[i][1] for i in want)
     assert sum(got[i].component_id == want[i][2] for i in want) >= 0.98 * len(rows)
+
+
+def test_low_recall_is_never_returned(spark, monkeypatch):
+    """If the widest overlap still misses links, all pairs are compared."""
+    rows = planted(np.random.default_rng(4), 150, 16, 0, 0)
+    real = ed._links
+    monkeypatch.setattr(ed, "_links", lambda *a, **k: real(*a, **k) if k.get("exact") else real(*a, **k).where("false"))
+    got = ed.near_duplicate_vectors(frame(spark, rows), overlap=24).collect()
+    assert sorted(map(str, (tuple(r) for r in got))) == sorted(map(str, brute(rows)))
