@@ -81,11 +81,11 @@ def test_bit_planes():
     q = base[5]
     for radius in (1, 2, 3, 5):
         near = np.array([int(q) ^ sum(1 << int(b) for b in rng.choice(64, i % 8, replace=False)) for i in range(64)], np.uint64)
-        planes = sd.bit_planes(near.reshape(1, 64))
-        live, mask = sd.within(planes, np.zeros(1, np.int64), np.array([q]), radius)
+        planes = sd.bit_planes(near.reshape(1, 64, 1))
+        live, mask = sd.within(planes, np.zeros(1, np.int64), np.array([[q]]), radius)
         want = [bin(int(x) ^ int(q)).count("1") <= radius for x in near]
         assert len(live) == 1 and [bool(int(mask[0]) >> i & 1) for i in range(64)] == want
-    live, _ = sd.within(sd.bit_planes(~np.full((1, 64), q)), np.zeros(1, np.int64), np.array([q]), 2)
+    live, _ = sd.within(sd.bit_planes(~np.full((1, 64, 1), q)), np.zeros(1, np.int64), np.array([[q]]), 2)
     assert len(live) == 0
 
 

@@ -5,7 +5,8 @@ import random
 import numpy as np
 
 from corpus_pipeline import STAGES
-from gridloom.llm import jaccard_dedup as jd
+from gridloom.llm import shingle_sets as ss
+from gridloom.llm import simhash_dedup as sd
 
 
 def shingles(text):
@@ -56,9 +57,9 @@ def test_stage_drops_all_near_copies(spark, monkeypatch):
     want = survivors(rows)
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert sorted(r.doc_id for r in STAGES[1][1](spark, docs, None).collect()) == want
-    monkeypatch.setattr(jd.set_links, "__defaults__", (7,))  # tiles
-    assert sorted(r.doc_id for r in jd.drop_near_copies(docs.repartition(9)).collect()) == want
-    assert jd.drop_near_copies(docs.where("doc_id < 0")).count() == 0
+    monkeypatch.setattr(sd.set_links, "__defaults__", (7, 7))  # tiles
+    assert sorted(r.doc_id for r in sd.drop_near_copies(docs.repartition(9)).collect()) == want
+    assert sd.drop_near_copies(docs.where("doc_id < 0")).count() == 0
 
 
 def test_stage_on_table(spark):
@@ -68,16 +69,24 @@ def test_stage_on_table(spark):
 
 def test_threshold_is_met_exactly():
     a = np.arange(10, dtype=np.uint64)
-    assert jd.linked([a, a[:8], a[:7]], 0.8).tolist() == [0, 0, 0]  # 0.8; 7 of 8
-    assert jd.linked([a, a[:7]], 0.8).tolist() == [0, 1]
-
-
-def test_bitmaps_lose_no_pair():
-    rng = np.random.default_rng(2)
-    for n in (5, 60, 64, 65, 130, 1000):
-        a = rng.integers(0, 1 << 63, n).astype(np.uint64)
-        for m in range(int(np.ceil(0.8 * n)), n + 1):
-            got = jd.maybe_linked([jd.parity(a), jd.parity(a[:m])], np.array([n, m]), 0.8)
-            assert got.tolist() == [0, 0]
-    far = [rng.integers(0, 1 << 63, 1000).astype(np.uint64) for _ in range(2)]
-    assert jd.maybe_linked([jd.parity(x) for x in far], np.array([1000, 1000]), 0.8).tolist() == [0, 1]
+    near = np.zeros((3, 4), np.uint64)
+    assert ss.linked([a, a[:8], a[:7]], near, 0.8, 90).tolist() == [0, 0, 0]  # 0.8; 7 of 8
+    assert ss.linked([a, a[:7]], near[:2], 0.8, 90).tolist() == [0, 1]
+
+
+def test_radius_loses_no_pair_and_parts_others():
+    rng, radius = np.random.default_rng(2), sd.similarity_radius(0.8)
+    distance = lambda a, b: int(np.bitwise_count(sd.fingerprint(a, 4) ^ sd.fingerprint(b, 4)).sum())
+    for n in (5, 6, 8, 10, 33, 100, 1000):
+        for _ in range(60):
+            x = rng.integers(0, 1 << 63, 2 * n).astype(np.uint64)
+            m = int(np.ceil(0.8 * n))  # a subset; and two sets of one size
+            k = int(np.ceil(8 * n / 9))
+            assert distance(x[:n], x[:m]) <= radius and distance(x[:n], np.concatenate([x[:k], x[n : 2 * n - k]])) <= radius
+    assert all(distance(*(rng.integers(0, 1 << 63, 200).astype(np.uint64) for _ in range(2))) > radius for _ in range(300))
+
+
+def test_fingerprint_words():
+    h = np.random.default_rng(1).integers(0, 1 << 63, 70_000).astype(np.uint64)
+    votes = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    assert sd.fingerprint(h, 4)[0] == sd.fingerprint(h)[0] == np.packbits(2 * votes > len(h), bitorder="little").view(np.uint64)[0]

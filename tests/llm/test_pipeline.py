@@ -1,11 +1,11 @@
 """Each stage of the pipeline against plain Python on the smallest tables."""
 
-from collections import Counter, defaultdict
+from collections import Counter
 
 from corpus_pipeline import ORACLE_SQL, STAGES, run
 from gridloom.llm.common import materialize
-from tests.llm.test_dedup import brute_simhash
 from tests.llm.test_native import brute_targets
+from tests.llm.test_near_copies import survivors
 
 SF = "/root/testdata/sf0.001"
 
@@ -29,22 +29,7 @@ def test_stages(spark):
     assert sum(labels.get(i) == 0 for i in gone) <= 2
 
     two = materialize(f[1](spark, one, SF), "two")
-    fps = [brute_simhash(r.text) for r in after]
-    parent = list(range(len(after)))
-
-    def find(x):
-        while parent[x] != x:
-            x = parent[x]
-        return x
-
-    for a in range(len(after)):
-        for b in range(a):
-            if bin(fps[a] ^ fps[b]).count("1") <= 2:
-                parent[find(a)] = find(b)
-    first = defaultdict(lambda: 1 << 60)
-    for k, r in enumerate(after):
-        first[find(k)] = min(first[find(k)], r.doc_id)
-    assert two.columns == cols and sorted(r.doc_id for r in two.collect()) == sorted(first.values())
+    assert two.columns == cols and sorted(r.doc_id for r in two.collect()) == survivors([(r.doc_id, r.text) for r in after])
 
     three = materialize(f[2](spark, two, SF), "three")
     grams = set()
