@@ -19,11 +19,14 @@ _own_dir: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or where that is
-    unset (tests on one machine) a temporary folder, removed when the process ends."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset and the
+    master is local (tests on one machine) it is a temporary folder, removed when the process ends; on a cluster an unset folder is an error."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base:
         return base.rstrip("/")
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _own_dir:
         path = tempfile.mkdtemp(prefix="gridloom-")
@@ -32,13 +35,31 @@ def shared_dir(spark: SparkSession) -> str:
     return _own_dir[app]
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage: write ``df`` as a Parquet table in the shared folder and read it back.
+def _folder(spark: SparkSession, path: str):
+    """The file system and the Hadoop path of a folder."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
 
-    The files outlive any executor. They stay until the folder is cleared."""
-    path = f"{shared_dir(df.sparkSession)}/gridloom-{uuid.uuid4().hex}/{name}"
+def stored(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """Write ``df`` as a Parquet table in the shared folder; the table, read back, and its folder. It outlives any executor and is removed when the driver's JVM ends."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/gridloom-{uuid.uuid4().hex}/{name}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    files, at = _folder(spark, path.rsplit("/", 1)[0])
+    files.deleteOnExit(at)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Cut the lineage with a stored table."""
+    return stored(df, name)[0]
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Remove a stored table that nothing reads any more."""
+    files, at = _folder(spark, path)
+    files.delete(at, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -83,18 +104,20 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
         r = e.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()
         return r[0], r[1]
 
-    e = edges.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).where(F.col("a") != F.col("b")).distinct()
-    e = materialize(e, "edges")
+    spark = edges.sparkSession
+    e, held = stored(edges.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).where(F.col("a") != F.col("b")).distinct(), "edges")
     last = signature(e)
     for _ in range(max_rounds if last[0] else 0):
         both = e.union(e.select("b", "a"))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("n"), F.least("a", "m").alias("m"))
         large = both.where("b > a").join(low, F.col("a") == F.col("n")).select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = materialize(large.distinct(), "large")
+        large, between = stored(large.distinct(), "large")
+        discard(spark, held)
         small_low = large.groupBy("a").agg(F.min("b").alias("m")).withColumnRenamed("a", "n")
         small = large.join(small_low, F.col("a") == F.col("n")).select(F.col("b").alias("a"), F.col("m").alias("b"))
         small = small.union(small_low.select(F.col("n").alias("a"), F.col("m").alias("b"))).where("a != b").distinct()
-        e = materialize(small, "small")
+        e, held = stored(small, "small")
+        discard(spark, between)
         now = signature(e)
         if now == last:
             break
