@@ -6,6 +6,7 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import xxhash
 from pyspark.sql import functions as F
 
 from gridloom.llm import mixing, pii, sharding
@@ -115,25 +116,118 @@ def test_mix_counts(spark):
         for s in sizes:
             assert abs(by[s] - want[s]) <= 7, (s, by[s], want[s])  # 7: words of the row with no id
         again = mixing.mix_counts(df.repartition(7), block=block).collect()
-        assert Counter(got) == Counter(again)
+        assert Counter(map(str, got)) == Counter(map(str, again))
     assert mixing.mix_counts(frame(spark, [])).count() == 0
 
 
+def spark_hash(*values):
+    """xxhash64 of Spark: (value, bytes of a number) or strings, chained by seed; null leaves the hash as it is."""
+    h = 42
+    for v in values:
+        if v is None or (isinstance(v, tuple) and v[0] is None):
+            continue
+        h = xxhash.xxh64_intdigest(v.encode() if isinstance(v, str) else v[0].to_bytes(v[1], "little", signed=True), h)
+    return h - (1 << 64) if h >> 63 else h
+
+
+def brute_permuted(i, n, s, pas, seed):
+    for r in range(1, mixing.ROUNDS + 1):
+        key = [(seed, 4), (s, 8), (pas, 8), (r, 4)]
+        other = (spark_hash(*key) % n - i) % n
+        i = other if spark_hash(*key, (max(i, other), 8), "bit") & 1 else i
+    return i
+
+
+def brute_mix(rows, block, shard_slots, seed=7):
+    """Per row: words taken and its shards; per shard and slot of a source: the words shown."""
+    size = [len((t or "").split()) for _, t, _ in rows]
+    sizes = Counter()
+    for (_, _, s), n in zip(rows, size):
+        sizes[s] += n
+    target = brute_targets(dict(sizes))
+    names = sorted(x for x in sizes if x is not None) + [None] * (None in sizes)
+    plan = {}
+    for s, name in enumerate(names):
+        goal = min(math.floor(target[name] + 0.5), 3 * sizes[name])
+        passes, rest = divmod(goal, max(1, sizes[name]))
+        blocks = -(-sizes[name] // block)
+        plan[s] = dict(passes=passes, rest=rest, blocks=blocks, whole=sizes[name] // block, slots=passes * blocks + -(-rest // block), size=sizes[name])
+    total = sum(p["slots"] for p in plan.values())
+    counts = defaultdict(Counter)
+    for k in range(total):
+        u, s = spark_hash((seed, 4), "draw", (k, 8)) % total, 0
+        while u >= plan[s]["slots"]:
+            u, s = u - plan[s]["slots"], s + 1
+        counts[s][k // shard_slots] += 1
+    stream = {s: [] for s in plan}
+    for k in sorted(range(len(rows)), key=lambda k: spark_hash("order", (rows[k][0], 8), rows[k][1])):
+        stream[names.index(rows[k][2])] += [(k, i) for i in range(size[k])]
+    taken, shards, shown = Counter(), defaultdict(set), {}
+    for s, p in plan.items():
+        drawn, before, ranges = sum(counts[s].values()), 0, []
+        for shard in sorted(counts[s], key=lambda x: spark_hash("shard", (x, 8))):
+            after = before + counts[s][shard]
+            ranges.append((shard, math.floor(before / drawn * p["slots"]), math.floor(after / drawn * p["slots"])))
+            before = after
+        for shard, lo, hi in ranges or [(0, 0, p["slots"])]:
+            for k in range(lo, hi):
+                pas, i = divmod(k, p["blocks"])
+                at = brute_permuted(i, p["whole"], s, pas, seed) if i < p["whole"] else i
+                length = block if i < p["whole"] else p["size"] - p["whole"] * block
+                take = length if pas < p["passes"] else min(length, p["rest"] - i * block)
+                words = stream[s][at * block : at * block + take]
+                shown[s, k] = (shard, words)
+                for row, _ in words:
+                    taken[row] += 1
+                    shards[row].add(shard)
+    return taken, shards, shown, names
+
+
+def test_mix_against_brute_force(spark, monkeypatch):
+    rows = mix_rows()
+    size = [len((t or "").split()) for _, t, _ in rows]
+    same = Counter((i, t) for i, t, _ in rows)
+    for block, shard_slots in ((16, 32), (40, 7)):
+        taken, shards, shown, names = brute_mix(rows, block, shard_slots)
+        want = Counter((rows[k][0], size[k], taken[k], tuple(sorted(shards[k]))) for k in range(len(rows)) if same[rows[k][:2]] == 1)
+        got = mixing.mix_counts(frame(spark, rows), block=block, shard_slots=shard_slots).collect()
+        assert want == Counter((r.id, r.size, r.taken, tuple(r.shards)) for r in got if r.id != 5 or r.size != size[5])
+        assert sum(r.taken for r in got) == sum(taken.values())
+        blocks = mixing.mix_blocks(frame(spark, rows), block=block, shard_slots=shard_slots).collect()
+        text = lambda w: " ".join((rows[k][1] or "").split()[i] for k, i in w)
+        assert Counter((r.shard, r.source, r.text) for r in blocks) == Counter((sh, names[s], text(w)) for (s, _), (sh, w) in shown.items())
+        slots = defaultdict(list)
+        for r in blocks:
+            slots[r.shard].append(r.slot)
+        assert all(sorted(v) == list(range(len(v))) for v in slots.values())
+        expected = len(blocks) / len(slots)
+        assert len(slots) > 5 and all(0.2 * expected < len(v) < 2 * expected for k, v in slots.items() if k < max(slots))
+    monkeypatch.setattr(mixing, "draw_counts", lambda t, *a: t.where("slots > 0").select("s", F.lit(0).cast("long").alias("shard"), F.col("slots").alias("n")))
+    undrawn = mixing.mix_counts(frame(spark, rows), block=block, shard_slots=shard_slots).collect()
+    assert Counter(map(str, undrawn)) != Counter(map(str, got)) and {x for r in undrawn for x in r.shards} == {0}
+
+
 def test_mix_documents(spark):
     rows = mix_rows()
     got = mixing.mix_documents(frame(spark, rows), block=16).collect()
     text = {i: t for i, t, _ in rows}
-    shown = Counter()
+    shown, by_id = Counter(), Counter()
     for r in got:
         words, own = r.text.split(), Counter((text[r.doc_id] or "").split())
-        assert words and not Counter(words) - own and r.size == "x"
+        assert words and not Counter(words) - own and r.size == "x" and r.id == 1
         shown[r.source] += len(words)
-    sizes = Counter()
-    for i, t, s in {(i, t, s) for i, t, s in rows}:
+        by_id[r.doc_id] += len(words)
+    sizes, taken = Counter(), Counter()
+    for i, t, s in rows:
         sizes[s] += len((t or "").split())
     for s, w in brute_targets(dict(sizes)).items():
         assert abs(shown[s] - w) <= 1
-    assert mixing.mix_documents(frame(spark, [])).count() == 0
+    for r in mixing.mix_counts(frame(spark, rows), block=16).collect():
+        taken[r.id] += r.taken
+    assert +taken == by_id
+    assert mixing.mix_documents(frame(spark, [])).count() == 0 == mixing.mix_blocks(frame(spark, [])).count()
+    odd = [(1, "a b", "s"), (1, "a b", "s"), (1, "a b", "s"), (None, None, None), (None, None, None)]
+    assert Counter(r.text for r in mixing.mix_documents(frame(spark, odd)).collect()) == Counter({"a b": 3})
 
 
 def test_shards(spark):
