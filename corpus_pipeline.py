@@ -6,7 +6,7 @@ one's docs. The first four return the columns of documents.
 
 from pyspark.sql import functions as F
 
-from gridloom.llm import decontaminate, jaccard_dedup, mixing, sharding, toxicity
+from gridloom.llm import decontaminate, mixing, sharding, simhash_dedup, toxicity
 from gridloom.llm.common import materialize, table
 
 
@@ -18,7 +18,7 @@ def reject_toxic(spark, docs, sf_dir):
 
 def drop_near_copies(spark, docs, sf_dir):
     """Of each group of documents linked by a Jaccard similarity of 0.8 over five words the least id stays."""
-    return jaccard_dedup.drop_near_copies(docs)
+    return simhash_dedup.drop_near_copies(docs)
 
 
 def drop_benchmark(spark, docs, sf_dir):
