@@ -14,14 +14,15 @@ import pandas as pd
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from gridloom.llm.common import table
 from gridloom.llm.toxicity import fold
 
 #: Units of each direction, bytes of a stretch, stretches that advance together.
 HIDDEN, STEPS, LANES = 8, 64, 4096
-#: Bounds of the training sample: languages, rows of each, code points of a text, stretches of each language.
-MAX_LANGS, TRAIN_ROWS, TRAIN_CHARS, TRAIN_STRETCHES = 200, 300, 20_000, 1500
+#: Bounds of the training sample: rows of a language and of all together (every language keeps one at least), code points of a text, stretches of a language and of all.
+TRAIN_ROWS, TRAIN_TOTAL, TRAIN_CHARS, TRAIN_STRETCHES, ALL_STRETCHES = 300, 60_000, 20_000, 1500, 300_000
 
 _OTHER, _ANY = regex.compile(r"[^\p{L}\p{M}]+"), regex.compile(r"\p{L}")
 
@@ -133,8 +134,9 @@ class ByteGru:
         """Mean label probabilities of the positions of each text; texts without bytes have 0 everywhere."""
         out, size = np.zeros((len(texts), len(self.p["c"]))), np.zeros(len(texts))
         data, owner = stretches(texts)
-        for lo in range(0, data.shape[1], LANES):
-            part, own = data[:, lo : lo + LANES], owner[lo : lo + LANES]
+        lanes = max(64, 4 * LANES // max(4, len(self.p["c"])))  # what a step holds does not grow with the languages
+        for lo in range(0, data.shape[1], lanes):
+            part, own = data[:, lo : lo + lanes], owner[lo : lo + lanes]
             real = (part != 0).astype(np.float32)
             p = (self.position_probabilities(part) * real[:, None, :]).sum(0)
             np.add.at(out, own, p.T)
@@ -148,39 +150,37 @@ def fit(texts: list[str], langs: list[str]) -> tuple[list[str], ByteGru] | None:
     for k, name in enumerate(names):
         data, _ = stretches([b for t, g in zip(texts, langs) if g == name and (b := letters(t).strip())])
         if data.shape[1]:
-            at = rng.permutation(data.shape[1])[:TRAIN_STRETCHES]
+            at = rng.permutation(data.shape[1])[: min(TRAIN_STRETCHES, max(8, ALL_STRETCHES // len(names)))]
             cols.append(data[:, at])
             y += [k] * len(at)
     if not cols:
         return None
     model = ByteGru(len(names))
     if len(names) > 1:
-        model.train(np.concatenate(cols, 1), np.array(y))
+        model.train(np.concatenate(cols, 1), np.array(y), steps=260 + 20 * max(0, len(names) - 8))
     return names, model
 
 
-def training_rows(docs: DataFrame, id_col: str, text_col: str, lang_col: str, may_learn, rows: int = TRAIN_ROWS, langs: int = MAX_LANGS, chars: int = TRAIN_CHARS) -> list:
-    """At most ``rows`` texts of each of the ``langs`` most frequent languages, by the order of a hash of the id; longer texts than ``chars`` code points are left out."""
-    known = docs.select(F.col(id_col).cast("long").alias("lid"), F.col(lang_col).alias("lang")).where("lid is not null and lang is not null").where(may_learn(F.col("lid")))
-    names = [r.lang for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(langs).collect()]  # ``langs`` rows at most
-    if not names:
-        return []
-    order = F.xxhash64(F.lit("train"), "lid")
-    ids = None
-    for name in names:
-        part = known.where(F.col("lang") == name).orderBy(order, "lid").limit(rows)
-        ids = part if ids is None else ids.union(part)
-    ids = ids.groupBy("lid").agg(F.min("lang").alias("y"))
-    text = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t"), F.col(lang_col).alias("l")).where(F.length("t") <= chars)
-    got = text.join(F.broadcast(ids), (F.col("id") == F.col("lid")) & (F.col("l") == F.col("y"))).select("id", "t", "y")  # langs * rows ids at most
-    return sorted({r.id: (r.id, r.t, r.y) for r in got.orderBy(F.xxhash64("id"), "t").limit(2 * rows * len(names)).collect()}.values())
+def training_rows(docs: DataFrame, id_col: str, text_col: str, lang_col: str, may_learn, rows: int = TRAIN_ROWS, total: int = TRAIN_TOTAL, chars: int = TRAIN_CHARS) -> list:
+    """At most ``rows`` texts of each language, and with very many languages fewer of each so that all are about ``total``, by the order of a hash of the id; longer texts than ``chars`` code
+    points are left out. No language is left out for its rank.
+
+    The least hashes of each language are found in each partition before the shuffle, so a language that holds most rows sends no more than its share."""
+    known = docs.select(F.col(id_col).cast("long").alias("lid"), F.col(lang_col).cast("string").alias("lang")).where("lid is not null and lang is not null").where(may_learn(F.col("lid")))
+    names = known.select("lang").distinct().count()
+    share = min(rows, max(1, total // max(1, names)))
+    rank = F.row_number().over(W.partitionBy("lang").orderBy(F.xxhash64(F.lit("train"), "lid"), "lid"))
+    ids = known.withColumn("k", rank).where(F.col("k") <= share).groupBy("lid").agg(F.min("lang").alias("y"))
+    text = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t"), F.col(lang_col).cast("string").alias("l")).where(F.length("t") <= chars)
+    got = text.join(ids, (F.col("id") == F.col("lid")) & (F.col("l") == F.col("y"))).select("id", "t", "y")
+    return sorted({r.id: (r.id, r.t, r.y) for r in got.orderBy(F.xxhash64("id"), "t").limit(2 * max(total, names)).collect()}.values())
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", may_learn=lambda c: F.lit(True), **bounds) -> DataFrame:
     """``id, lang_pred, score`` per row of ``docs``: the likeliest learned language of the text and its mean probability.
 
-    ``und`` with score 0 stands for texts that are null or have no letter, and for all where nothing could be learned. Rows with a null language or id are not
-    learned from, but get a result. Repeated rows get equal results; other columns play no part. The network is fitted on a bounded sample of rows (see :func:`training_rows`)."""
+    ``und`` with score 0 stands for texts that are null, empty or have no letter, and for all where nothing could be learned. Rows with a null language or id are not
+    learned from, but get a result. A very long text is read in whole, stretch by stretch; of equal probabilities the language that comes first counts. Repeated rows get equal results; an empty table gives an empty result; other columns play no part. The network is fitted on a bounded sample of rows (see :func:`training_rows`)."""
     rows = training_rows(docs, id_col, text_col, lang_col, may_learn, **bounds)
     shared = docs.sparkSession.sparkContext.broadcast(fit([t for _, t, _ in rows], [y for *_, y in rows]) if rows else None)
 

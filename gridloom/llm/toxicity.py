@@ -24,8 +24,8 @@ SIZES = (3, 4, 5)
 WINDOW, STRIDE = 12, 6
 #: Bounds of the training sample: labelled rows of each class, and code points of a text that may be in it.
 TRAIN_TOXIC, TRAIN_CLEAN, TRAIN_CHARS = 1200, 1800, 20_000
-#: Bytes that are scored at once; a longer text is cut into overlapping stretches.
-CHUNK, OVERLAP = 1 << 20, 1 << 12
+#: Bytes that are scored at once; a longer text is cut between words into stretches that overlap by a window, which changes no result.
+CHUNK = 1 << 20
 
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(48, 58), *range(97, 123), *range(128, 256)]] = True
@@ -66,12 +66,13 @@ def _windows(n_words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return doc, lo, np.minimum(lo + WINDOW, base[doc] + n_words[doc])
 
 
-def _window_means(value: np.ndarray, grams: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
-    """Mean n-gram value of the words lo..hi. A word that repeats one of the three before it adds nothing but counts in
+def _window_means(value: np.ndarray, grams: np.ndarray, lo: np.ndarray, hi: np.ndarray, owner: np.ndarray | None = None) -> np.ndarray:
+    """Mean n-gram value of the words lo..hi. A word that repeats one of the three before it in its text (``owner``) adds nothing but counts in
     the mean, so that a line of one word over and over is not judged by that word alone."""
     again = np.zeros(len(value), bool)
     for k in (1, 2, 3):
-        again[k:] |= (value[k:] == value[:-k]) & (grams[k:] == grams[:-k])
+        same = (value[k:] == value[:-k]) & (grams[k:] == grams[:-k])
+        again[k:] |= same if owner is None else same & (owner[k:] == owner[:-k])
     total = np.concatenate([[0.0], np.cumsum(np.where(again, 0.0, value))])
     count = np.concatenate([[0], np.cumsum(grams)])
     return (total[hi] - total[lo]) / np.maximum(1, count[hi] - count[lo])
@@ -84,13 +85,24 @@ def window_logits(texts: list[bytes], value: np.ndarray) -> tuple[np.ndarray, np
     first, bucket, word = _grams(data)
     n_words = np.diff(np.concatenate([np.searchsorted(first, at), [len(first)]]))
     doc, lo, hi = _windows(n_words)
-    return doc, _window_means(np.bincount(word, value[bucket], len(first)), np.bincount(word, minlength=len(first)), lo, hi)
+    owner = np.repeat(np.arange(len(texts)), n_words)
+    return doc, _window_means(np.bincount(word, value[bucket], len(first)), np.bincount(word, minlength=len(first)), lo, hi, owner)
 
 
-def _stretches(data: bytes) -> list[bytes]:
+def _stretches(data: bytes) -> list[tuple[bytes, bool]]:
+    """Stretches of a text of about CHUNK bytes, and whether the first window of each only leads in and does not count.
+
+    A cut lies before a word whose number is a multiple of STRIDE. What follows it begins one stride earlier and what precedes it ends with its last window, so
+    the windows that count are those of the whole text, each once, with the words before them that they look at."""
     if len(data) <= CHUNK:
-        return [data]
-    return [data[i : i + CHUNK + OVERLAP] for i in range(0, len(data), CHUNK)]
+        return [(data, False)]
+    letter = _LETTER[np.frombuffer(data, np.uint8)]
+    first = np.flatnonzero(letter & ~np.concatenate([[False], letter[:-1]]))
+    n = len(first)
+    cuts = np.unique(np.searchsorted(first, np.arange(CHUNK, len(data), CHUNK)) // STRIDE * STRIDE)
+    cuts = [0, *cuts[(cuts > 0) & (cuts < n)].tolist(), n]
+    at = lambda k: int(first[k]) if k < n else len(data)
+    return [(data[at(max(0, lo - STRIDE)) : at(min(n, hi - STRIDE + WINDOW)) if hi < n else len(data)], lo > 0) for lo, hi in zip(cuts, cuts[1:])]
 
 
 def worst_logits(texts: list[str | None], value: np.ndarray) -> np.ndarray:
@@ -98,20 +110,26 @@ def worst_logits(texts: list[str | None], value: np.ndarray) -> np.ndarray:
     out = np.full(len(texts), -np.inf)
     batch: list[bytes] = []
     owner: list[int] = []
+    lead: list[bool] = []
     size = 0
 
     def flush():
         if batch:
             doc, v = window_logits(batch, value)
-            np.maximum.at(out, np.array(owner)[doc], v)
+            counts = np.ones(len(doc), bool)
+            counts[1:] = doc[1:] == doc[:-1]
+            counts[:1] = False
+            counts |= ~np.array(lead)[doc]
+            np.maximum.at(out, np.array(owner)[doc[counts]], v[counts])
 
     for i, t in enumerate(texts):
-        for part in _stretches(_bytes(t)):
+        for part, leads in _stretches(_bytes(t)):
             if size + len(part) > CHUNK:
                 flush()
-                batch, owner, size = [], [], 0
+                batch, owner, lead, size = [], [], [], 0
             batch.append(part)
             owner.append(i)
+            lead.append(leads)
             size += len(part)
     flush()
     return np.where(np.isneginf(out), 0.0, out)
@@ -238,8 +256,8 @@ def text_scorer(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
 def score_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", may_learn=lambda c: F.lit(True), **bounds) -> DataFrame:
     """``id, score`` per row of ``docs``: the probability of label 1, from the text alone.
 
-    Null and blank texts have the score of a window without n-grams. Without labelled rows of both classes every score is 0. Every row is kept, repeated rows and null ids too;
-    other columns play no part."""
+    Null, empty and blank texts have the score of a window without n-grams; a very long text has that of its worst window, whatever its length. Without labelled rows of both classes every score is 0.
+    Every row is kept, repeated rows and null ids (as null) too; an empty table gives an empty result; other columns play no part."""
     score = text_scorer(docs, labels, id_col, text_col, label_col, may_learn, **bounds)
     return docs.select(F.col(id_col).cast("long").alias("id"), score(F.col(text_col)).alias("score"))
 

@@ -46,10 +46,56 @@ def test_token_table(spark):
 
 
 def test_toxicity_held_out(spark):
-    got = toxicity.op1_toxicity(spark, SF).join(spark.read.parquet(f"{SF}/labels.parquet"), "doc_id").where("held_out").collect()
-    right = sum(r.predicted == r.toxic for r in got)
-    assert right >= 0.95 * len(got)
-    assert sum(r.predicted for r in got if r.toxic) >= 0.5 * sum(r.toxic for r in got)
+    """At sf0.1, where 97 of 825 held-out rows are toxic: recall 0.87, precision 0.92 when this was written."""
+    sf = "/root/testdata/sf0.1"
+    got = toxicity.op1_toxicity(spark, sf).where("held_out").join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").collect()
+    assert sum(r.predicted == r.toxic for r in got) >= 0.95 * len(got)
+    caught, named, toxic = sum(r.predicted for r in got if r.toxic), sum(r.predicted for r in got), sum(r.toxic for r in got)
+    assert caught >= 0.8 * toxic and caught >= 0.85 * named
+
+
+def plain_worst(text, value):
+    """One text, one window and one n-gram at a time."""
+    data, words, at = toxicity._bytes(text), [], None
+    is_letter = lambda b: 48 <= b <= 57 or 97 <= b <= 122 or b >= 128
+    for i, b in enumerate([*data, 32]):
+        if is_letter(b) and at is None:
+            at = i
+        if not is_letter(b) and at is not None:
+            words.append(b" " + data[at:i] + b" ")
+            at = None
+    score = []
+    for w in words:
+        total, n = 0.0, 0
+        for size in toxicity.SIZES:
+            for k in range(len(w) - size + 1):
+                h = w[k]
+                for b in w[k + 1 : k + size]:
+                    h = (h * 0x01000193 & 0xFFFFFFFF) ^ b
+                total, n = total + value[(h * 0x9E3779B1 + size & 0xFFFFFFFF) >> 14], n + 1
+        score.append((total, n))
+    best = None
+    for lo in range(0, max(1, len(words)), toxicity.STRIDE):
+        if lo and lo - toxicity.STRIDE + toxicity.WINDOW >= len(words):
+            break
+        part = range(lo, min(lo + toxicity.WINDOW, len(words)))
+        new = [k for k in part if not any(k >= d and words[k] == words[k - d] for d in (1, 2, 3))]
+        if words:
+            v = sum(score[k][0] for k in new) / max(1, sum(score[k][1] for k in part))
+            best = v if best is None else max(best, v)
+    return best or 0.0
+
+
+def test_windows_against_a_plain_loop(monkeypatch):
+    """Batches, and texts on both sides of the length at which they are cut."""
+    rng = random.Random(3)
+    value = np.random.default_rng(2).normal(size=toxicity.BUCKETS)
+    vocabulary = ["".join(rng.choice("abcdeé9") for _ in range(rng.randrange(1, 9))) for _ in range(60)]
+    texts = [" ".join(rng.choice(vocabulary) for _ in range(n)) for n in (0, 1, 2, 5, 11, 12, 13, 17, 18, 19, 24, 40, 100, 301, 700)] + [None, "!!", "a a a a a", "a", "a"]
+    want = [plain_worst(t, value) for t in texts]
+    for chunk in (60, 100, 250, 1 << 20):
+        monkeypatch.setattr(toxicity, "CHUNK", chunk)
+        assert np.allclose(toxicity.worst_logits(texts, value), want, atol=1e-9), chunk
 
 
 def test_toxicity_odd_rows(spark):
@@ -86,6 +132,45 @@ def test_gru_gradients():
             assert g[at] == pytest.approx((loss[0] - loss[1]) / 2e-3, rel=0.03, abs=2e-4), name
 
 
+def plain_pooled(model, text):
+    """One text, one stretch and one byte at a time."""
+    p = {k: v.astype(np.float64) for k, v in model.p.items()}
+    h, total, n = model.hidden, np.zeros(len(model.p["c"])), 0
+    sigmoid = lambda x: 1 / (1 + np.exp(-x))
+    for lo in range(0, len(text), language_id.STEPS):
+        part = text[lo : lo + language_id.STEPS].ljust(language_id.STEPS, b"\0")
+        state = {}
+        for d, order in (("f", range(len(part))), ("b", range(len(part) - 1, -1, -1))):
+            s, state[d] = np.zeros(h), {}
+            for i in order:
+                x, u = p[f"x{d}"][:, part[i]], p[f"u{d}"]
+                z, r = sigmoid(x[:h] + u[:h] @ s), sigmoid(x[h : 2 * h] + u[h : 2 * h] @ s)
+                s = s + z * (np.tanh(x[2 * h :] + u[2 * h :] @ (r * s)) - s)
+                state[d][i] = s
+        for i, b in enumerate(part):
+            if b:
+                e = np.exp(p["v"] @ np.concatenate([state["f"][i], state["b"][i]]) + p["c"][:, 0])
+                total, n = total + e / e.sum(), n + 1
+    return total / max(1, n)
+
+
+def test_pooled_against_a_plain_loop(monkeypatch):
+    rng = random.Random(5)
+    model = language_id.ByteGru(3, hidden=4)
+    texts = [language_id.letters("".join(rng.choice("abc éñ") for _ in range(n))).strip() for n in (0, 1, 63, 64, 65, 200, 500)]
+    for lanes in (48, 4096):  # fewer lanes than stretches, and more
+        monkeypatch.setattr(language_id, "LANES", lanes)
+        assert np.allclose(model.pooled(texts), [plain_pooled(model, t) for t in texts], atol=1e-5)
+
+
+def test_many_languages(spark):
+    """More languages than any fixed number of classes: each can be learned and predicted, in one pass."""
+    rows = [(k * 10 + j, f"{chr(97 + k % 26)}{chr(97 + k // 26)} " * 40, f"l{k:03}") for k in range(230) for j in range(3)]
+    got = language_id.training_rows(frame(spark, rows), "doc_id", "text", "lang", lambda c: F.lit(True), rows=2)
+    assert len(got) == 460 and len({y for *_, y in got}) == 230
+    assert len(language_id.training_rows(frame(spark, rows), "doc_id", "text", "lang", lambda c: F.lit(True), total=100)) == 230
+
+
 def test_language_held_out(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     got = language_id.op9_language_id(spark, SF).join(docs.select("doc_id", "lang"), "doc_id").where("held_out and lang is not null").collect()
