@@ -74,10 +74,9 @@ def draw_counts(targets: DataFrame, shard_slots: int = SHARD_SLOTS, seed: int =
     total = targets.agg(F.coalesce(F.sum("slots"), F.lit(0))).first()[0]  # one number
     shards = max(1, -(-total // shard_slots))
     edges = targets.where("slots > 0").select("s", F.sum("slots").over(W.orderBy("s")).alias("edge"))  # one row per source
-    edges = edges.agg(F.array_sort(F.collect_list(F.struct("edge", "s"))).alias("e"))
+    edges = edges.agg(F.array_sort(F.collect_list(F.struct("edge", "s"))).alias("e")).scalar()  # one value
     slots = spark.range(0, total, 1, max(1, -(-total // TASK_SLOTS)))
-    slots = slots.select(F.expr(f"id div {shard_slots}").alias("shard"), F.pmod(F.xxhash64(F.lit(seed), F.lit("draw"), "id"), F.lit(max(1, total))).alias("u"), F.lit(0).alias("one"))
-    drawn = slots.join(edges.withColumn("one", F.lit(0)), "one")  # one row of bounds, so no slot is repeated
+    slots = slots.select(F.expr(f"id div {shard_slots}").alias("shard"), F.pmod(F.xxhash64(F.lit(seed), F.lit("draw"), "id"), F.lit(max(1, total))).alias("u"), edges.alias("e"))
     # binary search: how many sources lie wholly at or below the draw
     steps = F.sequence(F.ceil(F.log2(F.size("e") + 1)).cast("int") - 1, F.lit(0), F.lit(-1))
 
@@ -86,7 +85,7 @@ def draw_counts(targets: DataFrame, shard_slots: int = SHARD_SLOTS, seed: int =
         return F.when((to <= F.size("e")) & (F.element_at("e", F.least(to, F.size("e")))["edge"] <= F.col("u")), to).otherwise(at)
 
     found = F.element_at("e", F.least(F.aggregate(steps, F.lit(0), step) + 1, F.size("e")))["s"]
-    return drawn.select(found.alias("s"), F.least("shard", F.lit(shards - 1)).alias("shard")).groupBy("s", "shard").agg(F.count("*").alias("n"))
+    return slots.select(found.alias("s"), F.least("shard", F.lit(shards - 1)).alias("shard")).groupBy("s", "shard").agg(F.count("*").alias("n"))
 
 
 def slot_ranges(counts: DataFrame, targets: DataFrame) -> DataFrame:
@@ -105,7 +104,7 @@ def slot_ranges(counts: DataFrame, targets: DataFrame) -> DataFrame:
 def draw_slots(targets: DataFrame, block: int = BLOCK_WORDS, seed: int = 7, shard_slots: int = SHARD_SLOTS) -> DataFrame:
     """Rows ``s, shard, k, pass, block, take``: an output shard shows, as slot k of source s, the first ``take`` words of a block."""
     total = targets.agg(F.coalesce(F.sum("slots"), F.lit(0))).first()[0]  # one number
-    ranges = slot_ranges(draw_counts(targets, shard_slots, seed), targets).withColumnRenamed("s", "rs")
+    ranges = slot_ranges(materialize(draw_counts(targets, shard_slots, seed), "counts"), targets).withColumnRenamed("s", "rs")
     t = targets.select("s", "source_size", "passes", "rest", "blocks", "whole")
     # a numbered repartition is not undone when the few bytes of the ranges are coalesced
     laid = ranges.join(t, F.col("rs") == F.col("s")).repartition(max(1, -(-total // TASK_SLOTS)), "s", "shard")
@@ -150,7 +149,7 @@ def _mixed(rows: DataFrame, weights, block: int, seed: int, shard_slots: int) ->
     known = targets.select(F.col("source").alias("src"), "s")
     numbered = rows.join(known, F.col("source").eqNullSafe(F.col("src"))).select("s", "row", "id", "size", "spread")
     slots = draw_slots(targets, block, seed, shard_slots).select(F.col("s").alias("s2"), F.col("block").alias("b2"), "shard", "k", "pass", "take")
-    met = pieces(pack_blocks(numbered), block).join(slots, (F.col("s") == F.col("s2")) & (F.col("block") == F.col("b2")))
+    met = pieces(pack_blocks(numbered), block).join(slots.hint("merge"), (F.col("s") == F.col("s2")) & (F.col("block") == F.col("b2")))
     shown = met.withColumn("m", F.least("n", F.col("take") - F.col("at"))).where("m > 0").select("row", "s", "pass", "shard", "k", "at", "skip", "m")
     return targets, numbered, shown
 

@@ -3,6 +3,7 @@
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -53,12 +54,24 @@ def test_pii(spark):
 
 def test_pii_added_kinds_and_redaction(spark):
     rows = [(1, "iban GB82 WEST 1234 5698 7654 32 ok", None), (2, "GB82 WEST 1234 5698 7654 33", None), (3, "call (456) 555-2186 now", None), (4, "nothing 456-555-2186", None),
-            (5, "my ssn is 123-45-6789", None), (6, "é a@b.cd, then c@d.ef", None), (7, None, None)]
+            (5, "my ssn is 123-45-6789", None), (6, "é a@b.cd, then c@d.ef", None), (7, None, None), (8, "BE68 5390 0754 7034 OK", None), (9, "123-45-6789 es mi seguridad social", None), (10, "456-555-2186, bitte anrufen: Telefon", None)]
     got = {r.id: r for r in pii.find_spans(frame(spark, rows)).collect()}
-    assert [(x.start, x.end) for x in got[1].iban] == [(5, 32)] and got[2].iban == []
-    assert len(got[3].local_phone) == 1 and got[4].local_phone == [] and len(got[5].ssn) == 1
+    assert [(x.start, x.end) for x in got[1].iban] == [(5, 32)] and got[2].iban == [] and [(x.start, x.end) for x in got[8].iban] == [(0, 19)]
+    assert len(got[3].local_phone) == 1 and got[4].local_phone == [] and len(got[5].ssn) == 1 == len(got[9].ssn) == len(got[10].local_phone)
     red = {r.doc_id: r.text for r in pii.redact(frame(spark, rows)).collect()}
-    assert red[6] == "é [EMAIL], then [EMAIL]" and red[7] is None
+    assert red[6] == "é [EMAIL], then [EMAIL]" and red[7] is None and red[8] == "[IBAN] OK" and red[5] == "my ssn is [SSN]" and red[4] == rows[3][1]
+
+
+def test_pii_of_long_lists_takes_linear_time(spark):
+    took = {}
+    for n in (1, 4):
+        texts = [("1.2.3.4 " * (n * 32_768))[:-1], "ab@cd.ef " * (n * 29_000), "4111 1111 1111 1111, " * (n * 9_000)]
+        df = frame(spark, [(i, t, None) for i, t in enumerate(texts)]).coalesce(1)
+        began = time.perf_counter()
+        got = {r.id: r for r in pii.find_spans(df).select("id", *[F.size(k).alias(k) for k in pii.BASE_KINDS], F.try_element_at("ip", F.lit(-1)).alias("x")).collect()}
+        took[n] = time.perf_counter() - began
+        assert (got[0].ip, got[1].email, got[2].card) == (n * 32_768, n * 29_000, n * 9_000) and got[0].x.end == len(texts[0])
+    assert took[4] < 60 and took[4] < 8 * took[1]
 
 
 def brute_targets(sizes):
@@ -255,3 +268,58 @@ def test_shards(spark):
     assert sharding.shard_documents(frame(spark, []), 24).count() == 0
     assert sharding.shard_documents(frame(spark, rows[:2]), 24).count() == 2
     assert {r.shard for r in sharding.shard_documents(frame(spark, rows), None, target_bytes=200_000).collect()} == set(range(math.ceil(sum(load) / 200_000)))
+
+
+def brute_shards(rows, leaves):
+    """A plain k-d tree over the same coordinates."""
+    texts = [t or "" for _, t, _ in rows]
+    size = [len(t.encode()) + 8 for t in texts]
+    log2 = lambda x: math.log(x) / math.log(2)
+    dims = [[log2(n) for n in size], [len(t.encode()) / max(1, len(t)) for t in texts], [log2(len(t) / (t.count("\n") + 1) + 1) for t in texts]]
+    u = lambda h: h % (1 << 64)
+    group = [u(spark_hash(t, "group")) >> 64 - sharding._GROUP for t in texts]
+    row = [u(spark_hash((i, 8), t)) >> 64 - sharding._ROW for (i, _, _), t in zip(rows, texts)]
+    cells = 1 << sharding._DIM
+    keys = []
+    for x in dims:
+        lo, hi = min(x), max(x)
+        keys.append([(min(int((v - lo) / (hi - lo) * cells), cells - 1) if hi > lo else 0, g, r) for v, g, r in zip(x, group, row)])
+    out = [0] * len(rows)
+
+    def cut(at, first, n):
+        if n == 1 or not at:
+            for k in at:
+                out[k] = first
+            return
+        span = [max(d[k][0] for k in at) - min(d[k][0] for k in at) for d in keys]
+        d = keys[span.index(max(span))]
+        w = sum(size[k] for k in at)
+        goal, leaf, seen = w * (n // 2) / n, w / n, 0
+        order = sorted(at, key=lambda k: d[k])
+        for k in order:  # the last row with no more than the goal before it
+            if seen > goal:
+                break
+            last, seen = k, seen + size[k]
+        mine = [k for k in order if d[k][:2] == d[last][:2]]
+        a = sum(size[k] for k in order if d[k][:2] < d[last][:2])
+        b = a + sum(size[k] for k in mine)
+        if min(goal - a, b - goal) <= sharding.GROUP_TOLERANCE * leaf or d[mine[0]] == d[mine[-1]]:
+            left = [k for k in order if d[k][:2] < d[last][:2] or (d[k][:2] == d[last][:2] and not goal - a < b - goal)]
+        else:
+            left = [k for k in order if d[k] <= d[last]]
+        rest = set(at) - set(left)
+        cut(left, first, n // 2)
+        cut(sorted(rest), first + n // 2, n - n // 2)
+
+    cut(list(range(len(rows))), 0, leaves)
+    return out
+
+
+def test_shards_against_a_plain_tree(spark):
+    rng = random.Random(8)
+    rows = [(k, "é" * rng.randrange(60) + "ab" * rng.randrange(1, 300) + "\n" * rng.randrange(9) + str(k), None) for k in range(500)]
+    rows += [(600 + k, "the same text again and again " * 9, None) for k in range(200)] + [(900, None, None), (901, "", None)]
+    for leaves in (5, 24):
+        got = {r.id: r["shard"] for r in sharding.shard_documents(frame(spark, rows), leaves).collect()}
+        assert [got[i] for i, _, _ in rows] == brute_shards(rows, leaves)
+    assert sharding.shard_documents(frame(spark, rows[:3]), 70_000).count() == 3  # any number of leaves
