@@ -172,6 +172,7 @@ def training_rows(docs: DataFrame, id_col: str, text_col: str, lang_col: str, ma
     rank = F.row_number().over(W.partitionBy("lang").orderBy(F.xxhash64(F.lit("train"), "lid"), "lid"))
     ids = known.withColumn("k", rank).where(F.col("k") <= share).groupBy("lid").agg(F.min("lang").alias("y"))
     text = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t"), F.col(lang_col).cast("string").alias("l")).where(F.length("t") <= chars)
+    ids = F.broadcast(ids) if names <= total else ids  # ``total`` ids at most
     got = text.join(ids, (F.col("id") == F.col("lid")) & (F.col("l") == F.col("y"))).select("id", "t", "y")
     return sorted({r.id: (r.id, r.t, r.y) for r in got.orderBy(F.xxhash64("id"), "t").limit(2 * max(total, names)).collect()}.values())
 
