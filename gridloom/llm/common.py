@@ -6,7 +6,10 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -62,6 +65,25 @@ def discard(spark: SparkSession, path: str) -> None:
     files.delete(at, True)
 
 
+def runs(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
+    """The groups of rows that are in order of ``keys`` (numbers), each whole, though it may lie over several batches."""
+    rest: list[pd.DataFrame] = []
+    last = None
+    for pdf in batches:
+        if not len(pdf):
+            continue
+        k = pdf[keys].to_numpy()
+        cut = [0, *(np.flatnonzero((k[1:] != k[:-1]).any(1)) + 1).tolist(), len(k)]
+        for lo, hi in zip(cut, cut[1:]):
+            if rest and last != tuple(k[lo]):
+                yield pd.concat(rest) if len(rest) > 1 else rest[0]
+                rest = []
+            last = tuple(k[lo])
+            rest.append(pdf.iloc[lo:hi])
+    if rest:
+        yield pd.concat(rest) if len(rest) > 1 else rest[0]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -1,29 +1,34 @@
 """Embedding near-duplicates over a robust-pruned flat graph.
 
-Equal vectors of a label are one class. The classes of a label are dealt to overlapping shards, those of their nearest centroids;
-each shard builds a graph whose edge lists are pruned so that an edge stays only if no shorter kept edge leads there
-as well; the lists of a class from all its shards are united. Every class then searches its shards: greedily from the shard's medoid to
-itself, and from there on over the edges as long as what they reach is within range. All links are verified by the cosine in
-double precision, a pair counts in one of its common shards only, and an audit compares a sample with brute force and widens
-the overlap if links are missing. Shards that are too large (one dense group, say) are compared exactly, in tiles.
+Equal vectors of a label are one class. The classes of a label are dealt to overlapping shards, those of their nearest centroids. Each shard builds a graph by
+insertion: batches of vectors search the graph so far from its medoid, what they meet becomes their candidates, and an edge list is pruned
+so that an edge stays only if no shorter kept edge leads there as well. The lists of a class from all its shards are united. Every class then searches its shards:
+greedily from the medoid, and from what that and its own vertex reach over the edges as long as they stay within range. The components of the
+links found are verified by exact cosines in double precision, which also count the links. An audit compares a sample with brute force and widens the overlap if
+links are missing. A shard that is too large (one dense group, say) is dealt to parts; each part has a graph, and the other parts search it.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+from pyarrow.compute import field as pc_field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import connected_components, materialize, table
+from gridloom.llm.common import connected_components, materialize, runs, table
 
-#: Classes of an average shard, of the largest one that gets a graph, and on each side of a tile of those above.
-TARGET, LARGEST, TILE = 1000, 2048, 1024
-#: Bounds of what the driver holds: labels with centroids, centroids of one label, sampled vectors of one label.
-BIG_LABELS, CENTROIDS, SAMPLE = 256, 4096, 4096
-DEGREE, RANDOM_EDGES, CANDIDATES, ALPHA, BEAM, MAX_STEPS = 20, 6, 48, 1.2, 12, 40
-#: Queries of the audit and the recall it asks for.
-AUDIT, RECALL = 128, 0.95
+#: Classes of an average shard, and of the largest part of a shard.
+TARGET, PART = 1200, 2048
+#: Bound of what the driver holds: about so many centroids over all labels, and sampled vectors for each.
+CENTROIDS, SAMPLES = 2048, 4
+#: Edges of a vertex; factor of the pruning in the two rounds of insertion; width of the search during insertion and afterwards.
+DEGREE, ALPHAS, BUILD_BEAM, BEAM = 22, (1.0, 1.2), 26, 12
+BATCH, MAX_STEPS = 512, 120
+#: Queries of the audit at first and at most, those with links that it needs, the mean recall it asks for, and the widest overlap.
+AUDIT, AUDIT_MOST, AUDIT_LINKED, RECALL, WIDEST = 256, 4096, 32, 0.97, 24
 
 
 def _unit(rows) -> np.ndarray:
@@ -35,7 +40,7 @@ def _unit(rows) -> np.ndarray:
 def k_means(x: np.ndarray, k: int, rounds: int = 5) -> np.ndarray:
     c = x[:k].copy()
     for _ in range(rounds):
-        own = (x @ c.T).argmax(1)
+        own = np.concatenate([(x[i : i + 4096] @ c.T).argmax(1) for i in range(0, len(x), 4096)])
         total = np.zeros_like(c)
         np.add.at(total, own, x)
         norm = np.sqrt((total * total).sum(1, keepdims=True))
@@ -43,87 +48,112 @@ def k_means(x: np.ndarray, k: int, rounds: int = 5) -> np.ndarray:
     return c
 
 
-def build_graph(x: np.ndarray, seed: int) -> np.ndarray:
-    """(n, DEGREE + RANDOM_EDGES) neighbours of unit vectors, -1 where there is none."""
-    n, rng = len(x), np.random.default_rng(seed)
-    f = x.astype(np.float32)
-    out = np.full((n, DEGREE + RANDOM_EDGES), -1, np.int32)
-    m = min(CANDIDATES, n - 1)
-    if m < 1:
-        return out
-    for lo in range(0, n, 256):
-        q = np.arange(lo, min(n, lo + 256))
-        s = f[q] @ f.T
-        s[np.arange(len(q)), q] = -2
-        c = np.argpartition(-s, m - 1, axis=1)[:, :m]
-        c = np.take_along_axis(c, np.argsort(-np.take_along_axis(s, c, 1), 1, kind="stable"), 1)
-        far = np.sqrt(np.maximum(0, 2 - 2 * np.take_along_axis(s, c, 1)))
-        vec, alive, at = f[c], np.ones(c.shape, bool), np.arange(len(q))
-        for k in range(min(DEGREE, m)):
-            pick = alive.argmax(1)
-            has = alive[at, pick]
-            out[q[has], k] = c[at, pick][has]
-            between = np.sqrt(np.maximum(0, 2 - 2 * np.einsum("qcd,qd->qc", vec, vec[at, pick])))
-            alive &= ALPHA * between > far
-            alive[at, pick] = False
-    out[:, DEGREE:] = rng.integers(0, n, (n, RANDOM_EDGES))
-    return out
-
-
-def search(x: np.ndarray, graph: np.ndarray, min_cos: float) -> np.ndarray:
-    """(n, n) booleans: what each vector's search finds within range. All vectors search at once."""
-    n = len(x)
-    f, at = x.astype(np.float32), np.arange(n)
-    medoid = int((x @ x.mean(0)).argmax())
-    beam = np.full((n, BEAM), medoid)
-    score = np.full((n, BEAM), -3.0, np.float32)
-    score[:, 0] = f @ f[medoid]
-    done = np.ones((n, BEAM), bool)
-    done[:, 0] = False
+def greedy(f: np.ndarray, graph: np.ndarray, start: int, q: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
+    """The best ``beam`` vertices that each query meets on a best-first walk from ``start``, and their scores; -1 where there is none."""
+    n = len(q)
+    ids, score, todo = np.full((n, beam), -1), np.full((n, beam), -4.0, np.float32), np.zeros((n, beam), bool)
+    ids[:, 0], score[:, 0], todo[:, 0] = start, q @ f[start], True
     for _ in range(MAX_STEPS):
-        rows = np.flatnonzero(~done.all(1))
+        rows = np.flatnonzero(todo.any(1))
         if not len(rows):
             break
-        k = np.where(done[rows], -4, score[rows]).argmax(1)
-        done[rows, k] = True
-        near = graph[beam[rows, k]]
-        s = np.einsum("qrd,qd->qr", f[near], f[rows])
-        s[near < 0] = -4
-        ids = np.concatenate([beam[rows], near], 1)
+        k = np.where(todo[rows], score[rows], -9).argmax(1)
+        todo[rows, k] = False
+        near, own = graph[ids[rows, k]], ids[rows]
+        s = np.matmul(f[near], q[rows][:, :, None])[..., 0]
+        s[(near < 0) | (near[:, :, None] == own[:, None, :]).any(2)] = -4  # what a beam has dropped is worse than all it holds, so it never returns
         every = np.concatenate([score[rows], s], 1)
-        old = np.concatenate([done[rows], np.zeros(near.shape, bool)], 1)
-        order = np.lexsort((~old, ids), axis=1)  # equal ids side by side, those seen first
-        sorted_ids = np.take_along_axis(ids, order, 1)
-        twice = np.zeros(ids.shape, bool)
-        twice[:, 1:] = sorted_ids[:, 1:] == sorted_ids[:, :-1]
-        e = np.where(twice, -4, np.take_along_axis(every, order, 1))
-        best = np.argpartition(-e, BEAM - 1, axis=1)[:, :BEAM]
-        beam[rows], score[rows] = np.take_along_axis(sorted_ids, best, 1), np.take_along_axis(e, best, 1)
-        done[rows] = np.take_along_axis(np.take_along_axis(old, order, 1), best, 1) | (score[rows] <= -3)
-    seen, found = np.zeros((n, n), bool), np.zeros((n, n), bool)
-    q = np.concatenate([np.repeat(at, BEAM), at])
-    v = np.concatenate([beam.ravel(), at])  # every vector is a vertex itself
-    while len(q):
-        key = np.unique(q * n + v)
+        best = np.argpartition(-every, beam - 1, axis=1)[:, :beam]
+        ids[rows] = np.take_along_axis(np.concatenate([own, near], 1), best, 1)
+        score[rows] = np.take_along_axis(every, best, 1)
+        todo[rows] = np.take_along_axis(np.concatenate([todo[rows], s > -4], 1), best, 1)
+    return np.where(score > -4, ids, -1), score
+
+
+def prune(f: np.ndarray, cand: np.ndarray, s: np.ndarray, alpha: float) -> np.ndarray:
+    """(k, DEGREE) of the candidates (k, m; -1: none) with scores s: nearest first, without those that a kept one is nearer to by ``alpha``."""
+    order = np.argsort(-s, axis=1, kind="stable")
+    cand, s = np.take_along_axis(cand, order, 1), np.take_along_axis(s, order, 1)
+    far, alive, at = np.sqrt(np.maximum(0, 2 - 2 * s)), cand >= 0, np.arange(len(cand))
+    vec, out = f[cand], np.full((len(cand), DEGREE), -1, np.int64)
+    for k in range(DEGREE):
+        pick = alive.argmax(1)
+        has = alive[at, pick]
+        if not has.any():
+            break
+        out[has, k] = cand[at, pick][has]
+        between = np.sqrt(np.maximum(0, 2 - 2 * np.matmul(vec, vec[at, pick][:, :, None])[..., 0]))
+        alive &= alpha * between > far
+        alive[at, pick] = False
+    return out
+
+
+def medoid(x: np.ndarray) -> int:
+    return int((x @ x.mean(0)).argmax())
+
+
+def build_graph(x: np.ndarray, seed: int) -> np.ndarray:
+    """(n, DEGREE) neighbours of unit vectors, -1 where there is none. Batches double until BATCH; in the second round all vectors are inserted again, so those of one batch meet."""
+    n, f, start = len(x), x.astype(np.float32), medoid(x)
+    graph = np.full((n, DEGREE), -1, np.int64)
+    order = np.random.default_rng(seed).permutation(n)
+    order = np.concatenate([[start], order[order != start]])
+    for alpha in ALPHAS:
+        done = 1 if alpha == ALPHAS[0] else 0
+        while done < n:
+            batch = order[done : done + (min(done, BATCH) if alpha == ALPHAS[0] else BATCH)]
+            cand, s = greedy(f, graph, start, f[batch], BUILD_BEAM)
+            cand = np.concatenate([cand, graph[batch]], 1)
+            old = cand[:, BUILD_BEAM:]
+            s = np.concatenate([s, np.where(old >= 0, np.matmul(f[old], f[batch][:, :, None])[..., 0], -4)], 1)
+            twice = (old[:, :, None] == cand[:, None, :BUILD_BEAM]).any(2)
+            cand[:, BUILD_BEAM:][twice] = -1
+            cand[cand == batch[:, None]] = -1
+            graph[batch] = prune(f, cand, np.where(cand >= 0, s, -4), alpha)
+            # the way back: a vertex that gains edges keeps the best of its own and the new ones
+            to, frm = graph[batch].ravel(), np.repeat(batch, DEGREE)
+            frm, to = frm[to >= 0], to[to >= 0]
+            score = np.einsum("kd,kd->k", f[frm], f[to])
+            by = np.lexsort((-score, to))
+            to, frm = to[by], frm[by]
+            v, first = np.unique(to, return_index=True)
+            rank = np.arange(len(to)) - np.repeat(first, np.diff(np.concatenate([first, [len(to)]])))
+            into = np.full((len(v), DEGREE), -1, np.int64)
+            few = rank < DEGREE
+            into[np.searchsorted(v, to[few]), rank[few]] = frm[few]
+            into[(into[:, :, None] == graph[v][:, None, :]).any(2)] = -1
+            for i in range(0, len(v), BATCH):
+                w = v[i : i + BATCH]
+                both = np.concatenate([graph[w], into[i : i + BATCH]], 1)
+                graph[w] = prune(f, both, np.where(both >= 0, np.matmul(f[both], f[w][:, :, None])[..., 0], -4), alpha)
+            done += len(batch)
+    return graph
+
+
+def search(x: np.ndarray, graph: np.ndarray, y: np.ndarray, min_cos: float, own: bool) -> np.ndarray:
+    """(queries y, vertices x) booleans: what each query finds within range. ``own``: the queries are the vertices, and start from themselves too."""
+    n, f, g, start = len(x), x.astype(np.float32), y.astype(np.float32), medoid(x)
+    beams = np.concatenate([greedy(f, graph, start, g[i : i + BATCH], BEAM)[0] for i in range(0, len(y), BATCH)])
+    seen, found = np.zeros((len(y), n), bool), np.zeros((len(y), n), bool)
+    q, v = np.repeat(np.arange(len(y)), BEAM), beams.ravel()
+    if own:
+        q, v = np.concatenate([q, np.arange(n)]), np.concatenate([v, np.arange(n)])
+    key = np.unique(q[v >= 0] * n + v[v >= 0])
+    while len(key):
         q, v = key // n, key % n
-        new = ~seen[q, v]
-        q, v = q[new], v[new]
         seen[q, v] = True
-        hit = np.concatenate([np.einsum("kd,kd->k", x[q[i : i + 65536]], x[v[i : i + 65536]]) >= min_cos for i in range(0, len(q), 65536)]) if len(q) else np.zeros(0, bool)
-        hit |= q == v
+        hit = np.concatenate([np.einsum("kd,kd->k", y[q[i : i + 65536]], x[v[i : i + 65536]]) >= min_cos for i in range(0, len(q), 65536)])
+        if own:
+            hit |= q == v
         q, v = q[hit], v[hit]
         found[q, v] = True
-        parts = []
-        for i in range(0, len(q), 200_000):
-            w, o = graph[v[i : i + 200_000]].ravel(), np.repeat(q[i : i + 200_000], graph.shape[1])
+        parts = [np.zeros(0, np.int64)]
+        for i in range(0, len(q), 100_000):
+            w, o = graph[v[i : i + 100_000]].ravel(), np.repeat(q[i : i + 100_000], graph.shape[1])
             ok = w >= 0
-            w, o = w[ok], o[ok]
-            ok = ~seen[o, w]
+            ok[ok] = ~seen[o[ok], w[ok]]
             parts.append(np.unique(o[ok] * n + w[ok]))
-        key = np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.int64)
-        q, v = key // n, key % n
-    found |= found.T
-    found[at, at] = False
+        key = np.unique(np.concatenate(parts))
     return found
 
 
@@ -141,55 +171,48 @@ def _least_linked(found: np.ndarray) -> np.ndarray:
         lab = new
 
 
-def _counted(shards: list[np.ndarray], here: int) -> np.ndarray:
-    """(n, n): the pair's least common shard is this one."""
-    n, w = len(shards), max(map(len, shards))
-    s = np.full((n, w), -1, np.int64)
-    for i, x in enumerate(shards):
-        s[i, : len(x)] = x
-    lower = np.where(s < here, s, -1)
-    clash = np.zeros((n, n), bool)
-    for a in range(w):
-        for b in range(w):
-            clash |= (lower[:, a][:, None] == lower[:, b]) & (lower[:, a] >= 0)[:, None]
-    return ~clash
-
-
-_OUT = "cid long, other long, n long"
-
-
-def _report(cid: np.ndarray, found: np.ndarray, counted: np.ndarray, size: np.ndarray) -> pd.DataFrame:
-    n = np.concatenate([np.where(found[i : i + 256] & counted[i : i + 256], size, 0).sum(1) for i in range(0, len(cid), 256)])
-    least = _least_linked(found)
-    keep = found.any(1)
-    return pd.DataFrame({"cid": cid[keep], "other": cid[least[keep]], "n": n[keep]})
-
-
 def _build(pdf: pd.DataFrame) -> pd.DataFrame:
     pdf = pdf.sort_values("cid")
-    x, cid = _unit(pdf.vec), pdf.cid.to_numpy()
-    g = build_graph(x, int(pdf.shard.iloc[0]))
+    cid = pdf.cid.to_numpy()
+    g = build_graph(_unit(pdf.vec), int(pdf.shard.iloc[0]) + 1)
     return pd.DataFrame({"cid": cid, "near": [cid[r[r >= 0]] for r in g]})
 
 
-def _searcher(min_cos: float):
+def _graph_of(cid: np.ndarray, near: list) -> np.ndarray:
+    """The united edge lists of sorted classes, as far as they lead to each other."""
+    size = np.array([len(v) for v in near])
+    flat = np.concatenate(near).astype(np.int64)
+    at = np.minimum(np.searchsorted(cid, flat), len(cid) - 1)
+    graph = np.full((len(cid), max(1, size.max())), -1, np.int64)
+    graph[np.repeat(np.arange(len(cid)), size), np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size)] = np.where(cid[at] == flat, at, -1)
+    return graph
+
+
+def _searcher(min_cos: float, exact: bool):
+    """The links (class, least class that it reaches) of a part, or between two parts of a shard."""
+
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("cid")
-        x, cid, size = _unit(pdf.vec), pdf.cid.to_numpy(), pdf["size"].to_numpy()
-        counted = _counted(list(pdf.shards), int(pdf.shard.iloc[0]))
-        if pdf.large.iloc[0]:  # a tile: both sides against each other
-            i, j = int(pdf.i.iloc[0]), int(pdf.j.iloc[0])
-            found = x @ x.T >= min_cos
-            side = pdf.part.to_numpy()
-            if i != j:
-                found &= side[:, None] != side[None, :]
-            np.fill_diagonal(found, False)
-            return _report(cid, found, counted, size)
-        near = [np.searchsorted(cid, [y for y in v if y in own]) for own in [set(cid.tolist())] for v in pdf.near]
-        graph = np.full((len(cid), max(1, max(map(len, near)))), -1, np.int32)
-        for k, v in enumerate(near):
-            graph[k, : len(v)] = v
-        return _report(cid, search(x, graph, min_cos), counted, size)
+        sides = [p.sort_values("cid") for _, p in pdf.groupby("part")]
+        x, cid = [_unit(p.vec) for p in sides], [p.cid.to_numpy() for p in sides]
+        if exact:
+            found = [x[0] @ x[-1].T >= min_cos]
+        else:
+            graph = [_graph_of(c, list(p.near)) for c, p in zip(cid, sides)]
+            found = [search(x[0], graph[0], x[-1], min_cos, len(x) == 1).T]
+            if len(x) > 1:
+                found.append(search(x[1], graph[1], x[0], min_cos, False))
+        n, ids = len(cid[0]), np.concatenate(cid)
+        linked = np.zeros((len(ids), len(ids)), bool)
+        for m in found:
+            if len(x) == 1:
+                linked |= m | m.T
+            else:
+                linked[:n, n:] |= m
+        linked |= linked.T
+        np.fill_diagonal(linked, False)
+        low = _least_linked(linked)
+        at = np.flatnonzero(low != np.arange(len(ids)))
+        return pd.DataFrame({"a": ids[at], "b": ids[low[at]]})
     return run
 
 
@@ -203,95 +226,127 @@ def _vector_classes(vectors: DataFrame, id_col: str, vec_col: str, label_col: st
     return v, materialize(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
 
 
-def _centroids(classes: DataFrame) -> dict:
-    """Centroids of the labels with more classes than fit one shard; bounded by BIG_LABELS, CENTROIDS and about SAMPLE vectors each."""
-    by = classes.groupBy("label", F.size("vec").alias("dim")).count().where(F.col("count") > TARGET).orderBy(F.desc("count")).limit(BIG_LABELS).collect()
+def _centroids(classes: DataFrame, overlap: int) -> dict:
+    """Centroids of each label with more classes than fit one shard: about CENTROIDS of all labels, from SAMPLES vectors for each. Labels beyond that bound stay one shard, dealt to parts."""
+    count = classes.groupBy("label", F.size("vec").alias("dim")).count().where(F.col("count") > TARGET)
+    by = count.orderBy(F.desc("count"), "label", "dim").limit(CENTROIDS // 2).collect()
+    want = {(r.label, r.dim): -(-overlap * r["count"] // TARGET) for r in by}
+    scale = min(1.0, CENTROIDS / max(1, sum(want.values())))
+    want = {k: max(2, int(n * scale)) for k, n in want.items()}
+    if not by:
+        return {}
+    rates = classes.sparkSession.createDataFrame([(r.label, r.dim, min(1.0, SAMPLES * want[r.label, r.dim] / r["count"])) for r in by], "l2 string, dim int, rate double")
+    uniform = F.shiftrightunsigned(F.xxhash64(F.lit("sample"), "cid"), 11) / F.lit(float(1 << 53))
+    some = classes.join(rates, (F.col("label") == F.col("l2")) & (F.size("vec") == F.col("dim"))).where(uniform < F.col("rate")).select("label", "dim", "cid", "vec").toArrow()
     out = {}
-    for r in by:
-        share = min(1.0, SAMPLE / r["count"])
-        some = classes.where((F.col("label") == r.label) & (F.size("vec") == r.dim)).where(F.pmod(F.xxhash64(F.lit("sample"), "cid"), F.lit(1_000_000)) < int(share * 1_000_000) + 1)
-        x = [v.vec for v in some.select("cid", "vec").orderBy("cid").limit(2 * SAMPLE).collect()]
-        if x:
-            out[r.label, r.dim] = (_unit(x), r["count"])
+    for (label, dim), k in want.items():
+        mine = some.filter((pc_field("label") == label) & (pc_field("dim") == dim)).sort_by("cid")
+        if len(mine):
+            x = _unit(mine.column("vec").combine_chunks().flatten().to_numpy().reshape(-1, dim))
+            out[label, dim] = k_means(x, min(k, len(x))).astype(np.float32)
     return out
 
 
-def _links(classes: DataFrame, sample: dict, overlap: int, min_cos: float, exact: bool = False) -> DataFrame:
-    """Links of each class in its shards; ``exact``: every shard in tiles, whatever its size."""
-    centers = {key: k_means(x, int(min(CENTROIDS, len(x), max(1, -(-overlap * n // TARGET))))).astype(np.float32) for key, (x, n) in sample.items()}
-    shared = classes.sparkSession.sparkContext.broadcast(centers)
+def _links(classes: DataFrame, overlap: int, min_cos: float, exact: bool = False) -> DataFrame:
+    """Links of classes found in their shards; ``exact``: all pairs of a label, in tiles."""
+    shared = classes.sparkSession.sparkContext.broadcast({} if exact else _centroids(classes, overlap))
 
-    def assign(batches):
+    def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             shards = [[0]] * len(pdf)
-            groups = pdf.groupby(["label", pdf.vec.map(len)]).indices
-            for key, at in groups.items():
+            for key, at in pdf.groupby(["label", pdf.vec.map(len)]).indices.items():
                 c = shared.value.get(key)
                 if c is not None:
                     s = -(_unit(pdf.vec.iloc[at]).astype(np.float32) @ c.T)
-                    best = np.argpartition(s, min(overlap, len(c)) - 1, axis=1)[:, :overlap]
-                    for i, b in zip(at, best):
+                    for i, b in zip(at, np.argpartition(s, min(overlap, len(c)) - 1, axis=1)[:, :overlap]):
                         shards[i] = sorted(b.tolist())
             yield pdf.assign(shards=shards)
 
-    dealt = classes.select("cid", "label", "vec", "size").mapInPandas(assign, "cid long, label string, vec array<double>, size long, shards array<int>")
+    dealt = classes.select("cid", "label", "vec").mapInPandas(assign, "cid long, label string, vec array<double>, shards array<int>")
     dealt = materialize(dealt.withColumn("dim", F.size("vec")), "dealt")
-    each = dealt.withColumn("shard", F.explode("shards"))
     key = ["label", "dim", "shard"]
-    count = each.groupBy(*key).agg(F.count("*").alias("rows")).withColumn("parts", F.when(F.col("rows") > (0 if exact else LARGEST), F.ceil(F.col("rows") / TILE)).otherwise(F.lit(0)).cast("int")).drop("rows")
-    each = each.join(count, key)
-    small = each.where("parts = 0")
-    near = small.select("cid", "vec", *key).groupBy(*key).applyInPandas(_build, "cid long, near array<long>")
-    united = near.groupBy("cid").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))
-    small = small.join(united, "cid").withColumns({"part": F.lit(0), "i": F.lit(0), "j": F.lit(0)})
-    large = each.where("parts > 0").withColumn("part", F.pmod(F.xxhash64("cid"), F.col("parts")).cast("int"))
-    large = large.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("i", F.least("part", "o")).withColumn("j", F.greatest("part", "o"))
-    cols = ["cid", "vec", "size", "shards", *key, "part", "i", "j"]
-    both = small.select(*cols, "near", F.lit(False).alias("large")).union(large.select(*cols, F.lit(None).cast("array<long>"), F.lit(True)))
-    return materialize(both.groupBy(*key, "i", "j").applyInPandas(_searcher(min_cos), _OUT), "links")
-
-
-def _recall(classes: DataFrame, links: DataFrame, min_cos: float) -> float:
-    """Links found over links there are, for AUDIT classes against all rows."""
-    q = classes.orderBy(F.xxhash64(F.lit("audit"), "cid")).limit(AUDIT).select("cid", "label", "vec").collect()
-    by: dict = {}
-    for r in q:
-        by.setdefault((r.label, len(r.vec)), []).append(r)
-    sets = {k: (np.array([r.cid for r in v]), _unit([r.vec for r in v])) for k, v in by.items()}
-
-    def brute(batches):
-        for pdf in batches:
-            for key, at in pdf.groupby(["label", pdf.vec.map(len)]).indices.items():
-                if key in sets:
-                    ids, x = sets[key]
-                    hit = (_unit(pdf.vec.iloc[at]) @ x.T >= min_cos) & (pdf.cid.to_numpy()[at][:, None] != ids)
-                    n = (hit * pdf["size"].to_numpy()[at][:, None]).sum(0)
-                    yield pd.DataFrame({"cid": ids[n > 0], "n": n[n > 0]})
-
-    true = classes.select("cid", "label", "vec", "size").mapInPandas(brute, "cid long, n long").agg(F.sum("n")).first()[0] or 0
-    got = links.where(F.col("cid").isin([r.cid for r in q])).agg(F.sum("n")).first()[0] or 0
-    return 1.0 if not true else got / true
+    count = dealt.select("label", "dim", F.explode("shards").alias("shard")).groupBy(*key).agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"))
+    each = dealt.withColumn("shard", F.explode("shards")).drop("shards").join(count, key).withColumn("part", F.pmod(F.xxhash64("cid"), F.col("parts")).cast("int"))
+    if exact:
+        each = each.withColumn("near", F.lit(None).cast("array<long>"))
+    else:
+        near = each.select("cid", "vec", *key, "part").groupBy(*key, "part").applyInPandas(_build, "cid long, near array<long>")
+        each = each.join(near.groupBy("cid").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near")), "cid")  # one list per shard of a class
+    met = each.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("i", F.least("part", "o")).withColumn("j", F.greatest("part", "o"))
+    return materialize(met.select("cid", "vec", "near", *key, "part", "i", "j").groupBy(*key, "i", "j").applyInPandas(_searcher(min_cos, exact), "a long, b long").distinct(), "links")
+
+
+def _verified(classes: DataFrame, links: DataFrame, min_cos: float) -> DataFrame:
+    """``cid, component, n``: the classes of components of two or more, and their exact numbers of linked rows of other classes."""
+    comp = connected_components(links).withColumnRenamed("node", "cid")
+    size = comp.groupBy("component").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"))
+    rows = classes.select("cid", "vec", "size").join(comp, "cid").join(size, "component").withColumn("part", F.pmod(F.xxhash64("cid"), F.col("parts")).cast("int"))
+    rows = rows.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("i", F.least("part", "o")).withColumn("j", F.greatest("part", "o"))
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in runs(batches, ["component", "i", "j"]):
+            x, size, part = _unit(pdf.vec), pdf["size"].to_numpy(), pdf.part.to_numpy()
+            n = np.empty(len(pdf), np.int64)
+            for k in range(0, len(pdf), 512):
+                hit = x[k : k + 512] @ x.T >= min_cos
+                hit[np.arange(len(hit)), np.arange(k, k + len(hit))] = False
+                if pdf.i.iloc[0] != pdf.j.iloc[0]:
+                    hit &= part[k : k + 512, None] != part
+                n[k : k + 512] = hit @ size
+            yield pd.DataFrame({"cid": pdf.cid, "component": pdf.component, "n": n})
+
+    dealt = rows.select("component", "i", "j", "part", "cid", "vec", "size").repartition("component", "i", "j").sortWithinPartitions("component", "i", "j")
+    counted = dealt.mapInPandas(count, "cid long, component long, n long").groupBy("cid", "component").agg(F.sum("n").alias("n"))
+    return materialize(counted, "verified")
+
+
+def audit(classes: DataFrame, verified: DataFrame, min_cos: float) -> tuple[float, int]:
+    """Mean share of its links that a class with links has been given, over a sample against brute force, and the number of such classes. The sample grows until it holds AUDIT_LINKED of them."""
+    size = AUDIT
+    while True:
+        q = classes.orderBy(F.xxhash64(F.lit("audit"), "cid")).limit(size).select("cid", "label", "vec").collect()
+        by: dict = {}
+        for r in q:
+            by.setdefault((r.label, len(r.vec)), []).append(r)
+        shared = classes.sparkSession.sparkContext.broadcast({k: (np.array([r.cid for r in v]), _unit([r.vec for r in v])) for k, v in by.items()})
+
+        def brute(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                for key, at in pdf.groupby(["label", pdf.vec.map(len)]).indices.items():
+                    if key in shared.value:
+                        ids, x = shared.value[key]
+                        hit = (_unit(pdf.vec.iloc[at]) @ x.T >= min_cos) & (pdf.cid.to_numpy()[at][:, None] != ids)
+                        n = pdf["size"].to_numpy()[at] @ hit
+                        yield pd.DataFrame({"cid": ids[n > 0], "n": n[n > 0]})
+
+        true = {r.cid: r.n for r in classes.select("cid", "label", "vec", "size").mapInPandas(brute, "cid long, n long").groupBy("cid").agg(F.sum("n").alias("n")).collect()}
+        if len(true) >= AUDIT_LINKED or len(q) < size or size >= AUDIT_MOST:
+            break
+        size *= 4
+    found = {r.cid: r.n for r in verified.where(F.col("cid").isin(list(true))).collect()} if true else {}
+    return (sum(found.get(c, 0) / n for c, n in true.items()) / len(true) if true else 1.0), len(true)
 
 
-def near_duplicate_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label", min_cos: float = 0.98, overlap: int = 3, audit: bool = True) -> DataFrame:
+def near_duplicate_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label", min_cos: float = 0.98, overlap: int = 3, report: dict | None = None) -> DataFrame:
     """``id, n_links, component_id, kept`` per row of ``vectors``.
 
-    Rows link if their labels are equal and not null, their vectors have one length and a cosine of ``min_cos`` or more. Vectors that are null, zero, or hold null or non-finite numbers link with
+    Rows link if their labels are equal and not null, their vectors have one length and a cosine of ``min_cos`` or more. Vectors that are null, empty, zero, or hold null or non-finite numbers link with
     nothing. Repeated rows are rows of their own and link. Null ids count as links of others; component_id is the least id that is not null. Other columns play no part; an empty table gives an
-    empty result. With ``audit`` the overlap doubles until the recall of a sample reaches RECALL; if it does not at 24, all pairs of a label are compared."""
+    empty result. The overlap doubles until the audited recall of the graph reaches RECALL; if it does not at WIDEST, all pairs of a label are compared. ``report`` is given the ``recall`` of the last
+    audit, the classes with links that it saw (``audited``) and the ``overlap`` (None: all pairs)."""
     rows, classes = _vector_classes(vectors, id_col, vec_col, label_col)
-    sample = _centroids(classes)
-    links = _links(classes, sample, overlap, min_cos)
-    while audit and _recall(classes, links, min_cos) < RECALL:
-        if overlap >= 24:
-            links = _links(classes, {}, 1, min_cos, exact=True)
+    while True:
+        verified = _verified(classes, _links(classes, overlap, min_cos), min_cos)
+        recall, seen = audit(classes, verified, min_cos)
+        if recall >= RECALL or overlap >= WIDEST:
             break
         overlap *= 2
-        links = _links(classes, sample, overlap, min_cos)
-    total = links.groupBy("cid").agg(F.sum("n").alias("n"))
-    comp = connected_components(links.select(F.col("cid").alias("a"), F.col("other").alias("b")))
-    c = classes.join(comp.select(F.col("node").alias("cid"), "component"), "cid", "left").join(total, "cid", "left")
-    c = materialize(c.select("cid", "label", "h", "vec", "size", "low", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("component", "cid").alias("component")), "joined")
+    if recall < RECALL:
+        verified, recall, overlap = _verified(classes, _links(classes, 1, min_cos, exact=True), min_cos), 1.0, None
+    if report is not None:
+        report |= {"recall": recall, "audited": seen, "overlap": overlap}
+    c = classes.join(verified, "cid", "left")
+    c = materialize(c.select("label", "h", "vec", "size", "low", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("component", "cid").alias("component")), "joined")
     low = c.groupBy("component").agg(F.min("low").alias("component_id"))
     c = c.join(low, "component").select(F.col("label").alias("l2"), F.col("h").alias("h2"), F.col("vec").alias("v2"), (F.col("size") - 1 + F.col("n")).alias("links"), "component_id")
     linked = rows.where("ok").join(c, (F.col("label") == F.col("l2")) & (F.col("h") == F.col("h2")) & (F.col("vec") == F.col("v2"))).select("id", F.col("links").alias("n_links"), "component_id")

@@ -15,6 +15,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gridloom.llm.common import runs
+
 #: The sample that says which shingles are frequent, and how many of them are held. They set an order only.
 SAMPLE, FREQUENT = 3000, 200_000
 
@@ -104,32 +106,12 @@ def linked(sets: list[np.ndarray], fps: np.ndarray, threshold: float, radius: in
 def exact_linker(threshold: float, radius: int):
     """Rows (k, i, j, part, name, fp, data) in order of their group to links ``a, b`` of names."""
 
-    def links(rows: list[pd.DataFrame]) -> tuple[np.ndarray, np.ndarray]:
-        pdf = pd.concat(rows) if len(rows) > 1 else rows[0]
-        sets = [np.frombuffer(x, np.uint64) for x in pdf.data]
-        fps = np.frombuffer(b"".join(pdf.fp), np.uint64).reshape(len(pdf), -1)
-        c = linked(sets, fps, threshold, radius, pdf.part.to_numpy() if pdf.i.iloc[0] != pdf.j.iloc[0] else None)
-        at, name = np.flatnonzero(c != np.arange(len(c))), pdf.name.to_numpy()
-        return name[at], name[c[at]]
-
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rest: list[pd.DataFrame] = []  # rows of the last group, which the next batch may go on with
-        key = None
-        for pdf in batches:
-            if not len(pdf):
-                continue
-            k = pdf[["k", "i", "j"]].to_numpy()
-            cut = [0, *(np.flatnonzero((k[1:] != k[:-1]).any(1)) + 1).tolist(), len(k)]
-            found = []
-            for lo, hi in zip(cut, cut[1:]):
-                if rest and key != tuple(k[lo]):
-                    found.append(links(rest))
-                    rest = []
-                key = tuple(k[lo])
-                rest.append(pdf.iloc[lo:hi])
-            if found:
-                yield pd.DataFrame({"a": np.concatenate([a for a, _ in found]), "b": np.concatenate([b for _, b in found])})
-        if rest:
-            a, b = links(rest)
-            yield pd.DataFrame({"a": a, "b": b})
+        for pdf in runs(batches, ["k", "i", "j"]):
+            sets = [np.frombuffer(x, np.uint64) for x in pdf.data]
+            fps = np.frombuffer(b"".join(pdf.fp), np.uint64).reshape(len(pdf), -1)
+            c = linked(sets, fps, threshold, radius, pdf.part.to_numpy() if pdf.i.iloc[0] != pdf.j.iloc[0] else None)
+            at, name = np.flatnonzero(c != np.arange(len(c))), pdf.name.to_numpy()
+            if len(at):
+                yield pd.DataFrame({"a": name[at], "b": name[c[at]]})
     return run

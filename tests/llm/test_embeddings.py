@@ -62,33 +62,54 @@ def test_graph_search_recall():
     rng = np.random.default_rng(1)
     x = np.array([v for _, v, _ in planted(rng, 1500, 64, 0, 0)])
     x /= np.linalg.norm(x, axis=1, keepdims=True)
-    found = ed.search(x, ed.build_graph(x, 1), 0.98)
+    g = ed.build_graph(x, 1)
+    f = x.astype(np.float32)
+    assert (ed.greedy(f, g, ed.medoid(x), f, ed.BEAM)[0] == np.arange(len(x))[:, None]).any(1).mean() >= 0.99
+    found = ed.search(x, g, x, 0.98, True)
     true = x @ x.T >= 0.98
-    np.fill_diagonal(true, False)
-    assert not (found & ~true).any() and found.sum() >= 0.98 * true.sum() > 0
+    assert not (found & ~true).any() and (found & true).sum() >= 0.98 * true.sum() > len(x)
+    for n in (1, 2, 3, 30):
+        assert ed.search(x[:n], ed.build_graph(x[:n], 1), x[:n], 0.98, True).diagonal().all()
 
 
-@pytest.mark.parametrize("tiles", [False, True])
-def test_overlapping_shards_and_tiles(spark, monkeypatch, tiles):
+@pytest.mark.parametrize("parts", [False, True])
+def test_overlapping_shards_and_parts(spark, monkeypatch, parts):
+    """A dense group lies over several parts of its shard, which search each other."""
     rng = np.random.default_rng(7)
     rows = planted(rng, 2500, 32, 0, 0)
     dense = rng.normal(size=32)
     rows += [(10_000 + k, (dense + rng.normal(size=32) * 0.05).tolist(), 0) for k in range(300)]
     monkeypatch.setattr(ed, "TARGET", 400)
-    if tiles:
-        monkeypatch.setattr(ed, "LARGEST", 300)
-        monkeypatch.setattr(ed, "TILE", 90)
-    want, got = {r[0]: r for r in brute(rows)}, {r.id: r for r in ed.near_duplicate_vectors(frame(spark, rows)).collect()}
-    assert len(got) == len(rows)
-    assert sum(r.n_links for r in got.values()) >= 0.95 * sum(r[1] for r in want.values())
+    if parts:
+        monkeypatch.setattr(ed, "PART", 200)
+    report = {}
+    want, got = {r[0]: r for r in brute(rows)}, {r.id: r for r in ed.near_duplicate_vectors(frame(spark, rows), report=report).collect()}
+    assert len(got) == len(rows) and report["recall"] >= ed.RECALL and report["audited"] >= ed.AUDIT_LINKED
+    assert sum(r.n_links for r in got.values()) >= 0.97 * sum(r[1] for r in want.values())
     assert all(got[i].n_links <= want[i][1] for i in want)
     assert sum(got[i].component_id == want[i][2] for i in want) >= 0.98 * len(rows)
 
 
+def test_one_large_label(spark):
+    """20,000 vectors of one label, in many shards: recall measured over all links, by query."""
+    rng = np.random.default_rng(11)
+    rows = planted(rng, 20_000, 32, 0, 0)
+    report = {}
+    got = {r.id: r.n_links for r in ed.near_duplicate_vectors(frame(spark, rows), report=report).select("id", "n_links").collect()}
+    x = np.array([v for _, v, _ in rows])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    true = np.concatenate([(x[i : i + 1000] @ x.T >= 0.98).sum(1) - 1 for i in range(0, len(x), 1000)])
+    found = np.array([got[i] for i, *_ in rows])
+    assert (found <= true).all() and (found[true > 0] / true[true > 0]).mean() >= 0.95
+    print(f"recall {(found[true > 0] / true[true > 0]).mean():.4f}, {report}")
+    assert report["recall"] >= 0.95 and report["overlap"] is not None
+
+
 def test_low_recall_is_never_returned(spark, monkeypatch):
     """If the widest overlap still misses links, all pairs are compared."""
     rows = planted(np.random.default_rng(4), 150, 16, 0, 0)
     real = ed._links
     monkeypatch.setattr(ed, "_links", lambda *a, **k: real(*a, **k) if k.get("exact") else real(*a, **k).where("false"))
-    got = ed.near_duplicate_vectors(frame(spark, rows), overlap=24).collect()
-    assert sorted(map(str, (tuple(r) for r in got))) == sorted(map(str, brute(rows)))
+    report = {}
+    got = ed.near_duplicate_vectors(frame(spark, rows), overlap=24, report=report).collect()
+    assert sorted(map(str, (tuple(r) for r in got))) == sorted(map(str, brute(rows))) and report["overlap"] is None
