@@ -1,14 +1,15 @@
-"""Exact token counts of prefixes by dynamic programming.
+"""Exact token counts of all prefixes by dynamic programming.
 
-A text is cut into pieces as its tokenizer does; the count of a prefix is the sum over its whole pieces and the count of the part
-of the last one. Inside a piece, a second table holds for each prefix the number of its tokens and its last token: the last token of
-an encoding is the one suffix that is a token and forms a valid pair with the last token of the rest, so a
-prefix costs a few look-ups and nothing is encoded again. Counts of whole pieces are cached per worker.
+A text is cut into pieces as its tokenizer does. Inside a piece, a table holds for each prefix the number of its tokens and its last token: the last token of
+an encoding is the one suffix that is a token and forms a valid pair with the last token of the rest, so a prefix costs a few look-ups and nothing is
+encoded again. Running sums over the pieces give one table with the exact count of every prefix of the original text, in code points; the count of the text is
+its last entry, and the longest prefix within a budget is read off it. Tables of pieces are cached per worker. Long texts are read in stretches.
 """
 
 from __future__ import annotations
 
 import json
+import os
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
@@ -21,8 +22,10 @@ from pyspark.sql import functions as F
 
 from gridloom.llm.common import table
 
-#: Entries of a worker's caches; a full cache is emptied, so its size is bounded and results do not change.
-CACHE = 1_000_000
+#: Entries of a worker's caches and code points of a cached piece; a full cache is emptied, so its size is bounded and results do not change.
+CACHE, CACHED_CHARS = 400_000, 64
+#: Code points of a stretch of a text, of a shorter one near the budget, and of a word whose inner prefixes are counted one by one (see :meth:`PrefixCounter._odd_word`).
+STRETCH, NEAR, ODD_WORD = 1 << 13, 256, 512
 
 
 def _byte_symbols() -> list[str]:
@@ -32,6 +35,22 @@ def _byte_symbols() -> list[str]:
     return [chr(b) if b in shown else chr(next(rest)) for b in range(256)]
 
 
+class _Made(dict):
+    """What ``make`` gives for a piece, made when first asked for."""
+
+    def __init__(self, make):
+        super().__init__()
+        self.make = make
+
+    def __missing__(self, piece: str):
+        if len(self) >= CACHE:
+            self.clear()
+        found = self.make(piece)
+        if len(piece) <= CACHED_CHARS:
+            self[piece] = found
+        return found
+
+
 class PrefixCounter:
     """Token counts of a BPE tokenizer file whose pieces end in a word-end symbol."""
 
@@ -47,14 +66,18 @@ class PrefixCounter:
         self.piece = regex.compile(steps[0]["pattern"]["Regex"])
         special = [t["content"] for t in spec["added_tokens"]]
         self.special = regex.compile("|".join(map(regex.escape, special))) if special else None
+        self.mark = os.path.commonprefix(special)  # no special token where this is not found
+        self.tail = regex.compile(r"[^\s\p{L}\p{N}]*\Z")
         self.symbols = dict(enumerate(_byte_symbols()))
         self._pair: dict[int, bool] = {}
-        self._count: dict[str, int] = {}
+        self._seen: dict[str, tuple[int, str]] = {}
+        self.counts, self.tables = _Made(self.piece_count), _Made(self.inner_counts)
         made = {}
         for (l, r), n in self.rank.items():
             made.setdefault(l + r, (l, r, n))
         self._made = made
         self._own: dict[str, bool] = {}
+        self._edges: tuple[dict, dict] = ({}, {})
 
     def normal(self, text: str) -> str:
         """NFC, then lower case character by character (a final sigma has no form of its own)."""
@@ -80,12 +103,15 @@ class PrefixCounter:
 
     def _edge(self, token: str, side: int) -> list[tuple[str, int]]:
         """The symbols that stand at one edge of a token while it is merged, each with the rank of the merge that takes it."""
-        out, taken = [(token, 1 << 60)], 0
-        while token in self._made:
-            taken = self._made[token][2]
-            token = self._made[token][side]
-            out.append((token, taken))
-        return out
+        known = self._edges[side].get(token)
+        if known is None:
+            known, taken, t = [(token, 1 << 60)], 0, token
+            while t in self._made:
+                taken = self._made[t][2]
+                t = self._made[t][side]
+                known.append((t, taken))
+            self._edges[side][token] = known
+        return known
 
     def _valid(self, a: str, b: str) -> bool:
         """Tokens a, b (a may be empty) stay two tokens side by side: no merge joins symbols at their common edge before both are taken
@@ -104,50 +130,56 @@ class PrefixCounter:
             self._pair[key] = known
         return known
 
-    def _table(self, s: str) -> tuple[list[int], list[str]]:
-        """For each prefix of the symbols ``s``, as the beginning of a longer piece: its tokens and its last token."""
-        count, last, vocab, valid, m = [0], [""], self.vocab, self._valid, self.longest
-        for i in range(1, len(s) + 1):
-            for j in range(max(0, i - m), i):
-                t = s[j:i]
-                if t in vocab and valid(last[j], t):
-                    count.append(count[j] + 1)
-                    last.append(t)
-                    break
-            else:
-                raise ValueError("the vocabulary lacks a byte")
-        return count, last
-
-    def _whole(self, s: str, count: list[int], last: list[str], i: int) -> int:
-        """Tokens of the first ``i`` symbols as a piece of their own."""
+    def _last(self, s: str, i: int, end: str, last: list[str]) -> int:
+        """Where the last token of the first ``i`` symbols begins, if they end with ``end``."""
+        vocab, valid = self.vocab, self._valid
         for j in range(max(0, i - self.longest), i):
-            t = s[j:i] + self.end
-            if t in self.vocab and self._valid(last[j], t):
-                return count[j] + 1
+            t = s[j:i] + end
+            if t in vocab and valid(last[j], t):
+                return j
         raise ValueError("the vocabulary lacks a byte")
 
+    def _begin(self, s: str) -> tuple[list[int], list[str]]:
+        """For each prefix of the symbols ``s``, as the beginning of a longer piece: its tokens and its last token. Prefixes that pieces have in common are worked out once."""
+        count, last, seen = [0], [""], self._seen
+        for i in range(1, len(s) + 1):
+            known = seen.get(s[:i]) if i <= CACHED_CHARS else None
+            if known is None:
+                j = self._last(s, i, "", last)
+                known = (count[j] + 1, s[j:i])
+                if i <= CACHED_CHARS:
+                    if len(seen) >= CACHE:
+                        seen.clear()
+                    seen[s[:i]] = known
+            count.append(known[0])
+            last.append(known[1])
+        return count, last
+
     def _symbols(self, piece: str) -> str:
         return piece.encode().decode("latin-1").translate(self.symbols)
 
     def piece_count(self, piece: str) -> int:
-        n = self._count.get(piece)
-        if n is None:
-            if len(self._count) >= CACHE:
-                self._count.clear()
-            s = self._symbols(piece)
-            n = self._count[piece] = self._whole(s, *self._table(s), len(s))
-        return n
-
-    def inner_counts(self, piece: str) -> list[int]:
-        """Tokens of each prefix of a piece, by code points 0..len."""
+        """Tokens of a normalised piece."""
+        s = self._symbols(piece)
+        count, last = self._begin(s[:-1])
+        return count[self._last(s, len(s), self.end, last)] + 1
+
+    def inner_counts(self, piece: str) -> np.ndarray:
+        """Tokens of each prefix of a normalised piece, by code points 1..len. A prefix that is cut into other pieces (of a contraction) is the sum of those."""
         s = self._symbols(piece)
-        count, last = self._table(s)
-        at = np.cumsum([len(c.encode()) for c in piece])
-        return [0, *(self._whole(s, count, last, int(i)) for i in at)]
+        count, last = self._begin(s)
+        ends = range(1, len(s) + 1) if piece.isascii() else np.cumsum([len(c.encode()) for c in piece]).tolist()
+        out = np.array([count[self._last(s, i, self.end, last)] + 1 for i in ends], np.int32)
+        if piece[0] == "'":
+            for k in range(1, len(piece)):
+                parts = self.piece.findall(piece[:k])
+                if parts != [piece[:k]]:
+                    out[k - 1] = sum(self.counts[p] for p in parts)
+        return out
 
     def _parts(self, text: str) -> list[tuple[str, bool]]:
         """Stretches between special tokens, and these."""
-        if self.special is None or "<|" not in text:
+        if self.special is None or self.mark not in text:
             return [(text, False)]
         out, at = [], 0
         for m in self.special.finditer(text):
@@ -155,46 +187,99 @@ class PrefixCounter:
             at = m.end()
         return [*out, (text[at:], False)]
 
+    def _plain(self, text: str) -> int:
+        """Tokens of a text without special tokens."""
+        return sum(map(self.counts.__getitem__, self.piece.findall(self.normal(text))))
+
     def count(self, text: str) -> int:
-        total, known = 0, self._count
+        return sum(1 if special else self._plain(part) for part, special in self._parts(text))
+
+    def _normal_counts(self, normal: str) -> np.ndarray:
+        """Tokens of each prefix of a normalised text, by code points 0..len. What stands outside of pieces is white space and adds none."""
+        pieces = self.piece.findall(normal)
+        if not pieces:
+            return np.zeros(len(normal) + 1, np.int64)
+        tables = list(map(self.tables.__getitem__, pieces))
+        size, last = np.fromiter(map(len, pieces), np.int64, len(pieces)), np.fromiter((t[-1] for t in tables), np.int64, len(tables))
+        inside = np.concatenate(tables) + np.repeat(np.cumsum(last) - last, size)
+        point = np.frombuffer(normal.encode("utf-32-le", "surrogatepass"), np.uint32)
+        shown = ~_SPACE[np.minimum(point, len(_SPACE) - 1)]
+        return np.concatenate([[0], inside])[np.concatenate([[0], np.cumsum(shown)])]
+
+    def _odd_word(self, word: str) -> np.ndarray:
+        """The same for a word that changes its length when it is normalised. Each prefix of a short word is counted by itself; in one above ODD_WORD code points, a prefix
+        that ends inside a composed character counts as the one that ends with it."""
+        if len(word) <= ODD_WORD:
+            return np.array([self._plain(word[:i]) for i in range(len(word) + 1)], np.int64)
+        clusters = _CLUSTER.findall(word)
+        normal = [self.normal(c) for c in clusters]
+        if "".join(normal) != self.normal(word):
+            clusters, normal = [word], [self.normal(word)]
+        table = self._normal_counts("".join(normal))
+        ends = table[np.cumsum([len(c) for c in normal])]
+        return np.concatenate([[0], np.repeat(ends, [len(c) for c in clusters])])
+
+    def _part_counts(self, part: str) -> np.ndarray:
+        """Tokens of each prefix of a text without special tokens, by its own code points 0..len."""
+        if unicodedata.is_normalized("NFC", part) and len(part.lower()) == len(part):
+            return self._normal_counts(self.normal(part))
+        out, base = [np.zeros(1, np.int64)], 0
+        for m in _WORD.finditer(part):
+            w = m.group()
+            same = unicodedata.is_normalized("NFC", w) and len(w.lower()) == len(w)
+            out.append(base + (self._normal_counts(self.normal(w)) if same else self._odd_word(w))[1:])
+            base = int(out[-1][-1])
+        return np.concatenate(out)
+
+    def prefix_counts(self, text: str) -> np.ndarray:
+        """Tokens of each prefix of a text, by its code points 0..len."""
+        out, base, tail, tail_base = [np.zeros(1, np.int64)], 0, "", 0
         for part, special in self._parts(text):
-            if special:
-                total += 1
-                continue
-            for p in self.piece.findall(self.normal(part)):
-                n = known.get(p)
-                total += n if n is not None else self.piece_count(p)
-        return total
-
-    def prefixes(self, text: str) -> tuple[str, np.ndarray, np.ndarray]:
-        """The normalised text, the end of each of its pieces in code points, and the tokens up to there."""
-        whole, ends, counts, at = [], [], [], 0
-        for part, special in self._parts(text):
-            part = part if special else self.normal(part)
-            whole.append(part)
-            if special:
-                ends.append(at + len(part))
-                counts.append(1)
-            else:
-                for m in self.piece.finditer(part):
-                    ends.append(at + m.end())
-                    counts.append(self.piece_count(m.group()))
-            at += len(part)
-        return "".join(whole), np.array(ends, np.int64), np.cumsum(counts, dtype=np.int64) if counts else np.zeros(0, np.int64)
-
-    def fit(self, text: str, budget: int) -> int:
-        """Code points of the longest prefix of the normalised text that takes ``budget`` tokens at most, of those that end with a piece or inside
-        the first piece that exceeds it."""
-        whole, ends, total = self.prefixes(text)
-        k = int(np.searchsorted(total, budget, "right"))
-        if k == len(total):
-            return len(whole)
-        left, start = budget - (int(total[k - 1]) if k else 0), int(ends[k - 1]) if k else 0
-        m = self.piece.search(whole, start)
-        if m is None or m.end() != ends[k]:  # a special token
-            return start
-        inside = [i for i, n in enumerate(self.inner_counts(m.group())) if n <= left]
-        return m.start() + inside[-1] if inside[-1] else m.start()
+            if special:  # a part of it is plain text, and may go on with the marks before it
+                out.append(np.array([*(tail_base + self._plain(tail + part[:i]) for i in range(1, len(part))), base + 1], np.int64))
+                base += 1
+                tail, tail_base = "", base
+            elif part:
+                t = self._part_counts(part)
+                tail = self.tail.search(part).group()
+                tail_base = base + int(t[len(part) - len(tail)])
+                out.append(base + t[1:])
+                base = int(out[-1][-1])
+        return np.concatenate(out)
+
+    def stretches(self, text: str, size: int = STRETCH) -> Iterator[tuple[int, str]]:
+        """(code points before it, text) of stretches of about ``size`` code points, cut before white space, where no piece and no special token is cut."""
+        lo = 0
+        while lo < len(text) or not lo:
+            m = _GAP.search(text, lo + size)
+            hi = m.start() if m else len(text)
+            yield lo, text[lo:hi]
+            lo = hi or 1
+
+    def table(self, text: str) -> Iterator[tuple[int, np.ndarray]]:
+        """(code points of the first, tokens of each) of the prefixes of a text, by stretches; the first begins with the empty prefix."""
+        base = 0
+        for lo, part in self.stretches(text):
+            t = self.prefix_counts(part) + base
+            base = int(t[-1])
+            yield (lo + 1, t[1:]) if lo else (0, t)
+
+    def measure(self, text: str, budget: int, size: int = STRETCH) -> tuple[int, int]:
+        """Tokens of the text, and the code points of its longest prefix that takes ``budget`` tokens at most. Stretches are summed by piece; the one that passes the budget is
+        looked at in shorter ones, and the last of those by its table."""
+        n, fit, passed = 0, len(text), False
+        for lo, part in self.stretches(text, size):
+            k = self.count(part)
+            if n + k > budget and not passed:  # a prefix that ends behind it never takes fewer tokens than this stretch
+                passed = True
+                fit = lo + (self.measure(part, budget - n, NEAR)[1] if size > NEAR else int(np.flatnonzero(self.prefix_counts(part) <= budget - n)[-1]))
+            n += k
+        return n, fit
+
+
+_CLUSTER, _WORD, _GAP = regex.compile(r"\X"), regex.compile(r"\s*\S+|\s+"), regex.compile(r"\s")
+#: White space by code point; none lies at the end of the table or above it.
+_SPACE = np.array([bool(_GAP.match(chr(i))) for i in range(0x3002)])
 
 
 @lru_cache(maxsize=4)
@@ -205,15 +290,14 @@ def counter(path: str) -> PrefixCounter:
 def token_counts(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", budget: int = 2048) -> DataFrame:
     """``id, n_bytes, n_tokens, fit_chars`` per row of ``docs``; ``vocabulary`` is the tokenizer file's path on every machine.
 
-    ``fit_chars`` is the longest prefix of the normalised text within ``budget``, in code points. Null texts count as empty: no token. All
-    rows are kept, repeated rows and null ids too; other columns play no part."""
+    ``fit_chars`` is the longest prefix of the text within ``budget`` tokens, in its own code points: ``substring(text, 1, fit_chars)`` keeps to the budget. Null and empty texts have no token. Very long
+    texts are read in whole, stretch by stretch. All rows are kept, repeated rows and null ids too; an empty table gives an empty result; other columns play no part."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         c = counter(vocabulary)
         for pdf in batches:
-            n = [c.count(t or "") for t in pdf.t]
-            fit = [c.fit(t, budget) if k > budget else len(c.normal(t or "")) for t, k in zip(pdf.t, n)]
-            yield pd.DataFrame({"id": pdf.id.astype("Int64"), "n_bytes": pdf.n_bytes, "n_tokens": n, "fit_chars": fit})
+            found = [c.measure(t, budget) for t in pdf.t]
+            yield pd.DataFrame({"id": pdf.id.astype("Int64"), "n_bytes": pdf.n_bytes, "n_tokens": [n for n, _ in found], "fit_chars": [k for _, k in found]})
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
     rows = rows.withColumn("n_bytes", F.octet_length("t").cast("long"))
@@ -221,15 +305,17 @@ def token_counts(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_
 
 
 def prefix_table(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id, ends, tokens``: the stored prefix table of each text, one entry per piece."""
+    """``id, start, tokens``: the table of each text, to be stored: the exact count of every prefix, those of ``start`` code points and more in order. A text has one row for each stretch of it; the
+    first begins with the empty prefix. Odd rows as in :func:`token_counts`."""
 
-    def run(batches):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         c = counter(vocabulary)
         for pdf in batches:
-            rows = [c.prefixes(t or "")[1:] for t in pdf.t]
-            yield pd.DataFrame({"id": pdf.id.astype("Int64"), "ends": [e for e, _ in rows], "tokens": [k for _, k in rows]})
+            for i, t in zip(pdf.id.astype("Int64"), pdf.t):
+                for start, counts in c.table(t or ""):
+                    yield pd.DataFrame({"id": pd.array([i], "Int64"), "start": [start], "tokens": [counts]})
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t")).mapInPandas(run, "id long, ends array<long>, tokens array<long>")
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t")).mapInPandas(run, "id long, start long, tokens array<long>")
 
 
 def op5_token_counts(spark, sf_dir: str) -> DataFrame:

@@ -20,28 +20,35 @@ def frame(spark, rows):
 
 
 def test_token_counts_match_the_library(spark):
+    """Whole texts, and every prefix of them, against the library."""
     lib, own, rng = Tokenizer.from_file(PATH), token_counts.counter(PATH), random.Random(1)
     count = lambda t: len(lib.encode(t, add_special_tokens=False).ids)
-    letters = [chr(i) for i in range(0x250)] + list("Σςİ’<|> 　") + ["<|startoftext|>", "<|endoftext|>", "'re", "日本", "👍🏽"]
-    texts = ["".join(rng.choice(letters) for _ in range(rng.randrange(1, 40))) for _ in range(800)]
-    texts += [r.text for r in spark.read.parquet(f"{SF}/documents.parquet").limit(200).collect()] + ["a" * 3000, "", "ab" * 900 + " x"]
+    letters = [chr(i) for i in range(0x250)] + list("Σςİ’<|> 　'\u0301") + ["<|startoftext|>", "<|endoftext|>", "'re", "''s", "日本", "👍🏽"]
+    texts = ["".join(rng.choice(letters) for _ in range(rng.randrange(1, 40))) for _ in range(400)]
     for t in texts:
-        assert own.count(t) == count(t), t
-    for _ in range(150):
-        w = "".join(rng.choice("abcdefghilmnoprstuéñß") for _ in range(rng.randrange(1, 24)))
-        assert own.inner_counts(w) == [0] + [count(w[: i + 1]) for i in range(len(w))]
-    for t in texts[:100]:
-        k = own.fit(t, 9)
-        assert count(own.normal(t)[:k]) <= 9 or "<|" in t
+        assert np.concatenate([c for _, c in own.table(t)]).tolist() == [count(t[:i]) for i in range(len(t) + 1)], t
+    texts += [r.text for r in spark.read.parquet(f"{SF}/documents.parquet").limit(200).collect()] + ["a" * 3000, "", "ab" * 900 + " x", "e\u0301" * 700, "word " * 5000, " " * 9000 + "q"]
+    for t in texts:
+        n, k = own.measure(t, 30)
+        table = np.concatenate([c for _, c in own.table(t)])
+        assert n == own.count(t) == count(t) == table[-1] and len(table) == len(t) + 1, t
+        assert k == int(np.flatnonzero(table <= 30)[-1]), t
+    for t in texts[400:480]:
+        n, k = own.measure(t, 100)
+        assert count(t[:k]) <= 100 and (k == len(t) or count(t) > 100)
 
 
 def test_token_table(spark):
     rows = [(1, "Hello there, hello!", None), (2, None, None), (3, "", "x"), (None, "hello", None), (1, "Hello there, hello!", None), (4, "word " * 3000, None)]
     got = token_counts.token_counts(frame(spark, rows), PATH).collect()
     assert sorted(((r.id, r.n_bytes, r.n_tokens) for r in got), key=str) == sorted([(1, 19, 5), (2, 0, 0), (3, 0, 0), (None, 5, 1), (1, 19, 5), (4, 15000, 3000)], key=str)
-    assert {r.id: r.fit_chars for r in got}[4] == 2048 * 5  # with the space that ends it
-    t = token_counts.prefix_table(frame(spark, rows), PATH).where("id = 1").first()
-    assert t.tokens == [1, 2, 3, 4, 5] and t.ends == [5, 11, 12, 18, 19]
+    assert {r.id: r.fit_chars for r in got} == {1: 19, 2: 0, 3: 0, None: 5, 4: 2048 * 5}  # with the space that ends it
+    t = token_counts.prefix_table(frame(spark, rows), PATH)
+    one = t.where("id = 1").first()
+    assert one.start == 0 and len(one.tokens) == 20 and one.tokens[0] == 0 and one.tokens[5] == 1 and one.tokens[-1] == 5
+    long = sorted((r.start, r.tokens) for r in t.where("id = 4").collect())
+    assert len(long) > 1 and [x for _, p in long for x in p][::5] == list(range(3001))
+    assert {r.id for r in t.where("id in (2, 3)").collect()} == {2, 3}
     assert token_counts.token_counts(frame(spark, []), PATH).count() == 0
 
 
