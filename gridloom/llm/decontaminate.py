@@ -1,13 +1,13 @@
 """Benchmark decontamination: one Aho-Corasick automaton over normalised test texts.
 
-Test items become windows of words; the automaton holds them all and reads each document once. Documents are
-normalised to their words joined by single spaces, so a match is word-aligned, and its end is mapped back to word
-numbers and, for spans, to offsets of the original text.
+Test items become windows of words, and words become numbers; the automaton holds all windows as sequences of numbers and reads each document's words once. A match is
+word-aligned by nature, and the word numbers of its end are mapped back, for spans, to offsets of the original text.
 """
 
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
 
 import ahocorasick
@@ -16,57 +16,67 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import materialize, table
+from gridloom.llm.common import ascii_lower, materialize, table
 
 #: Bytes of UTF-8 to word bytes (lower-cased) or spaces: digits, letters and all of 0x80 and above are word bytes.
 _WORD_BYTES = bytes(b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else b + 32 if 65 <= b <= 90 else 32 for b in range(256))
 _WORD = re.compile(rb"[^ ]+")
-#: Words of the windows of one automaton; more items are read in further passes over the documents.
-BLOCK_WORDS = 2_000_000
+_WORD_PATTERN = r"([^\x00-\x2F\x3A-\x60\x7B-\x7F]+)"
+#: Words of the items of one automaton (about 0.4 kB each in a worker); more items are read in further passes over the documents. Long items are cut into overlapping segments.
+BLOCK_WORDS, SEGMENT = 300_000, 20_000
 
 
 def words(text: str | None) -> list[bytes]:
     return text.encode().translate(_WORD_BYTES).split() if text else []
 
 
-def _patterns(items: list[tuple[int | None, str | None]], width: int) -> dict[str, tuple[int, list]]:
-    """Window text -> (number of words, ids of its items)."""
-    found: dict[str, tuple[int, list]] = {}
-    for item_id, text in items:
+class Windows:
+    """The windows of a block of items: a number for each word, and the automaton (None without windows)."""
+
+    def __init__(self, items: list[tuple[int | None, str | None]], width: int):
+        self.number: dict[bytes, int] = {}
+        found: dict[tuple, list] = {}
+        for item_id, text in items:
+            w = tuple(self.number.setdefault(x, len(self.number) + 1) for x in words(text))
+            n = min(width, len(w))
+            for i in range(len(w) - n + 1 if n else 0):
+                ids = found.setdefault(w[i : i + n], [])
+                if item_id not in ids[-1:]:
+                    ids.append(item_id)
+        self.auto = None
+        if found:
+            self.auto = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
+            for key, ids in found.items():
+                self.auto.add_word(key, (len(key), ids))
+            self.auto.make_automaton()
+
+    def scan(self, text: str) -> tuple[int, np.ndarray, set]:
+        """Number of words, their hit flags (empty if none is hit) and the items that occur. Words of no item have number 0."""
         w = words(text)
-        n = min(width, len(w))
-        for i in range(len(w) - n + 1 if n else 0):
-            key = b" " + b" ".join(w[i : i + n]) + b" "
-            ids = found.setdefault(key.decode("latin-1"), (n, []))[1]
-            if item_id not in ids[-1:]:
-                ids.append(item_id)
-    return found
-
-
-def _build(patterns: dict[str, tuple[int, list]]):
-    auto = ahocorasick.Automaton()
-    for key, value in patterns.items():
-        auto.add_word(key, value)
-    if patterns:
-        auto.make_automaton()
-    return auto
-
-
-def _scan(auto, data: bytes) -> tuple[int, np.ndarray, set]:
-    """Number of words, their hit flags (empty if none is hit) and the items that occur."""
-    w = data.translate(_WORD_BYTES).split()
-    joined = b" " + b" ".join(w) + b" "
-    found = list(auto.iter(joined.decode("latin-1"))) if w and len(auto) else []
-    if not found:
-        return len(w), np.zeros(0, bool), set()
-    edge = np.zeros(len(w) + 1, np.int32)
-    last = np.searchsorted(np.cumsum([len(x) + 1 for x in w]), [end for end, _ in found])
-    items: set = set()
-    for at, (_, (n, ids)) in zip(last, found):
-        edge[at - n + 1] += 1
-        edge[at + 1] -= 1
-        items.update(ids)
-    return len(w), np.cumsum(edge[:-1]) > 0, items
+        if not w or self.auto is None:
+            return len(w), np.zeros(0, bool), set()
+        known = self.number.get
+        found = list(self.auto.iter(tuple([known(x, 0) for x in w])))
+        if not found:
+            return len(w), np.zeros(0, bool), set()
+        edge = np.zeros(len(w) + 1, np.int32)
+        items: set = set()
+        for at, (n, ids) in found:
+            edge[at - n + 1] += 1
+            edge[at + 1] -= 1
+            items.update(ids)
+        return len(w), np.cumsum(edge[:-1]) > 0, items
+
+
+_built: dict[str, Windows] = {}
+
+
+def _windows_of(key: str, items: list, width: int) -> Windows:
+    """The block's automaton, built once per worker; a worker holds one at a time."""
+    if key not in _built:
+        _built.clear()
+        _built[key] = Windows(items, width)
+    return _built[key]
 
 
 def _runs(hit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -84,47 +94,50 @@ def _offsets(text: str, first: np.ndarray, end: np.ndarray) -> tuple[list[int],
 
 
 _RUNS = "n_words long, hit_from array<int>, hit_to array<int>, items array<long>"
-_COLS = ["id", "t", "n_words", "hit_from", "hit_to", "items"]
 
 
-def _scanner(shared):
-    """Adds one automaton's hits to those found so far."""
+def _scanner(key: str, shared, width: int, with_text: bool):
+    """Adds one automaton's hits to those found so far; the text goes on only if it is asked for."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        auto = _build(shared.value)
+        windows = _windows_of(key, shared.value, width)
         for pdf in batches:
             rows = []
-            for i, text, _, was_from, was_to, was in pdf[_COLS].itertuples(index=False):
-                n, hit, items = _scan(auto, (text or "").encode())
+            for text, was_from, was_to, was in pdf[["t", "hit_from", "hit_to", "items"]].itertuples(index=False):
+                n, hit, items = windows.scan(text or "")
                 if len(hit) and len(was_from):
                     for a, b in zip(was_from, was_to):
                         hit[a:b] = True
                 a, b = _runs(hit) if len(hit) else (was_from, was_to)
-                rows.append((i, text, n, list(a), list(b), sorted({x for x in items if x is not None} | set(was))))
-            yield pd.DataFrame(rows, columns=_COLS).astype({"id": "Int64"})
+                rows.append((n, list(a), list(b), sorted({x for x in items if x is not None} | set(was))))
+            out = pd.DataFrame(rows, columns=["n_words", "hit_from", "hit_to", "items"])
+            yield pd.concat([pdf[["id", "h", "t"] if with_text else ["id", "h"]].astype({"id": "Int64"}), out], axis=1)
     return run
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
-                  item_text_col: str = "text", width: int = 10, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """Per document: ``id, t`` (the text), ``n_words, hit_from, hit_to`` (runs of hit words, end exclusive) and ``items``
-    (sorted distinct ids of the items with an occurring window).
-
-    Every row is kept, repeated rows and null ids too. Null and empty texts have no word and no hit. Items of fewer than ``width`` words are one
-    window; items without words match nothing; an item with a null id hits words but is not listed. Only the
-    named columns are read. The size of the test set is checked: an automaton takes about ``block_words`` words of
-    it, and a larger one is read as several blocks, each passing over all documents."""
+                  item_text_col: str = "text", width: int = 10, block_words: int = BLOCK_WORDS, with_text: bool = False, segment: int = SEGMENT) -> DataFrame:
+    """Per document: ``id, h`` (xxhash64 of the text), ``n_words, hit_from, hit_to`` (runs of hit words, end exclusive) and ``items``
+    (sorted distinct ids of the items with an occurring window); ``t``, the text, if asked for.
+
+    Every row is kept, repeated rows and null ids too. Null and empty texts have no word and no hit; very long texts are read in whole. Items of fewer than ``width`` words are one
+    window; items without words match nothing; repeated items count once; an item with a null id hits words but is not listed. Empty tables give no row or no hit. Only the
+    named columns are read. The size of the test set is checked: an automaton takes about ``block_words`` words of it, and a larger set is read as several blocks, each passing over all
+    documents. The driver holds one block of items at a time."""
     spark = docs.sparkSession
-    items = benchmark.select(F.col(item_col).cast("long").alias("i"), F.col(item_text_col).alias("t")).distinct()
-    total = items.agg(F.coalesce(F.sum(F.length("t")), F.lit(0))).first()[0] // 4
+    items = benchmark.select(F.col(item_col).cast("long").alias("i"), F.regexp_extract_all(ascii_lower(F.coalesce(F.col(item_text_col), F.lit(""))), F.lit(_WORD_PATTERN)).alias("w"))
+    starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.size("w") - width), F.lit(segment))
+    items = items.select("i", "w", F.explode(starts).alias("s")).select("i", F.slice("w", F.col("s") + 1, F.lit(segment + width - 1)).alias("w")).where(F.size("w") > 0)
+    items = items.select("i", F.size("w").alias("n"), F.array_join("w", " ").alias("t")).distinct()
+    total = items.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     blocks = max(1, -(-total // block_words))
     none = F.array().cast("array<int>")
-    state = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t"), F.lit(0).cast("long").alias("n_words"),
+    state = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("t"), F.lit(0).cast("long").alias("n_words"),
                         none.alias("hit_from"), none.alias("hit_to"), F.array().cast("array<long>").alias("items"))
     for b in range(blocks):
-        mine = items.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == b)
-        patterns = _patterns([(r.i, r.t) for r in mine.toLocalIterator()], width)
-        state = state.mapInPandas(_scanner(spark.sparkContext.broadcast(patterns)), f"id long, t string, {_RUNS}")
+        mine = [(r.i, r.t) for r in items.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == b).select("i", "t").toLocalIterator()]
+        text = with_text or b + 1 < blocks
+        state = state.mapInPandas(_scanner(uuid.uuid4().hex, spark.sparkContext.broadcast(mine), width, text), f"id long, h long, {'t string, ' if text else ''}{_RUNS}")
         if b + 1 < blocks:
             state = materialize(state, "scanned")
     return state
@@ -132,7 +145,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 def contaminated_spans(docs: DataFrame, benchmark: DataFrame, **params) -> DataFrame:
     """``id, start, end, text``: the passages of each document that test items cover, as code point offsets of the
-    original text, end exclusive."""
+    original text, end exclusive. Odd rows as in :func:`contamination`."""
     def cut(batches):
         for pdf in batches:
             rows = []
@@ -141,14 +154,14 @@ def contaminated_spans(docs: DataFrame, benchmark: DataFrame, **params) -> DataF
                     rows.append((i, s, e, text[s:e]))
             yield pd.DataFrame(rows, columns=["id", "start", "end", "text"]).astype({"id": "Int64"})
 
-    hit = contamination(docs, benchmark, **params).where(F.size("hit_from") > 0)
+    hit = contamination(docs, benchmark, with_text=True, **params).where(F.size("hit_from") > 0)
     return hit.select("id", "t", "hit_from", "hit_to").mapInPandas(cut, "id long, start int, end int, text string")
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **params) -> DataFrame:
-    """``docs`` without the rows that hold a window of a test item. All columns of the others are kept, null texts too."""
+    """``docs`` without the rows that hold a window of a test item. All columns of the others are kept, null texts too. Odd rows as in :func:`contamination`."""
     hit = contamination(docs, benchmark, id_col, text_col, **params).where(F.size("hit_from") > 0)
-    hit = materialize(hit.select(F.col("id").alias("_i"), F.xxhash64("t").alias("_h")).distinct(), "hit")
+    hit = materialize(hit.select(F.col("id").alias("_i"), F.col("h").alias("_h")).distinct(), "hit")
     match = docs[id_col].cast("long").eqNullSafe(hit["_i"]) & (F.xxhash64(docs[text_col]) == hit["_h"])
     return docs.join(hit, match, "left_anti")
 

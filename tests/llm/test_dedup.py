@@ -143,8 +143,8 @@ def test_decontaminate(spark):
     bench = spark.createDataFrame([(1, item), (2, "Short item!"), (2, "Short item!"), (3, None), (4, "..."), (None, "no id here")], "item_id long, text string")
     body = "x " * 30
     rows = [(1, body + item.upper() + " tail"), (2, "short-ITEM éshort item short"), (3, None), (4, ""), (5, "alpha beta gamma delta epsilon zeta eta theta iota"), (6, "no id here"), (6, "no id here"), (None, "a short item")]
-    for block_words in (1000, 5):  # one automaton, several
-        got = {(r.id, r.t): r for r in dc.contamination(frame(spark, rows), bench, block_words=block_words).collect()}
+    for block_words, segment in ((1000, 20_000), (5, 20_000), (5, 1)):  # one automaton, several, items cut into segments
+        got = {(r.id, r.t): r for r in dc.contamination(frame(spark, rows), bench, block_words=block_words, segment=segment, with_text=True).collect()}
         r = got[rows[0]]
         assert (r.n_words, r.hit_from, r.hit_to, r["items"]) == (43, [30], [42], [1])
         assert [(a, b) for a, b in zip(got[rows[1]].hit_from, got[rows[1]].hit_to)] == [(0, 2)]
@@ -154,6 +154,7 @@ def test_decontaminate(spark):
         assert got[(None, "a short item")]["items"] == [2]
     spans = dc.contaminated_spans(frame(spark, rows), bench).where("id = 1").first()
     assert spans.text == item.upper() and rows[0][1][spans.start : spans.end] == item.upper()
+    assert "t" not in dc.contamination(frame(spark, rows), bench, block_words=5).columns
     assert dc.contamination(frame(spark, []), bench).count() == 0
     assert dc.contamination(frame(spark, rows), bench.limit(0)).where("size(hit_from) > 0").count() == 0
 
