@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Fixed values of the projection.
@@ -36,6 +36,29 @@ def to_metric(lon: Column, lat: Column) -> tuple[Column, Column]:
     return _FE + _K0 * _RECT * x, _FN + _K0 * _RECT * y
 
 
+def with_metric(df: DataFrame, lon: str = "lon", lat: str = "lat", x: str = "x", y: str = "y") -> DataFrame:
+    """``df`` with the metric ``x`` and ``y`` of a longitude and latitude. Each step of the series goes through an exploded array of one element, which the optimizer does not
+    merge with what reads it, so a filter or an aggregate on the result does not work the series out again and again."""
+    s = F.sin(F.radians(F.col(lat)))
+    d = df.withColumn("_p", F.explode(F.array(F.struct(F.sinh(F.atanh(s) - _E * F.atanh(_E * s)).alias("t"), F.radians(F.col(lon) - _LON0).alias("d")))))
+    t, e = F.col("_p.t"), F.col("_p.d")
+    d = d.withColumn("_q", F.explode(F.array(F.struct(F.atan2(t, F.cos(e)).alias("xi"), F.atanh(F.sin(e) / F.sqrt(1 + t * t)).alias("eta")))))
+    xi, eta = F.col("_q.xi"), F.col("_q.eta")
+    east, north = eta, xi
+    for j, a in enumerate(_ALPHA, 1):
+        east = east + a * F.cos(2 * j * xi) * F.sinh(2 * j * eta)
+        north = north + a * F.sin(2 * j * xi) * F.cosh(2 * j * eta)
+    d = d.withColumn("_r", F.explode(F.array(F.struct((_FE + _K0 * _RECT * east).alias("x"), (_FN + _K0 * _RECT * north).alias("y")))))
+    return d.select(*df.columns, F.col("_r.x").alias(x), F.col("_r.y").alias(y))
+
+
+def circle_box(lon: float, lat: float, r: float) -> tuple[float, float, float, float]:
+    """A box in degrees (west, south, east, north) around a circle, a little too large: what a scan can be asked for."""
+    dy = 1.01 * r / 111_000
+    dx = 1.01 * r / (111_000 * math.cos(math.radians(abs(lat) + dy)))
+    return lon - dx, lat - dy, lon + dx, lat + dy
+
+
 def to_degrees(x: Column, y: Column) -> tuple[Column, Column]:
     """The inverse of :func:`to_metric`."""
     xi, eta = (y - _FN) / (_K0 * _RECT), (x - _FE) / (_K0 * _RECT)
@@ -81,6 +104,28 @@ def clip_to_circle(cx, cy, r, x1: Column, y1: Column, x2: Column, y2: Column) ->
     return t_in, t_out
 
 
+def circle_parts(sides: Column, r: Column) -> Column:
+    """For each side (struct px, py, qx, qy) of an array the signed area between the centre of a circle of radius ``r`` at 0, 0 and the side, as far as it lies in the circle. Over
+    the sides of a polygon they add up to its area in the circle."""
+
+    def cut(s):
+        t_in, t_out = clip_to_circle(F.lit(0.0), F.lit(0.0), r, s["px"], s["py"], s["qx"], s["qy"])
+        return F.struct(s.alias("s"), t_in.alias("a"), t_out.alias("b"))
+
+    def ends(c):
+        s = c["s"]
+        dx, dy = s["qx"] - s["px"], s["qy"] - s["py"]
+        return F.struct(s.alias("s"), (c["a"] < c["b"]).alias("meets"), (s["px"] + c["a"] * dx).alias("ux"), (s["py"] + c["a"] * dy).alias("uy"), (s["px"] + c["b"] * dx).alias("vx"), (s["py"] + c["b"] * dy).alias("vy"))
+
+    def area(c):
+        s = c["s"]
+        sector = lambda ax, ay, bx, by: r * r / 2 * F.atan2(ax * by - ay * bx, ax * bx + ay * by)
+        inner = sector(s["px"], s["py"], c["ux"], c["uy"]) + (c["ux"] * c["vy"] - c["uy"] * c["vx"]) / 2 + sector(c["vx"], c["vy"], s["qx"], s["qy"])
+        return F.when(c["meets"], inner).otherwise(sector(s["px"], s["py"], s["qx"], s["qy"]))
+
+    return F.transform(F.transform(F.transform(sides, cut), ends), area)
+
+
 def clip_to_box(xmin, ymin, xmax, ymax, x1: Column, y1: Column, x2: Column, y2: Column) -> tuple[Column, Column]:
     """Like :func:`clip_to_circle` for a box: each side narrows the parameter range."""
     t_in, t_out = F.lit(0.0), F.lit(1.0)

@@ -29,17 +29,16 @@ def geometry_kind(line: Column, tags: Column) -> Column:
 
 def segments(nodes: DataFrame, *extra: str) -> DataFrame:
     """Consecutive points of each way (way_id, seq, lon, lat) in degrees and metres: one shuffle on the way."""
-    x, y = geo.to_metric(F.col("lon"), F.col("lat"))
     w = W.partitionBy("way_id").orderBy("seq")
-    p = nodes.select("way_id", "seq", *extra, F.col("lon").alias("lon1"), F.col("lat").alias("lat1"), x.alias("x1"), y.alias("y1"))
+    p = geo.with_metric(nodes.select("way_id", "seq", *extra, F.col("lon").alias("lon1"), F.col("lat").alias("lat1")), "lon1", "lat1", "x1", "y1")
     for c in ("lon", "lat", "x", "y"):
         p = p.withColumn(f"{c}2", F.lead(f"{c}1").over(w))
     return p.where("lon2 is not null")
 
 
-def clip_segments(seg: DataFrame, cx: float, cy: float, r: float) -> DataFrame:
-    """Segments cut to a circle, with the ends of what is inside and its ``length``; those outside go."""
-    t_in, t_out = geo.clip_to_circle(F.lit(cx), F.lit(cy), F.lit(r), F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2"))
+def clip_segments(seg: DataFrame, cx="cx", cy="cy", r="r") -> DataFrame:
+    """Segments cut to the circle that they carry (columns), with the ends of what is inside and its ``length``; those outside go."""
+    t_in, t_out = geo.clip_to_circle(F.col(cx), F.col(cy), F.col(r), F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2"))
     s = seg.withColumn("_a", t_in).withColumn("_b", t_out).where(F.col("_a") < F.col("_b"))
     dx, dy = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
     s = s.withColumns({"cx1": F.col("x1") + F.col("_a") * dx, "cy1": F.col("y1") + F.col("_a") * dy, "cx2": F.col("x1") + F.col("_b") * dx, "cy2": F.col("y1") + F.col("_b") * dy})

@@ -9,8 +9,8 @@ from gridloom.functions import classify as c
 from gridloom.functions import geo
 from gridloom.functions.tags import tag_maps, voltage_style
 from gridloom.operators import ways as ops
-from gridloom.plans.classify import _BUCKET, CASES, features
-from gridloom.plans.views import CENTRE, query
+from gridloom.plans.classify import _BUCKET, ASKS, CASES, LAYER_SQL
+from gridloom.plans.views import CENTRE, _projected, query
 
 LON, LAT, R = CENTRE
 CX, CY = geo.metric_point(LON, LAT)
@@ -18,8 +18,16 @@ _IN = f"sqrt((x - {CX!r}) * (x - {CX!r}) + (y - {CY!r}) * (y - {CY!r}))"
 
 
 def metric(t):
-    x, y = geo.to_metric(F.col("lon"), F.col("lat"))
-    return t("geo_node").withColumn("x", x).withColumn("y", y)
+    return geo.with_metric(t("geo_node"))
+
+
+def areas(t):
+    """Circles in the metric plane: one of each nation."""
+    return t("nation_area").select("aoi_id", (CX + F.col("dx")).alias("cx"), (CY + F.col("dy")).alias("cy"), "r")
+
+
+#: The same for SQL over the view ``nation_area``.
+AREA_SQL = f"area AS (SELECT aoi_id, {CX!r} + dx AS cx, {CY!r} + dy AS cy, r AS rad FROM nation_area)"
 
 
 def _far(x="x", y="y"):
@@ -30,10 +38,12 @@ def _far(x="x", y="y"):
 SELECT m.*, {CASES['power']} AS asset_type, {_BUCKET} AS bucket FROM (SELECT m.*, w.power, w.man_made, w.voltage, list_max(list_transform(string_split(w.voltage, ';'), lambda q: TRY_CAST(q AS BIGINT))) AS v FROM metric m JOIN tag_wide w ON m.tag_id = w.tag_id) m)
 WHERE {_IN} <= {R} AND asset_type <> 'other' GROUP BY 1, 2""", "metric", "tag_wide")
 def power_summary(t):
-    """The flagship: power objects inside the area by type and voltage."""
-    f = metric(t).where(_far() <= R).join(F.broadcast(tag_maps(t("tag_kv"))), "tag_id")
-    f = f.withColumn("asset_type", c.power_category(F.col("tags"))).where("asset_type <> 'other'").withColumn("bucket", voltage_style(F.col("tags")["voltage"])["bucket"])
-    return f.groupBy("asset_type", "bucket").agg(F.count("*").alias("n"), F.sum("dup_count").cast("long").alias("n_rows"), F.round(F.avg(_far()), 1).alias("mean_distance_m"))
+    """The flagship: power objects inside the area by type and voltage. A box in degrees, which can reach a scan, comes before the projection; the tag sets are few and known by themselves."""
+    west, south, east, north = geo.circle_box(LON, LAT, R)
+    tags = tag_maps(t("tag_kv")).select("tag_id", c.power_category(F.col("tags")).alias("asset_type"), voltage_style(F.col("tags")["voltage"])["bucket"].alias("bucket")).where("asset_type <> 'other'")
+    f = t("geo_node").where(F.col("lon").between(west, east) & F.col("lat").between(south, north)).join(tags, "tag_id").select("asset_type", "bucket", "dup_count", "lon", "lat")
+    f = geo.with_metric(f).withColumn("d", _far()).where(F.col("d") <= R)
+    return f.groupBy("asset_type", "bucket").agg(F.count("*").alias("n"), F.sum("dup_count").cast("long").alias("n_rows"), F.round(F.avg("d"), 1).alias("mean_distance_m"))
 
 
 @query("project_metric", "SELECT id, round(x, 2) AS x, round(y, 2) AS y FROM metric", "metric")
@@ -53,9 +63,17 @@ def project_inverse(t):
     return metric(t).select("id", F.round(lon, 7).alias("lon"), F.round(lat, 7).alias("lat"))
 
 
-@query("aoi_ring")
+_CUSTOMER = _projected("customer", "(17.95e0 + c_custkey % 100 * 0.01e0)", f"{LAT}e0", "c_custkey, 1000e0 + c_custkey % 30 * 1000e0 AS r")
+_RING = f"SELECT c_custkey AS aoi_id, CAST(i AS INT) AS pos, x + r * cos((i % 32) * {2 * math.pi / 32!r}) AS x, y + r * sin((i % 32) * {2 * math.pi / 32!r}) AS y FROM ({_CUSTOMER}), range(33) q(i)"
+
+
+def _inverse(source: str, keep: str) -> str:
+    return f"SELECT {keep}, round(19 + degrees(atan2(sinh(v), cos(u))), 7) AS lon, round(degrees({_PHI}), 7) AS lat FROM (SELECT *, asin(sin(u) / cosh(v)) AS chi FROM (SELECT *, {_U} AS u, {_V} AS v FROM (SELECT *, {_XI} AS xi, {_ETA} AS eta FROM ({source}))))"
+
+
+@query("aoi_ring", _inverse(_RING, "aoi_id, pos"))
 def aoi_ring(t):
-    """Rings of areas around customers; the golden values are in the tests."""
+    """Rings of areas around customers."""
     x, y = geo.to_metric(17.95 + F.col("c_custkey") % 100 * 0.01, F.lit(LAT))
     a = t("customer").select(F.col("c_custkey").alias("aoi_id"), x.alias("cx"), y.alias("cy"), (1000.0 + F.col("c_custkey") % 30 * 1000.0).alias("r"))
     return ops.circle_points(a).select("aoi_id", "pos", "lon", "lat")
@@ -69,8 +87,8 @@ def geodesic_ring(t):
     return p.select("aoi_id", "pos", F.round("p.x", 6).alias("lon"), F.round("p.y", 6).alias("lat"))
 
 
-_T = f"""seg AS (SELECT *, x2 - x1 AS dx, y2 - y1 AS dy, x1 - {CX!r} AS fx, y1 - {CY!r} AS fy FROM metric_segment WHERE x2 IS NOT NULL),
-cut AS (SELECT *, dx * dx + dy * dy AS a, fx * dx + fy * dy AS b, fx * fx + fy * fy - {R * R!r} AS c FROM seg),
+_T = f"""{AREA_SQL}, seg AS (SELECT s.*, aoi_id, rad, x2 - x1 AS dx, y2 - y1 AS dy, x1 - cx AS fx, y1 - cy AS fy FROM metric_segment s, area WHERE x2 IS NOT NULL),
+cut AS (SELECT *, dx * dx + dy * dy AS a, fx * dx + fy * dy AS b, fx * fx + fy * fy - rad * rad AS c FROM seg),
 par AS (SELECT *, greatest(0e0, (-b - sqrt(greatest(b * b - a * c, 0e0))) / a) AS t0, least(1e0, (-b + sqrt(greatest(b * b - a * c, 0e0))) / a) AS t1 FROM cut WHERE a > 0 AND b * b - a * c >= 0)"""
 
 
@@ -78,31 +96,40 @@ def _segments(t):
     return ops.segments(t("geo_node"))
 
 
-@query("clip_lines", f"WITH {_T} SELECT way_id, seq, round(x1 + t0 * dx, 1) AS x1, round(y1 + t0 * dy, 1) AS y1, round(x1 + t1 * dx, 1) AS x2, round(y1 + t1 * dy, 1) AS y2 FROM par WHERE t0 < t1", "metric_segment")
+def _near_areas(t):
+    from gridloom.operators.hexgrid import segments_near_areas
+
+    return segments_near_areas(_segments(t), areas(t))
+
+
+@query("clip_lines", f"WITH {_T} SELECT aoi_id, way_id, seq, round(x1 + t0 * dx, 1) AS x1, round(y1 + t0 * dy, 1) AS y1, round(x1 + t1 * dx, 1) AS x2, round(y1 + t1 * dy, 1) AS y2 FROM par WHERE t0 < t1", "metric_segment", "nation_area")
 def clip_lines(t):
-    s = ops.clip_segments(_segments(t), CX, CY, R)
-    return s.select("way_id", "seq", *[F.round(f"c{k}", 1).alias(k) for k in ("x1", "y1", "x2", "y2")])
+    s = ops.clip_segments(_near_areas(t))
+    return s.select("aoi_id", "way_id", "seq", *[F.round(f"c{k}", 1).alias(k) for k in ("x1", "y1", "x2", "y2")])
 
 
-@query("clipped_length", f"WITH {_T} SELECT way_id, round(sum((t1 - t0) * sqrt(a)), 1) AS length_m FROM par WHERE t0 < t1 GROUP BY way_id", "metric_segment")
+@query("clipped_length", f"WITH {_T} SELECT aoi_id, way_id, round(sum((t1 - t0) * sqrt(a)), 1) AS length_m FROM par WHERE t0 < t1 GROUP BY aoi_id, way_id", "metric_segment", "nation_area")
 def clipped_length(t):
-    return ops.clip_segments(_segments(t), CX, CY, R).groupBy("way_id").agg(F.round(F.sum("length"), 1).alias("length_m"))
+    return ops.clip_segments(_near_areas(t)).groupBy("aoi_id", "way_id").agg(F.round(F.sum("length"), 1).alias("length_m"))
 
 
-@query("clip_report", f"WITH {_T} SELECT count(*) AS n_input, count(*) FILTER (WHERE t0 < t1) AS n_output, count(*) FILTER (WHERE t0 IS NULL OR t0 >= t1) AS n_removed, 'warn' AS status FROM seg LEFT JOIN (SELECT way_id AS w, seq AS s, t0, t1 FROM par) ON w = way_id AND s = seq", "metric_segment")
+@query("clip_report", f"""WITH {_T}, own AS (SELECT way_id, seq, way_id % 25 AS aoi_id FROM metric_segment WHERE x2 IS NOT NULL), n AS (SELECT o.aoi_id, count(*) AS n_input, count(*) FILTER (WHERE t0 < t1) AS n_output FROM own o LEFT JOIN par p ON p.way_id = o.way_id AND p.seq = o.seq AND p.aoi_id = o.aoi_id GROUP BY o.aoi_id)
+SELECT a.aoi_id, coalesce(n_input, 0) AS n_input, coalesce(n_output, 0) AS n_output, coalesce(n_input - n_output, 0) AS n_removed, CASE WHEN coalesce(n_output, 0) = 0 THEN 'fail' WHEN n_output < n_input THEN 'warn' ELSE 'pass' END AS status FROM area a LEFT JOIN n ON n.aoi_id = a.aoi_id""", "metric_segment", "nation_area")
 def clip_report(t):
-    a, b = geo.clip_to_circle(F.lit(CX), F.lit(CY), F.lit(R), F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2"))
-    g = _segments(t).agg(F.count("*").alias("n_input"), F.count_if(a < b).alias("n_output"))
-    return g.select("n_input", "n_output", (F.col("n_input") - F.col("n_output")).alias("n_removed"), F.when(F.col("n_output") == 0, "fail").when(F.col("n_output") < F.col("n_input"), "warn").otherwise("pass").alias("status"))
+    """What clipping leaves of the layer of each area; a way is in the layer of one area."""
+    s = _segments(t).withColumn("aoi_id", F.col("way_id") % 25).join(areas(t), "aoi_id", "right")
+    a, b = geo.clip_to_circle(F.col("cx"), F.col("cy"), F.col("r"), F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2"))
+    g = s.groupBy("aoi_id").agg(F.count("way_id").alias("n_input"), F.count_if(a < b).alias("n_output"))
+    return g.select("aoi_id", "n_input", "n_output", (F.col("n_input") - F.col("n_output")).alias("n_removed"), F.when(F.col("n_output") == 0, "fail").when(F.col("n_output") < F.col("n_input"), "warn").otherwise("pass").alias("status"))
 
 
-_NEAR = f"sqrt(power(x1 + q * dx - {CX!r}, 2) + power(y1 + q * dy - {CY!r}, 2))"
+_NEAR = "sqrt(power(x1 + q * dx - cx, 2) + power(y1 + q * dy - cy, 2))"
 
 
-@query("clip_keep_intersecting", f"WITH s AS (SELECT way_id, x1, y1, x2 - x1 AS dx, y2 - y1 AS dy FROM metric_segment WHERE x2 IS NOT NULL), q AS (SELECT *, greatest(0e0, least(1e0, (({CX!r} - x1) * dx + ({CY!r} - y1) * dy) / (dx * dx + dy * dy))) AS q FROM s) SELECT way_id FROM q GROUP BY way_id HAVING min({_NEAR}) <= {R}", "metric_segment")
+@query("clip_keep_intersecting", f"WITH {AREA_SQL}, s AS (SELECT aoi_id, cx, cy, rad, way_id, x1, y1, x2 - x1 AS dx, y2 - y1 AS dy FROM metric_segment, area WHERE x2 IS NOT NULL), q AS (SELECT *, greatest(0e0, least(1e0, ((cx - x1) * dx + (cy - y1) * dy) / (dx * dx + dy * dy))) AS q FROM s) SELECT DISTINCT aoi_id, way_id FROM q WHERE {_NEAR} <= rad", "metric_segment", "nation_area")
 def clip_keep_intersecting(t):
-    d = geo.segment_distance(F.lit(CX), F.lit(CY), F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2"))
-    return _segments(t).groupBy("way_id").agg(F.min(d).alias("d")).where(F.col("d") <= R).select("way_id")
+    d = geo.segment_distance(F.col("cx"), F.col("cy"), F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2"))
+    return _near_areas(t).where(d <= F.col("r")).select("aoi_id", "way_id").distinct()
 
 
 #: A hexagon in degrees, for the exact test.
@@ -152,10 +179,10 @@ def way_assembly(t):
     return lines(t).select("way_id", F.size("line").cast("long").alias("n_points"), F.round(F.element_at(line, 1)["x"], 7).alias("first_lon"), F.round(F.element_at(line, -1)["y"], 7).alias("last_lat"))
 
 
-@query("way_geometry_kind", "SELECT way_id, CASE WHEN way_id % 2 = 0 AND n >= 3 AND w.landuse IS NOT NULL OR way_id % 2 = 0 AND n >= 3 AND (w.amenity IS NOT NULL OR w.emergency IS NOT NULL) THEN 'Polygon' ELSE 'LineString' END AS kind FROM (SELECT way_id, count(*) AS n FROM geo_node GROUP BY way_id HAVING count(*) >= 2) l JOIN tag_wide w ON w.tag_id = CAST(way_id % 31 AS INT)", "geo_node", "tag_wide")
+@query("way_geometry_kind", "SELECT way_id, CASE WHEN way_id % 2 = 0 AND n >= 3 AND coalesce(w.landuse, w.amenity, w.emergency, w.healthcare, w.industrial, w.building) IS NOT NULL THEN 'Polygon' ELSE 'LineString' END AS kind FROM (SELECT way_id, count(*) AS n FROM geo_node GROUP BY way_id HAVING count(*) >= 2) l JOIN tag_wide w ON w.tag_id = CAST(way_id % 90 AS INT)", "geo_node", "tag_wide")
 def way_geometry_kind(t):
     """Even ways are closed by hand, since the derived ones never are."""
-    w = lines(t).withColumn("tag_id", (F.col("way_id") % 31).cast("int")).join(F.broadcast(tag_maps(t("tag_kv"))), "tag_id")
+    w = lines(t).withColumn("tag_id", (F.col("way_id") % 90).cast("int")).join(tag_maps(t("tag_kv")), "tag_id")
     line = F.when(F.col("way_id") % 2 == 0, F.concat("line", F.slice("line", 1, 1))).otherwise(F.col("line"))
     return w.select("way_id", ops.geometry_kind(line, F.col("tags")).alias("kind"))
 
@@ -181,18 +208,20 @@ def representative_points(t):
     return lines(t).select("way_id", p.alias("p")).select("way_id", F.round("p.x", 7).alias("lon"), F.round("p.y", 7).alias("lat"))
 
 
-@query("inspection_points", f"""WITH a AS (SELECT id, domain, category, 1 AS p FROM (SELECT id, 'emergency' AS domain, {CASES['emergency']} AS category FROM (SELECT n.id, w.* FROM geo_node n JOIN tag_wide w ON n.tag_id = w.tag_id)) UNION ALL
-SELECT id, 'transport', category, 0 FROM (SELECT id, {CASES['transport']} AS category FROM (SELECT v.id, w.* FROM (SELECT way_id AS id, CAST(way_id % 31 AS INT) AS tag_id FROM geo_node GROUP BY way_id HAVING count(*) >= 2) v JOIN tag_wide w ON v.tag_id = w.tag_id)))
-SELECT CASE WHEN domain = 'emergency' THEN 'emergency.facilities' ELSE concat('transport.', category) END AS origin_artifact, concat(CASE p WHEN 1 THEN 'node/' ELSE 'way/' END, CAST(id AS VARCHAR)) AS origin_source_id, CASE p WHEN 1 THEN 'Point' ELSE 'LineString' END AS source_geometry_type FROM a WHERE category IS NOT NULL""", "geo_node", "tag_wide")
+_WAYS = "(SELECT v.id, w.* FROM (SELECT way_id AS id, CAST(way_id % 90 AS INT) AS tag_id FROM geo_node GROUP BY way_id HAVING count(*) >= 2) v JOIN tag_wide w ON v.tag_id = w.tag_id)"
+_NODES = "(SELECT n.id, w.* FROM geo_node n JOIN tag_wide w ON n.tag_id = w.tag_id)"
+_INSPECT = " UNION ALL ".join([f"SELECT id, '{d}' AS domain, {CASES[d]} AS category, 0 AS p FROM {_WAYS}" + (f" WHERE {ASKS[d]}" if d == "power" else "") for d in CASES]
+                              + [f"SELECT id, '{d}', {CASES[d]}, 1 FROM {_NODES}" + (f" WHERE {ASKS[d]}" if d == "power" else "") for d in ("emergency", "power")])
+
+
+@query("inspection_points", f"""SELECT {LAYER_SQL} AS origin_artifact, concat(CASE p WHEN 1 THEN 'node/' ELSE 'way/' END, CAST(id AS VARCHAR)) AS origin_source_id, CASE p WHEN 1 THEN 'Point' ELSE 'LineString' END AS source_geometry_type
+FROM (SELECT *, CASE p WHEN 1 THEN 'Point' ELSE 'LineString' END AS gtype FROM ({_INSPECT})) WHERE category IS NOT NULL""", "geo_node", "tag_wide")
 def inspection_points(t):
-    """Derived points of ways, and of the points of domains that inspect these too."""
+    """Derived points of the ways of all domains, and of the points of those domains that inspect these too."""
     from gridloom.operators.layers import layer_id
     from gridloom.plans.layers import objects
 
-    o = objects(t)
-    e = o.withColumn("domain", F.lit("emergency")).withColumn("category", c.category("emergency", F.col("tags"))).where("element = 'node'")
-    r = o.withColumn("domain", F.lit("transport")).withColumn("category", c.category("transport", F.col("tags"))).where("gtype <> 'Point'")
-    both = e.unionByName(r).where("category is not null")
+    both = c.classify_all(objects(t)).where((F.col("gtype") != "Point") | F.col("domain").isin("emergency", "power"))
     return both.select(layer_id(F.col("domain"), F.col("category"), F.col("gtype")).alias("origin_artifact"), F.concat_ws("/", "element", F.col("id").cast("string")).alias("origin_source_id"), F.col("gtype").alias("source_geometry_type"))
 
 
@@ -201,9 +230,11 @@ def layer_bounds(t):
     return t("geo_node").groupBy("tag_id").agg(*[F.round(f(k), 7).alias(a) for f, k, a in ((F.min, "lon", "xmin"), (F.min, "lat", "ymin"), (F.max, "lon", "xmax"), (F.max, "lat", "ymax"))])
 
 
-@query("outside_aoi", f"SELECT tag_id, count(*) FILTER (WHERE {_IN} > {R}) AS n_outside, round(max({_IN}), 1) AS farthest_m FROM metric GROUP BY tag_id", "metric")
+@query("outside_aoi", f"WITH {AREA_SQL}, d AS (SELECT m.tag_id, a.aoi_id, rad, sqrt(power(m.x - cx, 2) + power(m.y - cy, 2)) AS d FROM metric m JOIN area a ON a.aoi_id = m.way_id % 25) SELECT aoi_id, tag_id, count(*) FILTER (WHERE d > rad) AS n_outside, round(max(d), 1) AS farthest_m FROM d GROUP BY aoi_id, tag_id", "metric", "nation_area")
 def outside_aoi(t):
-    return metric(t).groupBy("tag_id").agg(F.count_if(_far() > R).alias("n_outside"), F.round(F.max(_far()), 1).alias("farthest_m"))
+    """Features of the layers of each area that lie outside of it; a way is in the layers of one area."""
+    m = metric(t).withColumn("aoi_id", F.col("way_id") % 25).join(areas(t), "aoi_id").withColumn("d", F.hypot(F.col("x") - F.col("cx"), F.col("y") - F.col("cy")))
+    return m.groupBy("aoi_id", "tag_id").agg(F.count_if(F.col("d") > F.col("r")).alias("n_outside"), F.round(F.max("d"), 1).alias("farthest_m"))
 
 
 def _rings(t):
@@ -231,7 +262,11 @@ def canonical_ring(t):
     return _rings(t).select("id", geo.canonical_ring(F.col("full")).alias("ring"))
 
 
-@query("aoi_area_limit")
+_CORNER = "SELECT id, k, CASE WHEN k IN (0, 1) THEN max_lon ELSE min_lon END AS lon, CASE WHEN k IN (1, 2) THEN max_lat ELSE min_lat END AS lat FROM site_box, range(4) q(k)"
+_SHOELACE = "sum(a.x * b.y - b.x * a.y)"
+
+
+@query("aoi_area_limit", f"WITH c AS ({_projected(f'({_CORNER})', 'lon', 'lat', 'id, k')}), a AS (SELECT a.id, abs({_SHOELACE}) / 2 AS area FROM c a JOIN c b ON a.id = b.id AND b.k = (a.k + 1) % 4 GROUP BY a.id) SELECT id, round(area / 1e6, 3) AS km2, area <= {math.pi * 1e10!r} AS allowed FROM a", "site_box")
 def aoi_area_limit(t):
     """Area of each site in the metric plane against the largest area that may be asked for."""
     def project(q):
@@ -294,7 +329,7 @@ def raster_coverage(t):
     return g.select("*", F.round(share, 6).alias("nodata_share"), status.alias("status"))
 
 
-@query("terrain_points")
+@query("terrain_points", f"{_SEL} " + _inverse("SELECT row_ix, col_ix, value, x, y FROM s WHERE value <> -9999", "row_ix, col_ix, value"), "raster_cell")
 def terrain_points(t):
     """One point in degrees for each valid selected cell."""
     lon, lat = geo.to_degrees(F.col("x"), F.col("y"))
