@@ -8,34 +8,39 @@ from gridloom.plans.views import query
 
 
 def features(t):
-    """Nodes with their tag maps; the tag dictionary has 31 sets, which is what makes its broadcast safe."""
-    return t("geo_node").join(F.broadcast(tag_maps(t("tag_kv"))), "tag_id")
+    """Nodes with their tag maps. How they meet is left to the planner, which knows the size of the tag dictionary."""
+    return t("geo_node").join(tag_maps(t("tag_kv")), "tag_id")
 
 
 NODES = ("geo_node", "tag_wide")
 _J = "FROM geo_node n JOIN tag_wide w ON n.tag_id = w.tag_id"
-# The categories as SQL over one column per tag key; keys that the sample objects never carry are left out.
+# The categories as SQL over one column per tag key, with all keys of the rules.
+_SERVICE = "coalesce(communication_mobile_phone = 'yes' OR communication_radio = 'yes', false)"
+_HOT = "(coalesce(plant_source, '') = 'heat' OR coalesce(generator_source, '') = 'heat' OR coalesce(lower(plant_output_heat), '') IN ('yes','true','1','heat') OR coalesce(lower(generator_output_heat), '') IN ('yes','true','1','heat'))"
+_NO_SEWER = " OR ".join(f"coalesce({k}, '') IN ('water','gas','stormwater','drain','drainage')" for k in ("pipeline", "pumping", "substance", "utility", "sewer"))
 CASES = {
     "power": "CASE WHEN power IN ('line','minor_line','cable','substation','transformer','plant','generator','tower','pole','portal','utility_pole','switch','terminal','converter','compensator','busbar','bay','other') THEN power WHEN man_made = 'utility_pole' THEN 'utility_pole' ELSE 'other' END",
-    "emergency": "CASE WHEN amenity = 'hospital' THEN 'hospital' WHEN amenity = 'fire_station' THEN 'fire_service' WHEN amenity = 'police' THEN 'police' WHEN amenity = 'ambulance_station' OR emergency IN ('ambulance_station','mountain_rescue','lifeguard_base') THEN 'ambulance_rescue' END",
-    "public": "CASE WHEN amenity = 'townhall' THEN 'administration' WHEN amenity IN ('school','college','university','kindergarten') THEN 'education' WHEN amenity = 'post_office' THEN 'post' WHEN amenity IN ('community_centre','social_facility','library','arts_centre') THEN 'community_social' END",
-    "transport": "CASE WHEN highway IN ('motorway','trunk','primary','secondary','tertiary') THEN 'roads' WHEN railway = 'rail' THEN 'railways' WHEN railway IN ('station','halt') THEN 'stations' END",
+    "emergency": "CASE WHEN amenity = 'hospital' OR healthcare = 'hospital' THEN 'hospital' WHEN amenity = 'fire_station' THEN 'fire_service' WHEN amenity = 'police' THEN 'police' WHEN amenity = 'ambulance_station' OR emergency IN ('ambulance_station','mountain_rescue','lifeguard_base') THEN 'ambulance_rescue' END",
+    "public": "CASE WHEN amenity = 'townhall' OR office = 'government' THEN 'administration' WHEN amenity IN ('school','college','university','kindergarten') THEN 'education' WHEN amenity = 'post_office' THEN 'post' WHEN amenity IN ('community_centre','social_facility','library','arts_centre') THEN 'community_social' END",
+    "transport": "CASE WHEN highway IN ('motorway','trunk','primary','secondary','tertiary') THEN 'roads' WHEN railway = 'rail' THEN 'railways' WHEN railway IN ('station','halt') THEN 'stations' WHEN aeroway IN ('aerodrome','helipad') THEN 'aviation' END",
     "bridges": "CASE WHEN bridge IN ('yes','aqueduct','boardwalk') THEN 'bridges' WHEN bridge = 'viaduct' OR highway = 'viaduct' THEN 'viaducts' END",
-    "water": "CASE WHEN man_made IN ('water_works','water_tower') OR amenity = 'water_point' THEN 'facilities' WHEN pipeline = 'water' THEN 'pipelines' WHEN waterway IN ('river','stream','canal','drain','ditch') THEN 'waterways' WHEN man_made = 'pumping_station' AND substance = 'water' THEN 'facilities' WHEN man_made = 'pipeline' AND substance = 'water' THEN 'pipelines' END",
+    "water": "CASE WHEN man_made IN ('water_works','water_tower') OR amenity = 'water_point' THEN 'facilities' WHEN pipeline = 'water' THEN 'pipelines' WHEN waterway IN ('river','stream','canal','drain','ditch') THEN 'waterways' WHEN man_made = 'pumping_station' AND (substance = 'water' OR pumping = 'water') THEN 'facilities' WHEN man_made = 'pipeline' AND substance = 'water' THEN 'pipelines' END",
     "gas": "CASE WHEN man_made IN ('gasometer','gas_station') OR (pipeline = 'valve' AND substance = 'gas') THEN 'facilities' WHEN pipeline = 'gas' OR (man_made = 'pipeline' AND substance = 'gas') THEN 'pipelines' END",
-    "sewer": "CASE WHEN coalesce(pipeline, '') IN ('water','gas','stormwater','drain','drainage') OR coalesce(substance, '') IN ('water','gas','stormwater','drain','drainage') THEN NULL WHEN man_made IN ('wastewater_plant','septic_tank') OR (man_made = 'pumping_station' AND substance IN ('sewerage','wastewater')) THEN 'facilities' WHEN pipeline = 'sewer' AND (substance IS NULL OR substance IN ('sewerage','wastewater')) OR man_made = 'pipeline' AND substance IN ('sewerage','wastewater') THEN 'pipelines' END",
-    "industrial": "CASE WHEN landuse = 'military' THEN 'military_context' WHEN landuse = 'industrial' THEN 'land_use' WHEN man_made = 'works' THEN 'works' END",
-    "telecom": "CASE WHEN communication = 'line' THEN 'lines' WHEN man_made = 'communications_tower' OR (man_made IN ('mast','tower') AND tower_type = 'communication') THEN 'towers' END",
-    "district_heating": "CASE WHEN power IN ('plant','generator') AND lower(plant_output_heat) IN ('yes','true','1','heat') THEN 'plants' WHEN man_made = 'heat_exchanger' THEN 'facilities' WHEN pipeline = 'heating' OR (man_made = 'pipeline' AND substance IN ('hot_water','steam','heat')) THEN 'lines' END",
+    "sewer": f"CASE WHEN {_NO_SEWER} THEN NULL WHEN man_made IN ('wastewater_plant','septic_tank') OR (man_made = 'pumping_station' AND (pumping IN ('sewer','wastewater') OR substance IN ('sewerage','wastewater'))) OR (man_made = 'manhole' AND utility = 'sewer') THEN 'facilities' WHEN pipeline = 'sewer' AND (substance IS NULL OR substance IN ('sewerage','wastewater')) OR man_made = 'pipeline' AND substance IN ('sewerage','wastewater') THEN 'pipelines' END",
+    "industrial": "CASE WHEN military IN ('danger_area','base') OR landuse = 'military' THEN 'military_context' WHEN landuse = 'industrial' THEN 'land_use' WHEN man_made = 'works' THEN 'works' WHEN industrial IN ('factory','works') THEN 'facilities' WHEN building = 'industrial' THEN 'building_context' END",
+    "telecom": f"CASE WHEN communication = 'line' OR cable = 'communication' THEN 'lines' WHEN man_made = 'communications_tower' OR (man_made IN ('mast','tower') AND (tower_type = 'communication' OR {_SERVICE})) THEN 'towers' WHEN telecom IN ('antenna','exchange','distribution_point','service_point','street_cabinet','data_center','cable_landing_station') OR (man_made = 'antenna' AND {_SERVICE}) THEN 'facilities' END",
+    "district_heating": f"CASE WHEN industrial = 'heating_station' OR (power IN ('plant','generator') AND {_HOT}) THEN 'plants' WHEN man_made = 'heat_exchanger' THEN 'facilities' WHEN pipeline = 'heating' OR (man_made = 'pipeline' AND substance IN ('hot_water','steam','heat')) THEN 'lines' END",
 }
 ASKS = {
-    "power": "power IS NOT NULL OR man_made = 'utility_pole'", "emergency": "amenity IN ('hospital','fire_station','police','ambulance_station') OR emergency IN ('ambulance_station','mountain_rescue','lifeguard_base')",
-    "public": "amenity IN ('townhall','school','college','university','kindergarten','post_office','community_centre','social_facility','library','arts_centre')",
-    "transport": "highway IN ('motorway','trunk','primary','secondary') OR railway IN ('rail','station','halt')", "bridges": "bridge IN ('yes','viaduct','aqueduct','boardwalk') OR highway = 'viaduct'",
-    "water": "waterway IN ('river','stream','canal','drain','ditch') OR pipeline = 'water' OR man_made IN ('water_works','water_tower') OR amenity = 'water_point' OR substance = 'water'",
-    "gas": "pipeline IN ('gas','valve') OR man_made IN ('gasometer','gas_station') OR substance = 'gas'", "sewer": "pipeline = 'sewer' OR man_made IN ('wastewater_plant','septic_tank') OR substance IN ('sewerage','wastewater')",
-    "industrial": "landuse IN ('industrial','military') OR man_made = 'works'", "telecom": "man_made IN ('communications_tower','mast','tower','antenna') OR tower_type = 'communication' OR communication = 'line'",
-    "district_heating": "man_made IN ('heat_exchanger','pipeline') OR power IN ('plant','generator') OR plant_output_heat IN ('yes','true','1','heat') OR pipeline = 'heating' OR substance IN ('hot_water','steam','heat')",
+    "power": "power IN ('line','minor_line','cable','substation','transformer','plant','generator','tower','pole','portal','switch','terminal','converter','compensator','busbar','bay') OR man_made = 'utility_pole'",
+    "emergency": "amenity IN ('hospital','fire_station','police','ambulance_station') OR healthcare = 'hospital' OR emergency IN ('ambulance_station','mountain_rescue','lifeguard_base')",
+    "public": "amenity IN ('townhall','school','college','university','kindergarten','post_office','community_centre','social_facility','library','arts_centre') OR office = 'government'",
+    "transport": "highway IN ('motorway','trunk','primary','secondary') OR railway IN ('rail','station','halt') OR aeroway IN ('aerodrome','helipad')", "bridges": "bridge IN ('yes','viaduct','aqueduct','boardwalk') OR highway = 'viaduct'",
+    "water": "waterway IN ('river','stream','canal','drain','ditch') OR pipeline = 'water' OR man_made IN ('water_works','water_tower') OR amenity = 'water_point' OR pumping = 'water' OR substance = 'water'",
+    "gas": "pipeline IN ('gas','valve') OR man_made IN ('gasometer','gas_station') OR substance = 'gas'", "sewer": "pipeline = 'sewer' OR man_made IN ('wastewater_plant','septic_tank') OR pumping IN ('sewer','wastewater') OR substance IN ('sewerage','wastewater') OR utility = 'sewer'",
+    "industrial": "landuse IN ('industrial','military') OR man_made = 'works' OR industrial IN ('factory','works') OR building = 'industrial' OR military IN ('danger_area','base')",
+    "telecom": "man_made IN ('communications_tower','mast','tower','antenna') OR tower_type = 'communication' OR communication_mobile_phone = 'yes' OR communication_radio = 'yes' OR communication = 'line' OR cable = 'communication' OR telecom IN ('antenna','exchange','distribution_point','service_point','street_cabinet','data_center','cable_landing_station')",
+    "district_heating": "industrial = 'heating_station' OR man_made IN ('heat_exchanger','pipeline') OR power IN ('plant','generator') OR plant_source = 'heat' OR generator_source = 'heat' OR plant_output_heat IN ('yes','true','1','heat') OR generator_output_heat IN ('yes','true','1','heat') OR pipeline = 'heating' OR substance IN ('hot_water','steam','heat')",
 }
 
 
@@ -48,7 +53,10 @@ def _one(name, domain):
 for _name, _domain in (("emergency", "emergency"), ("public", "public"), ("transport", "transport"), ("bridges", "bridges"), ("water", "water"), ("gas", "gas"), ("sewer", "sewer"), ("industrial", "industrial"), ("telecom", "telecom"), ("heating", "district_heating")):
     _one(f"classify_{_name}", _domain)
 
-_LABELS = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in c.POWER_LABELS.items())
+# The labels, stated here by themselves.
+_LABELS = """WHEN 'line' THEN 'Transmission or major distribution line' WHEN 'minor_line' THEN 'Minor distribution line' WHEN 'cable' THEN 'Power cable' WHEN 'substation' THEN 'Substation' WHEN 'transformer' THEN 'Transformer' WHEN 'plant' THEN 'Power plant'
+WHEN 'generator' THEN 'Generator' WHEN 'tower' THEN 'Power tower' WHEN 'pole' THEN 'Power pole' WHEN 'portal' THEN 'Power portal' WHEN 'utility_pole' THEN 'Utility pole' WHEN 'switch' THEN 'Switch' WHEN 'terminal' THEN 'Terminal' WHEN 'converter' THEN 'Converter'
+WHEN 'compensator' THEN 'Compensator' WHEN 'busbar' THEN 'Busbar' WHEN 'bay' THEN 'Bay' ELSE 'Other power feature'"""
 
 
 @query("classify_power", f"SELECT id, category, CASE category {_LABELS} END AS label FROM (SELECT id, {CASES['power']} AS category {_J})", *NODES)
@@ -62,6 +70,8 @@ def road_class(t):
     return f.select("id", c.road_class(F.col("tags")).alias("road_class"))
 
 
+#: The layer of a domain, a category and ``p`` (1: point).
+LAYER_SQL = "CASE WHEN domain = 'power' THEN CASE WHEN p = 0 THEN 'power.lines' ELSE 'power.assets' END WHEN domain = 'emergency' THEN 'emergency.facilities' ELSE concat(domain, '.', category) END"
 ALL_SQL = " UNION ALL ".join(f"SELECT id, '{d}' AS domain, {CASES[d]} AS category {_J}" + (f" WHERE {ASKS[d]}" if d == "power" else "") for d in CASES)
 
 
@@ -73,9 +83,9 @@ def classify_all(t):
 @query("profile_candidates", " UNION ALL ".join(f"SELECT id, '{d}' AS domain {_J} WHERE {ASKS[d]}" for d in ASKS), *NODES)
 def profile_candidates(t):
     """Tag sets meet the profile table on (key, value); objects follow by their set, so no object is exploded."""
-    p = F.broadcast(c.profile_rows(t.spark))  # a fixed table
+    p = c.profile_rows(t.spark)
     wanted = t("tag_kv").join(p, (t("tag_kv").k == p.k) & ((t("tag_kv").v == p.v) | (p.v == "*"))).select("tag_id", "domain").distinct()
-    return t("geo_node").join(F.broadcast(wanted), "tag_id").select("id", "domain")  # at most 31 sets in 11 domains
+    return t("geo_node").join(wanted, "tag_id").select("id", "domain")
 
 
 _REJECT = " UNION ALL ".join(f"SELECT id, '{d}' AS domain {_J} WHERE ({ASKS[d]}) AND ({CASES[d]}) IS NULL" for d in c.STRICT)
@@ -98,9 +108,12 @@ def missing_required_categories(t):
     return expected.join(seen, ["domain", "category"], "left_anti")
 
 
-@query("tag_allowlist", f"SELECT id, concat_ws(',', CASE WHEN power IS NOT NULL THEN concat('power=', power) END, CASE WHEN voltage IS NOT NULL THEN concat('voltage=', voltage) END) AS tags {_J} WHERE power IS NOT NULL OR voltage IS NOT NULL", *NODES)
+_KEPT = "('power','voltage','name','substance','man_made','amenity')"
+
+
+@query("tag_allowlist", f"SELECT n.id, string_agg(concat(k, '=', v), ',' ORDER BY k) AS tags FROM geo_node n JOIN tag_kv t ON n.tag_id = t.tag_id WHERE k IN {_KEPT} GROUP BY n.id", "geo_node", "tag_kv")
 def tag_allowlist(t):
-    return features(t).select("id", tag_text(only(F.col("tags"), ["power", "voltage", "name"])).alias("tags")).where("tags <> ''")
+    return features(t).select("id", tag_text(only(F.col("tags"), ["power", "voltage", "name", "substance", "man_made", "amenity"])).alias("tags")).where("tags <> ''")
 
 
 _STYLE = """CASE WHEN voltage IS NULL THEN 'missing' WHEN voltage = 'unknown' THEN 'unparseable' WHEN voltage LIKE '%;%' THEN 'multiple_voltage' WHEN v < 1000 THEN 'low_voltage' WHEN v < 35000 THEN 'medium_voltage' WHEN v < 150000 THEN 'high_voltage' WHEN v < 300000 THEN 'extra_high_voltage' ELSE 'ultra_high_voltage' END"""
@@ -113,7 +126,7 @@ def voltage_styles(t):
     return features(t).select("id", voltage_style(F.col("tags")["voltage"]).alias("s")).select("id", "s.state", "s.bucket")
 
 
-@query("voltage_label", f"SELECT id, CASE voltage WHEN '400000' THEN '400 kV' WHEN '110000;220000' THEN '110/220 kV' WHEN '15000' THEN '15 kV' WHEN '400' THEN '0.4 kV' ELSE coalesce(voltage, 'voltage unknown') END AS label FROM {_VOLT}", *NODES)
+@query("voltage_label", f"SELECT id, CASE voltage WHEN '400000' THEN '400 kV' WHEN '220000' THEN '220 kV' WHEN '110000;220000' THEN '110/220 kV' WHEN '60000' THEN '60 kV' WHEN '15000' THEN '15 kV' WHEN '900' THEN '0.9 kV' WHEN '400' THEN '0.4 kV' ELSE coalesce(voltage, 'voltage unknown') END AS label FROM {_VOLT}", *NODES)
 def voltage_labels(t):
     return features(t).select("id", voltage_label(F.col("tags")["voltage"]).alias("label"))
 

@@ -5,14 +5,14 @@ from pyspark.sql import functions as F
 from gridloom.functions import classify as c
 from gridloom.functions.tags import only, tag_maps, tag_text, voltage_label, voltage_style
 from gridloom.operators import layers as ops
-from gridloom.plans.classify import _BUCKET, _J, _STYLE, ALL_SQL, CASES, NODES, features
+from gridloom.plans.classify import _BUCKET, _J, _STYLE, ALL_SQL, ASKS, CASES, LAYER_SQL, NODES, features
 from gridloom.plans.views import query
 
 
 def ways(t):
     """Ways of two nodes or more, with the tags of their set."""
-    w = t("geo_node").groupBy("way_id").agg(F.count("*").alias("n")).where("n >= 2").select(F.col("way_id").alias("id"), (F.col("way_id") % 31).cast("int").alias("tag_id"))
-    return w.join(F.broadcast(tag_maps(t("tag_kv"))), "tag_id")
+    w = t("geo_node").groupBy("way_id").agg(F.count("*").alias("n")).where("n >= 2").select(F.col("way_id").alias("id"), (F.col("way_id") % 90).cast("int").alias("tag_id"))
+    return w.join(tag_maps(t("tag_kv")), "tag_id")
 
 
 def objects(t):
@@ -21,9 +21,9 @@ def objects(t):
     return n.unionByName(ways(t).select("id", F.lit("way").alias("element"), F.lit("LineString").alias("gtype"), "tags"))
 
 
-_WAY = "(SELECT way_id AS id, CAST(way_id % 31 AS INT) AS tag_id FROM geo_node GROUP BY way_id HAVING count(*) >= 2)"
+_WAY = "(SELECT way_id AS id, CAST(way_id % 90 AS INT) AS tag_id FROM geo_node GROUP BY way_id HAVING count(*) >= 2)"
 _ALL = f"{ALL_SQL.replace('SELECT id, ', 'SELECT id, 1 AS p, ')} UNION ALL {ALL_SQL.replace('SELECT id, ', 'SELECT id, 0 AS p, ').replace('FROM geo_node n', f'FROM {_WAY} n')}"
-_LAYER = "CASE WHEN domain = 'power' THEN CASE WHEN p = 0 THEN 'power.lines' ELSE 'power.assets' END WHEN domain = 'emergency' THEN 'emergency.facilities' ELSE concat(domain, '.', category) END"
+_LAYER = LAYER_SQL
 
 
 @query("layer_assignment", f"""WITH a AS (SELECT domain, {_LAYER} AS layer_id, count(*) AS n FROM ({_ALL}) WHERE category IS NOT NULL GROUP BY 1, 2)
@@ -72,7 +72,7 @@ def attribute_container(t):
 
 
 @query("presentation_row", f"""SELECT concat('node/', CAST(id AS VARCHAR)) AS source_id, 'openstreetmap' AS source, 'power' AS domain, {CASES['power']} AS asset_type, {_STYLE} AS voltage_state, {_BUCKET} AS voltage_bucket,
-CASE voltage WHEN '400000' THEN '400 kV' WHEN '110000;220000' THEN '110/220 kV' WHEN '15000' THEN '15 kV' WHEN '400' THEN '0.4 kV' ELSE coalesce(voltage, 'voltage unknown') END AS voltage_label,
+CASE voltage WHEN '400000' THEN '400 kV' WHEN '220000' THEN '220 kV' WHEN '110000;220000' THEN '110/220 kV' WHEN '60000' THEN '60 kV' WHEN '15000' THEN '15 kV' WHEN '900' THEN '0.9 kV' WHEN '400' THEN '0.4 kV' ELSE coalesce(voltage, 'voltage unknown') END AS voltage_label,
 CASE WHEN power IN ('line','minor_line','cable') AND voltage IS NULL THEN 'voltage' ELSE '' END AS missing_fields, 'partial; community data' AS limitations
 FROM (SELECT n.id, w.*, list_max(list_transform(string_split(voltage, ';'), lambda x: TRY_CAST(x AS BIGINT))) AS v {_J})""", *NODES)
 def presentation_row(t):
@@ -83,7 +83,7 @@ def presentation_row(t):
                     F.array_join(ops.missing_fields(F.col("asset_type"), F.col("tags")), ", ").alias("missing_fields"), F.array_join(limits, "; ").alias("limitations"))
 
 
-@query("feature_min_zoom", f"SELECT id, CASE WHEN a IN ('tower','utility_pole') THEN 12 WHEN a = 'pole' THEN 14 ELSE 7 END AS min_zoom FROM (SELECT id, {CASES['power']} AS a {_J})", *NODES)
+@query("feature_min_zoom", f"SELECT id, CASE WHEN a IN ('tower','portal','utility_pole') THEN 12 WHEN a = 'pole' THEN 14 ELSE 7 END AS min_zoom FROM (SELECT id, {CASES['power']} AS a {_J})", *NODES)
 def feature_min_zoom(t):
     return features(t).select("id", ops.min_zoom(c.power_category(F.col("tags"))).alias("min_zoom"))
 
@@ -104,34 +104,44 @@ def preview_layers(t):
 @query("source_separated_layers", f"SELECT layer_id, public, count(*) AS n FROM (SELECT concat('emergency.', category, CASE WHEN id % 4 = 0 THEN '.prg_wfs' ELSE '.openstreetmap' END) AS layer_id, id % 4 <> 0 AS public FROM (SELECT id, {CASES['emergency']} AS category {_J}) WHERE category IS NOT NULL) GROUP BY 1, 2", *NODES)
 def source_separated_layers(t):
     f = features(t).withColumn("category", c.category("emergency", F.col("tags"))).where("category is not null").withColumn("source_id", F.when(F.col("id") % 4 == 0, "prg_wfs").otherwise("openstreetmap"))
-    r = F.broadcast(t("source_registry").select("source_id", (F.col("public_export") == "allowed").alias("public")))  # a fixed table
+    r = t("source_registry").select("source_id", (F.col("public_export") == "allowed").alias("public"))
     return f.join(r, "source_id").groupBy(F.concat_ws(".", F.lit("emergency"), "category", "source_id").alias("layer_id"), "public").agg(F.count("*").alias("n"))
 
 
-@query("combine_layers", f"SELECT id, 'roads' AS layer {_J} WHERE highway IN ('trunk','tertiary') UNION ALL SELECT id, 'rail' {_J} WHERE railway = 'rail'", *NODES)
+@query("combine_layers", f"SELECT id, 'roads' AS layer {_J} WHERE highway IN ('motorway','trunk','primary','secondary','tertiary') UNION ALL SELECT id, 'rail' {_J} WHERE railway = 'rail'", *NODES)
 def combine_layers(t):
     f = features(t).withColumn("c", c.category("transport", F.col("tags")))
     return f.where("c = 'roads'").select("id", F.lit("roads").alias("layer")).unionByName(f.where("c = 'railways'").select("id", F.lit("rail").alias("layer")))
 
 
-@query("artifact_manifest", f"SELECT layer_id, count(*) AS feature_count FROM (SELECT {_LAYER} AS layer_id FROM ({_ALL}) WHERE category IS NOT NULL) GROUP BY layer_id", *NODES)
+_TEXTS = f"""o AS (SELECT 'node' AS element, n.id, 1 AS p, w.* FROM geo_node n JOIN tag_wide w ON n.tag_id = w.tag_id UNION ALL SELECT 'way', v.id, 0, w.* FROM {_WAY} v JOIN tag_wide w ON v.tag_id = w.tag_id),
+f AS ({' UNION ALL '.join(f"SELECT element, id, p, tag_id, '{d}' AS domain, {CASES[d]} AS category FROM o" + (f" WHERE {ASKS[d]}" if d == 'power' else '') for d in CASES)}),
+tt AS (SELECT tag_id, string_agg(concat(k, '=', v), ',' ORDER BY concat(k, '=', v)) AS tag_text FROM tag_kv GROUP BY tag_id),
+h AS (SELECT {LAYER_SQL} AS layer_id, sha256(concat_ws(chr(31), element, CAST(id AS VARCHAR), category, tag_text)) AS t FROM f JOIN tt ON f.tag_id = tt.tag_id WHERE category IS NOT NULL)"""
+_HEX12 = lambda i: f"sum(CAST(concat('0x', substr(t, {1 + 12 * i}, 12)) AS BIGINT))"
+
+
+@query("artifact_manifest", f"WITH {_TEXTS}, g AS (SELECT layer_id, count(*) AS n, {', '.join(f'{_HEX12(i)} AS s{i}' for i in range(3))} FROM h GROUP BY layer_id) SELECT layer_id, n AS feature_count, sha256(concat_ws(':', CAST(n AS VARCHAR), CAST(s0 AS VARCHAR), CAST(s1 AS VARCHAR), CAST(s2 AS VARCHAR))) AS digest, concat('gridloom:', layer_id) AS origin FROM g", "geo_node", "tag_wide", "tag_kv")
 def artifact_manifest(t):
+    """Each layer with its count, its digest and where it comes from."""
     f = c.classify_all(objects(t)).withColumn("layer_id", ops.layer_id(F.col("domain"), F.col("category"), F.col("gtype"))).withColumn("tag_text", tag_text(F.col("tags")))
-    return ops.layer_digest(f, ["layer_id"], ["element", "id", "category", "tag_text"]).where(F.length("digest") == 64).select("layer_id", "feature_count")
+    return ops.layer_digest(f, ["layer_id"], ["element", "id", "category", "tag_text"]).withColumn("origin", F.concat(F.lit("gridloom:"), F.col("layer_id")))
 
 
-@query("artifact_digests")
+@query("artifact_digests", f"WITH {_TEXTS}, g AS (SELECT layer_id, count(*) AS n, {', '.join(f'{_HEX12(i)} AS s{i}' for i in range(3))} FROM h GROUP BY layer_id) SELECT layer_id, n AS feature_count, sha256(concat_ws(':', CAST(n AS VARCHAR), CAST(s0 AS VARCHAR), CAST(s1 AS VARCHAR), CAST(s2 AS VARCHAR))) AS digest FROM g", "geo_node", "tag_wide", "tag_kv")
 def artifact_digests(t):
-    """The digest column of the manifest; it has no SQL form in the other engine."""
+    """The digest column of the manifest."""
     f = c.classify_all(objects(t)).withColumn("layer_id", ops.layer_id(F.col("domain"), F.col("category"), F.col("gtype"))).withColumn("tag_text", tag_text(F.col("tags")))
     return ops.layer_digest(f, ["layer_id"], ["element", "id", "category", "tag_text"])
 
 
-@query("source_evidence", f"SELECT category, string_agg(DISTINCT tag, ',' ORDER BY tag) AS tags, count(DISTINCT id) AS n FROM (SELECT a.id, a.category, concat(t.k, '=', t.v) AS tag FROM (SELECT id, tag_id, {CASES['emergency']} AS category FROM (SELECT n.id, w.* {_J})) a JOIN tag_kv t ON a.tag_id = t.tag_id WHERE a.category IS NOT NULL) GROUP BY category", *NODES)
+@query("source_evidence", f"WITH {_TEXTS.split('tt AS')[0]} x AS (SELECT {LAYER_SQL} AS layer_id, domain, element, id, concat(k, '=', v) AS tag FROM f JOIN tag_kv t ON f.tag_id = t.tag_id WHERE category IS NOT NULL) SELECT layer_id, domain, 'openstreetmap' AS source_id, string_agg(DISTINCT tag, ',' ORDER BY tag) AS tags, count(DISTINCT concat(element, '/', CAST(id AS VARCHAR))) AS n FROM x GROUP BY layer_id, domain", "geo_node", "tag_wide", "tag_kv")
 def source_evidence(t):
-    f = features(t).withColumn("category", c.category("emergency", F.col("tags"))).where("category is not null")
-    pairs = f.select("category", "id", F.explode(F.transform(F.map_entries("tags"), lambda e: F.concat_ws("=", e["key"], e["value"]))).alias("tag"))
-    return pairs.groupBy("category").agg(F.array_join(F.array_sort(F.collect_set("tag")), ",").alias("tags"), F.count_distinct("id").alias("n"))
+    """The tags behind each layer of all domains, and how many objects show them. Tags are counted by tag set first, so a layer's tags are bounded by the dictionary."""
+    f = c.classify_all(objects(t)).withColumn("layer_id", ops.layer_id(F.col("domain"), F.col("category"), F.col("gtype")))
+    n = f.withColumn("tags_text", tag_text(F.col("tags"))).groupBy("layer_id", "domain", "tags_text").agg(F.count("*").alias("n"))
+    g = n.groupBy("layer_id", "domain").agg(F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.split("tags_text", ","))))), ",").alias("tags"), F.sum("n").alias("n"))
+    return g.select("layer_id", "domain", F.lit("openstreetmap").alias("source_id"), "tags", "n")
 
 
 @query("class_allowlist", "SELECT k.v AS class, m.role, count(*) AS n FROM geo_node g JOIN tag_kv k ON g.tag_id = k.tag_id AND k.k = 'power' LEFT JOIN (VALUES ('line','network'),('cable','network'),('substation','site'),('plant','site')) AS m(class, role) ON k.v = m.class GROUP BY 1, 2", "geo_node", "tag_kv")
@@ -139,7 +149,7 @@ def class_allowlist(t):
     """Classes with their role; those that are not on the list keep a null role and so show as unmapped."""
     roles = t.spark.createDataFrame([("line", "network"), ("cable", "network"), ("substation", "site"), ("plant", "site")], "class string, role string")
     f = features(t).select(F.col("tags")["power"].alias("class")).where("class is not null").groupBy("class").agg(F.count("*").alias("n"))
-    return f.join(F.broadcast(roles), "class", "left").select("class", "role", "n")
+    return f.join(roles, "class", "left").select("class", "role", "n")
 
 
 @query("sanitize_attrs", f"SELECT id, CASE WHEN id % 5 = 0 THEN NULL ELSE CAST(id AS VARCHAR) END AS a, concat('[\"', power, '\"]') AS b {_J} WHERE power IS NOT NULL", *NODES)

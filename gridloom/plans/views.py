@@ -19,7 +19,15 @@ _TAGS = """
 6 power substation|7 power transformer|8 power tower|9 power pole|10 man_made utility_pole|11 power plant|11 plant:output:heat yes|12 amenity hospital|13 amenity fire_station
 14 emergency mountain_rescue|15 amenity school|16 highway trunk|17 highway tertiary|18 railway rail|19 bridge viaduct|20 waterway river|21 man_made pumping_station|21 substance water
 22 man_made pipeline|22 substance gas|23 pipeline sewer|23 substance stormwater|24 man_made wastewater_plant|25 landuse industrial|26 man_made works|27 man_made mast|28 man_made mast
-28 tower:type communication|29 communication line|30 man_made pipeline|30 substance steam
+28 tower:type communication|29 communication line|30 man_made pipeline|30 substance steam|31 aeroway aerodrome|32 aeroway helipad|33 office government|34 healthcare hospital|35 amenity police
+36 amenity ambulance_station|37 amenity townhall|38 amenity post_office|39 amenity library|40 railway station|41 highway viaduct|42 bridge yes|43 man_made water_works|44 pipeline water
+45 man_made pumping_station|45 pumping water|46 pipeline valve|46 substance gas|47 pipeline valve|48 man_made gasometer|49 pipeline gas|50 pipeline sewer|51 man_made manhole|51 utility sewer
+52 man_made pumping_station|52 pumping wastewater|53 man_made septic_tank|53 sewer drainage|54 military base|54 man_made works|55 landuse military|56 industrial factory|57 building industrial
+58 man_made communications_tower|59 man_made tower|59 communication:radio yes|60 man_made antenna|60 communication:mobile_phone yes|61 telecom exchange|62 cable communication|63 man_made antenna
+64 industrial heating_station|65 power generator|65 generator:output:heat YES|66 power plant|66 plant:source heat|67 power generator|67 generator:source heat|68 man_made heat_exchanger
+69 pipeline heating|70 power generator|71 power switch|72 power terminal|73 power converter|74 power compensator|75 power busbar|76 power bay|77 power portal|78 power odd|79 power line
+79 voltage 220000|79 name Two names|80 power minor_line|80 voltage 900|81 power cable|81 voltage 60000|82 highway motorway|83 highway secondary|84 emergency lifeguard_base|85 waterway ditch
+86 man_made pipeline|86 substance water|87 man_made pipeline|87 substance sewerage|88 amenity water_point|89 industrial works
 """
 TAG_ROWS = [tuple(x.split(" ", 2)) for line in _TAGS.strip().splitlines() for x in line.split("|")]
 TAG_KEYS = sorted({k for _, k, _ in TAG_ROWS})
@@ -48,11 +56,11 @@ VIEWS = {
     "tag_kv": f"SELECT * FROM (VALUES {_values([(int(a), k, v) for a, k, v in TAG_ROWS])}) AS t(tag_id, k, v)",
     "tag_wide": "SELECT tag_id, " + ", ".join(f"max(CASE WHEN k = '{k}' THEN v END) AS {k.replace(':', '_')}" for k in TAG_KEYS) + " FROM {tag_kv} GROUP BY tag_id",
     "geo_node": """SELECT l_orderkey * 10 + l_linenumber AS id, l_orderkey AS way_id, l_linenumber AS seq, min(l_partkey) AS pk,
- CAST(min(l_partkey) % 31 AS INT) AS tag_id, count(*) AS dup_count,
+ CAST(min(l_partkey) % 90 AS INT) AS tag_id, count(*) AS dup_count,
  17.95e0 + CAST((l_orderkey * 7919) % 100003 AS DOUBLE) / 100003e0 * 1.2e0 + CAST((l_linenumber * 37) % 11 - 5 AS DOUBLE) * 0.002e0 AS lon,
  49.75e0 + CAST((l_orderkey * 104729) % 100019 AS DOUBLE) / 100019e0 * 0.7e0 + CAST((l_linenumber * 53) % 13 - 6 AS DOUBLE) * 0.0015e0 AS lat
  FROM {lineitem} GROUP BY l_orderkey, l_linenumber""",
-    "geo_segment": """SELECT way_id, CAST(way_id % 31 AS INT) AS tag_id, seq, lon AS lon1, lat AS lat1,
+    "geo_segment": """SELECT way_id, CAST(way_id % 90 AS INT) AS tag_id, seq, lon AS lon1, lat AS lat1,
  lead(lon) OVER (PARTITION BY way_id ORDER BY seq) AS lon2, lead(lat) OVER (PARTITION BY way_id ORDER BY seq) AS lat2 FROM {geo_node}""",
     "admin_unit": """SELECT concat('voivodeship_', CAST(r_regionkey AS STRING)) AS id, 'voivodeship' AS kind, CAST(NULL AS STRING) AS parent_id, CAST(NULL AS DOUBLE) AS min_lon, CAST(NULL AS DOUBLE) AS min_lat, CAST(NULL AS DOUBLE) AS max_lon, CAST(NULL AS DOUBLE) AS max_lat FROM {region}
 UNION ALL SELECT concat('county_', CAST(n_nationkey AS STRING)), 'county', concat('voivodeship_', CAST(n_regionkey AS STRING)),
@@ -69,6 +77,8 @@ UNION ALL SELECT CASE WHEN id % 29 = 0 THEN 'kiut_gesut_wms' ELSE 'bdot10k' END,
  CASE WHEN count(CASE WHEN o_orderstatus = 'F' THEN 1 END) = count(*) THEN 'failed' WHEN max(o_orderkey) % 6 = 0 THEN 'pending_qualification' WHEN max(o_orderkey) % 5 = 0 THEN 'needs_source' ELSE 'ready' END AS status,
  min(o_orderdate) AS source_observed_at, sum(o_orderkey % 500) AS queried_feature_count, sum(o_orderkey % 300) AS accepted_feature_count, CASE WHEN o_custkey % 9 = 0 THEN 'mirror_b' ELSE 'mirror_a' END AS endpoint
  FROM {{orders}} GROUP BY o_custkey, {_DOMAIN_CASE}""",
+    # one circle per nation, as metres from the centre
+    "nation_area": """SELECT n_nationkey AS aoi_id, CAST(n_nationkey % 5 - 2 AS DOUBLE) * 15000e0 AS dx, (floor(CAST(n_nationkey AS DOUBLE) / 5e0) - 2e0) * 13000e0 AS dy, 4000e0 + CAST(n_nationkey % 5 AS DOUBLE) * 1000e0 AS r FROM {nation}""",
     # one box per customer: sites and requested areas
     "site_box": """SELECT c_custkey AS id, CAST(c_custkey % 25 AS INT) AS n, 17.95e0 + 0.0024e0 * CAST(c_custkey % 400 AS DOUBLE) AS min_lon, 49.75e0 + 0.0014e0 * CAST(c_custkey % 390 AS DOUBLE) AS min_lat,
  17.95e0 + 0.0024e0 * CAST(c_custkey % 400 AS DOUBLE) + 0.24e0 AS max_lon, 49.75e0 + 0.0014e0 * CAST(c_custkey % 390 AS DOUBLE) + 0.14e0 AS max_lat FROM {customer}""",
@@ -158,5 +168,5 @@ def _projected(source: str, lon: str, lat: str, keep: str) -> str:
 
 
 VIEWS["metric"] = _projected("{geo_node}", "lon", "lat", "id, way_id, seq, tag_id, dup_count, lon, lat")
-VIEWS["metric_segment"] = """SELECT way_id, CAST(way_id % 31 AS INT) AS tag_id, seq, lon AS lon1, lat AS lat1, x AS x1, y AS y1, lead(lon) OVER w AS lon2, lead(lat) OVER w AS lat2, lead(x) OVER w AS x2, lead(y) OVER w AS y2
+VIEWS["metric_segment"] = """SELECT way_id, CAST(way_id % 90 AS INT) AS tag_id, seq, lon AS lon1, lat AS lat1, x AS x1, y AS y1, lead(lon) OVER w AS lon2, lead(lat) OVER w AS lat2, lead(x) OVER w AS x2, lead(y) OVER w AS y2
  FROM {metric} WINDOW w AS (PARTITION BY way_id ORDER BY seq)"""
