@@ -20,10 +20,23 @@ def tile_cover(boxes: DataFrame, min_zoom: Column, max_zoom: int = MAX_ZOOM) ->
 
 
 def segment_tiles(seg: DataFrame, min_zoom: Column, max_zoom: int = MAX_ZOOM) -> DataFrame:
-    """Segments (lon1, lat1, lon2, lat2) once for each tile they touch: the cover of their box, then the exact test."""
-    box = seg.withColumns({"xmin": F.least("lon1", "lon2"), "xmax": F.greatest("lon1", "lon2"), "ymin": F.least("lat1", "lat2"), "ymax": F.greatest("lat1", "lat2")})
-    d = tile_cover(box, min_zoom, max_zoom)
-    z, x, y = F.col("z"), F.col("x"), F.col("y")
+    """Segments (lon1, lat1, lon2, lat2) once for each tile they touch. A segment is laid out by the rows of tiles that it crosses, and in each row by the columns of the part inside, so
+    a long one costs what it crosses and not what its box covers."""
+    first = F.greatest(min_zoom, F.lit(MIN_ZOOM))
+    d = seg.where(first <= max_zoom).withColumn("z", F.explode(F.sequence(first, F.lit(max_zoom))))
+    z = F.col("z")
+    low, high = F.least("lat1", "lat2"), F.greatest("lat1", "lat2")
+    d = d.withColumn("y", F.explode(F.sequence(geo.tile_y(high, z), geo.tile_y(low, z))))
+    y = F.col("y")
+    # the part of the segment in the row, by latitude
+    band = F.explode(F.array(F.struct(F.greatest(low, geo.tile_north(y + 1, z)).alias("s"), F.least(high, geo.tile_north(y, z)).alias("n"))))
+    d = d.withColumn("_b", band)
+    dlat, dlon = F.col("lat2") - F.col("lat1"), F.col("lon2") - F.col("lon1")
+    at = lambda lat: F.when(dlat != 0, F.col("lon1") + (lat - F.col("lat1")) / F.nullif(dlat, F.lit(0.0)) * dlon)
+    d = d.withColumn("_e", F.explode(F.array(F.struct(F.coalesce(at(F.col("_b.s")), F.col("lon1")).alias("p"), F.coalesce(at(F.col("_b.n")), F.col("lon2")).alias("q")))))
+    west, east = F.greatest(F.least("_e.p", "_e.q"), F.least("lon1", "lon2")), F.least(F.greatest("_e.p", "_e.q"), F.greatest("lon1", "lon2"))
+    d = d.withColumn("x", F.explode(F.sequence(geo.tile_x(west - 1e-12, z), geo.tile_x(east + 1e-12, z)))).drop("_b", "_e")
+    x = F.col("x")
     a, b = geo.clip_to_box(geo.tile_west(x, z), geo.tile_north(y + 1, z), geo.tile_west(x + 1, z), geo.tile_north(y, z), F.col("lon1"), F.col("lat1"), F.col("lon2"), F.col("lat2"))
     return d.where(a <= b)
 
@@ -33,9 +46,17 @@ def tile_counts(placed: DataFrame, layer: str = "layer") -> DataFrame:
     return placed.groupBy("z", "x", "y", layer).agg(F.count_distinct("source_id").alias("n_features"))
 
 
-def tile_contents(placed: DataFrame, layer: str = "layer") -> DataFrame:
-    """The features of each tile and layer as one array, for a tile writer. A tile is bounded by what its zoom admits."""
-    return placed.groupBy("z", "x", "y", layer).agg(F.array_sort(F.collect_set("source_id")).alias("features"))
+#: Features of a part of a tile's contents, on average.
+PART = 1000
+
+
+def tile_contents(placed: DataFrame, layer: str = "layer", part: int = PART) -> DataFrame:
+    """The features of each tile and layer for a tile writer, as sorted arrays of about ``part`` features each, told apart by ``part``. A tile of a low zoom holds a whole region, so it is dealt over
+    as many parts as it needs by a hash of the feature; no array and no task holds a tile in whole."""
+    key = ["z", "x", "y", layer]
+    size = placed.groupBy(*key).agg(F.ceil(F.count("*") / part).alias("_n"))
+    d = placed.join(size, key).withColumn("part", F.pmod(F.crc32(F.encode(F.col("source_id").cast("string"), "UTF-8")), F.col("_n")).cast("int"))
+    return d.groupBy(*key, "part").agg(F.array_sort(F.collect_set("source_id")).alias("features"))
 
 
 def in_curve_order(tiles: DataFrame, bits: int = MAX_ZOOM) -> DataFrame:
