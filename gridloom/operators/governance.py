@@ -62,7 +62,7 @@ def provenance(artifacts: DataFrame) -> DataFrame:
 def provenance_violations(artifacts: DataFrame, registry: DataFrame) -> DataFrame:
     """``artifact_id, code``: unknown source, source named twice, public file from a source that may not be exported."""
     known = registry.select("source_id", F.col("public_export").alias("may"), "usage_role")
-    p = provenance(artifacts).join(F.broadcast(known), "source_id", "left")  # a registry row per source
+    p = provenance(artifacts).join(known, "source_id", "left")  # a registry row per source
     bad = p.select("artifact_id", F.explode(F.array_compact(F.array(F.when(F.col("may").isNull(), "unknown_source"), F.when(F.col("public_export") & (F.col("may") != "allowed"), "export_not_allowed"),
                                                                      F.when((F.col("pos") == 0) & (F.col("usage_role") == "reference"), "role_not_allowed")))).alias("code")).distinct()
     return bad.unionByName(artifacts.where(F.col("source_a") == F.col("source_b")).select("artifact_id", F.lit("duplicate_source").alias("code")))

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 # Spellings of validation results.
 SPELLINGS = {"passed": ("pass", "ok", "success", "valid"), "warning": ("warn", "warning"), "failed": ("fail", "failed", "error", "invalid")}
@@ -105,9 +104,10 @@ def compare(pairs_: DataFrame) -> DataFrame:
         .when(d <= SAME_PLACE, "matched").otherwise("source_only"))
 
 
-def latest(rows: DataFrame, by: list[str], *order) -> DataFrame:
-    """The first row of each group in the given order."""
-    return rows.withColumn("_n", F.row_number().over(W.partitionBy(*by).orderBy(*order))).where("_n = 1").drop("_n")
+def latest(rows: DataFrame, by: list[str], *order: str) -> DataFrame:
+    """The row of each group that is greatest by the columns of ``order``. A maximum combines before the shuffle, so a group that holds most rows is one row a partition."""
+    rest = [c for c in rows.columns if c not in by]
+    return rows.groupBy(*by).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("_r")).select(*by, "_r.*")
 
 
 CONTRACT = "provider_geojson/v1"

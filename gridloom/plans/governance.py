@@ -30,7 +30,7 @@ def registry_violations(t):
 
 @query("artifact_sources", "SELECT a.artifact_id, count(*) AS n_sources, count(r.source_id) AS n_known, coalesce(bool_and(r.eligible_for_analysis), false) AS all_eligible, string_agg(r.authority, ',' ORDER BY pos) AS authorities FROM (SELECT artifact_id, 0 AS pos, source_a AS source_id FROM artifact UNION ALL SELECT artifact_id, 1, source_b FROM artifact) a LEFT JOIN source_registry r ON r.source_id = a.source_id GROUP BY 1", "artifact", "source_registry")
 def artifact_sources(t):
-    p = g.provenance(t("artifact").drop("public_export")).join(F.broadcast(t("source_registry").select("source_id", F.col("source_id").alias("known"), "eligible_for_analysis", "authority")), "source_id", "left")
+    p = g.provenance(t("artifact").drop("public_export")).join(t("source_registry").select("source_id", F.col("source_id").alias("known"), "eligible_for_analysis", "authority"), "source_id", "left")
     a = p.groupBy("artifact_id").agg(F.count("*").alias("n_sources"), F.count("known").alias("n_known"), F.coalesce(F.bool_and("eligible_for_analysis"), F.lit(False)).alias("all_eligible"), F.array_sort(F.collect_list(F.when(F.col("known").isNotNull(), F.struct("pos", "authority")))).alias("l"))
     return a.select("artifact_id", "n_sources", "n_known", "all_eligible", F.when(F.size("l") > 0, F.array_join(F.transform("l", lambda x: x["authority"]), ",")).alias("authorities"))
 
@@ -50,7 +50,7 @@ def reports(t):
     names = [x for x in ("openstreetmap", "manual_power_seed", "prg_wfs", "bdot10k", "kiut_gesut_wms", "geoportal_orthophoto", "nmt_nmpt", "paid_candidate")]
     r = t("events").select("event_id", F.element_at(F.lit(names), (F.col("user_id") % 8 + 1).cast("int")).alias("source_id"), F.element_at(F.lit(["available", "unavailable", "not_eligible", "reference_only"]), (F.col("event_id") % 4 + 1).cast("int")).alias("availability"),
                            F.when(F.col("event_id") % 3 == 0, "uncovered").otherwise("covered").alias("aoi_coverage"), F.col("ts").cast("timestamp").alias("ts"), (F.col("event_id") % 30 + 1).cast("int").alias("days"))
-    reg = F.broadcast(t("source_registry").select("source_id", "usage_role", g.eligibility("analytical_processing")["outcome"].alias("eligibility")))
+    reg = t("source_registry").select("source_id", "usage_role", g.eligibility("analytical_processing")["outcome"].alias("eligibility"))
     r = r.join(reg, "source_id").withColumn("freshness", g.freshness(F.col("ts"), F.col("days"), F.expr(_NOW)))
     return r.withColumn("actionable_gap", F.col("availability").isin("unavailable", "not_eligible") | ((F.col("aoi_coverage") == "uncovered") & (F.col("usage_role") == "analytical")))
 
@@ -132,6 +132,6 @@ def request_identity(t):
 
 @query("context_outcomes", "SELECT c_custkey AS aoi_id, source_id, CASE usage_role WHEN 'reference' THEN 'reference_only' ELSE 'context_only' END AS status FROM customer, source_registry WHERE usage_role <> 'analytical' UNION ALL SELECT c_custkey, 'prg_wfs', 'administrative' FROM customer WHERE c_custkey % 3 = 2", "source_registry")
 def context_outcomes(t):
-    rules = F.broadcast(t("source_registry").where("usage_role <> 'analytical'").select(F.lit(1).alias("k"), "source_id", F.when(F.col("usage_role") == "reference", "reference_only").otherwise("context_only").alias("status")))
+    rules = t("source_registry").where("usage_role <> 'analytical'").select(F.lit(1).alias("k"), "source_id", F.when(F.col("usage_role") == "reference", "reference_only").otherwise("context_only").alias("status"))
     a = t("customer").select(F.col("c_custkey").alias("aoi_id"), F.lit(1).alias("k"))
     return a.join(rules, "k").drop("k").unionByName(a.where("aoi_id % 3 = 2").select("aoi_id", F.lit("prg_wfs").alias("source_id"), F.lit("administrative").alias("status")))

@@ -58,9 +58,9 @@ def quality_issues(t):
     return e.select(q.issue_id(F.col("layer_id"), F.col("rule_id"), F.col("code")).alias("issue_id"), "layer_id", "severity")
 
 
-@query("issue_ids", f"SELECT layer_id, rule_id, concat('DQ-', upper(replace(layer_id, '.', '-')), '-', code) AS issue_id FROM ({_EV}) WHERE severity = 'high'", "layer_summary")
+@query("issue_ids", f"SELECT layer_id, rule_id, concat('DQ-', upper(replace(layer_id, '.', '-')), '-', code) AS issue_id FROM ({_EV})", "layer_summary")
 def issue_ids(t):
-    e = q.evaluate_rules(layers(t)).where("severity = 'high'")
+    e = q.evaluate_rules(layers(t))
     return e.select("layer_id", "rule_id", q.issue_id(F.col("layer_id"), F.col("rule_id"), F.col("code")).alias("issue_id"))
 
 
@@ -101,24 +101,30 @@ def domain_validation(t):
     return g.select("aoi_id", F.element_at(F.lit(["pass", "warn", "fail"]), F.col("w") + 1).alias("status"), "has_features", "n_layers")
 
 
-@query("count_reconciliation", f"SELECT category, n AS counted, n + CASE WHEN category = 'police' OR n % 2 = 0 THEN 0 ELSE 1 END AS said, n % 2 = 0 OR category = 'police' AS same FROM (SELECT category, count(*) AS n FROM (SELECT {CASES['emergency']} AS category {_J}) WHERE category IS NOT NULL GROUP BY category)", *NODES)
+_LINKED = "SELECT artifact_ord, aoi_id, CAST(feature_count AS BIGINT) AS said FROM artifact WHERE feature_count IS NOT NULL"
+
+
+@query("count_reconciliation", f"SELECT a.artifact_ord, coalesce(n, 0) AS counted, said, coalesce(n, 0) = said AS same FROM ({_LINKED}) a LEFT JOIN (SELECT way_id, count(*) AS n FROM geo_node GROUP BY way_id) g ON g.way_id = a.artifact_ord", "artifact", "geo_node")
 def count_reconciliation(t):
-    n = features(t).select(c.category("emergency", F.col("tags")).alias("category")).where("category is not null").groupBy("category").agg(F.count("*").alias("counted"))
-    said = n.select(F.col("category").alias("c2"), (F.col("counted") + F.when((F.col("category") == "police") | (F.col("counted") % 2 == 0), 0).otherwise(1)).alias("said"))
-    return n.join(said, F.col("category") == F.col("c2"), "left").select("category", "counted", "said", (F.col("counted") == F.col("said")).alias("same"))
+    """What the metadata of an artifact says against the rows that are there; an artifact without rows has none."""
+    a = t("artifact").where("feature_count is not null").select("artifact_ord", F.col("feature_count").alias("said"))
+    n = t("geo_node").groupBy(F.col("way_id").alias("artifact_ord")).agg(F.count("*").alias("n"))
+    counted = F.coalesce("n", F.lit(0))
+    return a.join(n, "artifact_ord", "left").select("artifact_ord", counted.alias("counted"), "said", (counted == F.col("said")).alias("same"))
 
 
 _FIT = "('openstreetmap','bdot10k','prg_wfs')"
-_CMP = f"""SELECT l.id, CASE WHEN r.id IS NULL THEN 'source_only' WHEN l.source_id NOT IN {_FIT} OR r.source_id NOT IN {_FIT} THEN 'not_comparable' WHEN l.stable_id = r.stable_id THEN 'matched' WHEN l.asset_type IS NULL OR r.asset_type IS NULL THEN 'ambiguous'
+_CMP = f"""WITH lx AS (SELECT * FROM xs_feature WHERE source_id = 'openstreetmap'), rx AS (SELECT * FROM xs_feature WHERE source_id <> 'openstreetmap')
+SELECT l.id, CASE WHEN r.id IS NULL THEN 'source_only' WHEN l.source_id NOT IN {_FIT} OR r.source_id NOT IN {_FIT} THEN 'not_comparable' WHEN l.stable_id = r.stable_id THEN 'matched' WHEN l.asset_type IS NULL OR r.asset_type IS NULL THEN 'ambiguous'
 WHEN l.asset_type <> r.asset_type THEN 'conflicting' WHEN sqrt(power(l.lon - r.lon, 2) + power(l.lat - r.lat, 2)) <= 0.0001e0 THEN 'matched' ELSE 'source_only' END AS outcome, round(sqrt(power(l.lon - r.lon, 2) + power(l.lat - r.lat, 2)), 8) AS distance
-FROM xs_feature l LEFT JOIN xs_feature r ON l.id = r.id AND r.source_id <> 'openstreetmap' WHERE l.source_id = 'openstreetmap'"""
+FROM lx l LEFT JOIN rx r ON l.id = r.id"""
 
 
 def compared(t):
     from gridloom.operators.governance import eligibility
 
     fit = t("source_registry").select("source_id", (eligibility("comparison")["outcome"] == "allowed").alias("fit"))
-    side = lambda p, d: d.join(F.broadcast(fit), "source_id", "left").select(F.col("id").alias(f"{p}_id"), F.col("source_id").alias(f"{p}_source"), F.col("stable_id").alias(f"{p}_stable"), F.col("asset_type").alias(f"{p}_type"), F.col("lon").alias(f"{p}_lon"), F.col("lat").alias(f"{p}_lat"), F.coalesce("fit", F.lit(False)).alias(f"{p}_fit"))
+    side = lambda p, d: d.join(fit, "source_id", "left").select(F.col("id").alias(f"{p}_id"), F.col("source_id").alias(f"{p}_source"), F.col("stable_id").alias(f"{p}_stable"), F.col("asset_type").alias(f"{p}_type"), F.col("lon").alias(f"{p}_lon"), F.col("lat").alias(f"{p}_lat"), F.coalesce("fit", F.lit(False)).alias(f"{p}_fit"))
     x = t("xs_feature")
     l, r = side("l", x.where("source_id = 'openstreetmap'")), side("r", x.where("source_id <> 'openstreetmap'"))
     return q.compare(l.join(r, F.col("l_id") == F.col("r_id"), "left"))

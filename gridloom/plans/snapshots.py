@@ -5,7 +5,7 @@ from pyspark.sql import Window as W
 
 from gridloom.operators import quality as q
 from gridloom.operators import snapshots as s
-from gridloom.plans.classify import CASES, _J, NODES, features
+from gridloom.plans.classify import ALL_SQL, _J, NODES, features
 from gridloom.functions import classify as c
 from gridloom.plans.views import query
 
@@ -61,9 +61,9 @@ def multi_domain_export(t):
     return r.join(o, ["request_id", "domain"], "left").select("request_id", "domain", F.when(F.col("st") == "ready", pack).otherwise(F.coalesce("st", F.lit("not_prepared"))).alias("status"))
 
 
-@query("promote_snapshot", "SELECT aoi_id, bool_and(readiness IN ('ready','usable_with_limitations')) AS promoted, CAST(sum(feature_count) AS BIGINT) AS accepted FROM (SELECT aoi_id, feature_count, CASE WHEN source_type = 'reference_overlay' THEN 'needs_source' WHEN issue_severity = 'high' OR feature_count = 0 OR q = 'failed' THEN 'not_usable' WHEN q = 'unknown' THEN 'needs_source' ELSE 'ready' END AS readiness FROM (SELECT *, CASE validation_status_raw WHEN ' OK ' THEN 'passed' WHEN 'pass' THEN 'passed' WHEN 'FAIL' THEN 'failed' ELSE 'unknown' END AS q FROM layer_summary WHERE layer_id LIKE '%3')) GROUP BY aoi_id", "layer_summary")
+@query("promote_snapshot", "SELECT aoi_id, bool_and(readiness IN ('ready','usable_with_limitations')) AS promoted, CAST(sum(feature_count) AS BIGINT) AS accepted FROM (SELECT aoi_id, feature_count, CASE WHEN source_type = 'reference_overlay' THEN 'needs_source' WHEN issue_severity = 'high' OR feature_count = 0 OR q = 'failed' THEN 'not_usable' WHEN q = 'unknown' THEN 'needs_source' ELSE 'ready' END AS readiness FROM (SELECT *, CASE validation_status_raw WHEN ' OK ' THEN 'passed' WHEN 'pass' THEN 'passed' WHEN 'FAIL' THEN 'failed' ELSE 'unknown' END AS q FROM layer_summary)) GROUP BY aoi_id", "layer_summary")
 def promote_snapshot(t):
-    l = t("layer_summary").where("layer_id like '%3'").withColumn("quality", q.quality_status(F.col("validation_status_raw")))
+    l = t("layer_summary").withColumn("quality", q.quality_status(F.col("validation_status_raw")))
     r = q.readiness(F.col("quality"), F.col("feature_count"), F.col("source_type"), F.col("issue_severity"), F.col("comparison_outcome"))
     return l.groupBy("aoi_id").agg(F.bool_and(r.isin("ready", "usable_with_limitations")).alias("promoted"), F.sum("feature_count").alias("accepted"))
 
@@ -226,16 +226,16 @@ def coalesced_requests(t):
 @query("latest_report", "SELECT o_custkey AS bundle_id, o_orderkey AS report FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS n FROM orders WHERE o_orderstatus = 'F') WHERE n = 1")
 def latest_report(t):
     o = t("orders").where("o_orderstatus = 'F'")
-    return q.latest(o, ["o_custkey"], F.desc("o_orderdate"), F.desc("o_orderkey")).select(F.col("o_custkey").alias("bundle_id"), F.col("o_orderkey").alias("report"))
+    return q.latest(o.select("o_custkey", "o_orderdate", "o_orderkey"), ["o_custkey"], "o_orderdate", "o_orderkey").select(F.col("o_custkey").alias("bundle_id"), F.col("o_orderkey").alias("report"))
 
 
 @query("reusable_job", "SELECT user_id AS request_key, event_id AS job_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events WHERE event_type = 'purchase' AND value > 10 AND ts >= TIMESTAMP '2024-01-05 00:00:00') WHERE n = 1")
 def reusable_job(t):
     e = t("events").where("event_type = 'purchase' and value > 10").where(F.col("ts") >= F.lit("2024-01-05 00:00:00").cast("timestamp"))
-    return q.latest(e, ["user_id"], F.desc("ts"), F.desc("event_id")).select(F.col("user_id").alias("request_key"), F.col("event_id").alias("job_id"))
+    return q.latest(e.select("user_id", "ts", "event_id"), ["user_id"], "ts", "event_id").select(F.col("user_id").alias("request_key"), F.col("event_id").alias("job_id"))
 
 
-@query("delivered_inventory", f"SELECT domain, count(*) AS n_features, count(DISTINCT category) AS n_layers FROM (SELECT 'emergency' AS domain, {CASES['emergency']} AS category {_J} UNION ALL SELECT 'transport', {CASES['transport']} {_J}) WHERE category IS NOT NULL GROUP BY domain", *NODES)
+@query("delivered_inventory", f"SELECT domain, count(*) AS n_features, count(DISTINCT category) AS n_layers FROM ({ALL_SQL}) WHERE category IS NOT NULL GROUP BY domain", *NODES)
 def delivered_inventory(t):
-    a = c.classify_all(features(t)).where("domain in ('emergency', 'transport')")
-    return a.groupBy("domain").agg(F.count("*").alias("n_features"), F.count_distinct("category").alias("n_layers"))
+    a = c.classify_all(features(t))
+    return a.groupBy("domain", "category").agg(F.count("*").alias("n")).groupBy("domain").agg(F.sum("n").alias("n_features"), F.count("*").alias("n_layers"))

@@ -115,9 +115,18 @@ def write_layers(features: DataFrame, path: str) -> None:
 
 
 def scratch_folder(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that driver and executors share (spark.checkpoint.dir), or a temporary one where that is unset, as in tests."""
+    """A new path in the folder that driver and executors share (spark.checkpoint.dir), removed when the driver's JVM ends. Where that is unset a local master, as in tests, has a temporary
+    folder; on a cluster it is an error."""
     import tempfile
     import uuid
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}"
-    return f"{base.rstrip('/')}/gridloom-{uuid.uuid4().hex}/{name}"
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = f"file://{tempfile.gettempdir()}"
+    own = f"{base.rstrip('/')}/gridloom-{uuid.uuid4().hex}"
+    at = spark._jvm.org.apache.hadoop.fs.Path(own)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return f"{own}/{name}"
