@@ -34,13 +34,41 @@ def all_uses(registry: DataFrame) -> DataFrame:
     return registry.select("source_id", F.explode(e).alias("e")).select("source_id", "e.use", "e.d.outcome", "e.d.reason")
 
 
+# Closed vocabularies of a registry record, and the kind that each format holds.
+DATA_KINDS = ("vector", "raster", "rendered_imagery")
+AUTHORITIES = ("official", "community", "project_local")
+ACCESS_METHODS = ("public_query", "public_service", "public_download", "local_review_input", "paid", "agreement_only", "private_partner")
+RESTRICTED = ("paid", "agreement_only", "private_partner")
+USAGE_ROLES = ("analytical", "reference", "review")
+QUALIFICATIONS = ("qualified_free", "rejected", "not_qualified")
+KIND_OF_FORMAT = {"geojson": "vector", "osm_query": "vector", "wfs_gml": "vector", "gpkg_geoparquet": "vector", "wms": "rendered_imagery", "wmts": "rendered_imagery", "geotiff_ascii_grid": "raster"}
+
+
 def registry_violations() -> Column:
-    """Codes of registry rows that contradict themselves or leave the closed vocabularies."""
-    tests = [("data_kind", ~F.col("data_kind").isin("vector", "raster", "rendered_imagery")), ("authority", ~F.col("authority").isin("official", "community", "project_local")),
-             ("image_role", (F.col("data_kind") == "rendered_imagery") & (F.col("usage_role") != "reference")), ("image_analysis", (F.col("data_kind") == "rendered_imagery") & F.col("eligible_for_analysis")),
-             ("wms_kind", (F.col("format") == "wms") & (F.col("data_kind") != "rendered_imagery")), ("paid", (F.col("access_method") == "paid") & (F.col("qualification") == "qualified_free")),
-             ("authority_flag", F.col("not_authoritative") & F.col("eligible_for_analysis")), ("rejected_use", (F.col("qualification") == "rejected") & F.col("eligible_for_analysis"))]
-    return F.array_compact(F.array(*[F.when(F.coalesce(t, F.lit(True)), n) for n, t in tests]))
+    """Codes of a registry record that lacks what it needs, leaves the closed vocabularies or contradicts itself."""
+    blank = lambda c: F.coalesce(F.col(c) == "", F.lit(True))
+    outside = lambda c, known: ~F.coalesce(F.col(c).isin(*known), F.lit(False))
+    kind = F.create_map(*[F.lit(x) for kv in KIND_OF_FORMAT.items() for x in kv])[F.col("format")]
+    analytical, free, exported = F.col("usage_role") == "analytical", F.col("qualification") == "qualified_free", F.col("public_export") != "prohibited"
+    tests = [("id", blank("source_id")), ("name", blank("name")), ("data_kind", outside("data_kind", DATA_KINDS)), ("format", outside("format", KIND_OF_FORMAT)), ("authority", outside("authority", AUTHORITIES)),
+             ("access_method", outside("access_method", ACCESS_METHODS)), ("usage_role", outside("usage_role", USAGE_ROLES)), ("qualification", outside("qualification", QUALIFICATIONS)), ("restricted_free", F.col("access_method").isin(*RESTRICTED) & free),
+             ("public_export", outside("public_export", ("allowed", "prohibited"))), ("distribution_reason", blank("reason")), ("source_url", blank("source_url")), ("attribution", blank("attribution") | blank("license")),
+             ("kind_of_format", F.col("data_kind") != kind), ("imagery_analytical", analytical & (F.col("data_kind") == "rendered_imagery")), ("eligible_role", ~analytical & F.col("eligible_for_analysis")),
+             ("export_role", ~analytical & exported), ("export_unqualified", ~free & exported), ("export_not_authoritative", (F.col("public_export") == "allowed") & analytical & free & (F.col("data_kind") != "rendered_imagery") & F.col("not_authoritative")),
+             ("cache_provenance", analytical & (F.col("data_kind") == "vector") & free & blank("cache_fields"))]
+    return F.array_compact(F.array(*[F.when(F.coalesce(t, F.lit(False)), n) for n, t in tests]))
+
+
+#: Source families that a registry cannot do without.
+REQUIRED_SOURCES = ("openstreetmap", "prg_wfs", "bdot10k", "kiut_gesut_wms", "geoportal_orthophoto", "nmt_nmpt")
+
+
+def registry_problems(records: DataFrame, key: str = "record_id") -> DataFrame:
+    """``key, source_id, code`` of all records: their own violations, and ids that several share."""
+    own = records.select(key, "source_id", F.explode(registry_violations()).alias("code"))
+    shared = records.where("source_id <> ''").groupBy(F.col("source_id").alias("_s")).count().where("count > 1")
+    twice = records.join(shared, F.col("source_id") == F.col("_s"), "left_semi").select(key, "source_id", F.lit("duplicate_id").alias("code"))
+    return own.unionByName(twice)
 
 
 def freshness(stamp: Column, days: Column, now: Column) -> Column:
@@ -68,6 +96,13 @@ def provenance_violations(artifacts: DataFrame, registry: DataFrame) -> DataFram
     return bad.unionByName(artifacts.where(F.col("source_a") == F.col("source_b")).select("artifact_id", F.lit("duplicate_source").alias("code")))
 
 
+def reference_state() -> Column:
+    """Of a request (min_lon .. max_lat, scale) and a layer (west .. north, min_scale, max_scale); a layer without a scale range takes all scales."""
+    meets = (F.col("min_lon") <= F.col("east")) & (F.col("max_lon") >= F.col("west")) & (F.col("min_lat") <= F.col("north")) & (F.col("max_lat") >= F.col("south"))
+    fits = (F.col("scale") >= F.coalesce("min_scale", F.lit(0.0))) & (F.col("scale") <= F.coalesce("max_scale", F.lit(float("inf"))))
+    return F.when(~F.coalesce(meets, F.lit(False)), "uncovered").when(~F.coalesce(fits, F.lit(False)), "unsupported_scale").otherwise("available")
+
+
 MIN_RADIUS, MAX_RADIUS, RUNTIME_RADIUS, DEMO_RADIUS = 100.0, 100_000.0, 30_000.0, 10_000.0
 
 

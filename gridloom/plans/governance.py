@@ -22,10 +22,28 @@ def source_eligibility(t):
     return g.all_uses(t("source_registry")).join(_named(t), "source_id", "left").fillna(0, ["n_artifacts"])
 
 
-@query("registry_violations", "WITH n AS (SELECT source_b AS source_id, count(*) AS n_artifacts FROM artifact GROUP BY 1) SELECT r.source_id, code, coalesce(n_artifacts, 0) AS n_artifacts FROM (SELECT source_id, 'rejected_use' AS code FROM source_registry WHERE qualification = 'rejected' AND eligible_for_analysis) r LEFT JOIN n ON n.source_id = r.source_id", "source_registry", "artifact")
+_KIND = "CASE WHEN format IN ('geojson','osm_query','wfs_gml','gpkg_geoparquet') THEN 'vector' WHEN format IN ('wms','wmts') THEN 'rendered_imagery' ELSE 'raster' END"
+_CODES = {
+    "id": "source_id = ''", "name": "name = ''", "data_kind": "data_kind NOT IN ('vector','raster','rendered_imagery')", "authority": "authority NOT IN ('official','community','project_local')",
+    "restricted_free": "access_method IN ('paid','agreement_only','private_partner') AND qualification = 'qualified_free'", "public_export": "public_export NOT IN ('allowed','prohibited')", "distribution_reason": "reason = ''", "source_url": "source_url = ''",
+    "attribution": "attribution IS NULL OR license = ''", "kind_of_format": f"data_kind <> {_KIND}", "imagery_analytical": "usage_role = 'analytical' AND data_kind = 'rendered_imagery'", "eligible_role": "usage_role <> 'analytical' AND eligible_for_analysis",
+    "export_role": "usage_role <> 'analytical' AND public_export <> 'prohibited'", "export_unqualified": "qualification <> 'qualified_free' AND public_export <> 'prohibited'",
+    "export_not_authoritative": "public_export = 'allowed' AND usage_role = 'analytical' AND qualification = 'qualified_free' AND data_kind <> 'rendered_imagery' AND not_authoritative",
+    "cache_provenance": "usage_role = 'analytical' AND data_kind = 'vector' AND qualification = 'qualified_free' AND cache_fields IS NULL",
+}
+
+
+@query("registry_violations", " UNION ALL ".join(f"SELECT record_id, source_id, '{k}' AS code FROM source_record WHERE {v}" for k, v in _CODES.items()) + " UNION ALL SELECT record_id, source_id, 'duplicate_id' FROM source_record WHERE source_id <> '' AND source_id IN (SELECT source_id FROM source_record GROUP BY 1 HAVING count(*) > 1)", "source_record")
 def registry_violations(t):
-    n = t("artifact").groupBy(F.col("source_b").alias("source_id")).agg(F.count("*").alias("n_artifacts"))
-    return t("source_registry").select("source_id", F.explode(g.registry_violations()).alias("code")).join(n, "source_id", "left").fillna(0, ["n_artifacts"])
+    return g.registry_problems(t("source_record"))
+
+
+@query("missing_source_families", "SELECT aoi_id, f AS source_id FROM (SELECT DISTINCT aoi_id FROM artifact) a, (VALUES ('openstreetmap'),('prg_wfs'),('bdot10k'),('kiut_gesut_wms'),('geoportal_orthophoto'),('nmt_nmpt')) AS r(f) WHERE NOT EXISTS (SELECT 1 FROM artifact x WHERE x.aoi_id = a.aoi_id AND (x.source_a = f OR x.source_b = f))", "artifact")
+def missing_source_families(t):
+    """Families that a registry must know and that no artifact of an area comes from."""
+    have = t("artifact").groupBy("aoi_id").agg(F.collect_set("source_a").alias("a"), F.collect_set("source_b").alias("b"))  # as many as there are sources
+    lost = F.array_except(F.lit(list(g.REQUIRED_SOURCES)), F.array_union("a", "b"))
+    return have.select("aoi_id", F.explode(lost).alias("source_id"))
 
 
 @query("artifact_sources", "SELECT a.artifact_id, count(*) AS n_sources, count(r.source_id) AS n_known, coalesce(bool_and(r.eligible_for_analysis), false) AS all_eligible, string_agg(r.authority, ',' ORDER BY pos) AS authorities FROM (SELECT artifact_id, 0 AS pos, source_a AS source_id FROM artifact UNION ALL SELECT artifact_id, 1, source_b FROM artifact) a LEFT JOIN source_registry r ON r.source_id = a.source_id GROUP BY 1", "artifact", "source_registry")
@@ -93,10 +111,20 @@ def strategy_coverage(t):
     return d.select("domain", F.when(F.col("r"), "adopted").otherwise("gap").alias("state"), F.coalesce("n", F.lit(0)).alias("n_outcomes"))
 
 
-@query("reference_coverage", "SELECT c_custkey AS request_id, CASE WHEN c_custkey % 5 = 0 THEN 'uncovered' WHEN c_acctbal < 0 OR c_acctbal > 9000 THEN 'unsupported_scale' ELSE 'available' END AS state, concat('layers=', CAST(c_nationkey AS VARCHAR), '&bbox=', CAST(c_custkey AS VARCHAR)) AS url FROM customer")
+_REFERENCE = "(SELECT s_suppkey AS layer_id, 17.9e0 + CAST(s_suppkey % 12 AS DOUBLE) * 0.1e0 AS west, 49.7e0 + CAST(s_suppkey % 7 AS DOUBLE) * 0.1e0 AS south, 18.3e0 + CAST(s_suppkey % 12 AS DOUBLE) * 0.1e0 AS east, 50.0e0 + CAST(s_suppkey % 7 AS DOUBLE) * 0.1e0 AS north, 500e0 * CAST(s_suppkey % 4 AS DOUBLE) AS min_scale, 4000e0 + 3000e0 * CAST(s_suppkey % 5 AS DOUBLE) AS max_scale FROM supplier)"
+
+
+@query("reference_coverage", f"""SELECT b.id AS request_id, layer_id, CASE WHEN NOT (min_lon <= east AND max_lon >= west AND min_lat <= north AND max_lat >= south) THEN 'uncovered' WHEN scale NOT BETWEEN min_scale AND max_scale THEN 'unsupported_scale' ELSE 'available' END AS state,
+concat_ws('&', concat('layers=', CAST(layer_id AS VARCHAR)), concat('bbox=', concat_ws(',', printf('%.4f', min_lon), printf('%.4f', min_lat), printf('%.4f', max_lon), printf('%.4f', max_lat)))) AS url
+FROM (SELECT *, 1000e0 + CAST(id % 9 AS DOUBLE) * 1500e0 AS scale FROM site_box) b JOIN {_REFERENCE} l ON b.id % 97 = l.layer_id % 97""", "site_box")
 def reference_coverage(t):
-    state = F.when(F.col("c_custkey") % 5 == 0, "uncovered").when((F.col("c_acctbal") < 0) | (F.col("c_acctbal") > 9000), "unsupported_scale").otherwise("available")
-    return t("customer").select(F.col("c_custkey").alias("request_id"), state.alias("state"), F.concat(F.lit("layers="), F.col("c_nationkey").cast("string"), F.lit("&bbox="), F.col("c_custkey").cast("string")).alias("url"))
+    """A request's reference layer: its box must meet the request's, and its scales must hold the request's."""
+    k = F.col("s_suppkey")
+    l = t("supplier").select(k.alias("layer_id"), (k % 97).alias("key"), (17.9 + k % 12 * 0.1).alias("west"), (49.7 + k % 7 * 0.1).alias("south"), (18.3 + k % 12 * 0.1).alias("east"), (50.0 + k % 7 * 0.1).alias("north"), (500.0 * (k % 4)).alias("min_scale"), (4000.0 + 3000.0 * (k % 5)).alias("max_scale"))
+    b = t("site_box").withColumn("key", F.col("id") % 97).withColumn("scale", 1000.0 + F.col("id") % 9 * 1500.0)
+    box = ("min_lon", "min_lat", "max_lon", "max_lat")
+    url = F.concat_ws("&", F.concat(F.lit("layers="), F.col("layer_id").cast("string")), F.concat(F.lit("bbox="), F.concat_ws(",", *[F.format_string("%.4f", c) for c in box])))
+    return b.join(l, "key").select(F.col("id").alias("request_id"), "layer_id", g.reference_state().alias("state"), url.alias("url"))
 
 
 _RQ = "(SELECT c_custkey AS request_id, CASE WHEN c_custkey % 11 = 0 THEN NULL ELSE 12e0 + c_custkey % 13 END AS lon, 48e0 + c_custkey % 8 AS lat, (c_custkey % 12) * 10000e0 AS radius_m, c_custkey % 3 = 0 AS demo FROM customer)"

@@ -89,6 +89,22 @@ UNION ALL SELECT CASE WHEN id % 29 = 0 THEN 'kiut_gesut_wms' ELSE 'bdot10k' END,
  CAST(o_orderkey % 7 AS BIGINT) * 10 AS feature_count, CAST(o_orderkey % 3 AS BIGINT) AS invalid_geometry_count, CAST(o_orderkey % 2 AS BIGINT) AS duplicate_count,
  CASE WHEN o_orderkey % 6 = 0 THEN 'voltage' END AS missing_attribute, CASE WHEN o_orderkey % 9 = 0 THEN 'GeometryCollection' END AS unsupported_geometry, o_orderkey % 10 <> 0 AS source_metadata_valid,
  CASE o_orderkey % 4 WHEN 0 THEN 'high' WHEN 1 THEN 'medium' WHEN 2 THEN 'low' END AS issue_severity, CASE o_orderkey % 8 WHEN 0 THEN 'conflicting' WHEN 1 THEN 'matched' END AS comparison_outcome FROM {orders}""",
+    # registry records as they are handed in, one per supplier, some of which break a rule
+    "source_record": """SELECT s_suppkey AS record_id, CASE WHEN s_suppkey % 23 = 7 THEN '' ELSE concat('src_', CAST(s_suppkey - CASE WHEN s_suppkey % 29 = 3 THEN 1 ELSE 0 END AS STRING)) END AS source_id, CASE WHEN s_suppkey % 31 = 5 THEN '' ELSE s_name END AS name,
+ CASE s_suppkey % 7 WHEN 0 THEN 'wms' WHEN 1 THEN 'geojson' WHEN 2 THEN 'osm_query' WHEN 3 THEN 'wfs_gml' WHEN 4 THEN 'gpkg_geoparquet' WHEN 5 THEN 'wmts' ELSE 'geotiff_ascii_grid' END AS format,
+ CASE WHEN s_suppkey % 37 = 11 THEN 'table' WHEN s_suppkey % 7 IN (0, 5) THEN CASE WHEN s_suppkey % 3 = 0 THEN 'vector' ELSE 'rendered_imagery' END WHEN s_suppkey % 7 = 6 THEN 'raster' ELSE 'vector' END AS data_kind,
+ CASE s_suppkey % 5 WHEN 0 THEN 'official' WHEN 1 THEN 'community' WHEN 2 THEN 'project_local' WHEN 3 THEN 'official' ELSE 'hearsay' END AS authority,
+ CASE s_suppkey % 6 WHEN 0 THEN 'paid' WHEN 1 THEN 'public_query' WHEN 2 THEN 'public_download' WHEN 3 THEN 'public_service' WHEN 4 THEN 'agreement_only' ELSE 'public_download' END AS access_method,
+ CASE s_suppkey % 4 WHEN 0 THEN 'analytical' WHEN 1 THEN 'reference' WHEN 2 THEN 'analytical' ELSE 'review' END AS usage_role, CASE WHEN s_suppkey % 5 = 2 THEN 'rejected' ELSE 'qualified_free' END AS qualification,
+ CASE WHEN s_suppkey % 3 = 1 THEN 'allowed' WHEN s_suppkey % 41 = 2 THEN 'maybe' ELSE 'prohibited' END AS public_export, CASE WHEN s_suppkey % 13 = 4 THEN '' ELSE 'stated' END AS reason, s_suppkey % 8 = 3 AS not_authoritative, s_suppkey % 2 = 0 AS eligible_for_analysis,
+ CASE WHEN s_suppkey % 17 = 1 THEN '' ELSE 'https://example.org' END AS source_url, CASE WHEN s_suppkey % 19 = 2 THEN CAST(NULL AS STRING) ELSE 'owner' END AS attribution, CASE WHEN s_suppkey % 43 = 9 THEN '' ELSE 'terms' END AS license, CASE WHEN s_suppkey % 3 = 2 THEN 'retrieved_at,sha256' END AS cache_fields FROM {supplier}""",
+    # features as a provider hands them in, some of which break the contract
+    "provider_feature": """SELECT o_orderkey AS ord, o_custkey AS layer_key, CASE WHEN o_orderkey % 29 = 3 THEN 'Thing' ELSE 'Feature' END AS type, CASE WHEN o_orderkey % 23 = 5 THEN CAST(NULL AS STRING) WHEN o_orderkey % 23 = 6 THEN ' ' ELSE 'Point' END AS geometry_type,
+ CASE WHEN o_orderkey % 19 = 4 THEN CAST(NULL AS STRING) ELSE '[18.5,50.1]' END AS coordinates, o_orderkey % 31 <> 7 AS has_properties, CASE o_orderkey % 7 WHEN 0 THEN CAST(NULL AS STRING) WHEN 1 THEN '  ' ELSE 'openstreetmap' END AS source,
+ CASE WHEN o_orderkey % 11 = 2 THEN CAST(NULL AS STRING) ELSE CAST(o_orderkey AS STRING) END AS source_id, CASE WHEN o_orderkey % 13 = 1 THEN '' ELSE 'power' END AS domain, CASE WHEN o_orderkey % 17 = 3 THEN CAST(NULL AS STRING) ELSE 'line' END AS asset_type,
+ CASE o_orderkey % 5 WHEN 0 THEN 'certain' WHEN 1 THEN CAST(NULL AS STRING) ELSE 'high' END AS confidence, o_orderkey % 9 <> 2 AS missing_is_list, o_orderkey % 10 <> 4 AS limits_is_list, CASE WHEN o_orderkey % 6 = 5 THEN CAST(NULL AS BOOLEAN) ELSE true END AS eligible_for_analysis FROM {orders}""",
+    # prepared snapshots of the sites' boxes
+    "snapshot_box": """SELECT id AS snapshot_id, CASE WHEN id % 3 = 0 THEN id + 1 ELSE id END AS aoi_id, CASE id % 8 WHEN 0 THEN 'ready' WHEN 1 THEN 'queued' WHEN 2 THEN 'failed' WHEN 3 THEN 'partial' WHEN 4 THEN 'running' ELSE 'ready' END AS state, min_lon, min_lat, max_lon, max_lat FROM {site_box} WHERE id % 4 = 0""",
     # published artifacts: files of layers with the sources they come from
     "artifact": """SELECT o_orderkey AS artifact_ord, o_custkey AS aoi_id, concat('art.', CAST(o_orderkey % 12 AS STRING), '-', CAST(o_orderkey AS STRING)) AS artifact_id,
  o_orderkey % 4 <> 0 AS public_export, CASE WHEN o_orderkey % 5 = 0 THEN 'pmtiles' ELSE 'geojson' END AS format,
