@@ -32,6 +32,53 @@ def integrity(ready: DataFrame, manifests: DataFrame) -> DataFrame:
     return ready.join(m, F.col("key") == F.col("_k"), "left").withColumn("integrity", F.when(F.col("_k").isNull(), "missing").when(F.col("digest").eqNullSafe(F.col("_d")), "ok").otherwise("different")).drop("_k", "_d")
 
 
+PRESENTATION_VERSION = "map_presentation/v1"
+
+
+def presentation_problem() -> Column:
+    """The first reason not to show a presentation (version, parent_digest, layers: sorted ids) of a manifest (digest, public: sorted ids), else "current"."""
+    return (F.when(F.col("version").isNull(), "missing").when(F.col("version") != PRESENTATION_VERSION, "unsupported_version").when(F.col("parent_digest") != F.col("digest"), "stale")
+            .when(F.coalesce(F.size("layers"), F.lit(0)) <= 0, "no_layers").when(F.col("layers") != F.col("public"), "layers_differ").otherwise("current"))
+
+
+def signature(outcomes: DataFrame) -> DataFrame:
+    """``snapshot_id, checksum``: a digest over the outcomes (domain, status, digest) of each snapshot, of which there are as many as domains."""
+    line = F.concat_ws(":", "domain", "status", F.coalesce("digest", F.lit("")))
+    return outcomes.groupBy("snapshot_id").agg(F.sha2(F.array_join(F.array_sort(F.collect_list(line)), ","), 256).alias("checksum"))
+
+
+def refresh_digests(outcomes: DataFrame, signed: DataFrame, news: DataFrame) -> DataFrame:
+    """``snapshot_id, result, checksum``: new digests (snapshot_id, domain, new) replace those of ready outcomes and the snapshot is signed again. A snapshot whose
+    checksum does not match its outcomes is refused and keeps it; one without a ready outcome to renew stays as it is."""
+    now = signature(outcomes).withColumnRenamed("checksum", "own")
+    o = outcomes.join(news, ["snapshot_id", "domain"], "left").withColumn("hit", (F.col("status") == "ready") & F.col("new").isNotNull())
+    after = signature(o.withColumn("digest", F.when(F.col("hit"), F.col("new")).otherwise(F.col("digest")))).withColumnRenamed("checksum", "renewed")
+    touched = o.groupBy("snapshot_id").agg(F.bool_or("hit").alias("touched"))
+    d = signed.join(now, "snapshot_id").join(after, "snapshot_id").join(touched, "snapshot_id")
+    result = F.when(F.col("checksum") != F.col("own"), "refused").when(F.col("touched"), "updated").otherwise("unchanged")
+    return d.select("snapshot_id", result.alias("result"), F.when(result == "updated", F.col("renewed")).otherwise(F.col("checksum")).alias("checksum"))
+
+
+#: States of a snapshot of the very area, the one that counts first.
+STATE_RANK = ("ready", "running", "queued", "failed", "partial")
+
+
+def availability(requests: DataFrame, snapshots: DataFrame, cell: float = 0.25) -> DataFrame:
+    """``aoi_id, state`` of each request (aoi_id and box): that of a snapshot of the same area, else partial coverage if the box of any snapshot meets it, else not_prepared. Boxes meet by the cells that they
+    cover, each of which is counted once."""
+    rank = F.coalesce(*[F.when(F.col("state") == s, F.lit(i)) for i, s in enumerate(STATE_RANK)])
+    exact = snapshots.groupBy("aoi_id").agg(F.min(rank).alias("rank"))
+    span = lambda lo, hi: F.explode(F.sequence(F.floor(F.col(lo) / cell).cast("int"), F.floor(F.col(hi) / cell).cast("int")))
+    spread = lambda d: d.withColumn("ci", span("min_lon", "max_lon")).withColumn("cj", span("min_lat", "max_lat"))
+    box = ("min_lon", "min_lat", "max_lon", "max_lat")
+    s = spread(snapshots.select(*box)).select("ci", "cj", *[F.col(c).alias("s_" + c) for c in box])
+    meets = (F.col("min_lon") <= F.col("s_max_lon")) & (F.col("max_lon") >= F.col("s_min_lon")) & (F.col("min_lat") <= F.col("s_max_lat")) & (F.col("max_lat") >= F.col("s_min_lat"))
+    near = spread(requests).join(s, ["ci", "cj"]).where(meets).select("aoi_id").distinct().withColumn("near", F.lit(True))
+    d = requests.select("aoi_id").join(exact, "aoi_id", "left").join(near, "aoi_id", "left")
+    known = F.when(F.col("rank") == len(STATE_RANK) - 1, "partial_coverage").otherwise(F.element_at(F.lit(list(STATE_RANK)), F.col("rank") + 1))
+    return d.select("aoi_id", F.when(F.col("rank").isNotNull(), known).when(F.col("near"), "partial_coverage").otherwise("not_prepared").alias("state"))
+
+
 def delivered_members(members: DataFrame, ways: DataFrame) -> DataFrame:
     """Members of relations that are delivered, with their role and the ends of their way as evidence."""
     role = F.coalesce(F.nullif(F.col("role"), F.lit("")), F.lit("member"))

@@ -38,34 +38,75 @@ def snapshot_integrity(t):
     return s.integrity(ready, packs).select("snapshot_id", "domain", "integrity")
 
 
-@query("refresh_digest", f"SELECT snapshot_id, domain, CASE WHEN snapshot_id % 7 = 0 THEN sha256(concat_ws('|', CAST(snapshot_id AS VARCHAR), domain, CAST(CAST(accepted_feature_count AS BIGINT) AS VARCHAR))) ELSE {_DG} END AS digest FROM domain_outcome WHERE status = 'ready'", "domain_outcome")
+_SIGN = "sha256(string_agg(concat_ws(':', domain, status, coalesce(digest, '')), ',' ORDER BY concat_ws(':', domain, status, coalesce(digest, ''))))"
+_OUT = "SELECT snapshot_id, domain, status, CASE WHEN status = 'ready' THEN sha256(concat_ws('|', CAST(snapshot_id AS VARCHAR), domain, CAST(CAST(accepted_feature_count AS BIGINT) AS VARCHAR))) END AS digest FROM domain_outcome"
+
+
+@query("refresh_digest", f"""WITH o AS ({_OUT}), n AS (SELECT o.*, CASE WHEN status = 'ready' AND domain = 'power' AND snapshot_id % 2 = 0 THEN sha256(concat('new|', CAST(snapshot_id AS VARCHAR))) END AS fresh FROM o),
+own AS (SELECT snapshot_id, {_SIGN} AS own FROM o GROUP BY 1), aft AS (SELECT snapshot_id, {_SIGN} AS renewed, bool_or(hit) AS touched FROM (SELECT snapshot_id, domain, status, coalesce(fresh, digest) AS digest, fresh IS NOT NULL AS hit FROM n) GROUP BY 1),
+j AS (SELECT own.snapshot_id, CASE WHEN own.snapshot_id % 9 = 4 THEN 'broken' ELSE own END AS checksum, own, renewed, touched FROM own JOIN aft ON aft.snapshot_id = own.snapshot_id)
+SELECT snapshot_id, CASE WHEN checksum <> own THEN 'refused' WHEN touched THEN 'updated' ELSE 'unchanged' END AS result, CASE WHEN checksum = own AND touched THEN renewed ELSE checksum END AS checksum FROM j""", "domain_outcome")
 def refresh_digest(t):
-    """New digests replace those of ready outcomes; others keep theirs."""
-    ready, packs = _digests(t)
-    return ready.join(packs.select("key", F.col("digest").alias("new")), "key", "left").select("snapshot_id", "domain", F.coalesce("new", "digest").alias("digest"))
+    """New digests of one domain, for every other snapshot; some snapshots carry a broken checksum."""
+    o = t("domain_outcome")
+    own = s.digest(F.col("snapshot_id").cast("string"), F.col("domain"), F.col("accepted_feature_count").cast("string"))
+    o = o.select("snapshot_id", "domain", "status", F.when(F.col("status") == "ready", own).alias("digest"))
+    news = o.where("domain = 'power' and snapshot_id % 2 = 0").select("snapshot_id", "domain", s.digest(F.lit("new"), F.col("snapshot_id").cast("string")).alias("new"))
+    signed = s.signature(o).withColumn("checksum", F.when(F.col("snapshot_id") % 9 == 4, "broken").otherwise(F.col("checksum")))
+    return s.refresh_digests(o, signed, news)
 
 
-@query("stale_presentations", "SELECT aoi_id, count(*) FILTER (WHERE format = 'pmtiles') AS n_tiled, count(*) FILTER (WHERE public_export AND format = 'geojson') AS n_public, count(*) FILTER (WHERE format = 'pmtiles') <> count(*) FILTER (WHERE public_export AND format = 'geojson') AS stale FROM artifact GROUP BY aoi_id", "artifact")
+_PUB = "public_export AND format = 'geojson' AND kind IN ('processed_vector','derived_vector','representative_points') AND path IS NOT NULL AND sha256 IS NOT NULL AND feature_count IS NOT NULL"
+
+
+@query("stale_presentations", f"""WITH m AS (SELECT aoi_id, sha256(string_agg(concat_ws(':', artifact_id, coalesce(sha256, '')), ',' ORDER BY concat_ws(':', artifact_id, coalesce(sha256, '')))) AS digest, coalesce(string_agg(artifact_id, ',' ORDER BY artifact_id) FILTER (WHERE {_PUB}), '') AS public, coalesce(string_agg(artifact_id, ',' ORDER BY artifact_id) FILTER (WHERE {_PUB} AND NOT (aoi_id % 5 = 2 AND artifact_ord % 2 = 0)), '') AS layers FROM artifact GROUP BY aoi_id)
+SELECT aoi_id, CASE WHEN aoi_id % 13 = 1 THEN 'missing' WHEN aoi_id % 11 = 3 THEN 'unsupported_version' WHEN aoi_id % 7 = 5 THEN 'stale' WHEN layers = '' THEN 'no_layers' WHEN layers <> public THEN 'layers_differ' ELSE 'current' END AS state FROM m""", "artifact")
 def stale_presentations(t):
-    a = t("artifact").groupBy("aoi_id").agg(F.count_if(F.col("format") == "pmtiles").alias("n_tiled"), F.count_if(F.col("public_export") & (F.col("format") == "geojson")).alias("n_public"))
-    return a.withColumn("stale", F.col("n_tiled") != F.col("n_public"))
+    """Presentations against the manifests that they were made of: version, digest of the manifest, and the set of public layers. An area has as many artifacts as layers."""
+    from gridloom.operators.layers import public_artifacts
+
+    a, k = t("artifact"), F.col("aoi_id")
+    public = public_artifacts(a).select("artifact_ord", F.lit(True).alias("shown"))
+    a = a.join(public, "artifact_ord", "left")
+    kept = F.col("shown") & ~((k % 5 == 2) & (F.col("artifact_ord") % 2 == 0))
+    ids = lambda test: F.array_sort(F.collect_list(F.when(test, F.col("artifact_id"))))
+    m = a.groupBy("aoi_id").agg(F.sha2(F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "artifact_id", F.coalesce("sha256", F.lit(""))))), ","), 256).alias("digest"), ids(F.col("shown")).alias("public"), ids(kept).alias("layers"))
+    m = m.withColumn("version", F.when(k % 13 == 1, F.lit(None).cast("string")).when(k % 11 == 3, "map_presentation/v0").otherwise(s.PRESENTATION_VERSION)).withColumn("parent_digest", F.when(k % 7 == 5, "old").otherwise(F.col("digest")))
+    return m.select("aoi_id", s.presentation_problem().alias("state"))
 
 
-@query("multi_domain_export", "SELECT r.c_custkey AS request_id, r.domain, CASE WHEN o.status = 'ready' AND r.c_custkey % 7 <> 0 THEN 'ready' WHEN o.status = 'ready' THEN 'pack_missing' ELSE coalesce(o.status, 'not_prepared') END AS status FROM (SELECT c_custkey, domain FROM customer, (VALUES ('power'),('water'),('gas')) AS d(domain)) r LEFT JOIN domain_outcome o ON o.snapshot_id = r.c_custkey AND o.domain = r.domain", "domain_outcome")
+_ASKED = "(SELECT c_custkey, domain, pos FROM customer, (VALUES ('power', 0),('water', 1),('gas', 2)) AS d(domain, pos))"
+
+
+@query("multi_domain_export", f"""SELECT r.c_custkey AS request_id, r.domain, CASE WHEN o.status = 'ready' AND r.c_custkey % 7 <> 0 THEN 'ready' WHEN o.status = 'ready' THEN 'pack_missing' ELSE coalesce(o.status, 'not_prepared') END AS status,
+CASE WHEN o.status = 'ready' AND r.c_custkey % 7 <> 0 THEN coalesce(n, 0) ELSE 0 END AS n_layers, CASE WHEN o.status = 'ready' AND r.c_custkey % 7 <> 0 THEN coalesce(k, 0) ELSE 0 END AS n_issues
+FROM {_ASKED} r LEFT JOIN domain_outcome o ON o.snapshot_id = r.c_custkey AND o.domain = r.domain
+LEFT JOIN (SELECT aoi_id, artifact_ord % 3 AS pos, count(*) AS n FROM artifact WHERE {_PUB} GROUP BY 1, 2) a ON a.aoi_id = r.c_custkey AND a.pos = r.pos
+LEFT JOIN (SELECT l.aoi_id, a.artifact_ord % 3 AS pos, count(*) AS k FROM layer_summary l JOIN artifact a ON l.layer_id = concat('layer.', CAST(a.artifact_ord AS VARCHAR)) WHERE l.issue_severity IS NOT NULL AND {_PUB.replace('feature_count', 'a.feature_count')} GROUP BY 1, 2) i ON i.aoi_id = r.c_custkey AND i.pos = r.pos""", "domain_outcome", "artifact", "layer_summary")
 def multi_domain_export(t):
-    """Requested domains in the order they were first named, once each."""
+    """Requested domains in the order they were first named, once each, with the public layers that they bring and the issues of these layers only."""
+    from gridloom.operators.layers import public_artifacts
+
     asked = F.array_distinct(F.lit(["power", "water", "power", "gas"]))
-    r = t("customer").select(F.col("c_custkey").alias("request_id"), F.explode(asked).alias("domain"))
+    r = t("customer").select(F.col("c_custkey").alias("request_id"), F.posexplode(asked).alias("pos", "domain"))
     o = t("domain_outcome").select(F.col("snapshot_id").alias("request_id"), "domain", F.col("status").alias("st"))
+    public = public_artifacts(t("artifact")).select(F.col("aoi_id").alias("request_id"), "artifact_ord", (F.col("artifact_ord") % 3).cast("int").alias("pos"))
+    layers = public.groupBy("request_id", "pos").agg(F.count("*").alias("n"))
+    issues = t("layer_summary").where("issue_severity is not null").select("layer_id").join(public.withColumn("layer_id", F.concat(F.lit("layer."), F.col("artifact_ord").cast("string"))), "layer_id").groupBy("request_id", "pos").agg(F.count("*").alias("k"))
     pack = F.when(F.col("request_id") % 7 != 0, "ready").otherwise("pack_missing")
-    return r.join(o, ["request_id", "domain"], "left").select("request_id", "domain", F.when(F.col("st") == "ready", pack).otherwise(F.coalesce("st", F.lit("not_prepared"))).alias("status"))
+    d = r.join(o, ["request_id", "domain"], "left").join(layers, ["request_id", "pos"], "left").join(issues, ["request_id", "pos"], "left")
+    d = d.withColumn("status", F.when(F.col("st") == "ready", pack).otherwise(F.coalesce("st", F.lit("not_prepared"))))
+    own = lambda c: F.when(F.col("status") == "ready", F.coalesce(c, F.lit(0))).otherwise(0).cast("long")
+    return d.select("request_id", "domain", "status", own("n").alias("n_layers"), own("k").alias("n_issues"))
 
 
-@query("promote_snapshot", "SELECT aoi_id, bool_and(readiness IN ('ready','usable_with_limitations')) AS promoted, CAST(sum(feature_count) AS BIGINT) AS accepted FROM (SELECT aoi_id, feature_count, CASE WHEN source_type = 'reference_overlay' THEN 'needs_source' WHEN issue_severity = 'high' OR feature_count = 0 OR q = 'failed' THEN 'not_usable' WHEN q = 'unknown' THEN 'needs_source' ELSE 'ready' END AS readiness FROM (SELECT *, CASE validation_status_raw WHEN ' OK ' THEN 'passed' WHEN 'pass' THEN 'passed' WHEN 'FAIL' THEN 'failed' ELSE 'unknown' END AS q FROM layer_summary)) GROUP BY aoi_id", "layer_summary")
+@query("promote_snapshot", "SELECT p.*, observed_at FROM (SELECT aoi_id, bool_and(readiness IN ('ready','usable_with_limitations')) AS promoted, CAST(sum(feature_count) AS BIGINT) AS accepted FROM (SELECT aoi_id, feature_count, CASE WHEN source_type = 'reference_overlay' THEN 'needs_source' WHEN issue_severity = 'high' OR feature_count = 0 OR q = 'failed' THEN 'not_usable' WHEN q = 'unknown' THEN 'needs_source' ELSE 'ready' END AS readiness FROM (SELECT *, CASE validation_status_raw WHEN ' OK ' THEN 'passed' WHEN 'pass' THEN 'passed' WHEN 'FAIL' THEN 'failed' ELSE 'unknown' END AS q FROM layer_summary)) GROUP BY aoi_id) p LEFT JOIN (SELECT snapshot_id, min(source_observed_at) AS observed_at FROM domain_outcome WHERE status = 'ready' GROUP BY 1) d ON d.snapshot_id = p.aoi_id", "layer_summary", "domain_outcome")
 def promote_snapshot(t):
     l = t("layer_summary").withColumn("quality", q.quality_status(F.col("validation_status_raw")))
     r = q.readiness(F.col("quality"), F.col("feature_count"), F.col("source_type"), F.col("issue_severity"), F.col("comparison_outcome"))
-    return l.groupBy("aoi_id").agg(F.bool_and(r.isin("ready", "usable_with_limitations")).alias("promoted"), F.sum("feature_count").alias("accepted"))
+    p = l.groupBy("aoi_id").agg(F.bool_and(r.isin("ready", "usable_with_limitations")).alias("promoted"), F.sum("feature_count").alias("accepted"))
+    d = t("domain_outcome").where("status = 'ready'").groupBy(F.col("snapshot_id").alias("aoi_id")).agg(F.min("source_observed_at").alias("observed_at"))
+    return p.join(d, "aoi_id", "left").select("aoi_id", "promoted", "accepted", "observed_at")
 
 
 _W = "w AS (SELECT way_id, min_by(id, seq) AS first_node, max_by(id, seq) AS last_node FROM geo_node GROUP BY way_id HAVING count(*) >= 2)"
@@ -103,11 +144,14 @@ def merge_evidence(t):
     return new.select("relation_id", "way_id", F.lit("new").alias("origin")).unionByName(kept.select("relation_id", "way_id", F.lit("old").alias("origin")))
 
 
-@query("feature_detail", "SELECT l_partkey AS feature_id, min_by(l_orderkey, (l_linenumber, l_orderkey)) AS layer FROM lineitem WHERE l_returnflag <> 'R' GROUP BY l_partkey")
+@query("feature_detail", f"SELECT l_partkey AS feature_id, min(artifact_ord) AS artifact, min_by(artifact_id, artifact_ord) AS layer, count(DISTINCT artifact_ord) AS n_layers FROM lineitem JOIN artifact ON artifact_ord = l_orderkey WHERE {_PUB} GROUP BY l_partkey", "artifact")
 def feature_detail(t):
-    """The first public layer, in the order of the manifest, that holds the feature."""
-    l = t("lineitem").where("l_returnflag <> 'R'")
-    return l.groupBy(F.col("l_partkey").alias("feature_id")).agg(F.min_by("l_orderkey", F.struct("l_linenumber", "l_orderkey")).alias("layer"))
+    """The first public layer, in the order of the manifest, that holds the feature, and how many do."""
+    from gridloom.operators.layers import public_artifacts
+
+    a = public_artifacts(t("artifact")).select("artifact_ord", "artifact_id")
+    l = t("lineitem").select(F.col("l_partkey").alias("feature_id"), F.col("l_orderkey").alias("artifact_ord")).join(a, "artifact_ord")
+    return l.groupBy("feature_id").agg(F.min("artifact_ord").alias("artifact"), F.min_by("artifact_id", "artifact_ord").alias("layer"), F.count_distinct("artifact_ord").alias("n_layers"))
 
 
 @query("merge_attributes", f"SELECT id, CASE WHEN id % 6 = 0 THEN 'survey' ELSE power END AS power, CASE WHEN id % 6 = 0 THEN 'yes' END AS checked, voltage {_J}", *NODES)
@@ -121,11 +165,21 @@ def merge_attributes(t):
 # ---- administrative units
 
 
-@query("admin_catalog_build", "SELECT id, kind, parent_id FROM admin_unit u WHERE parent_id IS NULL OR EXISTS (SELECT 1 FROM admin_unit p WHERE p.id = u.parent_id)", "admin_unit")
+@query("admin_catalog_build", """WITH v AS (SELECT id, kind, parent_id FROM admin_unit WHERE kind = 'voivodeship'), c AS (SELECT id, kind, parent_id FROM admin_unit WHERE kind = 'county'), g AS (SELECT id, kind, parent_id FROM admin_unit WHERE kind = 'gmina' AND CAST(split_part(id, '_', 2) AS BIGINT) % 50 <> 7),
+u AS (SELECT * FROM v UNION ALL SELECT * FROM c UNION ALL SELECT * FROM g), n AS (SELECT kind, count(*) AS said FROM admin_unit GROUP BY kind)
+SELECT u.id, u.kind, u.parent_id, CASE WHEN (SELECT count(*) FROM u x WHERE x.kind = u.kind) = said THEN 'complete' ELSE 'count_differs' END AS layer_state, u.parent_id IS NULL OR EXISTS (SELECT 1 FROM u p WHERE p.id = u.parent_id) AS has_parent FROM u JOIN n ON n.kind = u.kind""", "admin_unit")
 def admin_catalog_build(t):
+    """Three layers of units, as pages bring them, in one catalogue. A layer whose rows do not come to what its service says is marked, and so are units without their parent; some pages of the last layer lack a row."""
     u = t("admin_unit").select("id", "kind", "parent_id")
-    fine = u.where("parent_id is not null").join(u.select(F.col("id").alias("parent_id")), "parent_id", "left_semi").select("id", "kind", "parent_id")
-    return u.where("parent_id is null").unionByName(fine)
+    said = u.groupBy("kind").agg(F.count("*").alias("said"))
+    layers = [u.where(F.col("kind") == k) for k in ("voivodeship", "county")]
+    layers.append(u.where("kind = 'gmina'").where(F.split("id", "_")[1].cast("long") % 50 != 7))
+    all_ = layers[0].unionByName(layers[1]).unionByName(layers[2])
+    have = all_.groupBy("kind").agg(F.count("*").alias("have"))
+    state = have.join(said, "kind").select("kind", F.when(F.col("have") == F.col("said"), "complete").otherwise("count_differs").alias("layer_state"))
+    parents = all_.select(F.col("id").alias("p"))
+    d = all_.join(state, "kind").join(parents, F.col("parent_id") == F.col("p"), "left")
+    return d.select("id", "kind", "parent_id", "layer_state", (F.col("parent_id").isNull() | F.col("p").isNotNull()).alias("has_parent"))
 
 
 @query("admin_catalog_index", "SELECT id, kind, coalesce(parent_id, '') AS parent_id FROM admin_unit ORDER BY id", "admin_unit")
@@ -171,18 +225,13 @@ def dissolve_edges(t):
     return e.groupBy("voivodeship").agg(F.count("*").alias("n_border_edges"))
 
 
-_BOX = lambda d: f"17.95e0 + {d}.k * 0.001e0 AS x0, 17.95e0 + {d}.k * 0.001e0 + 0.01e0 AS x1"
-
-
-@query("aoi_availability", "SELECT c.c_custkey AS aoi_id, CASE WHEN o.n_ready > 0 THEN 'ready' WHEN o.n_failed > 0 THEN 'failed' WHEN o.n > 0 THEN 'partial' WHEN EXISTS (SELECT 1 FROM customer d JOIN (SELECT DISTINCT snapshot_id FROM domain_outcome WHERE status = 'ready') r ON r.snapshot_id = d.c_custkey WHERE abs(d.c_nationkey - c.c_nationkey) <= 1) THEN 'partial_coverage' ELSE 'not_prepared' END AS state FROM customer c LEFT JOIN (SELECT snapshot_id, count(*) AS n, count(*) FILTER (WHERE status = 'ready') AS n_ready, count(*) FILTER (WHERE status = 'failed') AS n_failed FROM domain_outcome GROUP BY 1) o ON o.snapshot_id = c.c_custkey", "domain_outcome")
+@query("aoi_availability", """SELECT b.id AS aoi_id, CASE e.r WHEN 0 THEN 'ready' WHEN 1 THEN 'running' WHEN 2 THEN 'queued' WHEN 3 THEN 'failed' WHEN 4 THEN 'partial_coverage' ELSE CASE WHEN EXISTS (SELECT 1 FROM snapshot_box s WHERE b.min_lon <= s.max_lon AND b.max_lon >= s.min_lon AND b.min_lat <= s.max_lat AND b.max_lat >= s.min_lat) THEN 'partial_coverage' ELSE 'not_prepared' END END AS state
+FROM (SELECT id, min_lon + CASE WHEN id % 6 = 5 THEN 3e0 ELSE 0e0 END AS min_lon, min_lat, max_lon + CASE WHEN id % 6 = 5 THEN 3e0 ELSE 0e0 END AS max_lon, max_lat FROM site_box) b LEFT JOIN (SELECT aoi_id, min(CASE state WHEN 'ready' THEN 0 WHEN 'running' THEN 1 WHEN 'queued' THEN 2 WHEN 'failed' THEN 3 ELSE 4 END) AS r FROM snapshot_box GROUP BY 1) e ON e.aoi_id = b.id""", "snapshot_box")
 def aoi_availability(t):
-    """Exact area first, in the order ready, failed, partial; else an area whose box overlaps; else nothing. Overlap is met by the box's cell."""
-    o = t("domain_outcome").groupBy(F.col("snapshot_id").alias("aoi_id")).agg(F.count_if(F.col("status") == "ready").alias("n_ready"), F.count_if(F.col("status") == "failed").alias("n_failed"))
-    a = t("customer").select(F.col("c_custkey").alias("aoi_id"), F.col("c_nationkey").alias("cell"))
-    near = a.join(o.where("n_ready > 0").select("aoi_id"), "aoi_id", "left_semi").select(F.explode(F.sequence(F.col("cell") - 1, F.col("cell") + 1)).alias("cell")).distinct().withColumn("near", F.lit(True))
-    d = a.join(o, "aoi_id", "left").join(near, "cell", "left")
-    state = F.when(F.col("n_ready") > 0, "ready").when(F.col("n_failed") > 0, "failed").when(F.col("n_ready").isNotNull(), "partial").when(F.col("near"), "partial_coverage").otherwise("not_prepared")
-    return d.select("aoi_id", state.alias("state"))
+    """Requests for the sites' areas; some lie far from all snapshots."""
+    far = F.when(F.col("id") % 6 == 5, 3.0).otherwise(0.0)
+    r = t("site_box").select(F.col("id").alias("aoi_id"), (F.col("min_lon") + far).alias("min_lon"), "min_lat", (F.col("max_lon") + far).alias("max_lon"), "max_lat")
+    return s.availability(r, t("snapshot_box"))
 
 
 # ---- jobs and work lists
