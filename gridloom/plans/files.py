@@ -56,11 +56,17 @@ def gml_features(t):
     return g.select("file_id", "official_id", "name", F.when(F.col("ring").isNotNull(), F.size("ring")).alias("n_points"), F.get("ring", F.lit(0))["x"].alias("first_lon"), "error")
 
 
-@query("capability_layers", "SELECT s_suppkey AS file_id, layer, CASE layer WHEN 'power' THEN 500e0 * (s_suppkey % 4 + 1) END AS max_scale FROM supplier, (VALUES ('power'),('gas')) AS l(layer)")
+@query("capability_layers", """SELECT s_suppkey AS file_id, layer, CASE layer WHEN 'power' THEN 'Power lines' ELSE 'gas' END AS title, CASE layer WHEN 'power' THEN 500e0 * (s_suppkey % 4 + 1) END AS max_scale, CASE layer WHEN 'power' THEN 14e0 + s_suppkey % 5 ELSE 15e0 END AS west, CASE WHEN layer = 'gas' AND s_suppkey % 11 = 4 THEN NULL ELSE 49e0 END AS south,
+CASE WHEN layer = 'power' AND s_suppkey % 2 = 0 THEN 'https://example.org/GetLegendGraphic' END AS legend, CASE WHEN s_suppkey % 13 = 6 THEN 'version' WHEN s_suppkey % 11 = 4 THEN 'bounds' WHEN s_suppkey % 3 = 0 THEN 'missing gas' END AS drift
+FROM supplier, (VALUES ('power'),('gas')) AS l(layer) WHERE layer = 'power' OR s_suppkey % 3 <> 0 OR s_suppkey % 11 = 4""")
 def capability_layers(t):
+    """Documents of a service: two named layers with boxes, one without a box; some lack a layer, a number or the version."""
     k = F.col("s_suppkey")
-    xml = F.concat(F.lit("<c><Layer><Name>power</Name><MaxScaleDenominator>"), (500 * (k % 4 + 1)).cast("string"), F.lit("</MaxScaleDenominator></Layer><Layer><Name>gas</Name></Layer></c>"))
-    return files.capability_layers(t("supplier").select(k.alias("file_id"), xml.alias("text"))).select("file_id", "layer", "max_scale")
+    box = lambda w, s: F.concat(F.lit("<EX_GeographicBoundingBox><westBoundLongitude>"), w, F.lit("</westBoundLongitude><eastBoundLongitude>24</eastBoundLongitude><southBoundLatitude>"), s, F.lit("</southBoundLatitude><northBoundLatitude>55</northBoundLatitude></EX_GeographicBoundingBox>"))
+    power = F.concat(F.lit("<Layer><Name>power</Name><Title>Power lines</Title>"), box((14 + k % 5).cast("string"), F.lit("49")), F.when(k % 2 == 0, '<Style><LegendURL><OnlineResource href="https://example.org/GetLegendGraphic"/></LegendURL></Style>').otherwise(""), F.lit("<MaxScaleDenominator>"), (500 * (k % 4 + 1)).cast("string"), F.lit("</MaxScaleDenominator></Layer>"))
+    gas = F.when((k % 3 != 0) | (k % 11 == 4), F.concat(F.lit("<Layer><Name>gas</Name>"), box(F.lit("15"), F.when(k % 11 == 4, "south").otherwise("49")), F.lit("</Layer>"))).otherwise("")
+    xml = F.concat(F.lit('<c version="'), F.when(k % 13 == 6, "1.1.1").otherwise("1.3.0"), F.lit('">'), power, gas, F.lit("<Layer><Name>frame</Name></Layer></c>"))
+    return files.capability_layers(t("supplier").select(k.alias("file_id"), xml.alias("text")), required=("power", "gas")).select("file_id", "layer", "title", "max_scale", "west", "south", "legend", "drift")
 
 
 @query("relation_xml", "SELECT o_orderkey AS relation_id, 0 AS pos, 'way' AS type, o_custkey AS ref, CASE WHEN o_orderkey % 2 = 0 THEN 'section' ELSE 'member' END AS role FROM orders WHERE o_orderkey % 3 = 0")

@@ -77,11 +77,23 @@ def gml_members(texts: DataFrame, column: str = "text") -> DataFrame:
     return d.select(*[c for c in texts.columns if c != column], ident.alias("official_id"), F.col("_x.JPT_NAZWA_").alias("name"), F.when(fine, pair).alias("ring"), error.alias("error"))
 
 
-def capability_layers(texts: DataFrame, column: str = "text") -> DataFrame:
-    """Layers of capability documents: name, title, scale range and box."""
-    schema = "Layer array<struct<Name:string,Title:string,MinScaleDenominator:double,MaxScaleDenominator:double>>"
-    d = texts.withColumn("_l", F.explode(F.from_xml(column, schema)["Layer"]))
-    return d.select(*[c for c in texts.columns if c != column], F.col("_l.Name").alias("layer"), F.col("_l.Title").alias("title"), F.col("_l.MinScaleDenominator").alias("min_scale"), F.col("_l.MaxScaleDenominator").alias("max_scale"))
+def capability_layers(texts: DataFrame, column: str = "text", required: tuple[str, ...] = (), version: str = "1.3.0") -> DataFrame:
+    """Layers of capability documents that have a name and a box: title (else the name), scale range, box and legend, with ``drift``: what the whole document breaks (its version, a box
+    that is no number, layers of ``required`` that are missing), or null."""
+    box = "EX_GeographicBoundingBox struct<westBoundLongitude:string,southBoundLatitude:string,eastBoundLongitude:string,northBoundLatitude:string>"
+    schema = f"_version string, Layer array<struct<Name:string,Title:string,MinScaleDenominator:double,MaxScaleDenominator:double,{box.replace(' struct', ':struct', 1)},Style:struct<LegendURL:struct<OnlineResource:struct<_href:string>>>>>"
+    d = texts.withColumn("_d", F.from_xml(column, schema))
+    named = F.filter("_d.Layer", lambda l: l["Name"].isNotNull() & l["EX_GeographicBoundingBox"].isNotNull())
+    side = lambda l, c: l["EX_GeographicBoundingBox"][f"{c}"].try_cast("double")
+    sides = ("westBoundLongitude", "southBoundLatitude", "eastBoundLongitude", "northBoundLatitude")
+    total = lambda l: side(l, sides[0]) + side(l, sides[1]) + side(l, sides[2]) + side(l, sides[3])
+    bad = F.exists("_n", lambda l: total(l).isNull() | F.isnan(total(l)))
+    lost = F.array_except(F.lit(list(required)) if required else F.array().cast("array<string>"), F.transform("_n", lambda l: l["Name"]))
+    d = d.withColumn("_n", F.coalesce(named, F.filter("_d.Layer", lambda l: F.lit(False)))).withColumn("drift", F.when(~F.coalesce(F.col("_d._version") == version, F.lit(False)), "version").when(bad, "bounds").when(F.size(lost) > 0, F.concat(F.lit("missing "), F.array_join(F.array_sort(lost), ","))))
+    l = d.withColumn("_l", F.explode_outer("_n"))
+    legend = F.col("_l.Style.LegendURL.OnlineResource._href")
+    return l.select(*[c for c in texts.columns if c != column], F.col("_l.Name").alias("layer"), F.coalesce("_l.Title", "_l.Name").alias("title"), F.col("_l.MinScaleDenominator").alias("min_scale"), F.col("_l.MaxScaleDenominator").alias("max_scale"),
+                    *[side(F.col("_l"), c).alias(n) for c, n in zip(sides, ("west", "south", "east", "north"))], F.when(F.contains(legend, F.lit("GetLegendGraphic")), legend).alias("legend"), "drift")
 
 
 def relation_members(texts: DataFrame, column: str = "text") -> DataFrame:

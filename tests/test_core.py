@@ -244,8 +244,13 @@ def test_relation_xml(spark):
 
 
 def test_capabilities(spark):
-    d = texts(spark, "<c><Layer><Name>power</Name><Title>P</Title><MaxScaleDenominator>5000</MaxScaleDenominator></Layer><Layer><Name>gas</Name></Layer></c>")
-    assert {r.layer: r.max_scale for r in files.capability_layers(d).collect()} == {"power": 5000.0, "gas": None}
+    box = "<EX_GeographicBoundingBox><westBoundLongitude>14</westBoundLongitude><eastBoundLongitude>24</eastBoundLongitude><southBoundLatitude>49</southBoundLatitude><northBoundLatitude>55</northBoundLatitude></EX_GeographicBoundingBox>"
+    doc = f'<c version="1.3.0"><Layer><Name>power</Name><Title>P</Title>{box}<MaxScaleDenominator>5000</MaxScaleDenominator></Layer><Layer><Name>gas</Name>{box}</Layer><Layer><Name>frame</Name></Layer></c>'
+    got = {r.layer: r for r in files.capability_layers(texts(spark, doc), required=("power",)).collect()}
+    assert {k: (r.title, r.max_scale, r.west, r.drift) for k, r in got.items()} == {"power": ("P", 5000.0, 14.0, None), "gas": ("gas", None, 14.0, None)}
+    drift = lambda d, **k: {r.drift for r in files.capability_layers(texts(spark, d), **k).collect()}
+    assert drift(doc, required=("power", "water")) == {"missing water"} and drift(doc.replace("1.3.0", "1.1.1")) == {"version"} and drift(doc.replace(">49<", ">south<")) == {"bounds"}
+    assert drift("<c><Layer>", required=("power",)) == {"version"}
 
 
 def test_grid(spark):
