@@ -78,3 +78,18 @@ def layer_digest(features: DataFrame, by: list[str], row: list[str]) -> DataFram
     part = [F.conv(F.substring(text, 1 + 12 * i, 12), 16, 10).cast("decimal(38,0)") for i in range(3)]
     sums = features.groupBy(*by).agg(F.count("*").alias("feature_count"), *[F.sum(p).alias(f"_{i}") for i, p in enumerate(part)])
     return sums.select(*by, "feature_count", F.sha2(F.concat_ws(":", F.col("feature_count").cast("string"), *[F.col(f"_{i}").cast("string") for i in range(3)]), 256).alias("digest"))
+
+
+# What a seed record may say.
+SEED_VALUES = {"kind": ("substation", "line", "plant", "transformer", "generator"), "confidence": ("low", "medium", "high"), "review_status": ("needs_review", "reviewed", "rejected"), "geometry_type": ("Point", "LineString")}
+SEED_FIELDS = ("name", "domain", "operator", "source_note", "created_at", "lon", "lat")
+
+
+def seed_problems(seeds: DataFrame) -> DataFrame:
+    """``seed_id, code``: fields that are missing or blank, values outside of the closed lists, a voltage that is none, a seed that claims authority, ids that several seeds share."""
+    blank = lambda c: F.coalesce(F.trim(F.col(c).cast("string")) == "", F.lit(True))
+    tests = [(c, blank(c)) for c in SEED_FIELDS] + [(c, ~F.coalesce(F.col(c).isin(*v), F.lit(False))) for c, v in SEED_VALUES.items()]
+    tests += [("voltage_estimate", F.coalesce(F.col("voltage_estimate") <= 0, F.lit(True))), ("not_authoritative", ~F.coalesce("not_authoritative", F.lit(False)))]
+    own = seeds.select("seed_id", F.explode(F.array_compact(F.array(*[F.when(t, n) for n, t in tests]))).alias("code"))
+    twice = seeds.groupBy("seed_id").count().where("count > 1").select("seed_id", F.lit("duplicate").alias("code"))
+    return own.unionByName(twice)

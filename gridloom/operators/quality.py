@@ -122,3 +122,29 @@ def contract_violations(meta: DataFrame) -> Column:
     tests = [("aoi_id", blank("aoi_id")), ("contract_version", ~F.coalesce(F.col("contract_version") == CONTRACT, F.lit(False))), ("readiness", ~F.coalesce(F.col("readiness").isin(*READINESS), F.lit(False))),
              ("confidence", ~F.coalesce(F.col("confidence").isin(*CONFIDENCE), F.lit(False))), ("feature_count", ~F.coalesce(F.col("feature_count") >= 0, F.lit(False))), ("snapshot_at", ~zone)]
     return F.array_compact(F.array(*[F.when(t, f"metadata.{n}") for n, t in tests]))
+
+
+def feature_violations() -> Column:
+    """Stable codes of what is wrong with a feature row; what is missing of its frame ends the check."""
+    said = lambda c: F.coalesce(F.trim(c) != "", F.lit(False))
+    code = lambda test, name: F.when(test, F.lit(name))
+    fields = []
+    for f in ("source", "source_id", "domain", "asset_type"):
+        fields += [code(F.col(f).isNull(), f"properties.missing:{f}"), code(F.col(f).isNotNull() & ~said(F.col(f)), f"properties.{f}")]
+    fields += [code(F.col("confidence").isNull(), "properties.missing:confidence"), code(~F.coalesce(F.col("confidence").isin(*CONFIDENCE), F.lit(False)), "properties.confidence"), code(~F.col("missing_is_list"), "properties.missing_fields"),
+               code(~F.col("limits_is_list"), "properties.limitations"), code(F.col("eligible_for_analysis").isNull(), "properties.eligible_for_analysis")]
+    return (F.when(F.col("type") != "Feature", F.array(F.lit("type"))).when(~said(F.col("geometry_type")) | F.col("coordinates").isNull(), F.array(F.lit("geometry")))
+            .when(~F.col("has_properties"), F.array(F.lit("properties"))).otherwise(F.array_compact(F.array(*fields))))
+
+
+def validate_layers(features: DataFrame, expected: DataFrame) -> DataFrame:
+    """A report for each expected layer (layer, expected: the geometry types it may hold): counts, types, what is unexpected, empty, invalid or outside, and the status. ``features``
+    has layer, gtype, n_points, self_crossing and outside. One pass; types are counted first, so a layer's histogram is a row for each type."""
+    empty, gtype = F.col("n_points") == 0, F.coalesce("gtype", F.lit("None"))
+    by = features.groupBy("layer", gtype.alias("gtype")).agg(F.count("*").alias("n"), F.count_if(empty).alias("empty"), F.count_if(F.col("self_crossing")).alias("invalid"), F.count_if(F.col("outside")).alias("outside"))
+    g = by.groupBy("layer").agg(F.sum("n").alias("feature_count"), F.array_sort(F.collect_list(F.struct("gtype", "n"))).alias("types"), F.sum("empty").alias("empty"), F.sum("invalid").alias("invalid"), F.sum("outside").alias("outside"))
+    d = expected.join(g, "layer", "left").fillna(0, ["feature_count", "empty", "invalid", "outside"])
+    odd = F.array_except(F.transform(F.coalesce("types", F.array().cast("array<struct<gtype:string,n:bigint>>")), lambda x: x["gtype"]), F.col("expected"))
+    d = d.withColumn("unexpected", F.array_join(odd, ",")).withColumn("types", F.array_join(F.transform("types", lambda x: F.concat_ws(":", x["gtype"], x["n"].cast("string"))), ","))
+    status = F.when(F.col("feature_count") == 0, "warn").when((F.col("unexpected") != "") | (F.col("empty") > 0), "fail").when((F.col("invalid") > 0) | (F.col("outside") > 0), "warn").otherwise("pass")
+    return d.withColumn("status", status)

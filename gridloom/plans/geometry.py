@@ -277,10 +277,18 @@ def aoi_area_limit(t):
     return _rings(t).select("id", F.round(area / 1e6, 3).alias("km2"), (area <= math.pi * 100_000.0**2).alias("allowed"))
 
 
-@query("geometry_validity", "SELECT CASE WHEN n < 2 THEN 'empty' WHEN len < 1e-9 THEN 'degenerate' ELSE 'valid' END AS state, count(*) AS n FROM (SELECT way_id, count(*) AS n, coalesce(sum(sqrt(power(lon2 - lon1, 2) + power(lat2 - lat1, 2))), 0) AS len FROM geo_segment GROUP BY way_id) GROUP BY 1", "geo_segment")
+@query("geometry_validity", """WITH sd AS (SELECT way_id, row_number() OVER (PARTITION BY way_id ORDER BY seq) AS k, lon1 AS ax, lat1 AS ay, lon2 AS bx, lat2 AS by_ FROM geo_segment WHERE lon2 IS NOT NULL),
+x AS (SELECT DISTINCT p.way_id FROM sd p JOIN sd q ON p.way_id = q.way_id AND q.k > p.k + 1 WHERE ((p.bx - p.ax) * (q.ay - p.ay) - (p.by_ - p.ay) * (q.ax - p.ax) > 0) <> ((p.bx - p.ax) * (q.by_ - p.ay) - (p.by_ - p.ay) * (q.bx - p.ax) > 0)
+ AND ((q.bx - q.ax) * (p.ay - q.ay) - (q.by_ - q.ay) * (p.ax - q.ax) > 0) <> ((q.bx - q.ax) * (p.by_ - q.ay) - (q.by_ - q.ay) * (p.bx - q.ax) > 0))
+SELECT CASE WHEN n < 2 THEN 'empty' WHEN len < 1e-9 THEN 'degenerate' WHEN x.way_id IS NOT NULL THEN 'non_simple' ELSE 'valid' END AS state, count(*) AS n FROM (SELECT way_id, count(*) AS n, coalesce(sum(sqrt(power(lon2 - lon1, 2) + power(lat2 - lat1, 2))), 0) AS len FROM geo_segment GROUP BY way_id) g LEFT JOIN x ON x.way_id = g.way_id GROUP BY 1""", "geo_segment")
 def geometry_validity(t):
-    s = t("geo_segment").groupBy("way_id").agg(F.count("*").alias("n"), F.coalesce(F.sum(F.hypot(F.col("lon2") - F.col("lon1"), F.col("lat2") - F.col("lat1"))), F.lit(0.0)).alias("len"))
-    return s.groupBy(F.when(F.col("n") < 2, "empty").when(F.col("len") < 1e-9, "degenerate").otherwise("valid").alias("state")).agg(F.count("*").alias("n"))
+    """Ways by validity: too few points, no length, sides that cross, or none of these."""
+    g = t("geo_node").groupBy("way_id").agg(F.array_sort(F.collect_list(F.struct("seq", F.col("lon").alias("x"), F.col("lat").alias("y")))).alias("p"))
+    g = g.select(F.transform("p", lambda q: F.struct(q["x"].alias("x"), q["y"].alias("y"))).alias("line"))
+    n = F.size("line")
+    length = F.when(n >= 2, F.aggregate(F.sequence(F.lit(1), n - 1), F.lit(0.0), lambda a, i: a + F.hypot(F.element_at("line", i + 1)["x"] - F.element_at("line", i)["x"], F.element_at("line", i + 1)["y"] - F.element_at("line", i)["y"])))
+    state = F.when(n < 2, "empty").when(length < 1e-9, "degenerate").when(geo.self_crossing(F.col("line")), "non_simple").otherwise("valid")
+    return g.groupBy(state.alias("state")).agg(F.count("*").alias("n"))
 
 
 @query("explode_parts", "SELECT o_custkey AS relation_id, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS INT) AS part, o_orderkey AS way_id FROM orders")

@@ -159,17 +159,24 @@ def sanitize_attrs(t):
     return f.select("id", F.when(~F.isnan("x"), F.col("x").cast("long").cast("string")).alias("a"), F.to_json(F.array(F.col("tags")["power"])).alias("b"))
 
 
-@query("seed_validation", """SELECT o_orderkey AS seed_id, code FROM (
- SELECT o_orderkey, unnest(list_filter([CASE WHEN o_orderpriority IS NULL THEN 'name' END, CASE WHEN o_orderkey % 4 = 3 THEN 'confidence' END, CASE WHEN o_orderkey % 6 = 0 THEN 'not_authoritative' END, CASE WHEN o_totalprice < 5000 THEN 'voltage_estimate' END], lambda x: x IS NOT NULL)) AS code FROM orders)
-UNION ALL SELECT o_orderkey, 'duplicate' FROM orders GROUP BY o_orderkey HAVING count(*) > 1""")
+_SEED = """(SELECT o_orderkey AS seed_id, CASE WHEN o_orderkey % 17 = 3 THEN '' ELSE o_orderstatus END AS name, CASE o_orderkey % 5 WHEN 0 THEN 'substation' WHEN 1 THEN 'line' WHEN 2 THEN 'plant' WHEN 3 THEN 'transformer' ELSE 'castle' END AS kind, CASE o_orderkey % 4 WHEN 3 THEN 'certain' WHEN 2 THEN 'high' WHEN 1 THEN 'medium' ELSE 'low' END AS confidence,
+CASE WHEN o_orderkey % 7 = 2 THEN 'unknown' ELSE 'needs_review' END AS review_status, CASE WHEN o_orderkey % 11 = 5 THEN 'Polygon' ELSE 'Point' END AS geometry_type, CASE WHEN o_orderkey % 13 = 1 THEN NULL ELSE 'note' END AS source_note, CASE WHEN o_orderkey % 19 = 4 THEN NULL ELSE 'owner' END AS operator, CASE WHEN o_totalprice < 5000 THEN 0e0 ELSE 110e0 END AS voltage_estimate,
+CASE WHEN o_orderkey % 23 = 8 THEN NULL ELSE o_orderdate END AS created_at, CASE WHEN o_orderkey % 29 = 9 THEN NULL ELSE 18.5e0 END AS lon, CASE WHEN o_orderkey % 29 = 9 THEN NULL ELSE 50.1e0 END AS lat, CASE WHEN o_orderkey % 31 = 7 THEN '' ELSE 'power' END AS domain, o_orderkey % 6 <> 0 AS not_authoritative FROM orders)"""
+_SEED_CODES = {"name": "name = ''", "kind": "kind = 'castle'", "confidence": "confidence = 'certain'", "review_status": "review_status = 'unknown'", "geometry_type": "geometry_type = 'Polygon'", "source_note": "source_note IS NULL", "operator": "operator IS NULL",
+               "voltage_estimate": "voltage_estimate <= 0", "created_at": "created_at IS NULL", "lon": "lon IS NULL", "lat": "lat IS NULL", "domain": "domain = ''", "not_authoritative": "NOT not_authoritative"}
+
+
+@query("seed_validation", " UNION ALL ".join(f"SELECT seed_id, '{k}' AS code FROM {_SEED} WHERE {v}" for k, v in _SEED_CODES.items()) + " UNION ALL SELECT o_orderkey, 'duplicate' FROM orders GROUP BY o_orderkey HAVING count(*) > 1")
 def seed_validation(t):
-    o = t("orders")
-    bad = F.array_compact(F.array(F.when(F.col("o_orderpriority").isNull(), "name"), F.when(~F.col("c").isin("low", "medium", "high"), "confidence"),
-                                  F.when(F.col("o_orderkey") % 6 == 0, "not_authoritative"), F.when(F.col("o_totalprice") < 5000, "voltage_estimate")))
-    level = F.element_at(F.array(F.lit("low"), F.lit("medium"), F.lit("high"), F.lit("certain")), (F.col("o_orderkey") % 4 + 1).cast("int"))
-    rows = o.withColumn("c", level).select(F.col("o_orderkey").alias("seed_id"), F.explode(bad).alias("code"))
-    twice = o.groupBy(F.col("o_orderkey").alias("seed_id")).count().where("count > 1").select("seed_id", F.lit("duplicate").alias("code"))
-    return rows.unionByName(twice)
+    """Records of hand-made seeds, derived from orders, some of which break a rule."""
+    k = F.col("o_orderkey")
+    pick = lambda n, *v: F.element_at(F.lit(list(v)), (k % n + 1).cast("int"))
+    unless = lambda n, r, v: F.when(k % n != r, v)
+    seeds = t("orders").select(
+        k.alias("seed_id"), F.when(k % 17 == 3, "").otherwise(F.col("o_orderstatus")).alias("name"), pick(5, "substation", "line", "plant", "transformer", "castle").alias("kind"), pick(4, "low", "medium", "high", "certain").alias("confidence"),
+        F.when(k % 7 == 2, "unknown").otherwise("needs_review").alias("review_status"), F.when(k % 11 == 5, "Polygon").otherwise("Point").alias("geometry_type"), unless(13, 1, F.lit("note")).alias("source_note"), unless(19, 4, F.lit("owner")).alias("operator"),
+        F.when(F.col("o_totalprice") < 5000, 0.0).otherwise(110.0).alias("voltage_estimate"), unless(23, 8, F.col("o_orderdate")).alias("created_at"), unless(29, 9, F.lit(18.5)).alias("lon"), unless(29, 9, F.lit(50.1)).alias("lat"), F.when(k % 31 == 7, "").otherwise("power").alias("domain"), (k % 6 != 0).alias("not_authoritative"))
+    return ops.seed_problems(seeds)
 
 
 @query("profile_outcomes", f"""SELECT r.o_custkey AS aoi_id, r.domain, CASE WHEN max(CASE WHEN d.status = 'ready' THEN 1 ELSE 0 END) = 1 THEN 'ready' ELSE 'needs_source' END AS status

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from gridloom.operators import quality as q
 from gridloom.plans.classify import CASES, _J, NODES, features
 from gridloom.functions import classify as c
+from gridloom.plans.geometry import CX, CY
 from gridloom.plans.views import query
 
 _ST = "CASE translate(lower(trim(validation_status_raw)), '- ', '__') WHEN 'pass' THEN 'passed' WHEN 'ok' THEN 'passed' WHEN 'success' THEN 'passed' WHEN 'valid' THEN 'passed' WHEN 'warn' THEN 'warning' WHEN 'warning' THEN 'warning' WHEN 'fail' THEN 'failed' WHEN 'failed' THEN 'failed' WHEN 'error' THEN 'failed' WHEN 'invalid' THEN 'failed' ELSE 'unknown' END"
@@ -81,17 +82,57 @@ def duplicate_features(t):
     return l.where("n > 1")
 
 
-_EXPECT = [(f"power.{k}", "Point") for k in ("tower", "pole", "substation", "portal")]
+_SUBS = {"power_major_lines": "line", "power_minor_lines": "minor_line", "power_cables": "cable", "power_substations": "substation", "power_transformers": "transformer", "power_plants": "plant", "power_switchgear": "switch", "power_missing": "none"}
+_OBJ = """o AS (SELECT n.tag_id, 'Point' AS gtype, 1 AS n_points, false AS self_crossing, sqrt(power(m.x - {cx!r}, 2) + power(m.y - {cy!r}, 2)) > 35000e0 AS outside FROM geo_node n JOIN metric m ON m.id = n.id UNION ALL
+SELECT CAST(way_id % 90 AS INT), 'LineString', CASE WHEN way_id % 61 = 0 THEN 0 ELSE count(*) END, way_id IN (SELECT way_id FROM x), bool_or(sqrt(power(x - {cx!r}, 2) + power(y - {cy!r}, 2)) > 35000e0) FROM metric GROUP BY way_id HAVING count(*) >= 2)"""
+# ways of which two sides that are not neighbours cross
+CROSSING = """sd AS (SELECT way_id, seq, row_number() OVER (PARTITION BY way_id ORDER BY seq) AS k, lon1 AS ax, lat1 AS ay, lon2 AS bx, lat2 AS by_ FROM geo_segment WHERE lon2 IS NOT NULL),
+x AS (SELECT DISTINCT p.way_id FROM sd p JOIN sd q ON p.way_id = q.way_id AND q.k > p.k + 1 WHERE ((p.bx - p.ax) * (q.ay - p.ay) - (p.by_ - p.ay) * (q.ax - p.ax) > 0) <> ((p.bx - p.ax) * (q.by_ - p.ay) - (p.by_ - p.ay) * (q.bx - p.ax) > 0)
+ AND ((q.bx - q.ax) * (p.ay - q.ay) - (q.by_ - q.ay) * (p.ax - q.ax) > 0) <> ((q.bx - q.ax) * (p.by_ - q.ay) - (q.by_ - q.ay) * (p.bx - q.ax) > 0))"""
 
 
-@query("layer_validation", f"""SELECT e.layer, coalesce(n, 0) AS feature_count, round(xmin, 6) AS xmin, round(ymax, 6) AS ymax, CASE WHEN coalesce(n, 0) = 0 THEN 'warn' WHEN outside > 0 THEN 'warn' ELSE 'pass' END AS status
-FROM (VALUES ('tower'),('pole'),('substation'),('portal')) AS e(layer) LEFT JOIN (SELECT power, count(*) AS n, min(lon) AS xmin, max(lat) AS ymax, count(*) FILTER (WHERE lon > 19.0) AS outside {_J} GROUP BY power) g ON g.power = e.layer""", *NODES)
+def _checked(t):
+    """Nodes and ways with what a validation looks at; some ways are emptied on purpose."""
+    from gridloom.functions.geo import self_crossing, with_metric
+    from gridloom.functions.tags import tag_maps
+    from gridloom.operators.ways import assemble_ways
+    from gridloom.plans.geometry import CX, CY
+
+    tags = tag_maps(t("tag_kv")).select("tag_id", F.col("tags")["power"].alias("power"))
+    m = with_metric(t("geo_node")).withColumn("outside", F.hypot(F.col("x") - CX, F.col("y") - CY) > 35_000.0)
+    n = m.select("tag_id", F.lit("Point").alias("gtype"), F.lit(1).alias("n_points"), F.lit(False).alias("self_crossing"), "outside")
+    far = m.groupBy(F.col("way_id").alias("w")).agg(F.bool_or("outside").alias("outside"))
+    l = assemble_ways(t("geo_node").select("way_id", F.col("seq").alias("pos"), F.col("id").alias("ref")), t("geo_node")).join(far, F.col("way_id") == F.col("w"))
+    l = l.select((F.col("way_id") % 90).cast("int").alias("tag_id"), F.lit("LineString").alias("gtype"), F.when(F.col("way_id") % 61 == 0, 0).otherwise(F.size("line")).alias("n_points"), self_crossing(F.col("line")).alias("self_crossing"), "outside")
+    return n.unionByName(l).join(tags, "tag_id")
+
+
+_VAL = _OBJ.format(cx=CX, cy=CY)
+_LAYERS = ", ".join(f"('{k}', '{v}', '{'LineString' if v in ('line', 'minor_line', 'cable') else 'Point'}')" for k, v in _SUBS.items())
+
+
+@query("layer_validation", f"""WITH {CROSSING}, {_VAL}, g AS (SELECT power, gtype, count(*) AS n, count(*) FILTER (WHERE n_points = 0) AS empty, count(*) FILTER (WHERE self_crossing) AS invalid, count(*) FILTER (WHERE outside) AS outside FROM o JOIN tag_wide w ON w.tag_id = o.tag_id GROUP BY 1, 2),
+r AS (SELECT layer, coalesce(CAST(sum(n) AS BIGINT), 0) AS feature_count, string_agg(concat(gtype, ':', CAST(n AS VARCHAR)), ',' ORDER BY gtype) FILTER (WHERE n IS NOT NULL) AS types, coalesce(CAST(sum(empty) AS BIGINT), 0) AS empty, coalesce(CAST(sum(invalid) AS BIGINT), 0) AS invalid, coalesce(CAST(sum(outside) AS BIGINT), 0) AS outside, coalesce(string_agg(gtype, ',' ORDER BY gtype) FILTER (WHERE gtype <> want), '') AS unexpected
+FROM (VALUES {_LAYERS}) AS e(layer, power, want) LEFT JOIN g ON g.power = e.power GROUP BY layer) SELECT *, CASE WHEN feature_count = 0 THEN 'warn' WHEN unexpected <> '' OR empty > 0 THEN 'fail' WHEN invalid > 0 OR outside > 0 THEN 'warn' ELSE 'pass' END AS status FROM r""", "geo_segment", "metric", "tag_wide")
 def layer_validation(t):
     """Expected layers keep their row when they are empty."""
-    g = features(t).groupBy(F.col("tags")["power"].alias("layer")).agg(F.count("*").alias("n"), F.min("lon").alias("xmin"), F.max("lat").alias("ymax"), F.count_if(F.col("lon") > 19.0).alias("outside"))
-    e = t.spark.createDataFrame([(k,) for k in ("tower", "pole", "substation", "portal")], "layer string").join(g, "layer", "left")
-    n = F.coalesce("n", F.lit(0))
-    return e.select("layer", n.alias("feature_count"), F.round("xmin", 6).alias("xmin"), F.round("ymax", 6).alias("ymax"), F.when((n == 0) | (F.col("outside") > 0), "warn").otherwise("pass").alias("status"))
+    kind = {v: k for k, v in _SUBS.items()}
+    names = F.create_map(*[F.lit(x) for kv in kind.items() for x in kv])
+    f = _checked(t).withColumn("layer", names[F.col("power")]).where("layer is not null")
+    e = t.spark.createDataFrame([(k, ["LineString" if v in ("line", "minor_line", "cable") else "Point"]) for k, v in _SUBS.items()], "layer string, expected array<string>")
+    return q.validate_layers(f, e).select("layer", "feature_count", "types", "empty", "invalid", "outside", "unexpected", "status")
+
+
+@query("power_group_counts", "SELECT count(*) FILTER (WHERE power IN ('line','minor_line','cable','busbar','bay')) AS lines, count(*) FILTER (WHERE power IN ('substation','transformer','plant','generator','tower','pole','portal','switch','terminal','converter','compensator')) AS nodes, bool_or(power IN ('line','minor_line','cable','busbar','bay')) AS has_power_lines, bool_or(power IN ('minor_line','cable','transformer','tower','pole','portal')) AS has_distribution_candidates FROM geo_node n JOIN tag_wide w ON n.tag_id = w.tag_id", "geo_node", "tag_wide")
+def power_group_counts(t):
+    """Group counts of the power domain and what they say of its quality."""
+    from gridloom.operators.layers import POWER_GROUPS
+
+    p = features(t).select(F.col("tags")["power"].alias("p"))
+    of = lambda *names: F.coalesce(F.col("p").isin(*[x for k in names for x in POWER_GROUPS[k] if x != "utility_pole"]), F.lit(False))
+    lines = of("power_major_lines", "power_minor_lines", "power_cables", "power_busbars")
+    nodes = of("power_substations", "power_transformers", "power_plants", "power_generators", "power_supports", "power_switchgear")
+    return p.agg(F.count_if(lines).alias("lines"), F.count_if(nodes).alias("nodes"), F.bool_or(lines).alias("has_power_lines"), F.bool_or(of("power_minor_lines", "power_cables", "power_transformers", "power_supports")).alias("has_distribution_candidates"))
 
 
 @query("domain_validation", f"SELECT aoi_id, CASE max(CASE quality WHEN 'failed' THEN 2 WHEN 'passed' THEN 0 ELSE 1 END) WHEN 2 THEN 'fail' WHEN 1 THEN 'warn' ELSE 'pass' END AS status, bool_or(feature_count > 0) AS has_features, count(*) AS n_layers FROM {_L} GROUP BY aoi_id", "layer_summary")
@@ -167,3 +208,13 @@ def contract_violations(t):
 @query("identifier_checks", "SELECT artifact_id, regexp_matches(artifact_id, '^[a-z0-9_]+$') AS plain, replace(replace(artifact_id, '.', '_'), '-', '_') AS layer_name FROM artifact", "artifact")
 def identifier_checks(t):
     return t("artifact").select("artifact_id", F.col("artifact_id").rlike("^[a-z0-9_]+$").alias("plain"), F.translate("artifact_id", ".-", "__").alias("layer_name"))
+
+
+_BAD = {"properties.missing:source": "source IS NULL", "properties.source": "trim(source) = ''", "properties.missing:source_id": "source_id IS NULL", "properties.domain": "domain = ''", "properties.missing:asset_type": "asset_type IS NULL", "properties.missing:confidence": "confidence IS NULL",
+        "properties.confidence": "coalesce(confidence, '') <> 'high'", "properties.missing_fields": "NOT missing_is_list", "properties.limitations": "NOT limits_is_list", "properties.eligible_for_analysis": "eligible_for_analysis IS NULL"}
+_FRAME = "CASE WHEN type <> 'Feature' THEN 'type' WHEN geometry_type IS NULL OR trim(geometry_type) = '' OR coordinates IS NULL THEN 'geometry' WHEN NOT has_properties THEN 'properties' END"
+
+
+@query("feature_violations", f"SELECT ord, {_FRAME} AS code FROM provider_feature WHERE {_FRAME} IS NOT NULL" + "".join(f" UNION ALL SELECT ord, '{k}' FROM provider_feature WHERE {_FRAME} IS NULL AND ({v})" for k, v in _BAD.items()), "provider_feature")
+def feature_violations(t):
+    return t("provider_feature").select("ord", F.explode(q.feature_violations()).alias("code"))
