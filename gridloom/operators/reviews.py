@@ -12,21 +12,25 @@ MOVES = {"open": ("acknowledged", *FINAL), "acknowledged": FINAL, "resolved": ()
 
 
 def fold_reviews(updates: DataFrame) -> DataFrame:
-    """The state of each issue after its updates in order of (ts, event_id).
-
-    Stale updates are refused as conflicts, moves that the state does not allow as invalid. The order of updates needs no fold: the first final
-    update closes the issue, and of the acknowledgements before it one is taken; so three minima per issue say all, and
-    a frequent issue is combined before the shuffle."""
-    at = F.struct("ts", "event_id")
-    fresh, final = ~F.col("is_stale"), F.col("status").isin(*FINAL)
-    g = updates.groupBy("issue_id").agg(
-        F.min(F.when(fresh & final, F.struct("ts", "event_id", "status"))).alias("close"), F.min(F.when(fresh & (F.col("status") == "acknowledged"), at)).alias("ack"),
-        F.count_if(F.col("is_stale")).alias("n_conflict"), F.count("*").alias("n"))
-    first = F.col("ack").isNotNull() & (F.col("close").isNull() | (F.col("ack") < F.struct("close.ts", "close.event_id")))
-    taken = first.cast("long") + F.col("close").isNotNull().cast("long")
-    status = F.coalesce("close.status", F.when(F.col("ack").isNotNull(), "acknowledged"), F.lit("open"))
-    updated = F.coalesce("close.ts", "ack.ts")
-    return g.select("issue_id", status.alias("status"), updated.alias("updated_at"), taken.alias("n_accepted"), "n_conflict", (F.col("n") - F.col("n_conflict") - taken).alias("n_invalid"))
+    """The state of each issue after its updates (ts, event_id, status, note, expected) in order of (ts, event_id): ``issue_id, status, note, created_at, updated_at`` and counts.
+
+    ``expected`` is the time of the last change that the writer knew of, null for none. An update that expects another one than there is is a conflict; one that the state does not allow is invalid. An
+    absent note keeps the one that is there, an empty one clears it. No fold in order is needed: the first update that expects nothing opens the review; if it acknowledges, the first final one that expects it closes
+    it; and the time of an update against these two says what became of it. Both are minima that combine before the shuffle."""
+    at, row = F.struct("ts", "event_id"), F.struct("ts", "event_id", "status", "note")
+    first = updates.where("expected is null").groupBy("issue_id").agg(F.min(row).alias("f"))
+    u = updates.join(first, "issue_id", "left")
+    after = at > F.struct("f.ts", "f.event_id")
+    closing = after & (F.col("f.status") == "acknowledged") & (F.col("expected") == F.col("f.ts")) & F.col("status").isin(*FINAL)
+    second = u.where(closing).groupBy("issue_id").agg(F.min(row).alias("g"))
+    v = u.join(second, "issue_id", "left")
+    opened, closed = F.col("f").isNotNull() & (at >= F.struct("f.ts", "f.event_id")), F.col("g").isNotNull() & (at >= F.struct("g.ts", "g.event_id"))
+    taken = (F.col("f").isNotNull() & (at == F.struct("f.ts", "f.event_id"))) | (F.col("g").isNotNull() & (at == F.struct("g.ts", "g.event_id")))
+    known = F.when(closed, F.col("g.ts")).when(opened, F.col("f.ts"))
+    conflict = ~taken & ~F.col("expected").eqNullSafe(known)
+    n = v.groupBy("issue_id").agg(F.first("f").alias("f"), F.first("g").alias("g"), F.count_if(taken).alias("n_accepted"), F.count_if(conflict).alias("n_conflict"), F.count_if(~taken & ~conflict).alias("n_invalid"))
+    note = F.when(F.col("g.note").isNotNull(), F.nullif(F.col("g.note"), F.lit(""))).otherwise(F.nullif(F.col("f.note"), F.lit("")))
+    return n.select("issue_id", F.coalesce("g.status", "f.status", F.lit("open")).alias("status"), note.alias("note"), F.col("f.ts").alias("created_at"), F.coalesce("g.ts", "f.ts").alias("updated_at"), "n_accepted", "n_conflict", "n_invalid")
 
 
 #: Ranges of durations in which ranks are looked for.

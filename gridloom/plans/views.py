@@ -67,7 +67,9 @@ UNION ALL SELECT concat('county_', CAST(n_nationkey AS STRING)), 'county', conca
  17.95e0 + 0.24e0 * CAST(n_nationkey % 5 AS DOUBLE), 49.75e0 + 0.14e0 * floor(CAST(n_nationkey AS DOUBLE) / 5e0), 17.95e0 + 0.24e0 * CAST(n_nationkey % 5 + 1 AS DOUBLE), 49.75e0 + 0.14e0 * (floor(CAST(n_nationkey AS DOUBLE) / 5e0) + 1e0) FROM {nation}
 UNION ALL SELECT concat('gmina_', CAST(s_suppkey AS STRING)), 'gmina', concat('county_', CAST(s_nationkey AS STRING)), CAST(NULL AS DOUBLE), CAST(NULL AS DOUBLE), CAST(NULL AS DOUBLE), CAST(NULL AS DOUBLE) FROM {supplier}""",
     "circuit_member": "SELECT o_custkey AS relation_id, o_orderkey AS way_id, CASE o_orderkey % 3 WHEN 0 THEN 'section' WHEN 1 THEN '' ELSE 'branch' END AS role FROM {orders}",
-    "review_update": "SELECT event_id, ts, user_id AS issue_id, CASE event_type WHEN 'view' THEN 'acknowledged' WHEN 'click' THEN 'resolved' WHEN 'purchase' THEN 'accepted' WHEN 'error' THEN 'ignored' ELSE 'acknowledged' END AS status, event_id % 5 = 0 AS is_stale FROM {events}",
+    # updates of reviews: some know nothing, some the first change, some a change that never was
+    "review_update": """SELECT event_id, ts, user_id AS issue_id, CASE event_type WHEN 'view' THEN 'acknowledged' WHEN 'click' THEN 'resolved' WHEN 'purchase' THEN 'accepted' WHEN 'error' THEN 'ignored' ELSE 'acknowledged' END AS status,
+ CASE WHEN event_id % 3 = 0 THEN '' WHEN event_id % 3 = 1 THEN concat('note ', CAST(event_id AS STRING)) END AS note, CASE WHEN event_id % 4 IN (1, 2) THEN min(CASE WHEN event_id % 4 = 0 THEN ts END) OVER (PARTITION BY user_id) WHEN event_id % 4 = 3 THEN ts END AS expected FROM {events}""",
     "measure_obs": "SELECT event_type AS endpoint, event_id, value AS duration_ms, CAST(event_id % 4096 + 512 AS BIGINT) AS response_bytes, CASE event_id % 7 WHEN 0 THEN 304 ELSE 206 END AS status FROM {events}",
     "xs_feature": """SELECT 'openstreetmap' AS source_id, id, CASE WHEN id % 4 = 0 THEN concat('n', CAST(id AS STRING)) END AS stable_id, CASE WHEN id % 17 = 0 THEN CAST(NULL AS STRING) WHEN tag_id < 6 THEN 'line' ELSE 'asset' END AS asset_type, lon, lat FROM {geo_node}
 UNION ALL SELECT CASE WHEN id % 29 = 0 THEN 'kiut_gesut_wms' ELSE 'bdot10k' END, id, CASE WHEN id % 8 = 0 THEN concat('n', CAST(id AS STRING)) END, CASE WHEN (id % 5 = 0) = (tag_id < 6) THEN 'asset' ELSE 'line' END, lon + 0.00006e0 * CAST(id % 3 AS DOUBLE), lat FROM {geo_node} WHERE id % 7 <> 0""",

@@ -14,23 +14,25 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from gridloom.operators.reviews import MOVES
 
-_STATE = "status string, n_accepted long, n_conflict long, n_invalid long"
-_OUT = f"issue_id long, {_STATE}"
+# ``updated``: nanoseconds of the last change, -1 for none; an empty note is none
+_STATE = "status string, updated long, note string, n_accepted long, n_conflict long, n_invalid long"
+_OUT = "issue_id long, status string, note string, n_accepted long, n_conflict long, n_invalid long"
 
 
 def _advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     """One issue's updates of a micro-batch, in order of (ts, event_id)."""
-    status, taken, conflict, invalid = state.get if state.exists else ("open", 0, 0, 0)
+    status, updated, note, taken, conflict, invalid = state.get if state.exists else ("open", -1, "", 0, 0, 0)
     rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
-    for stale, to in zip(rows.is_stale, rows.status):
-        if stale:
+    for ts, to, new, expected in zip(rows.ts, rows.status, rows.note, rows.expected):
+        if (-1 if pd.isna(expected) else pd.Timestamp(expected).value) != updated:
             conflict += 1
         elif to in MOVES[status]:
-            status, taken = to, taken + 1
+            status, updated, taken = to, pd.Timestamp(ts).value, taken + 1
+            note = note if new is None else new
         else:
             invalid += 1
-    state.update((status, taken, conflict, invalid))
-    yield pd.DataFrame([(key[0], status, taken, conflict, invalid)], columns=["issue_id", "status", "n_accepted", "n_conflict", "n_invalid"])
+    state.update((status, updated, note, taken, conflict, invalid))
+    yield pd.DataFrame([(key[0], status, note or None, taken, conflict, invalid)], columns=["issue_id", "status", "note", "n_accepted", "n_conflict", "n_invalid"])
 
 
 def review_states(updates: DataFrame) -> DataFrame:

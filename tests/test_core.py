@@ -280,6 +280,18 @@ def test_layer_sink(spark, tmp_path):
 # ---- streams
 
 
+def test_reviews_by_hand(spark):
+    """What an update expects decides: conflict, move that is not allowed, note kept, note cleared."""
+    from gridloom.operators.reviews import fold_reviews
+
+    rows = [(1, 1, 1, "resolved", "x", 5), (1, 2, 2, "acknowledged", "seen", None), (1, 3, 3, "resolved", None, None), (1, 4, 4, "acknowledged", None, 2), (1, 5, 5, "accepted", None, 2), (1, 6, 6, "ignored", "y", 5), (1, 7, 7, "ignored", "y", 2),
+            (2, 1, 8, "ignored", "a", None), (2, 2, 9, "resolved", "b", 1), (3, 1, 10, "acknowledged", "n", None), (3, 2, 11, "resolved", "", 1), (4, 1, 12, "resolved", "n", 9)]
+    d = spark.createDataFrame([(i, e, s, n, t, x) for i, t, e, s, n, x in rows], "issue_id long, event_id long, status string, note string, t long, x long")
+    d = d.withColumn("ts", F.timestamp_seconds("t")).withColumn("expected", F.timestamp_seconds("x"))
+    got = {r.issue_id: (r.status, r.note, r.n_accepted, r.n_conflict, r.n_invalid) for r in fold_reviews(d).collect()}
+    assert got == {1: ("accepted", "seen", 2, 3, 2), 2: ("ignored", "a", 1, 0, 1), 3: ("resolved", None, 2, 0, 0), 4: ("open", None, 0, 1, 0)}
+
+
 def test_stream_equals_batch(spark, tmp_path):
     from gridloom.operators.reviews import fold_reviews
     from gridloom.plans.views import Tables
@@ -294,9 +306,9 @@ def test_stream_equals_batch(spark, tmp_path):
     q.stop()
     got = {}
     for r in spark.sql("select * from review_states").collect():
-        k = (r.n_accepted + r.n_conflict + r.n_invalid, r.status, r.n_accepted, r.n_conflict, r.n_invalid)
+        k = (r.n_accepted + r.n_conflict + r.n_invalid, r.status, r.note or "", r.n_accepted, r.n_conflict, r.n_invalid)
         got[r.issue_id] = max(got.get(r.issue_id, k), k)
-    want = {r.issue_id: (r.n_accepted + r.n_conflict + r.n_invalid, r.status, r.n_accepted, r.n_conflict, r.n_invalid) for r in fold_reviews(u).collect()}
+    want = {r.issue_id: (r.n_accepted + r.n_conflict + r.n_invalid, r.status, r.note or "", r.n_accepted, r.n_conflict, r.n_invalid) for r in fold_reviews(u).collect()}
     assert got == want
 
     e = spark.readStream.schema(spark.read.parquet(f"{SF}/events.parquet").schema).parquet(f"{SF}/events*.parquet")
