@@ -131,6 +131,26 @@ def contiguous(selection: DataFrame, edges: DataFrame, limit: int = 3) -> DataFr
 
 
 def running(rows: DataFrame, by: str, order: list[str], *counts) -> DataFrame:
-    """Sums so far in each group."""
-    w = W.partitionBy(by).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
-    return rows.withColumns({name: F.sum(c).over(w) for name, c in counts})
+    """Sums so far in each group, in order of ``order``, whose first column is a time. A group is dealt by day: the sums of its days are a small table that says with what a day begins, and a window inside the day gives
+    the rest, so a group that holds most rows is as many tasks as it has days."""
+    day = F.date_trunc("day", order[0])
+    d = rows.withColumn("_day", day).withColumns({f"_c_{name}": c for name, c in counts})
+    sums = d.groupBy(by, "_day").agg(*[F.sum(f"_c_{name}").alias(f"_s_{name}") for name, _ in counts])
+    before = W.partitionBy(by).orderBy("_day").rowsBetween(W.unboundedPreceding, -1)
+    starts = sums.select(F.col(by).alias("_by"), F.col("_day").alias("_on"), *[F.coalesce(F.sum(f"_s_{name}").over(before), F.lit(0)).alias(f"_b_{name}") for name, _ in counts])
+    inside = W.partitionBy(by, "_day").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+    d = d.withColumns({name: F.sum(f"_c_{name}").over(inside) for name, _ in counts}).join(starts, F.col(by).eqNullSafe(F.col("_by")) & F.col("_day").eqNullSafe(F.col("_on")))
+    return d.select(*rows.columns, *[(F.col(name) + F.col(f"_b_{name}")).alias(name) for name, _ in counts])
+
+
+def previous_time(rows: DataFrame, by: list[str], time: str, tie: str) -> DataFrame:
+    """``rows`` with ``previous``, the time of the row before in its group. Dealt by day like :func:`running`: the first row of a day looks at the last time of the days before."""
+    d = rows.withColumn("_day", F.date_trunc("day", time))
+    last = d.groupBy(*by, "_day").agg(F.max(time).alias("_last"))
+    before = F.lag("_last").over(W.partitionBy(*by).orderBy("_day"))
+    starts = last.select(*[F.col(c).alias(f"_k_{c}") for c in by], F.col("_day").alias("_on"), before.alias("_before"))
+    on = F.col("_day").eqNullSafe(F.col("_on"))
+    for c in by:
+        on = on & F.col(c).eqNullSafe(F.col(f"_k_{c}"))
+    own = F.lag(time).over(W.partitionBy(*by, "_day").orderBy(time, tie))
+    return d.withColumn("_own", own).join(starts, on).select(*rows.columns, F.coalesce("_own", "_before").alias("previous"))

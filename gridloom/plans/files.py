@@ -45,6 +45,17 @@ def class_scan_bbox(t):
     return files.in_box(b, ["id", "tag_id", "seq"], (18.2, 49.9, 18.9, 50.3))
 
 
+@query("class_drift", """SELECT o_orderkey AS file_id, CASE WHEN o_orderkey % 13 = 5 THEN 'checksum' WHEN o_orderkey % 7 = 2 THEN 'missing geometry' WHEN o_orderkey % 11 = 3 THEN 'crs missing' WHEN o_orderkey % 5 = 1 THEN 'crs' WHEN (o_orderkey % 3) <> (o_orderkey // 3 % 3) THEN 'geometry' END AS drift FROM orders""")
+def class_drift(t):
+    """Class files of orders against what was agreed: checksum, columns, coordinate system, geometry family."""
+    k = F.col("o_orderkey")
+    d = t("orders").select(
+        k.alias("file_id"), F.when(k % 7 == 2, F.lit(["id", "name"])).otherwise(F.lit(["id", "name", "geometry"])).alias("columns"), F.when(k % 11 == 3, F.lit(None).cast("string")).when(k % 5 == 1, "EPSG:4326").otherwise("epsg:2180").alias("crs"),
+        F.element_at(F.lit(["point", "line", "polygon"]), (k % 3 + 1).cast("int")).alias("family"), F.element_at(F.lit(["Point", "MultiLineString", "Polygon"]), (F.expr("o_orderkey div 3") % 3 + 1).cast("int")).alias("gtype"),
+        F.lit("a").alias("sha256"), F.when(k % 13 == 5, "b").when(k % 2 == 0, "a").alias("expected_sha256"))
+    return d.select("file_id", files.class_drift(("id", "geometry")).alias("drift"))
+
+
 @query("gml_features", "SELECT s_suppkey AS file_id, CASE WHEN s_suppkey % 3 > 0 THEN concat('iip', CAST(s_suppkey AS VARCHAR)) WHEN s_suppkey % 2 = 0 THEN 'jpt' END AS official_id, s_name AS name, CAST(CASE WHEN s_suppkey % 5 > 0 THEN 3 END AS INT) AS n_points, CASE WHEN s_suppkey % 5 > 0 THEN 18e0 + s_suppkey % 7 END AS first_lon, CASE WHEN s_suppkey % 3 = 0 AND s_suppkey % 2 = 1 THEN 'id' WHEN s_suppkey % 5 = 0 THEN 'geometry' END AS error FROM supplier")
 def gml_features(t):
     k = F.col("s_suppkey")

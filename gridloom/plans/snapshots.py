@@ -267,9 +267,8 @@ def work_remaining(t):
 
 @query("coalesced_requests", "SELECT event_id, prev IS NOT NULL AND ts <= prev + INTERVAL 24 HOUR AS served FROM (SELECT event_id, ts, lag(ts) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS prev FROM events)")
 def coalesced_requests(t):
-    w = W.partitionBy("user_id", "event_type").orderBy("ts", "event_id")
-    prev = F.lag("ts").over(w)
-    return t("events").select("event_id", F.coalesce(F.col("ts") <= prev + F.expr("INTERVAL 24 HOURS"), F.lit(False)).alias("served"))
+    d = s.previous_time(t("events").select("event_id", "ts", "user_id", "event_type"), ["user_id", "event_type"], "ts", "event_id")
+    return d.select("event_id", F.coalesce(F.col("ts") <= F.col("previous") + F.expr("INTERVAL 24 HOURS"), F.lit(False)).alias("served"))
 
 
 @query("latest_report", "SELECT o_custkey AS bundle_id, o_orderkey AS report FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS n FROM orders WHERE o_orderstatus = 'F') WHERE n = 1")

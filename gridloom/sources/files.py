@@ -57,6 +57,19 @@ def in_box(d: DataFrame, columns: list[str], box: tuple[float, float, float, flo
     return d.where((F.col("xmax") >= x0) & (F.col("xmin") <= x1) & (F.col("ymax") >= y0) & (F.col("ymin") <= y1)).select(*columns)
 
 
+#: Coordinate system that class files must have, and the geometry types of each family.
+CLASS_CRS = "EPSG:2180"
+FAMILIES = {"point": ("Point",), "line": ("LineString", "MultiLineString"), "polygon": ("Polygon", "MultiPolygon")}
+
+
+def class_drift(required: tuple[str, ...]):
+    """The first way in which a class file (columns, crs, family, gtype, sha256, expected_sha256) is not what was agreed, or null."""
+    family = F.when(F.col("gtype").isin(*FAMILIES["point"]), "point").when(F.col("gtype").isin(*FAMILIES["line"]), "line").when(F.col("gtype").isin(*FAMILIES["polygon"]), "polygon").otherwise("other")
+    lost = F.array_except(F.lit(list(required)), F.col("columns"))
+    return (F.when(F.col("expected_sha256").isNotNull() & (F.col("sha256") != F.col("expected_sha256")), "checksum").when(F.size(lost) > 0, F.concat(F.lit("missing "), F.array_join(F.array_sort(lost), ",")))
+            .when(F.col("crs").isNull(), "crs missing").when(F.upper("crs") != CLASS_CRS, "crs").when(family != F.col("family"), "geometry"))
+
+
 def class_scan(spark: SparkSession, path: str, columns: list[str], box: tuple[float, float, float, float]) -> DataFrame:
     """A class file: the needed columns of the row groups and rows near ``box``."""
     return in_box(spark.read.parquet(path), columns, box)
