@@ -103,6 +103,31 @@ def reference_state() -> Column:
     return F.when(~F.coalesce(meets, F.lit(False)), "uncovered").when(~F.coalesce(fits, F.lit(False)), "unsupported_scale").otherwise("available")
 
 
+def strategy_states(domains: DataFrame, candidates: DataFrame, gaps: DataFrame) -> DataFrame:
+    """``domain, state, n_adopted, n_wrongly_enabled``: a domain is covered by an adopted candidate (domain, decision, enabled) or by a stated gap; only adopted candidates may be enabled."""
+    c = candidates.groupBy("domain").agg(F.count_if(F.col("decision") == "adopted").alias("n_adopted"), F.count_if(F.col("enabled") & (F.col("decision") != "adopted")).alias("n_wrongly_enabled"))
+    d = domains.join(c, "domain", "left").join(gaps.withColumn("gap", F.lit(True)), "domain", "left").fillna(0, ["n_adopted", "n_wrongly_enabled"])
+    return d.select("domain", F.when(F.col("n_adopted") > 0, "adopted").when(F.col("gap"), "gap").otherwise("uncovered").alias("state"), "n_adopted", "n_wrongly_enabled")
+
+
+#: Fields of each kind of request for an area.
+AREA_FIELDS = {"alias": ("alias",), "circle": ("longitude", "latitude", "radius_m"), "administrative_reference": ("reference_id",)}
+
+
+def area_errors(aliases: Column, references: Column) -> Column:
+    """What is wrong with a request for an area (type and the fields of all types): its type, fields that belong to another type, names that are not known, numbers that are none or out of range."""
+    of = lambda kind: F.coalesce(F.col("type") == kind, F.lit(False))
+    stray = F.lit(False)
+    for kind, own in AREA_FIELDS.items():
+        others = [f for k, fs in AREA_FIELDS.items() if k != kind for f in fs]
+        stray = stray | (of(kind) & F.greatest(*[F.col(f).isNotNull().cast("int") for f in others]).cast("boolean"))
+    number = lambda c, lo, hi: F.coalesce(F.col(c).between(lo, hi) & ~F.isnan(c), F.lit(False))
+    tests = [("type", ~F.coalesce(F.col("type").isin(*AREA_FIELDS), F.lit(False))), ("fields", stray), ("alias", of("alias") & ~F.coalesce(F.array_contains(aliases, F.col("alias")), F.lit(False))),
+             ("reference_id", of("administrative_reference") & ~F.coalesce(F.array_contains(references, F.col("reference_id")), F.lit(False))), ("centre", of("circle") & ~(number("longitude", -180.0, 180.0) & number("latitude", -90.0, 90.0))),
+             ("radius", of("circle") & ~number("radius_m", MIN_RADIUS, MAX_RADIUS))]
+    return F.array_compact(F.array(*[F.when(t, n) for n, t in tests]))
+
+
 MIN_RADIUS, MAX_RADIUS, RUNTIME_RADIUS, DEMO_RADIUS = 100.0, 100_000.0, 30_000.0, 10_000.0
 
 

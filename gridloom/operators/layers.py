@@ -93,3 +93,33 @@ def seed_problems(seeds: DataFrame) -> DataFrame:
     own = seeds.select("seed_id", F.explode(F.array_compact(F.array(*[F.when(t, n) for n, t in tests]))).alias("code"))
     twice = seeds.groupBy("seed_id").count().where("count > 1").select("seed_id", F.lit("duplicate").alias("code"))
     return own.unionByName(twice)
+
+
+# Classes of the topographic database (role, geometry family, label), and types of the register of borders (class, role, is it a boundary).
+TOPOGRAPHIC_CLASSES = [
+    ("OT_SKDR_L", "transport", "line", "road"),
+    ("OT_BUIN_L", "bridge_context", "line", "engineering_structure"),
+    ("OT_SWRS_L", "water_context", "line", "river_or_stream"),
+    ("OT_BUBD_A", "building_context", "polygon", "building"),
+    ("OT_KUPG_A", "industrial_context", "polygon", "industrial_economic_complex"),
+    ("OT_KUPG_P", "industrial_context", "point", "industrial_economic_complex"),
+    ("OT_PTKM_A", "military_context", "polygon", "military_complex"),
+]
+REGISTER_TYPES = [
+    ("ms:A01_Granice_wojewodztw", "wojewodztwo", "administrative_boundary", True),
+    ("ms:A02_Granice_powiatow", "powiat", "administrative_boundary", True),
+    ("ms:A03_Granice_gmin", "gmina", "administrative_boundary", True),
+    ("ms:K01_Komenda_wojewodzka_policji", "police_command_voivodeship", "official_public_service", False),
+    ("ms:K02_Komenda_powiatowa_policji", "police_command_county", "official_public_service", False),
+    ("ms:K03_Komenda_stoleczna_policji", "police_command_capital", "official_public_service", False),
+    ("ms:K04_Komenda_rejonowa_policji", "police_command_district", "official_public_service", False),
+    ("ms:K05_Komisariat_policji", "police_station", "official_public_service", False),
+    ("ms:K06_Komenda_wojewodzka_strazy_pozarnej", "fire_command_voivodeship", "official_public_service", False),
+    ("ms:K07_Komenda_powiatowa_strazy_pozarnej", "fire_command_county", "official_public_service", False),
+]
+
+
+def named_classes(spark) -> DataFrame:
+    """``class, role, family, label, boundary`` of all classes and types on the allow lists; a type's label is its class, and boundaries are polygons."""
+    rows = [(c, role, family, label, False) for c, role, family, label in TOPOGRAPHIC_CLASSES] + [(t, role, "polygon" if b else "point", c, b) for t, c, role, b in REGISTER_TYPES]
+    return spark.createDataFrame(rows, "class string, role string, family string, label string, boundary boolean")

@@ -118,8 +118,8 @@ def touching(units: DataFrame, gap: float = 0.001) -> DataFrame:
     return near.select(F.col("l_id").alias("a"), F.col("r_id").alias("b")).distinct()
 
 
-def contiguous(selection: DataFrame, edges: DataFrame, limit: int = 3) -> DataFrame:
-    """Per selection (request_id, unit): is it one connected set of ``limit`` units at most? Least labels spread ``limit`` - 1 times, which suffices for that many."""
+def contiguous(selection: DataFrame, edges: DataFrame, limit: int = 3, whole: DataFrame | None = None) -> DataFrame:
+    """Per selection (request_id, unit): is it one connected set of ``limit`` units at most, without one of the ``whole`` (unit) ones? Least labels spread ``limit`` - 1 times, which suffices for that many."""
     both = edges.union(edges.select("b", "a")).toDF("a", "b")
     d = selection.select("request_id", "unit", F.col("unit").alias("label"))
     for _ in range(limit - 1):
@@ -127,7 +127,11 @@ def contiguous(selection: DataFrame, edges: DataFrame, limit: int = 3) -> DataFr
         own = d.select("request_id", "unit")
         d = d.unionByName(near.join(own, ["request_id", "unit"], "left_semi")).groupBy("request_id", "unit").agg(F.min("label").alias("label"))
     g = d.groupBy("request_id").agg(F.count("*").alias("n_units"), F.count_distinct("label").alias("parts"))
-    return g.withColumn("code", F.when(F.col("n_units") > limit, "too_many").when(F.col("parts") > 1, "not_contiguous").otherwise("ready"))
+    if whole is not None:
+        g = g.join(selection.join(whole, "unit", "left_semi").select("request_id").distinct().withColumn("whole", F.lit(True)), "request_id", "left")
+    else:
+        g = g.withColumn("whole", F.lit(None).cast("boolean"))
+    return g.withColumn("code", F.when(F.col("whole"), "whole_unit").when(F.col("n_units") > limit, "too_many").when(F.col("parts") > 1, "not_contiguous").otherwise("ready")).drop("whole")
 
 
 def running(rows: DataFrame, by: str, order: list[str], *counts) -> DataFrame:

@@ -104,11 +104,16 @@ def default_availability(t):
     return t("customer").select(F.col("c_custkey").alias("aoi_id"), F.explode(F.array(*rows)).alias("s")).select("aoi_id", "s.source_id", "s.availability")
 
 
-@query("strategy_coverage", f"SELECT d.domain, CASE WHEN max(CASE WHEN o.status = 'ready' THEN 1 ELSE 0 END) = 1 THEN 'adopted' ELSE 'gap' END AS state, count(o.domain) AS n_outcomes FROM (VALUES {', '.join(f'({d!r})' for d in DOMAINS)}) AS d(domain) LEFT JOIN domain_outcome o ON o.domain = d.domain GROUP BY 1", "domain_outcome")
+_CAND = "SELECT domain, CASE WHEN domain IN ('sewer','telecom','gas') THEN 'rejected' WHEN snapshot_id % 7 = 0 THEN 'adopted' WHEN snapshot_id % 7 = 1 THEN 'rejected' ELSE 'candidate' END AS decision, snapshot_id % 14 IN (0, 2) AS enabled FROM domain_outcome"
+
+
+@query("strategy_coverage", f"SELECT d.domain, CASE WHEN count(*) FILTER (WHERE decision = 'adopted') > 0 THEN 'adopted' WHEN d.domain IN ('sewer','gas') THEN 'gap' ELSE 'uncovered' END AS state, count(*) FILTER (WHERE decision = 'adopted') AS n_adopted, count(*) FILTER (WHERE enabled AND decision <> 'adopted') AS n_wrongly_enabled FROM (VALUES {', '.join(f'({d!r})' for d in DOMAINS)}) AS d(domain) LEFT JOIN ({_CAND}) c ON c.domain = d.domain GROUP BY 1", "domain_outcome")
 def strategy_coverage(t):
-    o = t("domain_outcome").groupBy("domain").agg(F.bool_or(F.col("status") == "ready").alias("r"), F.count("*").alias("n"))
-    d = t.spark.createDataFrame([(x,) for x in DOMAINS], "domain string").join(o, "domain", "left")
-    return d.select("domain", F.when(F.col("r"), "adopted").otherwise("gap").alias("state"), F.coalesce("n", F.lit(0)).alias("n_outcomes"))
+    """Candidates of all domains, one for each outcome; two domains have a stated gap, and one has neither."""
+    k = F.col("snapshot_id") % 7
+    c = t("domain_outcome").select("domain", F.when(F.col("domain").isin("sewer", "telecom", "gas"), "rejected").when(k == 0, "adopted").when(k == 1, "rejected").otherwise("candidate").alias("decision"), (F.col("snapshot_id") % 14).isin(0, 2).alias("enabled"))
+    domains = t.spark.createDataFrame([(x,) for x in DOMAINS], "domain string")
+    return g.strategy_states(domains, c, t.spark.createDataFrame([("sewer",), ("gas",)], "domain string"))
 
 
 _REFERENCE = "(SELECT s_suppkey AS layer_id, 17.9e0 + CAST(s_suppkey % 12 AS DOUBLE) * 0.1e0 AS west, 49.7e0 + CAST(s_suppkey % 7 AS DOUBLE) * 0.1e0 AS south, 18.3e0 + CAST(s_suppkey % 12 AS DOUBLE) * 0.1e0 AS east, 50.0e0 + CAST(s_suppkey % 7 AS DOUBLE) * 0.1e0 AS north, 500e0 * CAST(s_suppkey % 4 AS DOUBLE) AS min_scale, 4000e0 + 3000e0 * CAST(s_suppkey % 5 AS DOUBLE) AS max_scale FROM supplier)"
@@ -140,11 +145,22 @@ def request_preflight(t):
     return requests(t).select("request_id", g.preflight().alias("code"))
 
 
-@query("aoi_resolve", f"SELECT request_id, CASE request_id % 3 WHEN 0 THEN 'alias' WHEN 1 THEN 'circle' ELSE 'reference' END AS kind, string_agg(e, ',' ORDER BY e) AS errors FROM (SELECT request_id, unnest(list_filter([CASE WHEN request_id % 3 = 1 AND lon IS NULL THEN 'centre' END, CASE WHEN request_id % 3 = 1 AND NOT radius_m BETWEEN 100 AND 100000 THEN 'radius' END, CASE WHEN request_id % 3 = 2 AND request_id % 7 = 0 THEN 'reference_id' END], lambda x: x IS NOT NULL)) AS e FROM {_RQ}) GROUP BY 1, 2")
+_AREA = """(SELECT c_custkey AS request_id, CASE c_custkey % 5 WHEN 0 THEN 'alias' WHEN 1 THEN 'circle' WHEN 2 THEN 'circle' WHEN 3 THEN 'administrative_reference' ELSE CASE WHEN c_custkey % 2 = 0 THEN 'square' ELSE 'circle' END END AS type, CASE WHEN c_custkey % 5 = 0 THEN CASE WHEN c_custkey % 3 = 0 THEN 'elsewhere' ELSE 'rybnik_35km' END END AS alias,
+CASE WHEN c_custkey % 5 IN (1, 2, 4) THEN CASE WHEN c_custkey % 11 = 0 THEN NULL ELSE 12e0 + c_custkey % 200 END END AS longitude, CASE WHEN c_custkey % 5 IN (1, 2, 4) OR c_custkey % 13 = 1 THEN 48e0 + c_custkey % 50 END AS latitude, CASE WHEN c_custkey % 5 IN (1, 2, 4) THEN (c_custkey % 12) * 10000e0 END AS radius_m,
+CASE WHEN c_custkey % 5 = 3 THEN CASE WHEN c_custkey % 4 = 0 THEN 'prg_gmina_other' ELSE 'prg_gmina_rybnik' END END AS reference_id FROM customer)"""
+_AREA_CODES = {"type": "type = 'square'", "fields": "type IN ('alias','administrative_reference') AND latitude IS NOT NULL", "alias": "type = 'alias' AND alias <> 'rybnik_35km'", "reference_id": "type = 'administrative_reference' AND reference_id <> 'prg_gmina_rybnik'",
+               "centre": "type = 'circle' AND (longitude IS NULL OR longitude > 180 OR latitude > 90)", "radius": "type = 'circle' AND NOT radius_m BETWEEN 100 AND 100000"}
+
+
+@query("aoi_resolve", " UNION ALL ".join(f"SELECT request_id, type, '{k}' AS error FROM {_AREA} WHERE {v}" for k, v in _AREA_CODES.items()))
 def aoi_resolve(t):
-    k = F.col("request_id") % 3
-    bad = F.array_compact(F.array(F.when((k == 1) & F.col("lon").isNull(), "centre"), F.when((k == 1) & ~F.col("radius_m").between(g.MIN_RADIUS, g.MAX_RADIUS), "radius"), F.when((k == 2) & (F.col("request_id") % 7 == 0), "reference_id")))
-    return requests(t).select("request_id", F.element_at(F.lit(["alias", "circle", "reference"]), (k + 1).cast("int")).alias("kind"), F.array_join(bad, ",").alias("errors")).where("errors <> ''")
+    """Requests of all types, some of which are wrong."""
+    k = F.col("c_custkey")
+    circle = (k % 5).isin(1, 2, 4)
+    r = t("customer").select(
+        k.alias("request_id"), F.when(k % 5 == 0, "alias").when(k % 5 == 3, "administrative_reference").when((k % 5 == 4) & (k % 2 == 0), "square").otherwise("circle").alias("type"), F.when(k % 5 == 0, F.when(k % 3 == 0, "elsewhere").otherwise("rybnik_35km")).alias("alias"),
+        F.when(circle & (k % 11 != 0), 12.0 + k % 200).alias("longitude"), F.when(circle | (k % 13 == 1), 48.0 + k % 50).alias("latitude"), F.when(circle, k % 12 * 10000.0).alias("radius_m"), F.when(k % 5 == 3, F.when(k % 4 == 0, "prg_gmina_other").otherwise("prg_gmina_rybnik")).alias("reference_id"))
+    return r.select("request_id", "type", F.explode(g.area_errors(F.lit(["rybnik_35km"]), F.lit(["prg_gmina_rybnik"]))).alias("error"))
 
 
 @query("aoi_identity", f"SELECT request_id, substr(sha256(concat_ws('|', 'circle', printf('%.7f', lon), printf('%.7f', lat), printf('%.1f', radius_m))), 1, 16) AS aoi_id FROM {_RQ} WHERE lon IS NOT NULL")

@@ -144,12 +144,21 @@ def source_evidence(t):
     return g.select("layer_id", "domain", F.lit("openstreetmap").alias("source_id"), "tags", "n")
 
 
-@query("class_allowlist", "SELECT k.v AS class, m.role, count(*) AS n FROM geo_node g JOIN tag_kv k ON g.tag_id = k.tag_id AND k.k = 'power' LEFT JOIN (VALUES ('line','network'),('cable','network'),('substation','site'),('plant','site')) AS m(class, role) ON k.v = m.class GROUP BY 1, 2", "geo_node", "tag_kv")
+# The allow lists, stated here by themselves.
+_CLASSES = """('OT_SKDR_L','transport','line','road',false),('OT_BUIN_L','bridge_context','line','engineering_structure',false),('OT_SWRS_L','water_context','line','river_or_stream',false),('OT_BUBD_A','building_context','polygon','building',false),
+('OT_KUPG_A','industrial_context','polygon','industrial_economic_complex',false),('OT_KUPG_P','industrial_context','point','industrial_economic_complex',false),('OT_PTKM_A','military_context','polygon','military_complex',false),
+('ms:A01_Granice_wojewodztw','administrative_boundary','polygon','wojewodztwo',true),('ms:A02_Granice_powiatow','administrative_boundary','polygon','powiat',true),('ms:A03_Granice_gmin','administrative_boundary','polygon','gmina',true),
+('ms:K01_Komenda_wojewodzka_policji','official_public_service','point','police_command_voivodeship',false),('ms:K02_Komenda_powiatowa_policji','official_public_service','point','police_command_county',false),('ms:K03_Komenda_stoleczna_policji','official_public_service','point','police_command_capital',false),
+('ms:K04_Komenda_rejonowa_policji','official_public_service','point','police_command_district',false),('ms:K05_Komisariat_policji','official_public_service','point','police_station',false),('ms:K06_Komenda_wojewodzka_strazy_pozarnej','official_public_service','point','fire_command_voivodeship',false),
+('ms:K07_Komenda_powiatowa_strazy_pozarnej','official_public_service','point','fire_command_county',false)"""
+_SEEN = ["OT_SKDR_L", "OT_BUIN_L", "OT_SWRS_L", "OT_BUBD_A", "OT_KUPG_A", "OT_KUPG_P", "OT_PTKM_A", "OT_XXXX_L", "ms:A01_Granice_wojewodztw", "ms:A02_Granice_powiatow", "ms:A03_Granice_gmin", "ms:K05_Komisariat_policji", "ms:K06_Komenda_wojewodzka_strazy_pozarnej", "ms:Z99_Inne"]
+
+
+@query("class_allowlist", f"SELECT s.class, m.role, m.family, m.label, m.boundary, m.class IS NOT NULL AS mapped, count(*) AS n FROM (SELECT ([{', '.join(repr(x) for x in _SEEN)}])[CAST(o_orderkey % 14 AS INT) + 1] AS class FROM orders) s LEFT JOIN (VALUES {_CLASSES}) AS m(class, role, family, label, boundary) ON s.class = m.class GROUP BY ALL")
 def class_allowlist(t):
-    """Classes with their role; those that are not on the list keep a null role and so show as unmapped."""
-    roles = t.spark.createDataFrame([("line", "network"), ("cable", "network"), ("substation", "site"), ("plant", "site")], "class string, role string")
-    f = features(t).select(F.col("tags")["power"].alias("class")).where("class is not null").groupBy("class").agg(F.count("*").alias("n"))
-    return f.join(roles, "class", "left").select("class", "role", "n")
+    """Classes of delivered rows with their role, geometry family and label; those that are not on a list show as unmapped."""
+    seen = t("orders").select(F.element_at(F.lit(_SEEN), (F.col("o_orderkey") % 14 + 1).cast("int")).alias("class")).groupBy("class").agg(F.count("*").alias("n"))
+    return seen.join(ops.named_classes(t.spark), "class", "left").select("class", "role", "family", "label", "boundary", F.col("role").isNotNull().alias("mapped"), "n")
 
 
 @query("sanitize_attrs", f"SELECT id, CASE WHEN id % 5 = 0 THEN NULL ELSE CAST(id AS VARCHAR) END AS a, concat('[\"', power, '\"]') AS b {_J} WHERE power IS NOT NULL", *NODES)

@@ -207,22 +207,28 @@ def admin_roots(t):
 _SELN = "(SELECT c_custkey AS request_id, unnest(list_distinct([c_nationkey, (c_nationkey + CASE c_custkey % 3 WHEN 0 THEN 1 WHEN 1 THEN 5 ELSE 2 END) % 25])) AS n FROM customer)"
 
 
-@query("selection_contiguity", f"WITH s AS (SELECT DISTINCT request_id, concat('county_', CAST(n AS VARCHAR)) AS unit FROM {_SELN}), p AS (SELECT a.request_id, count(*) AS k FROM s a JOIN s b ON a.request_id = b.request_id AND a.unit < b.unit JOIN admin_unit x ON x.id = a.unit JOIN admin_unit y ON y.id = b.unit WHERE greatest(x.min_lon - y.max_lon, y.min_lon - x.max_lon, 0e0) < 0.001 AND greatest(x.min_lat - y.max_lat, y.min_lat - x.max_lat, 0e0) < 0.001 GROUP BY 1) SELECT s.request_id, count(*) AS n_units, CASE WHEN count(*) > 1 AND max(coalesce(k, 0)) = 0 THEN 'not_contiguous' ELSE 'ready' END AS code FROM s LEFT JOIN p ON p.request_id = s.request_id GROUP BY s.request_id", "admin_unit")
+@query("selection_contiguity", f"WITH s AS (SELECT DISTINCT request_id, concat('county_', CAST(n AS VARCHAR)) AS unit FROM {_SELN}), p AS (SELECT a.request_id, count(*) AS k FROM s a JOIN s b ON a.request_id = b.request_id AND a.unit < b.unit JOIN admin_unit x ON x.id = a.unit JOIN admin_unit y ON y.id = b.unit WHERE greatest(x.min_lon - y.max_lon, y.min_lon - x.max_lon, 0e0) < 0.001 AND greatest(x.min_lat - y.max_lat, y.min_lat - x.max_lat, 0e0) < 0.001 GROUP BY 1) SELECT s.request_id, count(*) + CASE WHEN s.request_id % 17 = 4 THEN 1 ELSE 0 END + CASE WHEN s.request_id % 19 = 6 THEN 2 ELSE 0 END AS n_units, CASE WHEN s.request_id % 17 = 4 THEN 'whole_unit' WHEN count(*) + CASE WHEN s.request_id % 19 = 6 THEN 2 ELSE 0 END > 3 THEN 'too_many' WHEN s.request_id % 19 = 6 OR count(*) > 1 AND max(coalesce(k, 0)) = 0 THEN 'not_contiguous' ELSE 'ready' END AS code FROM s LEFT JOIN p ON p.request_id = s.request_id GROUP BY s.request_id", "admin_unit")
 def selection_contiguity(t):
     step = F.when(F.col("c_custkey") % 3 == 0, 1).when(F.col("c_custkey") % 3 == 1, 5).otherwise(2)
     sel = t("customer").select(F.col("c_custkey").alias("request_id"), F.explode(F.array_distinct(F.array(F.col("c_nationkey").cast("int"), ((F.col("c_nationkey") + step) % 25).cast("int")))).alias("n"))
     sel = sel.select("request_id", F.concat(F.lit("county_"), F.col("n").cast("string")).alias("unit"))
+    k = t("customer").select(F.col("c_custkey").alias("request_id"))
+    sel = sel.unionByName(k.where("request_id % 17 = 4").select("request_id", F.lit("voivodeship_1").alias("unit"))).unionByName(k.where("request_id % 19 = 6").select("request_id", F.explode(F.lit(["far_1", "far_2"])).alias("unit")))
     counties = t("admin_unit").where("kind = 'county'").select("id", "min_lon", "min_lat", "max_lon", "max_lat")
-    return s.contiguous(sel, s.touching(counties)).select("request_id", "n_units", "code")
+    whole = t("admin_unit").where("kind = 'voivodeship'").select(F.col("id").alias("unit"))
+    return s.contiguous(sel, s.touching(counties), whole=whole).select("request_id", "n_units", "code")
 
 
-@query("dissolve_edges", "SELECT voivodeship, count(*) AS n_border_edges FROM (SELECT voivodeship, k FROM (SELECT parent_id AS voivodeship, unnest([concat('h', printf('%.4f', min_lon), printf('%.4f', min_lat)), concat('h', printf('%.4f', min_lon), printf('%.4f', max_lat)), concat('v', printf('%.4f', min_lon), printf('%.4f', min_lat)), concat('v', printf('%.4f', max_lon), printf('%.4f', min_lat))]) AS k FROM admin_unit WHERE kind = 'county') GROUP BY 1, 2 HAVING count(*) = 1) GROUP BY 1", "admin_unit")
+@query("dissolve_edges", "SELECT voivodeship, n_border_edges, area FROM (SELECT voivodeship, count(*) AS n_border_edges FROM (SELECT voivodeship, k FROM (SELECT parent_id AS voivodeship, unnest([concat('h', printf('%.4f', min_lon), printf('%.4f', min_lat)), concat('h', printf('%.4f', min_lon), printf('%.4f', max_lat)), concat('v', printf('%.4f', min_lon), printf('%.4f', min_lat)), concat('v', printf('%.4f', max_lon), printf('%.4f', min_lat))]) AS k FROM admin_unit WHERE kind = 'county') GROUP BY 1, 2 HAVING count(*) = 1) GROUP BY 1) JOIN (SELECT parent_id AS voivodeship, round(sum((max_lon - min_lon) * (max_lat - min_lat)), 6) AS area FROM admin_unit WHERE kind = 'county' GROUP BY 1) USING (voivodeship)", "admin_unit")
 def dissolve_edges(t):
-    """Edges that two units share cancel out; the others are the border of the union."""
+    """Edges that two units share cancel out; the others are the border of the union, and their signed strips its area."""
     f = lambda x: F.format_string("%.4f", x)
-    edges = F.array(*[F.concat(F.lit(k), f(F.col(x)), f(F.col(y))) for k, x, y in (("h", "min_lon", "min_lat"), ("h", "min_lon", "max_lat"), ("v", "min_lon", "min_lat"), ("v", "max_lon", "min_lat"))])
-    e = t("admin_unit").where("kind = 'county'").select(F.col("parent_id").alias("voivodeship"), F.explode(edges).alias("k")).groupBy("voivodeship", "k").count().where("count = 1")
-    return e.groupBy("voivodeship").agg(F.count("*").alias("n_border_edges"))
+    high = F.col("max_lat") - F.col("min_lat")
+    edge = lambda k, x, y, strip: F.struct(F.concat(F.lit(k), f(F.col(x)), f(F.col(y))).alias("k"), strip.alias("strip"))
+    none = F.lit(0.0)
+    edges = F.array(edge("h", "min_lon", "min_lat", none), edge("h", "min_lon", "max_lat", none), edge("v", "min_lon", "min_lat", -F.col("min_lon") * high), edge("v", "max_lon", "min_lat", F.col("max_lon") * high))
+    e = t("admin_unit").where("kind = 'county'").select(F.col("parent_id").alias("voivodeship"), F.explode(edges).alias("e")).groupBy("voivodeship", "e.k").agg(F.count("*").alias("n"), F.sum("e.strip").alias("strip")).where("n = 1")
+    return e.groupBy("voivodeship").agg(F.count("*").alias("n_border_edges"), F.round(F.sum("strip"), 6).alias("area"))
 
 
 @query("aoi_availability", """SELECT b.id AS aoi_id, CASE e.r WHEN 0 THEN 'ready' WHEN 1 THEN 'running' WHEN 2 THEN 'queued' WHEN 3 THEN 'failed' WHEN 4 THEN 'partial_coverage' ELSE CASE WHEN EXISTS (SELECT 1 FROM snapshot_box s WHERE b.min_lon <= s.max_lon AND b.max_lon >= s.min_lon AND b.min_lat <= s.max_lat AND b.max_lat >= s.min_lat) THEN 'partial_coverage' ELSE 'not_prepared' END END AS state
