@@ -6,7 +6,7 @@ from gridloom.functions import classify as c
 from gridloom.functions.tags import tag_maps
 from gridloom.operators import hexgrid as h
 from gridloom.operators.ways import clip_segments, segments
-from gridloom.plans.classify import CASES
+from gridloom.plans.classify import ASKS, CASES
 from gridloom.plans.geometry import AREA_SQL, areas, metric
 from gridloom.plans.views import query
 
@@ -32,7 +32,7 @@ inside AS (SELECT aoi_id, way_id, seq, tag_id, x1 + t0 * dx AS px, y1 + t0 * dy
 slab AS (SELECT h.aoi_id, level, way_id, seq, tag_id, "row", col, vx, vy, w / 2 AS half, {', '.join(f'{a} AS a{i}' for i, a in enumerate(_S('px - x', 'py - y')))}, {', '.join(f'{a} AS d{i}' for i, a in enumerate(_S('vx', 'vy')))}
  FROM inside i JOIN hex h ON i.aoi_id = h.aoi_id WHERE abs(px + vx / 2 - x) <= 2 * edge + abs(vx) AND abs(py + vy / 2 - y) <= 2 * edge + abs(vy)),
 crossing AS (SELECT * FROM (SELECT *, greatest(0e0, {', '.join(f'least((-half - a{i}) / d{i}, (half - a{i}) / d{i})' for i in range(3))}) AS u0, least(1e0, {', '.join(f'greatest((-half - a{i}) / d{i}, (half - a{i}) / d{i})' for i in range(3))}) AS u1 FROM slab WHERE d0 <> 0 AND d1 <> 0 AND d2 <> 0) WHERE u0 < u1)"""
-_POWER = f"pnode AS (SELECT aoi_id, m.id, m.x, m.y, {CASES['power']} AS category FROM metric m JOIN tag_wide w ON m.tag_id = w.tag_id, area WHERE sqrt(power(m.x - cx, 2) + power(m.y - cy, 2)) <= rad AND (w.power IS NOT NULL OR w.man_made = 'utility_pole'))"
+_POWER = f"pnode AS (SELECT aoi_id, m.id, m.x, m.y, {CASES['power']} AS category FROM metric m JOIN tag_wide w ON m.tag_id = w.tag_id, area WHERE sqrt(power(m.x - cx, 2) + power(m.y - cy, 2)) <= rad AND ({ASKS['power']}))"
 _PLACED = f"""{_POWER}, placed AS (SELECT n.id, h.aoi_id, h.level, h."row", h.col, n.category FROM pnode n JOIN hex h ON n.aoi_id = h.aoi_id AND n.x BETWEEN h.x - h.edge AND h.x + h.edge AND n.y BETWEEN h.y - h.edge AND h.y + h.edge
  WHERE {' AND '.join(f'abs({s}) <= w / 2 + 1e-6' for s in _S('n.x - h.x', 'n.y - h.y'))})"""
 _K = 'aoi_id, level, "row", col'

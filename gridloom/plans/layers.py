@@ -47,7 +47,7 @@ def geometry_type_filter(t):
     return objects(t).where(F.col("gtype").isin(*ops.LINES)).select("id")
 
 
-_ASSET = f"coalesce({CASES['emergency']}, CASE WHEN power IS NULL AND man_made = 'utility_pole' THEN 'utility_pole' ELSE coalesce(power, 'other') END)"
+_ASSET = f"coalesce({CASES['emergency']}, {CASES['power']})"
 
 
 def _normal(t):
