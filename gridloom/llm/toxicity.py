@@ -9,6 +9,7 @@ number per n-gram, and whole batches of bytes are scored by vector operations.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -228,21 +229,30 @@ def fit(texts: list[str], labels: list[int], rounds: int = 4) -> dict | None:
     return {"value": value.astype(np.float32), "slope": a / spread, "shift": b - a * center / spread}
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, may_learn, toxic: int = TRAIN_TOXIC, clean: int = TRAIN_CLEAN, chars: int = TRAIN_CHARS) -> list:
-    """At most ``toxic`` + ``clean`` labelled texts of ``chars`` code points or fewer, by the order of a hash of the id. ``may_learn`` is a predicate on column ``lid``."""
+def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, may_learn, toxic: int = TRAIN_TOXIC, clean: int = TRAIN_CLEAN, chars: int = TRAIN_CHARS) -> DataFrame:
+    """``id, t, y``: at most ``toxic`` + ``clean`` labelled texts of ``chars`` code points or fewer (a few more where ids repeat), by the order of a hash of the id. ``may_learn`` is a predicate on column ``lid``."""
     known = labels.select(F.col(id_col).cast("long").alias("lid"), F.col(label_col).alias("y")).where("lid is not null and y is not null")
     known = known.where(may_learn(F.col("lid"))).groupBy("lid").agg(F.max((F.col("y") != 0).cast("int")).alias("y"))
     order = F.xxhash64(F.lit("train"), "lid")
     ids = known.where("y = 1").orderBy(order, "lid").limit(toxic).union(known.where("y = 0").orderBy(order, "lid").limit(clean))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t")).where(F.length("t") <= chars)
     got = rows.join(F.broadcast(ids), F.col("id") == F.col("lid")).select("id", "t", "y")  # toxic + clean ids at most
-    return sorted({r.id: (r.id, r.t, r.y) for r in got.orderBy(F.xxhash64("id"), "t").limit(2 * (toxic + clean)).collect()}.values())
+    return got.orderBy(F.xxhash64("id"), "t").limit(2 * (toxic + clean))
+
+
+def _fit_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The model of all rows, pickled; of rows that share an id the one with the last text counts."""
+    rows = sorted({i: (i, t, y) for pdf in batches for i, t, y in zip(pdf.id, pdf.t, pdf.y)}.values())
+    yield pd.DataFrame({"model": [pickle.dumps(fit([t for _, t, _ in rows], [y for *_, y in rows]))]})
 
 
 def text_scorer(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", may_learn=lambda c: F.lit(True), **bounds):
-    """Fit the classifier on a bounded sample of labelled rows (see :func:`training_rows`); a function of a text column that gives the probability of label 1."""
-    rows = training_rows(docs, labels, id_col, text_col, label_col, may_learn, **bounds)
-    shared = docs.sparkSession.sparkContext.broadcast(fit([t for _, t, _ in rows], [y for *_, y in rows]))
+    """Fit the classifier on a bounded sample of labelled rows (see :func:`training_rows`); a function of a text column that gives the probability of label 1.
+
+    The sample is learned from in one task, which can be run again elsewhere if its executor is lost; the driver holds the model only (a number for each of BUCKETS n-grams)."""
+    rows = training_rows(docs, labels, id_col, text_col, label_col, may_learn, **bounds).repartition(1)
+    model = rows.mapInPandas(_fit_rows, "model binary").first()
+    shared = docs.sparkSession.sparkContext.broadcast(pickle.loads(model.model) if model else None)
 
     @F.pandas_udf("double")
     def score(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
