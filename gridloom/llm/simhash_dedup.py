@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.llm import shingle_sets
-from gridloom.llm.common import ASCII_LOWER, connected_components, materialize, table
+from gridloom.llm.common import ASCII_LOWER, connected_components, discard, materialize, stored, table
 
 #: Fingerprints on each side of a tile of a large bucket.
 TILE = 4096
@@ -223,11 +223,12 @@ def similarity_radius(threshold: float, words: int = WORDS) -> int:
     return int(np.ceil(64 * words * share + 6 * np.sqrt(64 * words * share * (1 - share))))
 
 
-def set_links(docs: DataFrame, known: DataFrame, text_col: str, size: int, threshold: float, tile: int = TILE, set_tile: int = SET_TILE) -> DataFrame:
-    """``(a, b)`` links of signatures whose closure is that of all pairs at ``threshold`` or above. ``known`` has h, sig, size, fp and keys of every row of ``docs``."""
+def set_components(docs: DataFrame, known: DataFrame, text_col: str, size: int, threshold: float, tile: int = TILE, set_tile: int = SET_TILE) -> DataFrame:
+    """``(node, component)`` of signatures over all pairs at ``threshold`` or above. ``known`` has h, sig, size, fp and keys of every row of ``docs``."""
+    spark = docs.sparkSession
     radius = similarity_radius(threshold)
     keyed = known.select(F.explode("keys").alias("k"), "sig").dropDuplicates(["k", "sig"]).repartition("k").sortWithinPartitions("k")
-    met = materialize(keyed.mapInArrow(shingle_sets.shared_buckets, "k long, sig long, g long, n long"), "met")
+    met, met_path = stored(keyed.mapInArrow(shingle_sets.shared_buckets, "k long, sig long, g long, n long"), "met")
     once = met.groupBy("g", "n").agg(F.min("k").alias("k1")).select(F.col("g").alias("g1"), F.col("n").alias("n1"), "k1")  # buckets of equal members count once
     met = met.join(once, (F.col("g") == F.col("g1")) & (F.col("n") == F.col("n1")) & (F.col("k") == F.col("k1"))).select("k", F.col("sig").alias("name"), "n")
     prints = known.groupBy("sig").agg(F.min("fp").alias("fp"), F.min("size").alias("size"), F.min("h").alias("h"))
@@ -235,6 +236,7 @@ def set_links(docs: DataFrame, known: DataFrame, text_col: str, size: int, thres
     tiled = _tiles(met, F.ceil(F.col("n") / tile)).join(prints.select("sig", "fp"), F.col("name") == F.col("sig")).select("k", "i", "j", "name", "fp")
     dealt = tiled.repartition("k", "i", "j").sortWithinPartitions("k", "i", "j")
     maybe = connected_components(dealt.mapInPandas(_linker(radius), "a long, b long").distinct()).select(F.col("component").alias("k"), F.col("node").alias("sig"))
+    discard(spark, met_path)
     maybe = materialize(maybe.join(prints, "sig"), "maybe")
     weight = maybe.groupBy(F.col("k").alias("k1")).agg(F.greatest(F.ceil(F.count("*") / set_tile), F.ceil(F.sum("size") * 8 / SET_BYTES)).alias("t"))
     members = _tiles(maybe.join(weight, F.col("k") == F.col("k1")).select("k", F.col("sig").alias("name"), "t"), F.col("t"))
@@ -245,9 +247,11 @@ def set_links(docs: DataFrame, known: DataFrame, text_col: str, size: int, thres
 
     asked = maybe.select("sig", "fp", F.col("h").alias("h1"))
     texts = docs.select(F.xxhash64(text_col).alias("h"), F.col(text_col).alias("t")).join(asked, F.col("h") == F.col("h1")).dropDuplicates(["sig"]).select("sig", "fp", "t")
-    sets = materialize(texts.mapInPandas(run, "sig long, fp binary, data binary"), "sets")
+    sets, sets_path = stored(texts.mapInPandas(run, "sig long, fp binary, data binary"), "sets")
     dealt = members.join(sets, F.col("name") == F.col("sig")).drop("sig").repartition("k", "i", "j").sortWithinPartitions("k", "i", "j")
-    return dealt.mapInPandas(shingle_sets.exact_linker(threshold, radius), "a long, b long").distinct()
+    found = connected_components(dealt.mapInPandas(shingle_sets.exact_linker(threshold, radius), "a long, b long").distinct())
+    discard(spark, sets_path)
+    return found
 
 
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, threshold: float = 0.8) -> DataFrame:
@@ -266,7 +270,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("t"))
     known = materialize(rows.mapInPandas(run, "id long, h long, sig long, size long, fp binary, keys array<long>"), "known")
-    comp = connected_components(set_links(docs, known, text_col, size, threshold))
+    comp = set_components(docs, known, text_col, size, threshold)
     reps = known.groupBy("sig").agg(F.min("id").alias("rep"))
     named = reps.join(comp.select(F.col("node").alias("sig"), "component"), "sig", "left").select("sig", "rep", F.coalesce("component", "sig").alias("c"))
     least = named.groupBy("c").agg(F.min("rep").alias("component_id"))

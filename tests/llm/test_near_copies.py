@@ -57,7 +57,7 @@ def test_stage_drops_all_near_copies(spark, monkeypatch):
     want = survivors(rows)
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert sorted(r.doc_id for r in STAGES[1][1](spark, docs, None).collect()) == want
-    monkeypatch.setattr(sd.set_links, "__defaults__", (7, 7))  # tiles
+    monkeypatch.setattr(sd.set_components, "__defaults__", (7, 7))  # tiles
     assert sorted(r.doc_id for r in sd.drop_near_copies(docs.repartition(9)).collect()) == want
     assert sd.drop_near_copies(docs.where("doc_id < 0")).count() == 0
 
