@@ -57,6 +57,30 @@ def test_stages(spark):
     assert Counter(r.doc_id for r in five) == Counter(r.doc_id for r in mixed) and {r["shard"] for r in five} <= set(range(24))
 
 
+def test_stages_on_odd_rows(spark):
+    """Nulls in any column, empty and very long texts, repeated rows, clashing columns, an empty table."""
+    long = " ".join(f"w{k % 5000}" for k in range(60_000))
+    rows = [(1, "one clean text of some words here", "en", "a", 33), (1, "one clean text of some words here", "en", "a", 33), (2, None, None, None, None), (3, "", "en", "a", 0), (4, " \n ", "fr", "b", 3), (None, None, None, None, None), (None, "no id at all", None, "a", 12), (5, long, "en", "b", len(long)), (6, "five", None, None, 4)]
+    cols = "doc_id long, text string, lang string, source string, n_chars int"
+    clash = "_i string, _h long, id string, h long, s string, shard int, _row long, _doc string, t string"
+    docs = spark.createDataFrame([(*r, "x", 1, "y", 2, "z", 3, 4, "d", "u") for r in rows], f"{cols}, {clash}")
+    stages = dict(STAGES)
+    one = stages["toxicity"](spark, docs, SF)
+    assert one.columns == docs.columns and {r.doc_id for r in one.collect()} >= {1, 2, 3, 4, 6}
+    two = stages["simhash_near_dedup"](spark, docs, SF).collect()
+    assert two[0].__fields__ == docs.columns and Counter(r.doc_id for r in two) == Counter({1: 1, 2: 1, None: 1, 5: 1, 6: 1}) and all(r.s == "z" for r in two)
+    three = stages["benchmark_decontamination"](spark, docs, SF)
+    assert three.columns == docs.columns and three.count() == len(rows)
+    four = stages["mixing"](spark, docs, SF)
+    mixed = four.collect()
+    assert four.columns == docs.columns and all(r.text.strip() and r.n_chars == len(r.text) and r["shard"] == 3 for r in mixed)
+    assert {r.doc_id for r in mixed} <= {1, None, 5, 6} and all(n <= 3 * (2 if i == 1 else 1) for i, n in Counter(r.doc_id for r in mixed).items())
+    five = stages["sharding"](spark, docs, SF).collect()
+    assert Counter(r.doc_id for r in five) == Counter(i for i, *_ in rows) and all(0 <= r["shard"] < 24 for r in five)
+    for name, stage in STAGES:
+        assert stage(spark, docs.limit(0), SF).count() == 0, name
+
+
 def test_run(spark):
     got = run(spark, SF)
     assert got.columns == ["doc_id", "size", "text_crc32", "shard", "slot"] and got.count() > 50
