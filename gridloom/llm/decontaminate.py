@@ -1,11 +1,12 @@
 """Benchmark decontamination: one Aho-Corasick automaton over normalised test texts.
 
-Test items become windows of words, and words become numbers; the automaton holds all windows as sequences of numbers and reads each document's words once. A match is
+Test items become windows of words, and each word two symbols; the automaton holds all windows as sequences of symbols and reads each document once. A match is
 word-aligned by nature, and the word numbers of its end are mapped back, for spans, to offsets of the original text.
 """
 
 from __future__ import annotations
 
+import math
 import re
 import uuid
 from collections.abc import Iterator
@@ -22,48 +23,65 @@ from gridloom.llm.common import ascii_lower, materialize, table
 _WORD_BYTES = bytes(b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else b + 32 if 65 <= b <= 90 else 32 for b in range(256))
 _WORD = re.compile(rb"[^ ]+")
 _WORD_PATTERN = r"([^\x00-\x2F\x3A-\x60\x7B-\x7F]+)"
-#: Words of the items of one automaton (about 0.4 kB each in a worker); more items are read in further passes over the documents. Long items are cut into overlapping segments.
-BLOCK_WORDS, SEGMENT = 300_000, 20_000
+#: Words of the items of one automaton (about 0.8 kB each in a worker); more items are read in further passes over the documents. Long items are cut into overlapping segments.
+BLOCK_WORDS, SEGMENT = 200_000, 20_000
 
 
 def words(text: str | None) -> list[bytes]:
     return text.encode().translate(_WORD_BYTES).split() if text else []
 
 
+class _Symbols(dict):
+    """Two characters for each word of the items, those of the first and of the second place from different ranges, so that a match never begins inside a word. A vertex of the automaton looks through its
+    edges one by one, and with two places of about the square root of the words none has many. All other words have one sign."""
+
+    def __missing__(self, word: bytes) -> str:
+        return "\0\0"
+
+    @classmethod
+    def of(cls, known: dict[bytes, int]) -> _Symbols:
+        base = math.isqrt(len(known)) + 1
+        return cls((w, chr(1 + n // base) + chr(0x4000 + n % base)) for w, n in known.items())
+
+
 class Windows:
-    """The windows of a block of items: a number for each word, and the automaton (None without windows)."""
+    """The windows of a block of items: symbols of its words, and the automaton (None without windows)."""
 
     def __init__(self, items: list[tuple[int | None, str | None]], width: int):
-        self.number: dict[bytes, int] = {}
-        found: dict[tuple, list] = {}
-        for item_id, text in items:
-            w = tuple(self.number.setdefault(x, len(self.number) + 1) for x in words(text))
-            n = min(width, len(w))
+        split = [(i, words(text)) for i, text in items]
+        number: dict[bytes, int] = {}
+        for _, w in split:
+            for x in w:
+                number.setdefault(x, len(number))
+        self.symbols = _Symbols.of(number)
+        found: dict[str, list] = {}
+        for item_id, w in split:
+            n, text = min(width, len(w)), self.coded(w)
             for i in range(len(w) - n + 1 if n else 0):
-                ids = found.setdefault(w[i : i + n], [])
+                ids = found.setdefault(text[2 * i : 2 * (i + n)], [])
                 if item_id not in ids[-1:]:
                     ids.append(item_id)
         self.auto = None
         if found:
-            self.auto = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
+            self.auto = ahocorasick.Automaton()
             for key, ids in found.items():
-                self.auto.add_word(key, (len(key), ids))
+                self.auto.add_word(key, (len(key) // 2, ids))
             self.auto.make_automaton()
 
+    def coded(self, w: list[bytes]) -> str:
+        return "".join(map(self.symbols.__getitem__, w))
+
     def scan(self, text: str) -> tuple[int, np.ndarray, set]:
-        """Number of words, their hit flags (empty if none is hit) and the items that occur. Words of no item have number 0."""
+        """Number of words, their hit flags (empty if none is hit) and the items that occur."""
         w = words(text)
-        if not w or self.auto is None:
-            return len(w), np.zeros(0, bool), set()
-        known = self.number.get
-        found = list(self.auto.iter(tuple([known(x, 0) for x in w])))
+        found = list(self.auto.iter(self.coded(w))) if w and self.auto is not None else []
         if not found:
             return len(w), np.zeros(0, bool), set()
         edge = np.zeros(len(w) + 1, np.int32)
         items: set = set()
         for at, (n, ids) in found:
-            edge[at - n + 1] += 1
-            edge[at + 1] -= 1
+            edge[at // 2 - n + 1] += 1
+            edge[at // 2 + 1] -= 1
             items.update(ids)
         return len(w), np.cumsum(edge[:-1]) > 0, items
 
