@@ -88,7 +88,7 @@ def line_keep_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     Keys of ``min_chars`` code points or more that occur in ``min_docs`` different ids or more lose all lines
     except those of the largest id. Null ids count as one document, below all others. Rows with one id and equal text share a bitmap; ``h`` is
     xxhash64 of the text. The bitmap covers lines 0..last line that goes; later lines stay."""
-    lines = line_rows(docs, id_col, text_col, min_chars)
+    lines = materialize(line_rows(docs, id_col, text_col, min_chars), "lines")  # read twice: for the bounds of the ranges, and to be dealt
     order = [F.col("hi"), F.col("lo"), F.col("id").desc_nulls_last()]
     dealt = lines.repartitionByRange(*order).sortWithinPartitions(*order, "h", "pos")
     found = materialize(dealt.mapInArrow(_stream(min_docs), _DECIDED), "runs")
