@@ -1,6 +1,6 @@
 """The queries of this subpackage and the SQL of those that DuckDB can state."""
 
-from gridloom.llm import decontaminate, embedding_dedup, language_id, line_dedup, mixing, pii, sharding, simhash_dedup, token_counts, toxicity
+from gridloom.llm import decontaminate, divergence, embedding_dedup, language_id, line_dedup, merkle, mixing, pii, quality, sharding, simhash_dedup, token_counts, toxicity
 
 
 def queries() -> dict:
@@ -15,6 +15,9 @@ def queries() -> dict:
         "op8_line_dedup": line_dedup.op8_line_dedup,
         "op9_language_id": language_id.op9_language_id,
         "op10_mix_sources": mixing.op10_mix_sources,
+        "op11_merkle_manifest": merkle.op11_merkle_manifest,
+        "op12_source_divergence": divergence.op12_source_divergence,
+        "op13_quality": quality.op13_quality,
     }
 
 
@@ -23,4 +26,6 @@ def oracle_sql() -> dict[str, str]:
         "op3_decontaminate": decontaminate.OP3_SQL,
         "op7_embedding_dedup": embedding_dedup.OP7_SQL,
         "op8_line_dedup": line_dedup.OP8_SQL,
+        "op11_merkle_manifest": merkle.OP11_SQL,
+        "op12_source_divergence": divergence.OP12_SQL,
     }
