@@ -50,8 +50,8 @@ def clip_to_convex(area: list[tuple[float, float]]):
     return clip
 
 
-def simplify_line(points: np.ndarray, tolerance: float) -> np.ndarray:
-    """The vertices that stay: ends, and of each stretch the farthest one if it is farther off than ``tolerance``. A stack, not recursion, so length does not matter."""
+def kept_by_simplifying(points: np.ndarray, tolerance: float) -> np.ndarray:
+    """Which vertices stay: ends, and of each stretch the farthest one if it is farther off than ``tolerance``. A stack, not recursion, so length does not matter."""
     keep = np.zeros(len(points), bool)
     if len(points):
         keep[[0, -1]] = True
@@ -68,7 +68,12 @@ def simplify_line(points: np.ndarray, tolerance: float) -> np.ndarray:
         if far[k] > tolerance:
             keep[i + 1 + k] = True
             todo += [(i, i + 1 + k), (i + 1 + k, j)]
-    return points[keep]
+    return keep
+
+
+def simplify_line(points: np.ndarray, tolerance: float) -> np.ndarray:
+    """The vertices that :func:`kept_by_simplifying` keeps."""
+    return points[kept_by_simplifying(points, tolerance)]
 
 
 def simplify_for_zoom(zoom: int):

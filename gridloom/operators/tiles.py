@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from gridloom.functions import geo
 
@@ -41,6 +42,32 @@ def segment_tiles(seg: DataFrame, min_zoom: Column, max_zoom: int = MAX_ZOOM) ->
     return d.where(a <= b)
 
 
+def polygon_tiles(edges: DataFrame, min_zoom: int = MIN_ZOOM, max_zoom: int = MAX_ZOOM) -> DataFrame:
+    """``area, z, x, y, whole``: the tiles that areas (directed edges area, ax, ay, bx, by in degrees; holes and parts by even and odd crossings) meet; ``whole`` where the tile lies inside of the area without an edge.
+
+    Along the middle latitude of each row of tiles the crossings of the edges, in order, bound the stretches inside; their tiles that no edge touches are whole."""
+    seg = edges.select("area", F.col("ax").alias("lon1"), F.col("ay").alias("lat1"), F.col("bx").alias("lon2"), F.col("by").alias("lat2"))
+    border = segment_tiles(seg, F.lit(min_zoom), max_zoom).select("area", "z", "x", "y").distinct()
+    z = F.col("z")
+    low, high = F.least("ay", "by"), F.greatest("ay", "by")
+    d = edges.select("area", "ax", "ay", "bx", "by").withColumn("z", F.explode(F.sequence(F.lit(max(MIN_ZOOM, min_zoom)), F.lit(max_zoom))))
+    d = d.withColumn("y", F.explode(F.sequence(geo.tile_y(high, z), geo.tile_y(low, z))))
+    d = d.withColumn("_m", F.explode(F.array(geo.tile_north(F.col("y") + 0.5, z)))).where((F.col("_m") >= low) & (F.col("_m") < high))
+    lon = F.col("ax") + (F.col("_m") - F.col("ay")) / F.nullif(F.col("by") - F.col("ay"), F.lit(0.0)) * (F.col("bx") - F.col("ax"))
+    w = W.partitionBy("area", "z", "y").orderBy("lon")  # the edges of one area that cross one line
+    d = d.select("area", "z", "y", lon.alias("lon")).select("*", F.row_number().over(w).alias("i"), F.lead("lon").over(w).alias("to")).where("i % 2 = 1 and to is not null")
+    inside = d.select("area", "z", F.explode(F.sequence(geo.tile_x(F.col("lon"), z), geo.tile_x(F.col("to"), z))).alias("x"), "y").join(border, ["area", "z", "x", "y"], "left_anti").distinct()
+    return border.withColumn("whole", F.lit(False)).unionByName(inside.withColumn("whole", F.lit(True)))
+
+
+def merged_whole_tiles(tiles: DataFrame) -> DataFrame:
+    """The whole tiles of :func:`polygon_tiles` that no whole tile of the zoom before contains: with their parts at higher zooms they are all of them."""
+    whole = tiles.where("whole").select("area", "z", "x", "y")
+    above = whole.select("area", (F.col("z") + 1).alias("z"), F.col("x").alias("px"), F.col("y").alias("py"))
+    inner = whole.withColumns({"px": F.shiftright("x", 1), "py": F.shiftright("y", 1)})
+    return inner.join(above, ["area", "z", "px", "py"], "left_anti").drop("px", "py")
+
+
 def tile_counts(placed: DataFrame, layer: str = "layer") -> DataFrame:
     """Distinct features by tile and layer."""
     return placed.groupBy("z", "x", "y", layer).agg(F.count_distinct("source_id").alias("n_features"))
