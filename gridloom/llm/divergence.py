@@ -8,88 +8,76 @@ are not in it and are added at the end, all at once. All numbers are whole.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.ml.feature import CountVectorizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from gridloom.llm.common import ASCII_LOWER, discard, materialize, stored, table
+from gridloom.llm.common import ascii_lower, materialize, table
 
 #: Fixed values of the measure.
-SCALE = 1_000_000_000
+SEPARATOR = r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"
+SCALE_FACTORS = (31_250, 32_000)  # 10^9
 MIN_DOCS = 10
 MAX_INT = 2_147_483_647
 TOP = 10
-#: Different tokens that one vocabulary is chosen from, about.
-VOCABULARY = 1_000_000
+#: Different terms that one vocabulary is chosen from, at most about; those in MIN_DOCS documents are a small part of them.
+VOCABULARY = 8_000_000
 #: Terms of a slice and sources of a block: what a tile holds.
 SLICE, BLOCK = 4096, 64
-#: Bytes of text whose terms a task holds as lists, about; a longer text is one list.
-CHUNK = 4 << 20
-#: For bytes.translate: A-Z to a-z, and what ends a term to a blank. Terms are the runs of [^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F].
-_TERMS = bytes(ASCII_LOWER[i] if i >= 128 or chr(i).isalpha() else 32 for i in range(256))
-#: Stands in every document, so that a vocabulary is never empty; no term has this character.
-_EVERY = "\x00"
-
-
-def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The terms of each document, each with its language and a tab before it: as they occur, and each once. No term holds a tab, so the last one ends the language."""
-    kind = pa.list_(pa.string())
-    for batch in batches:
-        lang, source, text = (batch.column(k) for k in range(3))
-        found, size = [], 0
-        for k, (g, t) in enumerate(zip(lang.to_pylist(), text.cast(pa.binary()).to_pylist())):
-            before = g.encode() + b"\t"
-            words = [before + w for w in t.translate(_TERMS).split()]
-            words.append(_EVERY.encode())
-            found.append(words)
-            size += len(t)
-            if size >= CHUNK or k == len(text) - 1:
-                lo = k + 1 - len(found)
-                lists = [pa.array(x, pa.list_(pa.binary())).cast(kind) for x in (found, [list(dict.fromkeys(w)) for w in found])]
-                yield pa.RecordBatch.from_arrays([lang.slice(lo, len(found)), source.slice(lo, len(found)), *lists], names=["lang", "source", "tokens", "once"])
-                found, size = [], 0
+
+
+def _terms(lang, text):
+    """The terms of a text with their language and a tab before them, as they occur, and at least once an empty one. No term holds a tab, so the last one ends the language."""
+    # most terms are ASCII in any language, for which lower does the same as translating A-Z, in a fraction of the time
+    low = lambda t: F.when(F.octet_length(t) == F.length(t), F.lower(t)).otherwise(ascii_lower(t))
+    return F.transform(F.split(F.concat(F.lit(" "), text), SEPARATOR), lambda t: F.concat(lang, F.lit("\t"), low(t)))
+
+
+def _vocabularies(docs: DataFrame, min_docs: int, size: int) -> int:
+    """How many vocabularies are needed so that each is chosen from about ``size`` different terms at most; 0 if no language has ``min_docs`` documents.
+
+    All documents together have no more different terms than the sum over equal parts of them has, so a sixteenth of the documents tells enough. Only the number of passes depends on it."""
+    most = docs.groupBy("lang").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]
+    if (most or 0) < min_docs:
+        return 0
+    part = docs.where(F.pmod(F.xxhash64("text"), F.lit(16)) == 3).select(F.explode(F.transform(F.split("text", SEPARATOR), lambda t: F.xxhash64("lang", t))).alias("h"))
+    return max(1, -(-16 * part.agg(F.approx_count_distinct("h", 0.02)).first()[0] // size))
 
 
 def term_counts(docs: DataFrame, min_docs: int = MIN_DOCS, vocabulary: int = VOCABULARY) -> tuple[DataFrame, DataFrame]:
     """Stored tables of the kept terms (``lang, term, id``) and of their counts by source (``lang, source, id, n``), from ``docs`` (lang, source, text).
 
-    A term is kept if at least ``min_docs`` documents of its language hold it."""
+    A term is kept if at least ``min_docs`` documents of its language hold it. Documents are read, and their terms made, anew for each of the passes: terms are many times larger than texts as rows."""
     spark = docs.sparkSession
-    bags, held = stored(docs.mapInArrow(_bags, "lang string, source string, tokens array<string>, once array<string>"), "bags")
-    different = bags.select(F.explode("once").alias("t")).agg(F.approx_count_distinct("t", 0.02)).first()[0]
-    blocks = max(1, -(-different // vocabulary)) if bags.limit(min_docs).count() == min_docs else 0  # fewer documents have no kept term
+    blocks = _vocabularies(docs, min_docs, vocabulary)
     names = counts = None
     for block in range(blocks):
-        mine = lambda t: (F.pmod(F.xxhash64(t), F.lit(blocks)) == block) | (t == _EVERY)  # noqa: E731, B023
-        part = lambda c: F.filter(c, mine) if blocks > 1 else F.col(c)  # noqa: E731, B023
-        # documents count once whatever their repeats, so the vocabulary is chosen from terms that stand once
-        model = CountVectorizer(inputCol="terms", outputCol="vector", minDF=float(min_docs), vocabSize=MAX_INT).fit(bags.select(part("once").alias("terms")))
-        at = model.vocabulary.index(_EVERY)
-        vector = F.unwrap_udt("vector")
-        each = model.transform(bags.select("lang", "source", part("tokens").alias("terms"))).select("lang", "source", F.explode(F.arrays_zip(vector["indices"].alias("i"), vector["values"].alias("x"))).alias("e"))
-        summed = each.where(F.col("e.i") != at).groupBy("lang", "source", F.col("e.i").alias("i")).agg(F.sum(F.col("e.x").cast("long")).alias("n"))
-        listed = spark.createDataFrame(pd.DataFrame({"i": np.arange(len(model.vocabulary), dtype=np.int32), "token": model.vocabulary}), "i int, token string").where(F.col("i") != at)
-        number = lambda c: c.cast("long") * blocks + block  # noqa: E731, B023
-        listed = materialize(listed.select(F.substring_index("token", "\t", -1).alias("term"), F.expr("substring(token, 1, length(token) - length(substring_index(token, '\\t', -1)) - 1)").alias("lang"),
-                                           number(F.col("i")).alias("id")), f"terms{block}")
-        summed = materialize(summed.select("lang", "source", number(F.col("i")).alias("id"), "n"), f"counts{block}")
+        # the empty term of a language is in every vocabulary, so none is empty
+        mine = lambda t: (F.pmod(F.xxhash64(t), F.lit(blocks)) == block) | F.endswith(t, F.lit("\t"))  # noqa: E731, B023
+        terms = _terms(F.col("lang"), F.col("text"))
+        bags = docs.select("lang", "source", (F.filter(terms, mine) if blocks > 1 else terms).alias("terms"))
+        model = CountVectorizer(inputCol="terms", outputCol="vector", minDF=float(min_docs), vocabSize=MAX_INT).fit(bags.select("terms"))
+        entry = F.unwrap_udt("vector")
+        each = model.transform(bags).select("lang", "source", F.explode(F.arrays_zip(entry["indices"].alias("i"), entry["values"].alias("x"))).alias("e"))
+        summed = each.groupBy("lang", "source", F.col("e.i").alias("i")).agg(F.sum(F.col("e.x").cast("long")).alias("n"))
+        number = F.col("i").cast("long") * blocks + block
+        listed = spark.createDataFrame(pd.DataFrame({"i": np.arange(len(model.vocabulary), dtype=np.int32), "token": model.vocabulary}), "i int, token string").where(~F.endswith("token", F.lit("\t")))
+        listed = materialize(listed.select(F.substring_index("token", "\t", -1).alias("term"), F.expr("substring(token, 1, length(token) - length(substring_index(token, '\\t', -1)) - 1)").alias("lang"), number.alias("id")), f"terms{block}")
+        summed = materialize(summed.select("lang", "source", number.alias("id"), "n").join(listed.select("id"), "id", "left_semi"), f"counts{block}")
         names, counts = (listed, summed) if names is None else (names.unionByName(listed), counts.unionByName(summed))
-    discard(spark, held)
     if names is None:
         names, counts = spark.createDataFrame([], "term string, lang string, id long"), spark.createDataFrame([], "lang string, source string, id long, n long")
     return names, counts
 
 
 def share(n, total, kept):
-    """p of a term that occurs n times among ``total`` occurrences of ``kept`` terms; 0 where no term is kept."""
-    p = F.expr(f"cast(cast({n} + 2 as decimal(38,0)) * {SCALE} as decimal(38,0)) div cast({total} + 2 * {kept} as decimal(20,0))")
-    return F.when(F.expr(f"{kept} > 0"), p + 1).otherwise(0).cast("long")
+    """p of a term that occurs n times among ``total`` occurrences of ``kept`` terms; 0 where no term is kept. The scale is taken in two factors, so that whole numbers of 64 bits suffice up to 10^14 occurrences; beyond that it is an error."""
+    a, b = SCALE_FACTORS
+    d, x = f"({total} + 2 * {kept})", f"(({n} + 2L) * {a}L)"
+    return F.when(F.expr(f"{kept} > 0"), F.expr(f"({x} div {d}) * {b}L + (({x} % {d}) * {b}L) div {d} + 1")).otherwise(0).cast("long")
 
 
 def distance(p: str, q: str):

@@ -137,7 +137,7 @@ def plain_divergence(rows, min_docs=10, top=10):
     return sorted(out)
 
 
-@pytest.mark.parametrize("bounds", [{}, {"vocabulary": 7, "slice_terms": 3, "block_sources": 2}])
+@pytest.mark.parametrize("bounds", [{}, {"vocabulary": 300, "slice_terms": 3, "block_sources": 2}])
 def test_divergence_of_odd_rows(spark, bounds):
     """Against plain counts; then with many vocabularies, slices of three terms and blocks of two sources."""
     rng = random.Random(2)
