@@ -3,8 +3,8 @@
 The rows of a node are cut at a weighted median (or another quantile, where the leaves do not halve) along its widest dimension of text metadata, and its parts again, until each
 leaf is one shard. All nodes of a level are cut together: grouped histograms (combined before the shuffle) narrow the range that holds each cut. Nodes are rows of small
 tables beside the data, one for each node of a level, so neither plans nor the driver grow with the tree. A row's coordinate along a dimension is a 62-bit
-integer: the scaled dimension first, then, to tell ties apart, a hash of the text and a hash of the row. So rows of equal text lie together and
-stay in one shard, unless their group is so large that this would unbalance the shards; then the group itself is cut.
+integer: the scaled dimension first, then, to tell ties apart, a hash of the text and a hash of the row (for rows that repeat, with their number). So rows of equal text lie together and
+stay in one shard, unless their group is so large that this would unbalance the shards; then the group itself is cut, be it of one row many times.
 """
 
 from __future__ import annotations
@@ -84,7 +84,7 @@ def _cuts(d: DataFrame, keys: list[str], weight: str) -> DataFrame:
 def kd_tree_shards(rows: DataFrame, keys: list[str], weight: str, leaves: int) -> DataFrame:
     """``rows`` with a column ``shard`` (0 to leaves - 1). ``keys`` are columns made by :func:`coordinate`, ``weight`` is a whole number above 0.
 
-    Any number of leaves will do. An empty table keeps no row and no cut. With fewer rows than leaves some shards stay empty. Ties of a whole coordinate (the same row repeated) are not parted."""
+    Any number of leaves will do. An empty table keeps no row and no cut. With fewer rows than leaves some shards stay empty. Only ties of a whole coordinate are not parted; coordinates that end with a row's number have none but by chance."""
     if leaves < 1:
         raise ValueError("at least one leaf")
     spark = rows.sparkSession
@@ -112,13 +112,17 @@ def shard_documents(docs: DataFrame, leaves: int | None = 24, id_col: str = "doc
 
     ``size`` is the bytes of the text plus 8 (null: none); a null text counts as empty, its crc is 0. ``leaves`` None takes as many shards as ``target_bytes`` asks for.
     Shards differ by little in bytes, given the sizes of single rows; one very long text may outweigh a shard's share. ``slot`` numbers the rows of a shard from 0 without gaps. Null ids
-    stay null; they and repeated rows are kept as rows. An empty table gives an empty result; other columns play no part."""
+    stay null; they and repeated rows are kept as rows, and the law holds for them too: rows that repeat are told apart by a number, so that their group can be cut. An empty table gives an empty result; other columns play no part."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("t"))
     rows = rows.select("id", (F.octet_length("t") + F.lit(8)).cast("long").alias("size"), F.crc32(F.encode("t", "UTF-8")).alias("text_crc32"), F.xxhash64("id", "t").alias("spread"),
                        F.xxhash64("t", F.lit("group")).alias("h"), "t")
     dims = text_dimensions(F.col("t"), F.col("size"))
-    rows = materialize(rows.select("id", "size", "text_crc32", "spread", "h", *[x.alias(f"x{i}") for i, x in enumerate(dims)]), "meta")
+    meta, held = stored(rows.select("id", "size", "text_crc32", "spread", "h", F.monotonically_increasing_id().alias("m"), *[x.alias(f"x{i}") for i, x in enumerate(dims)]), "meta")
+    again = meta.groupBy(F.col("spread").alias("_s")).agg(F.count("*").alias("_c")).where("_c > 1")
+    apart = F.when(F.col("_c").isNotNull(), F.xxhash64("spread", "m")).otherwise(F.col("spread"))
+    rows = materialize(meta.join(again, F.col("spread") == F.col("_s"), "left").withColumn("spread", apart).drop("_s", "_c", "m"), "rows")
+    discard(meta.sparkSession, held)
     ends = [f(f"x{i}") for i in range(len(dims)) for f in (F.min, F.max)]
     n, total, *ends = rows.agg(F.count("*"), F.sum("size"), *ends).first()
     if leaves is None:

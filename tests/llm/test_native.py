@@ -323,3 +323,18 @@ def test_shards_against_a_plain_tree(spark):
         got = {r.id: r["shard"] for r in sharding.shard_documents(frame(spark, rows), leaves).collect()}
         assert [got[i] for i, _, _ in rows] == brute_shards(rows, leaves)
     assert sharding.shard_documents(frame(spark, rows[:3]), 70_000).count() == 3  # any number of leaves
+
+
+def test_shards_of_one_row_many_times(spark):
+    """Half of all rows are one row, id and text; a null row repeats too. The law holds, and every shard is used."""
+    rng = random.Random(12)
+    rows = [(k, "x" * rng.randrange(100, 400) + str(k), None) for k in range(3000)] + [(77_777, "the row that repeats " * 12, None)] * 3000 + [(None, None, None)] * 40
+    got = sharding.shard_documents(frame(spark, rows), 24).collect()
+    assert Counter(r.id for r in got) == Counter(i for i, *_ in rows)
+    load, slots = Counter(), defaultdict(list)
+    for r in got:
+        load[r.shard] += r.size
+        slots[r.shard].append(r.slot)
+    mean = sum(load.values()) / 24
+    assert sorted(load) == list(range(24)) and max(load.values()) < 1.1 * mean and min(load.values()) > 0.9 * mean
+    assert all(sorted(v) == list(range(len(v))) for v in slots.values())

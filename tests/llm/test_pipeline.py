@@ -27,6 +27,7 @@ def test_stages(spark):
     assert one.columns == cols and set(after) <= set(before)
     gone = {r.doc_id for r in before} - {r.doc_id for r in after}
     assert sum(labels.get(i) == 0 for i in gone) <= 2
+    assert sum(labels.get(i) == 1 for i in gone) >= 0.8 * sum(labels.get(r.doc_id) == 1 for r in before)  # and toxic ones do
 
     two = materialize(f[1](spark, one, SF), "two")
     assert two.columns == cols and sorted(r.doc_id for r in two.collect()) == survivors([(r.doc_id, r.text) for r in after])
