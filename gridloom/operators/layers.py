@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gridloom.functions.tags import voltage_label, voltage_style
+
 LINES = ("LineString", "MultiLineString")
 #: Domains whose layers all exist as soon as one of them has a feature.
 WHOLE = {"telecom": ("towers", "facilities", "lines"), "district_heating": ("plants", "facilities", "lines")}
@@ -60,6 +62,24 @@ def attribute_containers(features: DataFrame, official: Column) -> DataFrame:
     return features.withColumn("source_attributes", F.when(official, F.col("tags"))).withColumn("osm_tags", F.when(~official, F.col("tags")))
 
 
+# The fields of a presentation row.
+PRESENTATION = ("source", "source_id", "domain", "asset_type", "road_class", "voltage_state", "voltage_bucket", "voltage_label", "name", "ref", "operator", "confidence", "missing_fields", "limitations")
+
+
+def presentation(features: DataFrame, metadata: DataFrame, keys: list[str]) -> DataFrame:
+    """``keys`` and the fields of PRESENTATION as text, for features (source, source_id, domain, asset_type, road_class, confidence, name, ref, operator, missing_fields, limitations, tags; arrays and map may be null).
+
+    Source, domain, confidence and limitations that a feature does not state come from the ``metadata`` of its layer (layer_id, and these four); name, ref and operator of the tags come before those of the feature; the voltage fields follow from the tags. Texts of lists are joined by ``; `` and ``, ``."""
+    m = metadata.select(F.col("layer_id").alias("_l"), *[F.col(k).alias(f"_{k}") for k in ("source", "domain", "confidence", "limitations")])
+    d = features.join(m, F.col("layer_id") == F.col("_l"))
+    volts = d.withColumn("_v", voltage_style(F.col("tags")["voltage"]))
+    said = lambda k: F.coalesce(F.col(k).cast("string"), F.col(f"_{k}").cast("string"))
+    own = {"source": said("source"), "domain": said("domain"), "confidence": said("confidence"), "limitations": F.array_join(F.coalesce("limitations", "_limitations"), "; "), "missing_fields": F.coalesce(F.array_join("missing_fields", ", "), F.lit("")),
+           "voltage_state": F.col("_v.state"), "voltage_bucket": F.col("_v.bucket"), "voltage_label": voltage_label(F.col("tags")["voltage"])}
+    own |= {k: F.coalesce(F.col("tags")[k], F.col(k).cast("string")) for k in ("name", "ref", "operator")}
+    return volts.select(*keys, *[own.get(k, F.col(k).cast("string")).alias(k) for k in PRESENTATION if k not in keys])
+
+
 def min_zoom(asset: Column) -> Column:
     return F.when(asset.isin("tower", "portal", "utility_pole"), 12).when(asset == "pole", 14).otherwise(7)
 

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from gridloom.functions.classify import DOMAINS
 from gridloom.operators import governance as g
-from gridloom.plans.views import SOURCES, query
+from gridloom.plans.views import query
 
 # each registry row with the number of artifacts that name it, so that work grows with the artifacts
 _ELIG = """CASE WHEN qualification <> 'qualified_free' THEN 'rejected|not_qualified_free' WHEN use IN ('acquisition','local_import') THEN 'allowed|qualified_free' WHEN use = 'reference' THEN CASE WHEN usage_role = 'reference' THEN 'allowed|qualified_free_reference' ELSE 'rejected|not_reference_source' END
@@ -99,9 +99,10 @@ def cache_freshness(t):
 
 @query("default_availability", "SELECT c_custkey AS aoi_id, source_id, CASE WHEN usage_role = 'reference' THEN 'reference_only' WHEN qualification <> 'qualified_free' OR NOT eligible_for_analysis THEN 'not_eligible' ELSE 'available' END AS availability FROM customer, source_registry", "source_registry")
 def default_availability(t):
-    """Each area with one row per registered source: the registry is a fixed array of the plan, not a join."""
-    rows = [F.struct(F.lit(r[0]).alias("source_id"), F.lit("reference_only" if r[5] == "reference" else "not_eligible" if r[6] != "qualified_free" or not r[9] else "available").alias("availability")) for r in SOURCES]
-    return t("customer").select(F.col("c_custkey").alias("aoi_id"), F.explode(F.array(*rows)).alias("s")).select("aoi_id", "s.source_id", "s.availability")
+    """Each area with one row per registered source: the registry is one array value, not a join."""
+    state = F.when(F.col("usage_role") == "reference", "reference_only").when((F.col("qualification") != "qualified_free") | ~F.col("eligible_for_analysis"), "not_eligible").otherwise("available")
+    known = t("source_registry").agg(F.array_sort(F.collect_list(F.struct("source_id", state.alias("availability"))))).scalar()
+    return t("customer").select(F.col("c_custkey").alias("aoi_id"), known.alias("known")).select("aoi_id", F.explode("known").alias("s")).select("aoi_id", "s.source_id", "s.availability")
 
 
 _CAND = "SELECT domain, CASE WHEN domain IN ('sewer','telecom','gas') THEN 'rejected' WHEN snapshot_id % 7 = 0 THEN 'adopted' WHEN snapshot_id % 7 = 1 THEN 'rejected' ELSE 'candidate' END AS decision, snapshot_id % 14 IN (0, 2) AS enabled FROM domain_outcome"
@@ -176,6 +177,10 @@ def request_identity(t):
 
 @query("context_outcomes", "SELECT c_custkey AS aoi_id, source_id, CASE usage_role WHEN 'reference' THEN 'reference_only' ELSE 'context_only' END AS status FROM customer, source_registry WHERE usage_role <> 'analytical' UNION ALL SELECT c_custkey, 'prg_wfs', 'administrative' FROM customer WHERE c_custkey % 3 = 2", "source_registry")
 def context_outcomes(t):
-    rules = t("source_registry").where("usage_role <> 'analytical'").select(F.lit(1).alias("k"), "source_id", F.when(F.col("usage_role") == "reference", "reference_only").otherwise("context_only").alias("status"))
-    a = t("customer").select(F.col("c_custkey").alias("aoi_id"), F.lit(1).alias("k"))
-    return a.join(rules, "k").drop("k").unionByName(a.where("aoi_id % 3 = 2").select("aoi_id", F.lit("prg_wfs").alias("source_id"), F.lit("administrative").alias("status")))
+    """Each area with its rows of context: the rules of the registry are one array value, so areas stay where they are."""
+    rule = F.struct("source_id", F.when(F.col("usage_role") == "reference", "reference_only").otherwise("context_only").alias("status"))
+    rules = t("source_registry").where("usage_role <> 'analytical'").agg(F.array_sort(F.collect_list(rule))).scalar()
+    own = F.when(F.col("c_custkey") % 3 == 2, F.array(F.struct(F.lit("prg_wfs").alias("source_id"), F.lit("administrative").alias("status"))))
+    a = t("customer").withColumns({"rules": rules, "own": own})
+    a = a.select(F.col("c_custkey").alias("aoi_id"), F.explode(F.when(F.col("own").isNull(), F.col("rules")).otherwise(F.concat("rules", "own"))).alias("r"))
+    return a.select("aoi_id", "r.source_id", "r.status")

@@ -83,6 +83,27 @@ def presentation_row(t):
                     F.array_join(ops.missing_fields(F.col("asset_type"), F.col("tags")), ", ").alias("missing_fields"), F.array_join(limits, "; ").alias("limitations"))
 
 
+_LABEL = "CASE voltage WHEN '400000' THEN '400 kV' WHEN '220000' THEN '220 kV' WHEN '110000;220000' THEN '110/220 kV' WHEN '60000' THEN '60 kV' WHEN '15000' THEN '15 kV' WHEN '900' THEN '0.9 kV' WHEN '400' THEN '0.4 kV' ELSE coalesce(voltage, 'voltage unknown') END"
+_WITH = ALL_SQL.replace("SELECT id, ", "SELECT id, w.tag_id, highway, power, voltage, ")
+
+
+@query("presentation_rows", f"""SELECT concat('node/', CAST(id AS VARCHAR)) AS source_id, domain, CASE WHEN id % 4 <> 1 THEN 'openstreetmap' ELSE 'prg_wfs' END AS source, category AS asset_type,
+CASE WHEN domain <> 'transport' OR category <> 'roads' THEN NULL WHEN highway IN ('motorway','trunk','primary') THEN 'major' ELSE 'secondary' END AS road_class, {_STYLE} AS voltage_state, {_BUCKET} AS voltage_bucket, {_LABEL} AS voltage_label,
+CASE WHEN id % 3 = 0 THEN concat('n', CAST(id AS VARCHAR)) WHEN id % 3 = 1 THEN 'plain' END AS name, CASE WHEN id % 5 = 0 THEN 'R5' END AS ref, CASE WHEN id % 7 = 0 THEN 'owner' END AS operator, CASE WHEN id % 3 = 0 THEN 'high' ELSE 'medium' END AS confidence,
+CASE WHEN domain = 'power' AND category IN ('line','minor_line','cable') AND voltage IS NULL THEN 'voltage' ELSE '' END AS missing_fields, CASE WHEN id % 2 = 0 THEN 'partial; community data' ELSE concat('layer of ', domain) END AS limitations
+FROM (SELECT *, list_max(list_transform(string_split(voltage, ';'), lambda x: TRY_CAST(x AS BIGINT))) AS v FROM ({_WITH}) WHERE category IS NOT NULL)""", *NODES)
+def presentation_rows(t):
+    """Nodes of all domains with all fields of a presentation; some do not state what their layer does."""
+    f = c.classify_all(features(t)).withColumn("layer_id", ops.layer_id(F.col("domain"), F.col("category"), F.lit("Point")))
+    meta = f.select("layer_id", "domain").distinct().select("layer_id", "domain", F.lit("prg_wfs").alias("source"), F.lit("medium").alias("confidence"), F.array(F.concat(F.lit("layer of "), "domain")).alias("limitations"))
+    k = F.col("id")
+    more = F.map_filter(F.map_from_arrays(F.lit(["name", "ref", "operator"]), F.array(F.when(k % 3 == 0, F.concat(F.lit("n"), k.cast("string"))), F.when(k % 5 == 0, "R5"), F.when(k % 7 == 0, "owner"))), lambda _, v: v.isNotNull())
+    f = f.select("layer_id", F.concat(F.lit("node/"), k.cast("string")).alias("source_id"), F.col("domain").alias("own_domain"), F.when(k % 4 != 1, "openstreetmap").alias("source"), F.lit(None).cast("string").alias("domain"), F.col("category").alias("asset_type"),
+                 F.when((F.col("domain") == "transport") & (F.col("category") == "roads"), c.road_class(F.col("tags"))).alias("road_class"), F.when(k % 3 == 0, "high").alias("confidence"), F.when(k % 3 == 1, "plain").alias("name"), F.lit(None).cast("string").alias("ref"),
+                 F.lit(None).cast("string").alias("operator"), F.when(F.col("domain") == "power", ops.missing_fields(F.col("category"), F.col("tags"))).alias("missing_fields"), F.when(k % 2 == 0, F.array(F.lit("partial"), F.lit("community data"))).alias("limitations"), F.map_concat(F.map_filter("tags", lambda n, _: ~n.isin("name", "ref", "operator")), more).alias("tags"))
+    return ops.presentation(f, meta, ["source_id"]).select(*ops.PRESENTATION)
+
+
 @query("feature_min_zoom", f"SELECT id, CASE WHEN a IN ('tower','portal','utility_pole') THEN 12 WHEN a = 'pole' THEN 14 ELSE 7 END AS min_zoom FROM (SELECT id, {CASES['power']} AS a {_J})", *NODES)
 def feature_min_zoom(t):
     return features(t).select("id", ops.min_zoom(c.power_category(F.col("tags"))).alias("min_zoom"))

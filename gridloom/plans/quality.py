@@ -155,10 +155,12 @@ def count_reconciliation(t):
 
 
 _FIT = "('openstreetmap','bdot10k','prg_wfs')"
-_CMP = f"""WITH lx AS (SELECT * FROM xs_feature WHERE source_id = 'openstreetmap'), rx AS (SELECT * FROM xs_feature WHERE source_id <> 'openstreetmap')
-SELECT l.id, CASE WHEN r.id IS NULL THEN 'source_only' WHEN l.source_id NOT IN {_FIT} OR r.source_id NOT IN {_FIT} THEN 'not_comparable' WHEN l.stable_id = r.stable_id THEN 'matched' WHEN l.asset_type IS NULL OR r.asset_type IS NULL THEN 'ambiguous'
-WHEN l.asset_type <> r.asset_type THEN 'conflicting' WHEN sqrt(power(l.lon - r.lon, 2) + power(l.lat - r.lat, 2)) <= 0.0001e0 THEN 'matched' ELSE 'source_only' END AS outcome, round(sqrt(power(l.lon - r.lon, 2) + power(l.lat - r.lat, 2)), 8) AS distance
-FROM lx l LEFT JOIN rx r ON l.id = r.id"""
+_SIDE = lambda c, p: f"max(CASE WHEN source_id {'=' if p == 'l' else '<>'} 'openstreetmap' THEN {c} END) AS {p}_{c}"
+#: Ids are unique on either side, so one grouping brings both sides together.
+_CMP = f"""WITH g AS (SELECT id, {", ".join(_SIDE(c, p) for p in "lr" for c in ("source_id", "stable_id", "asset_type", "lon", "lat"))} FROM xs_feature GROUP BY id),
+d AS (SELECT *, sqrt(power(l_lon - r_lon, 2) + power(l_lat - r_lat, 2)) AS d FROM g WHERE l_source_id IS NOT NULL)
+SELECT id, CASE WHEN r_source_id IS NULL THEN 'source_only' WHEN l_source_id NOT IN {_FIT} OR r_source_id NOT IN {_FIT} THEN 'not_comparable' WHEN l_stable_id = r_stable_id THEN 'matched' WHEN l_asset_type IS NULL OR r_asset_type IS NULL THEN 'ambiguous'
+WHEN l_asset_type <> r_asset_type THEN 'conflicting' WHEN d <= 0.0001e0 THEN 'matched' ELSE 'source_only' END AS outcome, round(d, 8) AS distance FROM d"""
 
 
 def compared(t):
