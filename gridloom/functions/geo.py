@@ -151,19 +151,6 @@ def in_ring(x: Column, y: Column, ring: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), n), start, step, lambda a: a["edge"] | a["odd"])
 
 
-def self_crossing(line: Column) -> Column:
-    """Two sides of an array of points (struct x, y) that are not neighbours cross each other."""
-    n = F.size(line)
-    turn = lambda a, b, c: (b["x"] - a["x"]) * (c["y"] - a["y"]) - (b["y"] - a["y"]) * (c["x"] - a["x"]) > 0
-
-    def crosses(i, j):
-        a, b, c, d = (F.element_at(line, k) for k in (i, i + 1, j, j + 1))
-        return (turn(a, b, c) != turn(a, b, d)) & (turn(c, d, a) != turn(c, d, b))
-
-    pairs = lambda i: F.exists(F.sequence(i + 2, n - 1), lambda j: crosses(i, j))
-    return F.when(n >= 4, F.exists(F.sequence(F.lit(1), n - 3), pairs)).otherwise(False)
-
-
 def ring_area(ring: Column) -> Column:
     """Area inside an array of points (struct x, y)."""
     n = F.size(ring)

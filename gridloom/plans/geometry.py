@@ -8,6 +8,7 @@ from pyspark.sql import Window as W
 from gridloom.functions import classify as c
 from gridloom.functions import geo
 from gridloom.functions.tags import tag_maps, voltage_style
+from gridloom.operators import validity
 from gridloom.operators import ways as ops
 from gridloom.plans.classify import _BUCKET, ASKS, CASES, LAYER_SQL
 from gridloom.plans.views import CENTRE, _projected, query
@@ -284,10 +285,10 @@ SELECT CASE WHEN n < 2 THEN 'empty' WHEN len < 1e-9 THEN 'degenerate' WHEN x.way
 def geometry_validity(t):
     """Ways by validity: too few points, no length, sides that cross, or none of these."""
     g = t("geo_node").groupBy("way_id").agg(F.array_sort(F.collect_list(F.struct("seq", F.col("lon").alias("x"), F.col("lat").alias("y")))).alias("p"))
-    g = g.select(F.transform("p", lambda q: F.struct(q["x"].alias("x"), q["y"].alias("y"))).alias("line"))
+    g = validity.with_crossing(g.select("way_id", F.transform("p", lambda q: F.struct(q["x"].alias("x"), q["y"].alias("y"))).alias("line")), ["way_id"])
     n = F.size("line")
     length = F.when(n >= 2, F.aggregate(F.sequence(F.lit(1), n - 1), F.lit(0.0), lambda a, i: a + F.hypot(F.element_at("line", i + 1)["x"] - F.element_at("line", i)["x"], F.element_at("line", i + 1)["y"] - F.element_at("line", i)["y"])))
-    state = F.when(n < 2, "empty").when(length < 1e-9, "degenerate").when(geo.self_crossing(F.col("line")), "non_simple").otherwise("valid")
+    state = F.when(n < 2, "empty").when(length < 1e-9, "degenerate").when(F.col("self_crossing"), "non_simple").otherwise("valid")
     return g.groupBy(state.alias("state")).agg(F.count("*").alias("n"))
 
 

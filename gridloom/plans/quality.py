@@ -93,8 +93,9 @@ x AS (SELECT DISTINCT p.way_id FROM sd p JOIN sd q ON p.way_id = q.way_id AND q.
 
 def _checked(t):
     """Nodes and ways with what a validation looks at; some ways are emptied on purpose."""
-    from gridloom.functions.geo import self_crossing, with_metric
+    from gridloom.functions.geo import with_metric
     from gridloom.functions.tags import tag_maps
+    from gridloom.operators.validity import with_crossing
     from gridloom.operators.ways import assemble_ways
     from gridloom.plans.geometry import CX, CY
 
@@ -103,7 +104,8 @@ def _checked(t):
     n = m.select("tag_id", F.lit("Point").alias("gtype"), F.lit(1).alias("n_points"), F.lit(False).alias("self_crossing"), "outside")
     far = m.groupBy(F.col("way_id").alias("w")).agg(F.bool_or("outside").alias("outside"))
     l = assemble_ways(t("geo_node").select("way_id", F.col("seq").alias("pos"), F.col("id").alias("ref")), t("geo_node")).join(far, F.col("way_id") == F.col("w"))
-    l = l.select((F.col("way_id") % 90).cast("int").alias("tag_id"), F.lit("LineString").alias("gtype"), F.when(F.col("way_id") % 61 == 0, 0).otherwise(F.size("line")).alias("n_points"), self_crossing(F.col("line")).alias("self_crossing"), "outside")
+    l = with_crossing(l, ["way_id"])
+    l = l.select((F.col("way_id") % 90).cast("int").alias("tag_id"), F.lit("LineString").alias("gtype"), F.when(F.col("way_id") % 61 == 0, 0).otherwise(F.size("line")).alias("n_points"), "self_crossing", "outside")
     return n.unionByName(l).join(tags, "tag_id")
 
 
