@@ -5,7 +5,7 @@ from importlib import import_module
 from gridloom.plans import views
 
 FLAGSHIP = "power_summary"
-_AREAS = ("classify", "layers", "geometry", "hexes", "tiles", "quality", "governance", "snapshots", "reviews", "files", "areas", "graphs", "landed")
+_AREAS = ("classify", "layers", "geometry", "hexes", "tiles", "quality", "governance", "snapshots", "reviews", "files", "areas", "graphs", "landed", "requests")
 
 
 def _load() -> None:
