@@ -8,6 +8,8 @@ are not in it and are added at the end, all at once. All numbers are whole.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.ml.feature import CountVectorizer
@@ -15,36 +17,39 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from gridloom.llm.common import ascii_lower, materialize, table
+from gridloom.llm.common import UPPER, materialize, table
 
 #: Fixed values of the measure.
-SEPARATOR = r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"
+SEPARATORS = "".join(chr(c) for c in (*range(0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)))
 SCALE_FACTORS = (31_250, 32_000)  # 10^9
 MIN_DOCS = 10
 MAX_INT = 2_147_483_647
 TOP = 10
-#: Different terms that one vocabulary is chosen from, at most about; those in MIN_DOCS documents are a small part of them.
-VOCABULARY = 8_000_000
+#: Kept terms of one vocabulary, at most about.
+VOCABULARY = 1_000_000
 #: Terms of a slice and sources of a block: what a tile holds.
 SLICE, BLOCK = 4096, 64
 
 
 def _terms(lang, text):
-    """The terms of a text with their language and a tab before them, as they occur, and at least once an empty one. No term holds a tab, so the last one ends the language."""
-    # most terms are ASCII in any language, for which lower does the same as translating A-Z, in a fraction of the time
-    low = lambda t: F.when(F.octet_length(t) == F.length(t), F.lower(t)).otherwise(ascii_lower(t))
-    return F.transform(F.split(F.concat(F.lit(" "), text), SEPARATOR), lambda t: F.concat(lang, F.lit("\t"), low(t)))
+    """The terms of a text with their language in hex and a tab before them, as they occur, and at least once an empty one. Separators all become blanks as capitals become small, so what is left to split at is one character,
+    which takes no pattern, and no expression is worked out term by term."""
+    plain = F.translate(text, SEPARATORS + UPPER, " " * len(SEPARATORS) + UPPER.lower())
+    return F.split(F.replace(F.concat(F.lit(" "), plain), F.lit(" "), F.concat(F.lit("\n"), F.hex(F.encode(lang, "UTF-8")), F.lit("\t"))), "\n")
 
 
 def _vocabularies(docs: DataFrame, min_docs: int, size: int) -> int:
-    """How many vocabularies are needed so that each is chosen from about ``size`` different terms at most; 0 if no language has ``min_docs`` documents.
+    """How many vocabularies are needed so that each keeps about ``size`` terms at most; 0 if no language has ``min_docs`` documents.
 
-    All documents together have no more different terms than the sum over equal parts of them has, so a sixteenth of the documents tells enough. Only the number of passes depends on it."""
+    Of a term's ten or more documents at least two are in a random sixteenth of all documents with a known probability, so the terms found twice there bound the kept ones (with a smaller ``min_docs``, those found once).
+    Only the number of passes depends on it, no result."""
     most = docs.groupBy("lang").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]
     if (most or 0) < min_docs:
         return 0
-    part = docs.where(F.pmod(F.xxhash64("text"), F.lit(16)) == 3).select(F.explode(F.transform(F.split("text", SEPARATOR), lambda t: F.xxhash64("lang", t))).alias("h"))
-    return max(1, -(-16 * part.agg(F.approx_count_distinct("h", 0.02)).first()[0] // size))
+    share, twice = 1 / 16, min_docs >= 10
+    missed = (1 - share) ** min_docs + (min_docs * share * (1 - share) ** (min_docs - 1) if twice else 0)
+    found = docs.where(F.rand(12) < share).select(F.explode(F.array_distinct(_terms(F.col("lang"), F.col("text")))).alias("t")).groupBy(F.xxhash64("t")).count().where(F.col("count") >= (2 if twice else 1)).count()
+    return max(1, math.ceil(found / (1 - missed) / size))
 
 
 def term_counts(docs: DataFrame, min_docs: int = MIN_DOCS, vocabulary: int = VOCABULARY) -> tuple[DataFrame, DataFrame]:
@@ -61,12 +66,14 @@ def term_counts(docs: DataFrame, min_docs: int = MIN_DOCS, vocabulary: int = VOC
         bags = docs.select("lang", "source", (F.filter(terms, mine) if blocks > 1 else terms).alias("terms"))
         model = CountVectorizer(inputCol="terms", outputCol="vector", minDF=float(min_docs), vocabSize=MAX_INT).fit(bags.select("terms"))
         entry = F.unwrap_udt("vector")
-        each = model.transform(bags).select("lang", "source", F.explode(F.arrays_zip(entry["indices"].alias("i"), entry["values"].alias("x"))).alias("e"))
-        summed = each.groupBy("lang", "source", F.col("e.i").alias("i")).agg(F.sum(F.col("e.x").cast("long")).alias("n"))
+        each = model.transform(bags).select("source", F.explode(F.arrays_zip(entry["indices"].alias("i"), entry["values"].alias("x"))).alias("e"))
+        # a term's number tells its language
+        summed = each.groupBy("source", F.col("e.i").alias("i")).agg(F.sum(F.col("e.x").cast("long")).alias("n"))
         number = F.col("i").cast("long") * blocks + block
-        listed = spark.createDataFrame(pd.DataFrame({"i": np.arange(len(model.vocabulary), dtype=np.int32), "token": model.vocabulary}), "i int, token string").where(~F.endswith("token", F.lit("\t")))
-        listed = materialize(listed.select(F.substring_index("token", "\t", -1).alias("term"), F.expr("substring(token, 1, length(token) - length(substring_index(token, '\\t', -1)) - 1)").alias("lang"), number.alias("id")), f"terms{block}")
-        summed = materialize(summed.select("lang", "source", number.alias("id"), "n").join(listed.select("id"), "id", "left_semi"), f"counts{block}")
+        listed = spark.createDataFrame(pd.DataFrame({"i": np.arange(len(model.vocabulary), dtype=np.int32), "token": model.vocabulary}), "i int, token string").where(F.contains("token", F.lit("\t")) & ~F.endswith("token", F.lit("\t")))
+        lang = F.decode(F.unhex(F.substring_index("token", "\t", 1)), "UTF-8")
+        listed = materialize(listed.select(F.substring_index("token", "\t", -1).alias("term"), lang.alias("lang"), number.alias("id")), f"terms{block}")
+        summed = materialize(summed.select("source", number.alias("id"), "n").join(listed.select("lang", "id"), "id").select("lang", "source", "id", "n"), f"counts{block}")
         names, counts = (listed, summed) if names is None else (names.unionByName(listed), counts.unionByName(summed))
     if names is None:
         names, counts = spark.createDataFrame([], "term string, lang string, id long"), spark.createDataFrame([], "lang string, source string, id long, n long")
@@ -109,8 +116,8 @@ def source_divergence(docs: DataFrame, text_col: str = "text", lang_col: str = "
     """``lang, source, part, item, value, rank``: for every source of a language its divergence from each other source (part ``pair``) and its ``top`` terms that most exceed the language (part ``term``).
 
     Null texts, languages and sources count as empty. A group without terms, a language without kept terms (all values 0) and a language with one source (no pair) have what follows from that; an empty table gives no row.
-    Ties of value are ranked by the item's bytes. Repeated rows count as often as they occur; texts of any length are read whole; other columns play no part. The vocabularies (chosen from about
-    ``vocabulary`` tokens each) are all that the driver holds."""
+    Ties of value are ranked by the item's bytes. Repeated rows count as often as they occur; texts of any length are read whole; other columns play no part. The vocabularies (of about
+    ``vocabulary`` terms each at most) are all that the driver holds."""
     docs = docs.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(n) for c, n in ((lang_col, "lang"), (source_col, "source"), (text_col, "text"))])
     names, counts = term_counts(docs, min_docs, vocabulary)
     kept = names.groupBy(F.col("lang").alias("kl")).agg(F.count("*").alias("v"))
