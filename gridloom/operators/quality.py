@@ -148,3 +148,30 @@ def validate_layers(features: DataFrame, expected: DataFrame) -> DataFrame:
     d = d.withColumn("unexpected", F.array_join(odd, ",")).withColumn("types", F.array_join(F.transform("types", lambda x: F.concat_ws(":", x["gtype"], x["n"].cast("string"))), ","))
     status = F.when(F.col("feature_count") == 0, "warn").when((F.col("unexpected") != "") | (F.col("empty") > 0), "fail").when((F.col("invalid") > 0) | (F.col("outside") > 0), "warn").otherwise("pass")
     return d.withColumn("status", status)
+
+
+BOX = ("min_lon", "min_lat", "max_lon", "max_lat")
+
+
+def validation_report(features: DataFrame, expected: DataFrame, landed: DataFrame) -> DataFrame:
+    """A report for each expected layer (layer, expected: the geometry types it may hold) of the layers that have ``landed``: counts, types, box, codes of errors and warnings, and the status.
+
+    A layer that has not landed is an error, one that has landed without features a warning; so are features that are invalid or outside, while geometries that are empty or of a type not expected are errors. A feature without
+    geometry has type None and counts as empty and invalid. ``features`` has layer, gtype, n_points, self_crossing, outside and the box of each; rows of layers that are not expected play no part, those of a layer that has not
+    landed neither. Boxes are of what has one, null otherwise. One pass with partial sums for each layer and type."""
+    gone = F.col("gtype").isNull()
+    flag = lambda c: F.coalesce(c, F.lit(False))
+    each = {"n": F.count("*"), "empty": F.count_if(gone | (F.coalesce("n_points", F.lit(0)) == 0)), "invalid": F.count_if(gone | flag(F.col("self_crossing"))), "outside": F.count_if(flag(F.col("outside")))}
+    box = {c: (F.min if c.startswith("min") else F.max)(c) for c in BOX}
+    by = features.groupBy("layer", F.coalesce("gtype", F.lit("None")).alias("gtype")).agg(*[v.alias(k) for k, v in (each | box).items()])
+    g = by.groupBy("layer").agg(F.sum("n").alias("feature_count"), F.array_sort(F.collect_list(F.struct("gtype", "n"))).alias("by_type"), *[F.sum(c).alias(c) for c in ("empty", "invalid", "outside")], *[v.alias(k) for k, v in box.items()])
+    d = expected.join(landed.select("layer", F.lit(True).alias("landed")).distinct(), "layer", "left").withColumn("landed", flag(F.col("landed")))
+    d = d.join(g.withColumnRenamed("layer", "of"), (F.col("layer") == F.col("of")) & F.col("landed"), "left").fillna(0, ["feature_count", "empty", "invalid", "outside"])
+    types = F.coalesce("by_type", F.array().cast("array<struct<gtype:string,n:bigint>>"))
+    d = d.withColumn("types", F.array_join(F.transform(types, lambda x: F.concat_ws(":", x["gtype"], x["n"].cast("string"))), ",")).withColumn("unexpected", F.array_join(F.array_except(F.transform(types, lambda x: x["gtype"]), F.col("expected")), ","))
+    codes = lambda *cs: F.array_join(F.array_compact(F.array(*[F.when(c, code) for c, code in cs])), ",")
+    errors = codes((~F.col("landed"), "file_missing"), (F.col("unexpected") != "", "unexpected_geometry_types"), (F.col("empty") > 0, "empty_geometries"))
+    warnings = codes((F.col("landed") & (F.col("feature_count") == 0), "empty_layer"), (F.col("invalid") > 0, "invalid_geometries"), (F.col("outside") > 0, "features_outside_aoi"))
+    d = d.withColumns({"errors": errors, "warnings": warnings})
+    status = F.when(F.col("errors") != "", "fail").when(F.col("warnings") != "", "warn").otherwise("pass")
+    return d.select("layer", "landed", "feature_count", "types", "unexpected", "empty", "invalid", "outside", *BOX, "errors", "warnings", status.alias("status"))

@@ -101,11 +101,11 @@ def _checked(t):
 
     tags = tag_maps(t("tag_kv")).select("tag_id", F.col("tags")["power"].alias("power"))
     m = with_metric(t("geo_node")).withColumn("outside", F.hypot(F.col("x") - CX, F.col("y") - CY) > 35_000.0)
-    n = m.select("tag_id", F.lit("Point").alias("gtype"), F.lit(1).alias("n_points"), F.lit(False).alias("self_crossing"), "outside")
-    far = m.groupBy(F.col("way_id").alias("w")).agg(F.bool_or("outside").alias("outside"))
+    n = m.select("tag_id", F.lit("Point").alias("gtype"), F.lit(1).alias("n_points"), F.lit(False).alias("self_crossing"), "outside", *[F.col(c[4:]).alias(c) for c in q.BOX])
+    far = m.groupBy(F.col("way_id").alias("w")).agg(F.bool_or("outside").alias("outside"), *[(F.min if c.startswith("min") else F.max)(c[4:]).alias(c) for c in q.BOX])
     l = assemble_ways(t("geo_node").select("way_id", F.col("seq").alias("pos"), F.col("id").alias("ref")), t("geo_node")).join(far, F.col("way_id") == F.col("w"))
     l = with_crossing(l, ["way_id"])
-    l = l.select((F.col("way_id") % 90).cast("int").alias("tag_id"), F.lit("LineString").alias("gtype"), F.when(F.col("way_id") % 61 == 0, 0).otherwise(F.size("line")).alias("n_points"), "self_crossing", "outside")
+    l = l.select((F.col("way_id") % 90).cast("int").alias("tag_id"), F.lit("LineString").alias("gtype"), F.when(F.col("way_id") % 61 == 0, 0).otherwise(F.size("line")).alias("n_points"), "self_crossing", "outside", *[F.when(F.col("way_id") % 61 != 0, F.col(c)).alias(c) for c in q.BOX])
     return n.unionByName(l).join(tags, "tag_id")
 
 
@@ -125,6 +125,52 @@ def layer_validation(t):
     return q.validate_layers(f, e).select("layer", "feature_count", "types", "empty", "invalid", "outside", "unexpected", "status")
 
 
+# The layers that a validation of the power domain expects, the geometry types of each, and what goes into it.
+_LINE_GROUPS = {"power_major_lines": ("line",), "power_minor_lines": ("minor_line",), "power_cables": ("cable",), "power_busbars": ("busbar", "bay")}
+_NODE_GROUPS = {"power_substations": ("substation",), "power_transformers": ("transformer",), "power_plants": ("plant",), "power_generators": ("generator",), "power_supports": ("tower", "pole", "portal"),
+                "power_switchgear": ("switch", "terminal", "converter", "compensator")}
+_SHOWN = ("substation", "transformer", "plant", "switch", "terminal", "converter", "compensator")
+_TYPES = {"line": ("LineString", "MultiLineString"), "node": ("MultiPoint", "MultiPolygon", "Point", "Polygon"), "point": ("MultiPoint", "Point")}
+
+
+def _power_layers():
+    """(layer, kind, power values)"""
+    flat = lambda groups: tuple(v for vs in groups.values() for v in vs)
+    yield from (("power_lines", "line", flat(_LINE_GROUPS)), ("power_nodes", "node", flat(_NODE_GROUPS)), ("power_node_points", "point", flat(_NODE_GROUPS)), ("power_node_points_display", "point", _SHOWN))
+    yield from ((k, "line", v) for k, v in _LINE_GROUPS.items())
+    yield from ((k, "node", v) for k, v in _NODE_GROUPS.items())
+    yield from ((f"{k}_points", "point", v) for k, v in _NODE_GROUPS.items())
+    yield from (("power_missing", "node", ("none",)), ("power_odd", "node", ("odd",)))  # one without files, one without features
+
+
+_PL = ", ".join(f"('{n}', '{k}', '{p}')" for n, k, ps in _power_layers() for p in ps)
+_WANT = " ".join(f"WHEN '{k}' THEN {list(v)!r}" for k, v in _TYPES.items())
+_POB = f"""ob AS (SELECT n.tag_id, 'Point' AS gtype, false AS gone, false AS crossed, sqrt(power(m.x - {CX!r}, 2) + power(m.y - {CY!r}, 2)) > 35000e0 AS far, n.lon AS min_lon, n.lat AS min_lat, n.lon AS max_lon, n.lat AS max_lat FROM geo_node n JOIN metric m ON m.id = n.id UNION ALL
+SELECT CAST(way_id % 90 AS INT), 'LineString', way_id % 61 = 0, way_id IN (SELECT way_id FROM x), bool_or(sqrt(power(x - {CX!r}, 2) + power(y - {CY!r}, 2)) > 35000e0), CASE WHEN way_id % 61 <> 0 THEN min(lon) END, CASE WHEN way_id % 61 <> 0 THEN min(lat) END,
+ CASE WHEN way_id % 61 <> 0 THEN max(lon) END, CASE WHEN way_id % 61 <> 0 THEN max(lat) END FROM metric GROUP BY way_id HAVING count(*) >= 2)"""
+
+
+@query("power_validation", f"""WITH {CROSSING}, {_POB}, e AS (SELECT * FROM (VALUES {_PL}) AS v(layer, kind, power)),
+f AS (SELECT e.layer, ob.* FROM ob JOIN tag_wide w ON w.tag_id = ob.tag_id JOIN e ON e.power = w.power AND (e.kind <> 'point' OR ob.gtype = 'Point') WHERE e.layer <> 'power_odd'),
+h AS (SELECT layer, gtype, count(*) AS n FROM f GROUP BY 1, 2), t AS (SELECT layer, string_agg(concat(gtype, ':', CAST(n AS VARCHAR)), ',' ORDER BY gtype) AS types FROM h GROUP BY 1),
+u AS (SELECT h.layer, string_agg(gtype, ',' ORDER BY gtype) AS unexpected FROM h JOIN (SELECT DISTINCT layer, kind FROM e) k ON k.layer = h.layer WHERE NOT list_contains(CASE k.kind {_WANT} END, gtype) GROUP BY 1),
+g AS (SELECT layer, count(*) AS n, count(*) FILTER (WHERE gone) AS empty, count(*) FILTER (WHERE crossed) AS invalid, count(*) FILTER (WHERE far) AS outside, min(min_lon) AS a, min(min_lat) AS b, max(max_lon) AS c, max(max_lat) AS d FROM f GROUP BY 1),
+r AS (SELECT l.layer, l.layer <> 'power_missing' AS landed, coalesce(n, 0) AS feature_count, coalesce(types, '') AS types, coalesce(unexpected, '') AS unexpected, coalesce(empty, 0) AS empty, coalesce(invalid, 0) AS invalid, coalesce(outside, 0) AS outside,
+ round(a, 7) AS min_lon, round(b, 7) AS min_lat, round(c, 7) AS max_lon, round(d, 7) AS max_lat FROM (SELECT DISTINCT layer FROM e) l LEFT JOIN g ON g.layer = l.layer LEFT JOIN t ON t.layer = l.layer LEFT JOIN u ON u.layer = l.layer),
+k AS (SELECT *, concat_ws(',', CASE WHEN NOT landed THEN 'file_missing' END, CASE WHEN unexpected <> '' THEN 'unexpected_geometry_types' END, CASE WHEN empty > 0 THEN 'empty_geometries' END) AS errors,
+ concat_ws(',', CASE WHEN landed AND feature_count = 0 THEN 'empty_layer' END, CASE WHEN invalid > 0 THEN 'invalid_geometries' END, CASE WHEN outside > 0 THEN 'features_outside_aoi' END) AS warnings FROM r)
+SELECT *, CASE WHEN errors <> '' THEN 'fail' WHEN warnings <> '' THEN 'warn' ELSE 'pass' END AS status FROM k""", "geo_segment", "geo_node", "metric", "tag_wide")
+def power_validation(t):
+    """All layers of the power domain: the three that must be there, those of its ten groups and their points, one that has not landed and one that has landed empty."""
+    layers = list(_power_layers())
+    held = t.spark.createDataFrame([(p, n, k) for n, k, ps in layers for p in ps if n != "power_odd"], "held string, layer string, kind string")
+    f = _checked(t)
+    f = f.join(F.broadcast(held), (F.col("power") == F.col("held")) & ((F.col("kind") != "point") | (F.col("gtype") == "Point")))  # the fixed values above
+    expected = t.spark.createDataFrame([(n, list(_TYPES[k])) for n, k, _ in layers], "layer string, expected array<string>")
+    r = q.validation_report(f, expected, expected.where("layer <> 'power_missing'"))
+    return r.withColumns({c: F.round(c, 7) for c in q.BOX})
+
+
 @query("power_group_counts", "SELECT count(*) FILTER (WHERE power IN ('line','minor_line','cable','busbar','bay')) AS lines, count(*) FILTER (WHERE power IN ('substation','transformer','plant','generator','tower','pole','portal','switch','terminal','converter','compensator')) AS nodes, bool_or(power IN ('line','minor_line','cable','busbar','bay')) AS has_power_lines, bool_or(power IN ('minor_line','cable','transformer','tower','pole','portal')) AS has_distribution_candidates FROM geo_node n JOIN tag_wide w ON n.tag_id = w.tag_id", "geo_node", "tag_wide")
 def power_group_counts(t):
     """Group counts of the power domain and what they say of its quality."""
