@@ -98,6 +98,18 @@ def layer_sink(t):
     return back.groupBy("aoi_id", "layer_id").agg(F.count("*").alias("n"))
 
 
+@query("layer_list", f"SELECT e.aoi_id, e.layer_id, e.layer_id IS NOT NULL AS expected, coalesce(n, 0) AS n FROM (SELECT DISTINCT tag_id % 3 AS aoi_id, CAST(tag_id AS VARCHAR) AS layer_id FROM tag_kv UNION SELECT DISTINCT tag_id % 3, CAST(tag_id + 500 AS VARCHAR) FROM tag_kv WHERE tag_id % 10 = 0) e LEFT JOIN (SELECT CAST(tag_id AS VARCHAR) AS layer_id, count(*) AS n FROM (SELECT n.tag_id {_J}) GROUP BY 1) f ON f.layer_id = e.layer_id", "tag_kv", *NODES)
+def layer_list(t):
+    """Layers written and listed, those without a feature too."""
+    f = features(t).select((F.col("tag_id") % 3).alias("aoi_id"), F.lit("all").alias("domain"), F.col("tag_id").cast("string").alias("layer_id"), "id")
+    k = t("tag_kv").select("tag_id").distinct()
+    e = k.select((F.col("tag_id") % 3).alias("aoi_id"), F.lit("all").alias("domain"), F.col("tag_id").cast("string").alias("layer_id"))
+    e = e.unionByName(k.where("tag_id % 10 = 0").select((F.col("tag_id") % 3).alias("aoi_id"), F.lit("all").alias("domain"), (F.col("tag_id") + 500).cast("string").alias("layer_id")))
+    path = files.scratch_folder(t.spark, "layers")
+    files.write_layers(f, path, e)
+    return files.layer_list(t.spark, path).select("aoi_id", "layer_id", "expected", F.col("feature_count").alias("n"))
+
+
 # ---- polygons
 
 _AREA = [(min(_XS), min(_YS)), (max(_XS), min(_YS)), (max(_XS), max(_YS)), (min(_XS), max(_YS))]

@@ -134,9 +134,29 @@ def grid_cells(files: DataFrame, id_col: str = "raster_id", column: str = "text"
     return d.select(id_col, "row_ix", "col_ix", F.col("_x").try_cast("double").alias("value"))
 
 
-def write_layers(features: DataFrame, path: str) -> None:
-    """One folder for each area, domain and layer."""
-    features.write.mode("overwrite").partitionBy("aoi_id", "domain", "layer_id").parquet(path)
+LAYER = ["aoi_id", "domain", "layer_id"]
+
+
+def write_layers(features: DataFrame, path: str, expected: DataFrame | None = None) -> None:
+    """One folder for each area, domain and layer. With ``expected`` (aoi_id, domain, layer_id) a table of all layers, filled, empty or not expected, is written after them, with what lies on disk counted: so an empty layer
+    leaves a trace, and a folder without that table is an unfinished one."""
+    features.write.mode("overwrite").partitionBy(*LAYER).parquet(path)
+    if expected is None:
+        return
+    there = _read_layers(features.sparkSession, features.schema, path).groupBy(*LAYER).agg(F.count("*").alias("feature_count")).withColumnsRenamed({c: f"w_{c}" for c in LAYER})
+    asked = expected.select(*LAYER).distinct().withColumn("expected", F.lit(True))
+    both = asked.join(there, [F.col(c).eqNullSafe(F.col(f"w_{c}")) for c in LAYER], "full")
+    both = both.select(*[F.coalesce(c, f"w_{c}").alias(c) for c in LAYER], F.coalesce("expected", F.lit(False)).alias("expected"), F.coalesce("feature_count", F.lit(0)).cast("long").alias("feature_count"))
+    both.write.mode("overwrite").parquet(f"{path.rstrip('/')}/_layers")
+
+
+def _read_layers(spark: SparkSession, schema, path: str) -> DataFrame:
+    return spark.read.schema(schema).parquet(path)
+
+
+def layer_list(spark: SparkSession, path: str) -> DataFrame:
+    """``aoi_id, domain, layer_id, expected, feature_count`` of the layers under a path, the empty ones among them. Fails if writing them did not end."""
+    return spark.read.parquet(f"{path.rstrip('/')}/_layers")
 
 
 def scratch_folder(spark: SparkSession, name: str) -> str:

@@ -21,3 +21,22 @@ def test_validation_report(spark):
     assert (got["good"].types, got["wrong"].types, got["wrong"].unexpected, got["null"].unexpected) == ("MultiPoint:1,Point:1", "LineString:1,Point:1,Polygon:1", "Point,Polygon", "None")
     box = lambda r: (r.min_lon, r.min_lat, r.max_lon, r.max_lat)
     assert box(got["good"]) == (-1.0, 2.0, 1.0, 5.0) and box(got["blank"]) == box(got["nothing"]) == box(got["absent"]) == (None,) * 4
+
+
+def test_empty_layers_leave_a_trace(spark, tmp_path):
+    import pytest
+
+    from gridloom.sources import files
+
+    path, schema = str(tmp_path / "out"), "aoi_id string, domain string, layer_id string, id int"
+    d = spark.createDataFrame([("a", "power", "lines", 1), ("a", "power", "lines", 2), ("b", "water", "rivers", 3), (None, "water", "rivers", 4)], schema)
+    expected = spark.createDataFrame([("a", "power", "lines"), ("a", "power", "lines"), ("a", "power", "nodes"), ("b", "water", "wells")], "aoi_id string, domain string, layer_id string")
+    files.write_layers(d, path, expected)
+    listed = lambda: {tuple(r) for r in files.layer_list(spark, path).select(*files.LAYER, "expected", "feature_count").collect()}
+    assert listed() == {("a", "power", "lines", True, 2), ("a", "power", "nodes", True, 0), ("b", "water", "wells", True, 0), ("b", "water", "rivers", False, 1), (None, "water", "rivers", False, 1)}
+    assert spark.read.parquet(path).count() == 4  # the list is no layer
+    files.write_layers(d.where("false"), path, expected)  # all layers are empty now
+    assert listed() == {("a", "power", "lines", True, 0), ("a", "power", "nodes", True, 0), ("b", "water", "wells", True, 0)}
+    files.write_layers(d, path)
+    with pytest.raises(Exception, match="PATH_NOT_FOUND|does not exist"):
+        files.layer_list(spark, path)
