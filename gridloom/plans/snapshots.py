@@ -264,6 +264,21 @@ def partial_snapshots(t):
     return o.select("snapshot_id", "domain", F.row_number().over(w).cast("long").alias("version"), F.array_join(F.collect_list("domain").over(w), ",").alias("domains"))
 
 
+_ASKED = ", ".join(f"('{d}', {i})" for i, d in enumerate(c.DOMAINS))
+
+
+@query("publication_state", f"""WITH o AS (SELECT snapshot_id, domain, source_observed_at AS seen, CASE WHEN status IN ('ready', 'failed') THEN status END AS status FROM domain_outcome),
+g AS (SELECT snapshot_id, count(*) FILTER (WHERE status = 'ready') AS version, coalesce(string_agg(domain, ',' ORDER BY seen, domain) FILTER (WHERE status = 'ready'), '') AS ready, coalesce(string_agg(domain, ',' ORDER BY seen, domain) FILTER (WHERE status = 'failed'), '') AS failed FROM o GROUP BY 1),
+p AS (SELECT i.snapshot_id, string_agg(d.name, ',' ORDER BY d.n) AS pending FROM (SELECT DISTINCT snapshot_id FROM o) i, (VALUES {_ASKED}) AS d(name, n) WHERE NOT EXISTS (SELECT 1 FROM o WHERE o.snapshot_id = i.snapshot_id AND o.domain = d.name AND o.status IS NOT NULL) GROUP BY 1)
+SELECT g.snapshot_id, version, ready, failed, coalesce(pending, '') AS pending, CASE WHEN version = {len(c.DOMAINS)} THEN 'ready' WHEN version > 0 THEN 'partial' WHEN pending IS NULL THEN 'failed' ELSE 'pending' END AS state FROM g LEFT JOIN p ON p.snapshot_id = g.snapshot_id""", "domain_outcome")
+def publication_state(t):
+    """What of each snapshot is published, failed and pending."""
+    from gridloom.operators.publication import publication_state as state
+
+    d = state(t("domain_outcome").withColumnRenamed("source_observed_at", "at"), F.lit(list(c.DOMAINS)))
+    return d.withColumns({k: F.array_join(k, ",") for k in ("ready", "failed", "pending")})
+
+
 @query("work_remaining", "SELECT snapshot_id, domain FROM domain_outcome WHERE status <> 'ready' OR source_observed_at < DATE '1995-01-01'", "domain_outcome")
 def work_remaining(t):
     o = t("domain_outcome")
