@@ -26,7 +26,7 @@ MIN_DOCS = 10
 MAX_INT = 2_147_483_647
 TOP = 10
 #: Kept terms of one vocabulary, at most about.
-VOCABULARY = 1_000_000
+VOCABULARY = 2_000_000
 #: Terms of a slice and sources of a block: what a tile holds.
 SLICE, BLOCK = 4096, 64
 
