@@ -33,6 +33,28 @@ def fold_reviews(updates: DataFrame) -> DataFrame:
     return n.select("issue_id", F.coalesce("g.status", "f.status", F.lit("open")).alias("status"), note.alias("note"), F.col("f.ts").alias("created_at"), F.coalesce("g.ts", "f.ts").alias("updated_at"), "n_accepted", "n_conflict", "n_invalid")
 
 
+#: Consecutive event numbers that are one part of a key's updates.
+STRETCH = 65_536
+
+
+def monotone_times(updates: DataFrame, key: str, stretch: int = STRETCH) -> DataFrame:
+    """``key, event_id, updated_ms``: the time each update of a key records, in whole milliseconds: its own (ts), but at least one more than that of the update before it in order of event_id, so clocks that go back or stand still never
+    give two updates one time.
+
+    Less its place in the order, a time is a running maximum, so no fold is needed: places and maxima are found inside stretches of event numbers and carried over them by one row for each stretch; a key with a third of all updates is many
+    tasks. An update without a time records the least one allowed, 1 where it is the first. Event numbers are unique; updates without a key are one key."""
+    ms = F.coalesce(F.floor(F.unix_micros("ts") / 1000), F.lit(0)).cast("long")
+    d = updates.select(F.col(key).alias("key"), "event_id", F.greatest(ms, F.lit(1)).alias("ms")).withColumn("part", F.floor(F.col("event_id") / stretch))
+    inner, parts = W.partitionBy("key", "part").orderBy("event_id"), W.partitionBy("key").orderBy("part")
+    d = d.withColumn("j", F.row_number().over(inner)).withColumn("lead", F.max(F.col("ms") - F.col("j")).over(inner.rowsBetween(W.unboundedPreceding, W.currentRow)))
+    p = d.groupBy("key", "part").agg(F.count("*").alias("n"), F.max("lead").alias("top"))
+    earlier = parts.rowsBetween(W.unboundedPreceding, -1)
+    p = p.withColumn("offset", F.coalesce(F.sum("n").over(earlier), F.lit(0))).withColumn("carried", F.max(F.col("top") - F.col("offset")).over(earlier))
+    p = p.select(F.col("key").alias("k"), F.col("part").alias("q"), "offset", "carried")
+    d = d.join(p, F.col("key").eqNullSafe(F.col("k")) & (F.col("part") == F.col("q")))
+    return d.select(F.col("key").alias(key), "event_id", (F.col("offset") + F.col("j") + F.greatest(F.col("lead") - F.col("offset"), "carried")).alias("updated_ms"))
+
+
 #: Ranges of durations in which ranks are looked for.
 RANGES = 1024
 

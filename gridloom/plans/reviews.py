@@ -23,6 +23,19 @@ def reviewed_issues(t):
     return i.join(r.fold_reviews(t("review_update")).select("issue_id", "status", "note"), "issue_id", "left").select("issue_id", F.coalesce("status", F.lit("open")).alias("status"), "note")
 
 
+# clocks that are up to two days off, in hours, so that many updates would record an earlier time than the one before
+_CLOCK = "(SELECT user_id AS issue_id, event_id, ts + INTERVAL 1 HOUR * (event_id % 48) AS ts FROM events)"
+
+
+@query("monotone_times", f"""WITH RECURSIVE d AS (SELECT issue_id, event_id, epoch_us(ts) // 1000 AS ms, row_number() OVER (PARTITION BY issue_id ORDER BY event_id) AS k FROM {_CLOCK}),
+f AS (SELECT issue_id, event_id, ms AS updated_ms, k FROM d WHERE k = 1 UNION ALL SELECT d.issue_id, d.event_id, greatest(d.ms, f.updated_ms + 1), d.k FROM f JOIN d ON d.issue_id = f.issue_id AND d.k = f.k + 1)
+SELECT issue_id, event_id, updated_ms FROM f""")
+def monotone_times(t):
+    """The times that updates of an issue record, whatever their clocks say."""
+    u = t("events").select(F.col("user_id").alias("issue_id"), "event_id", (F.col("ts").cast("timestamp") + F.expr("INTERVAL 1 HOUR") * (F.col("event_id") % 48)).alias("ts"))
+    return r.monotone_times(u, "issue_id")
+
+
 @query("measurement_summary", "SELECT endpoint, count(*) AS n, round(min(duration_ms), 3) AS min_ms, round(max(duration_ms), 3) AS max_ms, round(avg(duration_ms), 3) AS mean_ms, quantile_disc(duration_ms, 0.5) AS p50_ms, quantile_disc(duration_ms, 0.95) AS p95_ms, quantile_disc(duration_ms, 0.99) AS p99_ms, CAST(sum(response_bytes) AS BIGINT) AS total_bytes, count(*) FILTER (WHERE status = 304) AS n_304 FROM measure_obs GROUP BY endpoint", "measure_obs")
 def measurement_summary(t):
     return r.measurement_summary(t("measure_obs"))

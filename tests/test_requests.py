@@ -114,3 +114,19 @@ def test_reuse_on_a_stream(spark, tmp_path, store):
         assert sorted((r.id, r.served, r.run) for r in spark.read.parquet(str(tmp_path / "out2")).collect()) == [(1, False, 1), (2, False, 2), (3, True, 2), (4, False, 4)]
     finally:
         spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+
+
+@pytest.mark.parametrize("stretch", [3, 65_536])
+def test_monotone_times(spark, stretch):
+    """Against a fold: clocks that go back, stand still, are absent; a key with most updates; no key."""
+    from gridloom.operators.reviews import monotone_times
+
+    rnd = random.Random(4)
+    rows = [(rnd.choice([7, 7, 7, 8, None]), n, rnd.choice([None, 5_000, 5_000_999, rnd.randrange(10_000_000), 1_000 * n])) for n in range(200)]
+    last, want = {}, []
+    for key, n, us in sorted(rows, key=lambda r: r[1]):
+        last[key] = max(max((us or 0) // 1000, 1), last.get(key, 0) + 1)
+        want.append((key or -1, n, last[key]))
+    d = spark.createDataFrame(rows, "issue_id long, event_id long, us long").withColumn("ts", F.timestamp_micros("us"))
+    assert sorted((r.issue_id or -1, r.event_id, r.updated_ms) for r in monotone_times(d, "issue_id", stretch).collect()) == sorted(want)
+    assert monotone_times(d.where("false"), "issue_id").count() == 0
