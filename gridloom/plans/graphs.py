@@ -69,3 +69,25 @@ def way_fallback(t):
     w = lines(t).withColumn("tag_id", (F.col("way_id") % 90).cast("int")).join(tag_maps(t("tag_kv")), "tag_id")
     w = w.withColumn("line", F.when(F.col("way_id") % 2 == 0, F.concat("line", F.slice("line", 1, 1))).otherwise(F.col("line"))).select("way_id", "line", ops.geometry_kind(F.col("line"), F.col("tags")).alias("wanted"))
     return validity.with_crossing(w, ["way_id"]).select("way_id", "wanted", validity.kind_or_line(F.col("wanted")).alias("kind"))
+
+
+# roles as given, blank or absent; some objects are not delivered, some ways without their line
+_ROLE = "CASE ref % 3 WHEN 0 THEN '' WHEN 1 THEN 'line' END"
+_ENDS = "(SELECT way_id, first(id ORDER BY seq) AS first_node, last(id ORDER BY seq) AS last_node, count(*) AS n_nodes FROM geo_node GROUP BY way_id)"
+
+
+@query("circuit_evidence", f"""WITH m AS (SELECT relation_id, type, ref, {_ROLE} AS role FROM relation_member), w AS {_ENDS},
+d AS (SELECT 'node' AS type, id AS ref, 'Point' AS gtype FROM geo_node WHERE id % 3 <> 0 UNION ALL SELECT 'way', way_id, CASE WHEN n_nodes >= 2 AND way_id % 4 <> 0 THEN 'LineString' END FROM w WHERE way_id % 5 <> 0 UNION ALL SELECT 'relation', c_custkey, NULL FROM customer WHERE c_custkey % 2 = 0)
+SELECT relation_id, concat(m.type, '/', CAST(m.ref AS VARCHAR)) AS source_id, CASE WHEN role = 'line' THEN 'line' ELSE 'member' END AS role, CASE WHEN m.type = 'way' AND n_nodes >= 2 THEN concat('node/', CAST(first_node AS VARCHAR)) END AS "start",
+ CASE WHEN m.type = 'way' AND n_nodes >= 2 THEN concat('node/', CAST(last_node AS VARCHAR)) END AS "end", coalesce(gtype, '') = 'LineString' AS has_line, m.type = 'way' AND coalesce(gtype, '') <> 'LineString' AS lacks_line
+FROM m JOIN d ON d.type = m.type AND d.ref = m.ref LEFT JOIN w ON w.way_id = m.ref AND m.type = 'way'""", "relation_member", "geo_node")
+def circuit_evidence(t):
+    """Members of circuits that are delivered: nodes, ways with their end nodes, and relations."""
+    from gridloom.operators.circuits import circuit_evidence as evidence
+
+    n = t("geo_node")
+    ways = n.groupBy("way_id").agg(F.min(F.struct("seq", "id"))["id"].alias("first_node"), F.max(F.struct("seq", "id"))["id"].alias("last_node"), F.count("*").alias("n_nodes"))
+    there = n.where("id % 3 <> 0").select(F.lit("node").alias("type"), F.col("id").alias("ref"), F.lit("Point").alias("gtype"))
+    there = there.unionByName(ways.where("way_id % 5 <> 0").select(F.lit("way").alias("type"), F.col("way_id").alias("ref"), F.when((F.col("n_nodes") >= 2) & (F.col("way_id") % 4 != 0), "LineString").alias("gtype")))
+    there = there.unionByName(t("customer").where("c_custkey % 2 = 0").select(F.lit("relation").alias("type"), F.col("c_custkey").alias("ref"), F.lit(None).cast("string").alias("gtype")))
+    return evidence(t("relation_member").withColumn("role", F.expr(_ROLE)), there, ways)

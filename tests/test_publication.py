@@ -44,3 +44,16 @@ def test_stream_with_restarts(spark, tmp_path):
         assert sorted(map(str, stream.published(spark, log, SCHEMA).collect())) == sorted(map(str, spark.createDataFrame(seen, SCHEMA).collect()))
         assert told(stream.published(spark, log, SCHEMA)) == told(spark.createDataFrame(seen, SCHEMA))
     assert told(stream.published(spark, log, SCHEMA)) == WANT
+
+
+def test_circuit_evidence(spark):
+    """Members of all types, blank roles, repeated and missing members, a way with one node, a way without its line."""
+    from gridloom.operators.circuits import circuit_evidence
+
+    members = spark.createDataFrame([(1, "way", 10, ""), (1, "way", 11, "line"), (1, "node", 10, None), (1, "relation", 2, "part"), (1, "way", 10, ""), (1, "way", 99, "line"), (2, "way", 98, None), (2, "area", 10, None), (2, "way", None, None), (3, "way", 12, None)],
+                                    "relation_id long, type string, ref long, role string")
+    there = spark.createDataFrame([("way", 10, "LineString"), ("way", 11, None), ("node", 10, "Point"), ("relation", 2, None), ("way", 12, None), ("area", 10, None)], "type string, ref long, gtype string")
+    ways = spark.createDataFrame([(10, 1, 5, 3), (11, 6, 7, 2), (12, 8, 8, 1)], "way_id long, first_node long, last_node long, n_nodes long")
+    want = [(1, "way/10", "member", "node/1", "node/5", True, False)] * 2 + [(1, "way/11", "line", "node/6", "node/7", False, True), (1, "node/10", "member", None, None, False, False), (1, "relation/2", "part", None, None, False, False),
+                                                                             (3, "way/12", "member", None, None, False, True)]
+    assert sorted(str(tuple(r)) for r in circuit_evidence(members, there, ways).collect()) == sorted(map(str, want))
