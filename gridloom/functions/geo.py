@@ -151,8 +151,17 @@ def in_ring(x: Column, y: Column, ring: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), n), start, step, lambda a: a["edge"] | a["odd"])
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is worked out once. In a function of array elements a Column is worked out again wherever it is named, for every element."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def ring_area(ring: Column) -> Column:
     """Area inside an array of points (struct x, y)."""
+    return let(ring, _ring_area)
+
+
+def _ring_area(ring: Column) -> Column:
     n = F.size(ring)
     twice = F.aggregate(F.sequence(F.lit(1), n), F.lit(0.0), lambda s, i: s + F.element_at(ring, i)["x"] * F.element_at(ring, i % n + 1)["y"] - F.element_at(ring, i % n + 1)["x"] * F.element_at(ring, i)["y"])
     return F.abs(twice) / 2
@@ -169,27 +178,25 @@ def circle_ring(cx: Column, cy: Column, r: Column, segments: int = 32) -> Column
     return F.transform(F.concat(F.sequence(F.lit(0), F.lit(segments - 1)), F.array(F.lit(0))), point)
 
 
-def great_circle_ring(lon: Column, lat: Column, r: Column, segments: int = 64) -> Column:
-    """A closed ring of points at distance ``r`` over the sphere."""
-    d, phi, lam = r / EARTH_RADIUS, F.radians(lat), F.radians(lon)
-
-    def point(i):
-        b = i.cast("double") * (2 * math.pi / segments)
-        p = F.asin(F.sin(phi) * F.cos(d) + F.cos(phi) * F.sin(d) * F.cos(b))
-        q = lam + F.atan2(F.sin(b) * F.sin(d) * F.cos(phi), F.cos(d) - F.sin(phi) * F.sin(p))
-        return F.struct(F.degrees(q).alias("x"), F.degrees(p).alias("y"))
-
-    return F.transform(F.concat(F.sequence(F.lit(0), F.lit(segments - 1)), F.array(F.lit(0))), point)
+def great_circle_points(areas: DataFrame, segments: int = 64) -> DataFrame:
+    """``areas`` (lon, lat and r in metres) once for each point of the closed ring at distance ``r`` over the sphere: ``pos, ring_lon, ring_lat``. Rows rather than arrays, so that it runs in generated code."""
+    d = areas.withColumn("pos", F.explode(F.sequence(F.lit(0), F.lit(segments))))
+    b, phi, lam, far = (F.col("pos") % segments).cast("double") * (2 * math.pi / segments), F.radians("lat"), F.radians("lon"), F.col("r") / EARTH_RADIUS
+    p = F.sin(phi) * F.cos(far) + F.cos(phi) * F.sin(far) * F.cos(b)
+    d = d.withColumn("_p", F.explode(F.array(F.asin(p))))  # worked out once
+    q = lam + F.atan2(F.sin(b) * F.sin(far) * F.cos(phi), F.cos(far) - F.sin(phi) * F.sin("_p"))
+    return d.withColumns({"ring_lon": F.degrees(q), "ring_lat": F.degrees("_p")}).drop("_p")
 
 
 def canonical_ring(ring: Column) -> Column:
     """The ring as text: coordinates rounded to 7 decimals, starting at its least point, closed."""
-    r = F.transform(ring, lambda p: F.struct(F.round(p["x"], 7).alias("x"), F.round(p["y"], 7).alias("y")))
-    open_ = F.when(F.element_at(r, 1) == F.element_at(r, -1), F.slice(r, 1, F.size(r) - 1)).otherwise(r)
-    at = F.array_position(open_, F.array_min(open_)).cast("int")
-    turned = F.concat(F.slice(open_, at, F.size(open_) - at + 1), F.slice(open_, 1, at - 1))
-    closed = F.concat(turned, F.slice(turned, 1, 1))
-    return F.array_join(F.transform(closed, lambda p: F.concat_ws(" ", F.format_string("%.7f", p["x"]), F.format_string("%.7f", p["y"]))), ",")
+    opened = lambda r: F.when(F.element_at(r, 1) == F.element_at(r, -1), F.slice(r, 1, F.size(r) - 1)).otherwise(r)
+    start = lambda o: F.struct(o.alias("o"), F.array_position(o, F.array_min(o)).cast("int").alias("at"))
+    turned = lambda s: F.concat(F.slice(s["o"], s["at"], F.size(s["o"]) - s["at"] + 1), F.slice(s["o"], 1, s["at"] - 1))
+    text = lambda p: F.concat_ws(" ", F.format_string("%.7f", p["x"]), F.format_string("%.7f", p["y"]))
+    rounded = F.transform(ring, lambda p: F.struct(F.round(p["x"], 7).alias("x"), F.round(p["y"], 7).alias("y")))
+    closed = lambda t: F.concat(t, F.slice(t, 1, 1))
+    return F.array_join(F.transform(let(let(let(let(rounded, opened), start), turned), closed), text), ",")
 
 
 # ---- tiles
