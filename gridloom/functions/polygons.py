@@ -6,6 +6,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import functions as F
 
 RING = "array<struct<x:double,y:double>>"
@@ -19,35 +21,76 @@ def _rows(points: np.ndarray) -> list[dict]:
     return [{"x": float(x), "y": float(y)} for x, y in points]
 
 
-def clip_convex(ring: np.ndarray, area: np.ndarray) -> np.ndarray:
-    """The part of a polygon inside a convex, counter-clockwise ``area``: one edge of the area after another cuts what is left."""
-    out = ring[:-1] if len(ring) > 1 and (ring[0] == ring[-1]).all() else ring
+def _spread(rings: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """A batch of rings as the points of all of them, one after another, and the number of points of each (null: 0)."""
+    flat = rings.flatten()
+    size = pc.fill_null(pc.list_value_length(rings), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    return np.column_stack([flat.field(k).to_numpy(zero_copy_only=False).astype(float) for k in ("x", "y")]), size
+
+
+def _starts(size: np.ndarray) -> np.ndarray:
+    return np.concatenate([[0], np.cumsum(size)[:-1]]).astype(np.int64) if len(size) else np.zeros(0, np.int64)
+
+
+def _following(size: np.ndarray) -> np.ndarray:
+    """For each point the place of the next one of its ring; after the last comes the first."""
+    nxt = np.arange(1, size.sum() + 1)
+    full = size > 0
+    nxt[(np.cumsum(size) - 1)[full]] = _starts(size)[full]
+    return nxt
+
+
+def _sums(flags: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """How many points of each ring have the flag."""
+    total = np.concatenate([[0], np.cumsum(flags)])
+    return total[_starts(size) + size] - total[_starts(size)]
+
+
+def _open(points: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rings without a last point that repeats the first."""
+    drop = np.zeros(len(points), bool)
+    many = size > 1
+    first, last = _starts(size)[many], (np.cumsum(size) - 1)[many]
+    drop[last] = (points[first] == points[last]).all(axis=1)
+    return points[~drop], size - _sums(drop, size)
+
+
+def clip_rings(points: np.ndarray, size: np.ndarray, area: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The parts of many polygons inside a convex, counter-clockwise ``area``, closed: one edge of the area after another cuts what is left of all of them. Fewer than three points are nothing."""
+    out, size = _open(points, size)
     for a, b in zip(area, np.roll(area, -1, axis=0)):
-        if not len(out):
-            break
         side = (b[0] - a[0]) * (out[:, 1] - a[1]) - (b[1] - a[1]) * (out[:, 0] - a[0])
-        nxt, to = np.roll(side, -1), np.roll(out, -1, axis=0)
-        parts = []
-        for p, q, s, t in zip(out, to, side, nxt):
-            if s >= 0:
-                parts.append(p)
-            if (s < 0) != (t < 0):
-                parts.append(p + (q - p) * (s / (s - t)))
-        out = np.array(parts).reshape(-1, 2)
-    return np.concatenate([out, out[:1]]) if len(out) >= 3 else np.zeros((0, 2))
+        nxt = _following(size)
+        t, keep = side[nxt], side >= 0
+        cross = (side < 0) != (t < 0)
+        at = np.cumsum(keep.astype(np.int64) + cross) - cross  # behind a point that stays comes the crossing of its side
+        done = np.empty((int(keep.sum() + cross.sum()), 2))
+        done[at[keep] - 1] = out[keep]
+        p, q, s = out[cross], out[nxt[cross]], side[cross]
+        done[at[cross]] = p + (q - p) * (s / (s - t[cross]))[:, None]
+        out, size = done, _sums(keep, size) + _sums(cross, size)
+    good = size >= 3
+    out, size = out[np.repeat(good, size)], np.where(good, size, 0)
+    ends = (np.cumsum(size))[good]
+    return np.insert(out, ends, out[_starts(size)[good]], axis=0), size + good
+
+
+def clip_convex(ring: np.ndarray, area: np.ndarray) -> np.ndarray:
+    """:func:`clip_rings` of one polygon."""
+    return clip_rings(ring, np.array([len(ring)]), area)[0]
 
 
 def clip_to_convex(area: list[tuple[float, float]]):
     """A function of a ring column; null where nothing is left."""
     fixed = np.array(area, float)
 
-    @F.pandas_udf(RING)
-    def clip(rings: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for s in rings:
-            done = [clip_convex(_xy(r), fixed) for r in s]
-            yield pd.Series([_rows(d) if len(d) else None for d in done])
+    @F.arrow_udf(RING)
+    def clip(rings: pa.Array) -> pa.Array:
+        points, size = clip_rings(*_spread(rings), fixed)
+        flat = pa.StructArray.from_arrays([pa.array(points[:, 0]), pa.array(points[:, 1])], ["x", "y"])
+        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32()), flat, mask=pa.array(size == 0))
 
-    return clip
+    return clip.asNondeterministic()  # so that a filter on what is left does not cut again
 
 
 def kept_by_simplifying(points: np.ndarray, tolerance: float) -> np.ndarray:
@@ -88,30 +131,56 @@ def simplify_for_zoom(zoom: int):
     return simplify
 
 
+def surface_points(points: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """For each closed ring the middle of the widest stretch inside at half its height (moved off vertices); not a number for rings of fewer than four points or without a height."""
+    n = len(size)
+    found = np.full((n, 2), np.nan)
+    ring = np.repeat(np.arange(n), size)
+    x, y = points[:, 0], points[:, 1]
+    low, high = np.full(n, np.inf), np.full(n, -np.inf)
+    np.minimum.at(low, ring, y)
+    np.maximum.at(high, ring, y)
+    with np.errstate(invalid="ignore"):  # rings without points
+        mid = (low + high) / 2
+    # the heights of vertices on both sides of the middle
+    above, below = np.full(n, np.inf), low.copy()
+    up = (y >= mid[ring]) & (y > low[ring])
+    np.minimum.at(above, ring[up], y[up])
+    np.maximum.at(below, ring[~up], y[~up])
+    good = (size >= 4) & (low < high)
+    level = (below + above) / 2
+    side = np.arange(len(points))[(np.arange(len(points)) - _starts(size)[ring] < size[ring] - 1) & good[ring]]
+    r = ring[side]
+    cross = (y[side] > level[r]) != (y[side + 1] > level[r])
+    side, r = side[cross], r[cross]
+    at = x[side] + (level[r] - y[side]) / (y[side + 1] - y[side]) * (x[side + 1] - x[side])
+    order = np.lexsort((at, r))
+    at, r = at[order], r[order]
+    place = np.arange(len(r)) - np.searchsorted(r, r)
+    left = np.flatnonzero(place % 2 == 0)
+    left = left[left + 1 < len(r)]
+    left = left[r[left] == r[left + 1]]
+    width, owner = at[left + 1] - at[left], r[left]
+    widest = np.lexsort((left, -width, owner))  # the first of the widest
+    owners, first = np.unique(owner[widest], return_index=True)
+    k = left[widest[first]]
+    found[owners] = np.column_stack([(at[k] + at[k + 1]) / 2, level[owners]])
+    return found
+
+
 def surface_point(ring: np.ndarray) -> tuple[float, float] | None:
-    """The middle of the widest stretch inside a ring at half its height (moved off vertices)."""
-    if len(ring) < 4:
-        return None
-    ys = np.unique(ring[:, 1])
-    if len(ys) < 2:
-        return None
-    mid = (ys[0] + ys[-1]) / 2
-    k = np.clip(np.searchsorted(ys, mid), 1, len(ys) - 1)
-    y = (ys[k - 1] + ys[k]) / 2
-    a, b = ring[:-1], ring[1:]
-    cross = (a[:, 1] > y) != (b[:, 1] > y)
-    x = np.sort(a[cross, 0] + (y - a[cross, 1]) / (b[cross, 1] - a[cross, 1]) * (b[cross, 0] - a[cross, 0]))
-    width = x[1::2] - x[::2]
-    w = int(width.argmax())
-    return float((x[2 * w] + x[2 * w + 1]) / 2), float(y)
+    """:func:`surface_points` of one ring."""
+    x, y = surface_points(ring, np.array([len(ring)]))[0]
+    return None if np.isnan(x) else (float(x), float(y))
 
 
 def polygon_representative():
     """A function of a ring column: a point on its surface."""
 
-    @F.pandas_udf("struct<x:double,y:double>")
-    def point(rings: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for s in rings:
-            yield pd.DataFrame([surface_point(_xy(r)) or (None, None) for r in s], columns=["x", "y"], dtype=float)
+    @F.arrow_udf("struct<x:double,y:double>")
+    def point(rings: pa.Array) -> pa.Array:
+        found = surface_points(*_spread(rings))
+        none = np.isnan(found[:, 0])
+        return pa.StructArray.from_arrays([pa.array(found[:, k], mask=none) for k in (0, 1)], ["x", "y"])
 
-    return point
+    return point.asNondeterministic()
