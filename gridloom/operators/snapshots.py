@@ -64,21 +64,38 @@ STATE_RANK = ("ready", "running", "queued", "failed", "partial")
 
 
 def availability(requests: DataFrame, snapshots: DataFrame, cell: float = 0.25) -> DataFrame:
-    """``aoi_id, state`` of each request (aoi_id and box): that of a snapshot of the same area, else partial coverage if the box of any snapshot meets it, else not_prepared. Boxes meet by the cells that they
-    cover, each of which is counted once."""
+    """``aoi_id, state`` of each request (aoi_id and box): that of a snapshot of the same area, else partial coverage if the box of any snapshot meets it, else not_prepared."""
     rank = F.coalesce(*[F.when(F.col("state") == s, F.lit(i)) for i, s in enumerate(STATE_RANK)])
     exact = snapshots.groupBy("aoi_id").agg(F.min(rank).alias("rank"))
-    span = lambda lo, hi: F.explode(F.sequence(F.floor(F.col(lo) / cell).cast("int"), F.floor(F.col(hi) / cell).cast("int")))
-    spread = lambda d: d.withColumn("ci", span("min_lon", "max_lon")).withColumn("cj", span("min_lat", "max_lat"))
-    box = ("min_lon", "min_lat", "max_lon", "max_lat")
-    s = spread(snapshots.select(*box)).select("ci", "cj", *[F.col(c).alias("s_" + c) for c in box])
-    meets = (F.col("min_lon") <= F.col("s_max_lon")) & (F.col("max_lon") >= F.col("s_min_lon")) & (F.col("min_lat") <= F.col("s_max_lat")) & (F.col("max_lat") >= F.col("s_min_lat"))
-    near = spread(requests).join(s, ["ci", "cj"]).where(meets).select("aoi_id").distinct().withColumn("near", F.lit(True))
-    d = requests.select("aoi_id").join(exact, "aoi_id", "left").join(near, "aoi_id", "left")
+    # other snapshots matter only to areas without one of their own
+    asked = requests.join(exact, "aoi_id", "left")
     known = F.when(F.col("rank") == len(STATE_RANK) - 1, "partial_coverage").otherwise(F.element_at(F.lit(list(STATE_RANK)), F.col("rank") + 1))
+    met = meeting_boxes(asked.where("rank is null").select(*BOX), snapshots.select(*BOX), cell / 4).withColumn("near", F.lit(True))
+    d = asked.join(met, list(BOX), "left")
     return d.select("aoi_id", F.when(F.col("rank").isNotNull(), known).when(F.col("near"), "partial_coverage").otherwise("not_prepared").alias("state"))
 
 
+BOX = ("min_lon", "min_lat", "max_lon", "max_lat")
+
+
+def meeting_boxes(boxes: DataFrame, others: DataFrame, cell: float) -> DataFrame:
+    """The different ones of ``boxes`` (:data:`BOX`) that meet any of ``others``, borders included.
+
+    Boxes are laid out by cells. The cells strictly between those of a box's sides are inner ones: whatever reaches into one meets the box. So a box that reaches an inner cell of another, or has any other in an inner cell of its own, is
+    settled by different cells alone; only what is left meets the others box by box, and where many others lie there are inner cells."""
+    at = lambda c: F.floor(F.col(c) / cell).cast("int")
+    span = lambda lo, hi: F.explode(F.sequence(at(lo), at(hi)))
+    spread = lambda d: d.select(*BOX).where("min_lon <= max_lon and min_lat <= max_lat").distinct().withColumn("ci", span("min_lon", "max_lon")).withColumn("cj", span("min_lat", "max_lat"))
+    inner = (F.col("ci") > at("min_lon")) & (F.col("ci") < at("max_lon")) & (F.col("cj") > at("min_lat")) & (F.col("cj") < at("max_lat"))
+    mine, theirs = spread(boxes).withColumn("inner", inner), spread(others).withColumn("inner", inner)
+    cells = theirs.groupBy("ci", "cj").agg(F.max("inner").alias("filled"))
+    sure = mine.join(cells, ["ci", "cj"]).where("inner or filled").select(*BOX).distinct()
+    there = theirs.select("ci", "cj", *[F.col(c).alias("o_" + c) for c in BOX])
+    meets = (F.col("min_lon") <= F.col("o_max_lon")) & (F.col("max_lon") >= F.col("o_min_lon")) & (F.col("min_lat") <= F.col("o_max_lat")) & (F.col("max_lat") >= F.col("o_min_lat"))
+    rest = mine.join(sure, list(BOX), "left_anti").join(there, ["ci", "cj"]).where(meets).select(*BOX).distinct()
+    return sure.unionByName(rest)
+
+
 def delivered_members(members: DataFrame, ways: DataFrame) -> DataFrame:
     """Members of relations that are delivered, with their role and the ends of their way as evidence."""
     role = F.coalesce(F.nullif(F.col("role"), F.lit("")), F.lit("member"))

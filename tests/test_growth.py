@@ -1,6 +1,10 @@
 """What keeps the queries' work in proportion to their input: results against plain code, and plans that do a step once."""
 
+import numpy as np
+
 from gridloom import registry
+from gridloom.functions import polygons
+from gridloom.operators import snapshots
 
 SF = "/root/testdata/sf0.001"
 
@@ -13,3 +17,34 @@ def test_rings_are_worked_out_once(spark):
     assert optimized(spark, "canonical_ring").count("array_min(") == 1
     assert optimized(spark, "geodesic_ring").count("asin(") == 1 and "lambda" not in optimized(spark, "geodesic_ring")
     assert optimized(spark, "aoi_area_limit").count("atanh(") <= 4
+
+
+def test_rings_are_cut_by_the_batch():
+    area = np.array([(0, 0), (4, 0), (4, 4), (0, 4)], float)
+    square = np.array([(-1, -1), (1, -1), (1, 1), (-1, 1), (-1, -1)], float)
+    points, size = polygons.clip_rings(np.concatenate([square, square + 10, square + 2]), np.array([5, 5, 0, 5]), area)
+    assert size.tolist() == [5, 0, 0, 5] and sorted(map(tuple, points[:4])) == [(0, 0), (0, 1), (1, 0), (1, 1)] and (points[0] == points[4]).all() and (points[5:] == square + 2).all()
+    got = polygons.surface_points(np.concatenate([square, square[:3], square + 10]), np.array([5, 3, 0, 5]))
+    assert np.isnan(got[1:3]).all() and got[0].tolist() == [0, 0] and got[3].tolist() == [10, 10]
+
+
+def test_rings_are_cut_once(spark):
+    for name in ("clip_polygons", "clip_unless_boundary"):
+        plan = optimized(spark, name)
+        assert plan.count("clip(") == 1
+
+
+def test_boxes_meet_as_all_pairs_do(spark):
+    rng = np.random.default_rng(7)
+
+    def boxes(n, size):
+        low = np.round(rng.uniform(0, 4, (n, 2)), 2)
+        high = low + np.round(rng.uniform(0, size, (n, 2)), 2)
+        return [tuple(map(float, (*a, *b))) for a, b in zip(low, high)]
+
+    for size in (0.02, 0.8):
+        mine, theirs = boxes(150, size) + boxes(1, 0) * 3, boxes(60, size)
+        want = {b for b in mine if any(b[0] <= o[2] and b[2] >= o[0] and b[1] <= o[3] and b[3] >= o[1] for o in theirs)}
+        frame = lambda rows: spark.createDataFrame(rows, ", ".join(f"{c} double" for c in snapshots.BOX))
+        got = [tuple(r) for r in snapshots.meeting_boxes(frame(mine), frame(theirs), 0.1).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
