@@ -48,3 +48,8 @@ def test_boxes_meet_as_all_pairs_do(spark):
         frame = lambda rows: spark.createDataFrame(rows, ", ".join(f"{c} double" for c in snapshots.BOX))
         got = [tuple(r) for r in snapshots.meeting_boxes(frame(mine), frame(theirs), 0.1).collect()]
         assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_a_requests_text_is_made_before_its_layers(spark):
+    plan = optimized(spark, "reference_coverage").split("join", 1)
+    assert "format_string" not in plan[0] and "format_string" in plan[1]
