@@ -127,13 +127,10 @@ def circle_parts(sides: Column, r: Column) -> Column:
 
 
 def clip_to_box(xmin, ymin, xmax, ymax, x1: Column, y1: Column, x2: Column, y2: Column) -> tuple[Column, Column]:
-    """Like :func:`clip_to_circle` for a box: each side narrows the parameter range."""
-    t_in, t_out = F.lit(0.0), F.lit(1.0)
-    for p, q in ((x1 - x2, x1 - xmin), (x2 - x1, xmax - x1), (y1 - y2, y1 - ymin), (y2 - y1, ymax - y1)):
-        t = q / F.when(p != 0, p)
-        t_in = F.when(p < 0, F.greatest(t_in, t)).when((p == 0) & (q < 0), 2.0).otherwise(t_in)
-        t_out = F.when(p > 0, F.least(t_out, t)).otherwise(t_out)
-    return t_in, t_out
+    """Like :func:`clip_to_circle` for a box: each side narrows the parameter range. No side's part holds that of another, so the expression grows with their number only."""
+    sides = [(p, q, q / F.when(p != 0, p)) for p, q in ((x1 - x2, x1 - xmin), (x2 - x1, xmax - x1), (y1 - y2, y1 - ymin), (y2 - y1, ymax - y1))]
+    t_in = F.greatest(F.lit(0.0), *[F.when(p < 0, t).when((p == 0) & (q < 0), 2.0) for p, q, t in sides])
+    return t_in, F.least(F.lit(1.0), *[F.when(p > 0, t) for p, _, t in sides])
 
 
 def in_ring(x: Column, y: Column, ring: Column) -> Column:
@@ -151,6 +148,11 @@ def in_ring(x: Column, y: Column, ring: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), n), start, step, lambda a: a["edge"] | a["odd"])
 
 
+def once(d: DataFrame, name: str, **values: Column) -> DataFrame:
+    """``d`` with a struct of ``values`` that are worked out once for each row, however often and wherever they are read: an exploded array of one element is not merged with its readers."""
+    return d.withColumn(name, F.explode(F.array(F.struct(*[v.alias(k) for k, v in values.items()]))))
+
+
 def let(value: Column, body) -> Column:
     """``body`` of a value that is worked out once. In a function of array elements a Column is worked out again wherever it is named, for every element."""
     return F.element_at(F.transform(F.array(value), body), 1)

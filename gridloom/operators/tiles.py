@@ -38,8 +38,10 @@ def segment_tiles(seg: DataFrame, min_zoom: Column, max_zoom: int = MAX_ZOOM) ->
     west, east = F.greatest(F.least("_e.p", "_e.q"), F.least("lon1", "lon2")), F.least(F.greatest("_e.p", "_e.q"), F.greatest("lon1", "lon2"))
     d = d.withColumn("x", F.explode(F.sequence(geo.tile_x(west - 1e-12, z), geo.tile_x(east + 1e-12, z)))).drop("_b", "_e")
     x = F.col("x")
-    a, b = geo.clip_to_box(geo.tile_west(x, z), geo.tile_north(y + 1, z), geo.tile_west(x + 1, z), geo.tile_north(y, z), F.col("lon1"), F.col("lat1"), F.col("lon2"), F.col("lat2"))
-    return d.where(a <= b)
+    # bounds of the tile and the part inside are worked out once, since the next step reads them several times
+    d = geo.once(d, "_k", w=geo.tile_west(x, z), s=geo.tile_north(y + 1, z), e=geo.tile_west(x + 1, z), n=geo.tile_north(y, z))
+    a, b = geo.clip_to_box(*[F.col(f"_k.{k}") for k in "wsen"], F.col("lon1"), F.col("lat1"), F.col("lon2"), F.col("lat2"))
+    return geo.once(d, "_t", a=a, b=b).where("_t.a <= _t.b").drop("_k", "_t")
 
 
 def polygon_tiles(edges: DataFrame, min_zoom: int = MIN_ZOOM, max_zoom: int = MAX_ZOOM) -> DataFrame:
