@@ -39,10 +39,10 @@ def segments(nodes: DataFrame, *extra: str) -> DataFrame:
 def clip_segments(seg: DataFrame, cx="cx", cy="cy", r="r") -> DataFrame:
     """Segments cut to the circle that they carry (columns), with the ends of what is inside and its ``length``; those outside go."""
     t_in, t_out = geo.clip_to_circle(F.col(cx), F.col(cy), F.col(r), F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2"))
-    s = seg.withColumn("_a", t_in).withColumn("_b", t_out).where(F.col("_a") < F.col("_b"))
-    dx, dy = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
-    s = s.withColumns({"cx1": F.col("x1") + F.col("_a") * dx, "cy1": F.col("y1") + F.col("_a") * dy, "cx2": F.col("x1") + F.col("_b") * dx, "cy2": F.col("y1") + F.col("_b") * dy})
-    return s.withColumn("length", (F.col("_b") - F.col("_a")) * F.hypot(dx, dy)).drop("_a", "_b")
+    s = geo.once(seg, "_t", a=t_in, b=t_out).where("_t.a < _t.b")
+    dx, dy, a, b = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1"), F.col("_t.a"), F.col("_t.b")
+    s = s.withColumns({"cx1": F.col("x1") + a * dx, "cy1": F.col("y1") + a * dy, "cx2": F.col("x1") + b * dx, "cy2": F.col("y1") + b * dy})
+    return s.withColumn("length", (b - a) * F.hypot(dx, dy)).drop("_t")
 
 
 def line_representative(line: Column) -> Column:
