@@ -70,9 +70,9 @@ def merged_whole_tiles(tiles: DataFrame) -> DataFrame:
     return inner.join(above, ["area", "z", "px", "py"], "left_anti").drop("px", "py")
 
 
-def tile_counts(placed: DataFrame, layer: str = "layer") -> DataFrame:
-    """Distinct features by tile and layer."""
-    return placed.groupBy("z", "x", "y", layer).agg(F.count_distinct("source_id").alias("n_features"))
+def tile_counts(placed: DataFrame, layer: str = "layer", once_each: bool = False) -> DataFrame:
+    """Distinct features by tile and layer. ``once_each``: no feature comes twice in a tile, as points with keys of their own do; then rows are counted and no task holds the features of its tiles."""
+    return placed.groupBy("z", "x", "y", layer).agg((F.count("source_id") if once_each else F.count_distinct("source_id")).alias("n_features"))
 
 
 #: Features of a part of a tile's contents, on average.

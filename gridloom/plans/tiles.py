@@ -47,7 +47,8 @@ _PL = f"(SELECT id AS source_id, layer, z, {_TX('lon', 'z')} AS x, {_TY('lat', '
 
 @query("tile_counts", f"SELECT z, x, y, layer, count(DISTINCT source_id) AS n_features FROM {_PL} GROUP BY ALL", "geo_node", "tag_wide")
 def tile_counts(t):
-    return ops.tile_counts(_placed(t))
+    """A node is a group of rows, so its id is its own, and a point lies in one tile of each zoom."""
+    return ops.tile_counts(_placed(t), once_each=True)
 
 
 def crc32_sql(text: str) -> str:
