@@ -65,3 +65,14 @@ def test_steps_of_hexes_and_tiles_are_worked_out_once(spark):
     d = hexgrid.segment_hexes(spark.createDataFrame([(1, "local", 500.0, 0.0, 0.0, 4000.0, 0.0, 0.0, 900.0, 700.0)], "aoi_id int, level string, edge double, cx double, cy double, r double, cx1 double, cy1 double, cx2 double, cy2 double"))
     assert max(len(line) for line in d._jdf.queryExecution().optimizedPlan().toString().splitlines()) < 6000
     assert abs(d.agg(F.sum("hex_length")).first()[0] - (900**2 + 700**2) ** 0.5) < 1e-6
+
+
+def test_no_task_holds_more_than_its_keys(spark):
+    """Tiles are counted without their features as keys, and areas are told apart before the domains are laid out."""
+    from gridloom.operators import tiles
+
+    assert "source_id" not in optimized(spark, "tile_counts").splitlines()[0].split("aggregate [")[1].split("]")[0]
+    assert optimized(spark, "tile_counts").count("expand") == 0 and sum("aggregate [z" in x for x in optimized(spark, "tile_counts").splitlines()) == 1
+    assert "explode" in optimized(spark, "profile_outcomes").split("join")[0] and "explode" not in optimized(spark, "profile_outcomes").split("join", 1)[1]
+    rows = spark.createDataFrame([(7, 1, 1, "line", 5), (7, 1, 1, "line", 5), (7, 1, 1, "line", 6)], "z int, x int, y int, layer string, source_id long")
+    assert tiles.tile_counts(rows).first()["n_features"] == 2 and tiles.tile_counts(rows.distinct(), once_each=True).first()["n_features"] == 2
