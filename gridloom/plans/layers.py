@@ -15,6 +15,11 @@ def ways(t):
     return w.join(tag_maps(t("tag_kv")), "tag_id")
 
 
+def classified(t, things):
+    """``things`` (tag_id) by the domains that take their tags. The rules are asked once for each set of tags, not for each thing that has it."""
+    return things.join(c.classify_all(tag_maps(t("tag_kv"))), "tag_id")
+
+
 def objects(t):
     """Nodes as points and ways as lines, in one table."""
     n = features(t).select("id", F.lit("node").alias("element"), F.lit("Point").alias("gtype"), "tags")
@@ -30,7 +35,9 @@ _LAYER = LAYER_SQL
 SELECT * FROM a UNION ALL SELECT domain, layer_id, 0 FROM (VALUES ('telecom','telecom.towers'),('telecom','telecom.facilities'),('telecom','telecom.lines'),('district_heating','district_heating.plants'),('district_heating','district_heating.facilities'),('district_heating','district_heating.lines')) AS d(domain, layer_id)
 WHERE domain IN (SELECT domain FROM a) AND layer_id NOT IN (SELECT layer_id FROM a)""", *NODES)
 def layer_assignment(t):
-    return ops.layer_counts(c.classify_all(objects(t)))
+    points = t("geo_node").select("tag_id", F.lit("Point").alias("gtype"))
+    w = t("geo_node").groupBy("way_id").agg(F.count("*").alias("n")).where("n >= 2").select((F.col("way_id") % 90).cast("int").alias("tag_id"), F.lit("LineString").alias("gtype"))
+    return ops.layer_counts(classified(t, points.unionByName(w)))
 
 
 _SUB = " ".join(f"WHEN power IN ({', '.join(repr(x) for x in v)}) OR ('{k}' = 'power_supports' AND power IS NULL AND man_made = 'utility_pole') THEN '{k}'" for k, v in ops.POWER_GROUPS.items())
@@ -94,7 +101,7 @@ CASE WHEN domain = 'power' AND category IN ('line','minor_line','cable') AND vol
 FROM (SELECT *, list_max(list_transform(string_split(voltage, ';'), lambda x: TRY_CAST(x AS BIGINT))) AS v FROM ({_WITH}) WHERE category IS NOT NULL)""", *NODES)
 def presentation_rows(t):
     """Nodes of all domains with all fields of a presentation; some do not state what their layer does."""
-    f = c.classify_all(features(t)).withColumn("layer_id", ops.layer_id(F.col("domain"), F.col("category"), F.lit("Point")))
+    f = classified(t, t("geo_node")).withColumn("layer_id", ops.layer_id(F.col("domain"), F.col("category"), F.lit("Point")))
     meta = f.select("layer_id", "domain").distinct().select("layer_id", "domain", F.lit("prg_wfs").alias("source"), F.lit("medium").alias("confidence"), F.array(F.concat(F.lit("layer of "), "domain")).alias("limitations"))
     k = F.col("id")
     more = F.map_filter(F.map_from_arrays(F.lit(["name", "ref", "operator"]), F.array(F.when(k % 3 == 0, F.concat(F.lit("n"), k.cast("string"))), F.when(k % 5 == 0, "R5"), F.when(k % 7 == 0, "owner"))), lambda _, v: v.isNotNull())

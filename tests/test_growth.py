@@ -76,3 +76,13 @@ def test_no_task_holds_more_than_its_keys(spark):
     assert "explode" in optimized(spark, "profile_outcomes").split("join")[0] and "explode" not in optimized(spark, "profile_outcomes").split("join", 1)[1]
     rows = spark.createDataFrame([(7, 1, 1, "line", 5), (7, 1, 1, "line", 5), (7, 1, 1, "line", 6)], "z int, x int, y int, layer string, source_id long")
     assert tiles.tile_counts(rows).first()["n_features"] == 2 and tiles.tile_counts(rows.distinct(), once_each=True).first()["n_features"] == 2
+
+
+def test_rules_are_asked_of_sets_of_tags(spark):
+    for name in ("layer_assignment", "presentation_rows"):
+        plan = optimized(spark, name).splitlines()
+        rules = next(i for i, line in enumerate(plan) if "filter(array(" in line)
+        depth = len(plan[rules]) - len(plan[rules].lstrip(" :+-"))
+        below = [x for x in plan[rules + 1:]]
+        own = below[: next((i for i, x in enumerate(below) if len(x) - len(x.lstrip(" :+-")) <= depth), len(below))]
+        assert not any("l_orderkey" in x for x in own)
