@@ -276,3 +276,21 @@ def test_polygon_tiles(spark):
     assert got == want and any(want.values())
     whole = {k for k, v in want.items() if v}
     assert merged == {(a, z, x, y) for a, z, x, y in whole if (a, z - 1, x // 2, y // 2) not in whole}
+
+
+def test_areas_of_many_edges(spark):
+    """A ring of thousands of edges has finer rows of cells; short and long lines and paths, and points on its corners, against plain Python."""
+    rng = random.Random(11)
+    shapes = {1: [star(4, 3000, 3, 3, 4)], 2: [U]}
+    frame = {r.area: r.fine for r in areas.frames(areas.ring_edges(vertices(spark, shapes))).collect()}
+    assert frame == {1: 4, 2: 0}
+    edges = areas.ring_edges(vertices(spark, shapes))
+    pts = [(rng.uniform(-2, 8), rng.uniform(-2, 8)) for _ in range(60)] + shapes[1][0][::200]
+    d = spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(pts)], "id int, x double, y double")
+    assert sorted((r.id, r.area) for r in areas.points_in_areas(d, edges, ["id"]).collect()) == sorted((i, a) for i, p in enumerate(pts) for a, rings in shapes.items() if covers(rings, *p))
+    lines = [(x, y, x + rng.uniform(-s, s), y + rng.uniform(-s, s)) for s in (0.02, 0.3, 6) for x, y in ((rng.uniform(-1, 7), rng.uniform(-1, 7)) for _ in range(12))]
+    d = spark.createDataFrame([(i, *x) for i, x in enumerate(lines)], "id int, x1 double, y1 double, x2 double, y2 double")
+    want = sorted((i, a, round(s, 8), round(t, 8)) for i, x in enumerate(lines) for a, rings in shapes.items() for s, t in plain_stretches(rings, *x))
+    assert sorted((r.id, r.area, round(r.t0, 8), round(r.t1, 8)) for r in areas.lines_in_areas(d, edges, ["id"]).collect()) == want
+    paths = d.groupBy((F.col("id") % 12).alias("id")).agg(F.collect_list(F.struct("x1", "y1", "x2", "y2")).alias("parts"))
+    assert {(r.id, r.area) for r in areas.paths_meeting_areas(paths, edges, ["id"]).collect()} == {(i % 12, a) for i, a, *_ in want}
