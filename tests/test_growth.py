@@ -86,3 +86,10 @@ def test_rules_are_asked_of_sets_of_tags(spark):
         below = [x for x in plan[rules + 1:]]
         own = below[: next((i for i, x in enumerate(below) if len(x) - len(x.lstrip(" :+-")) <= depth), len(below))]
         assert not any("l_orderkey" in x for x in own)
+
+
+def test_pairs_with_areas_are_not_shuffled(spark):
+    """What meets an area is settled in the row where the two meet: nothing is grouped, joined or dealt after that."""
+    for name in ("points_in_areas", "lines_in_areas", "lines_meeting_areas"):
+        steps = [line.lstrip(" :+-").split(" ")[0] for line in optimized(spark, name).splitlines()]
+        assert set(steps[: steps.index("join")]) <= {"project", "filter", "generate"}, name
