@@ -11,6 +11,8 @@ SEVERITY_RANK = {"high": 3, "medium": 2, "low": 1}
 OUTCOMES = ("matched", "source_only", "conflicting", "ambiguous", "not_comparable")
 #: Degrees within which two features of one type are the same.
 SAME_PLACE = 0.0001
+#: Width of the cells in which places meet, in SAME_PLACE.
+CELL = 4
 
 
 def quality_status(raw: Column) -> Column:
@@ -83,13 +85,16 @@ def severity_rank(severity: Column) -> Column:
 def pairs(left: DataFrame, right: DataFrame) -> DataFrame:
     """Each left feature with its candidate: the one of equal stable id, else the nearest one within SAME_PLACE, else none.
 
-    Places meet by grid cell: the right side is counted in the cell of each of its neighbours, so nothing is compared across cells."""
+    Places meet by grid cell: the right side is in each cell that has places within SAME_PLACE of it, mostly one, since cells are wider than that."""
     by_id = left.where("stable_id is not null").join(right.where("stable_id is not null").groupBy("stable_id").agg(F.min("id").alias("right_id")), "stable_id").select("id", "right_id", F.lit("stable_id").alias("how"))
     rest = left.join(by_id.select("id"), "id", "left_anti")
-    cell = lambda c, d=0: F.floor(F.col(c) / SAME_PLACE).cast("long") + d
-    near = right.select(F.col("id").alias("right_id"), F.col("lon").alias("rlon"), F.col("lat").alias("rlat"), F.explode(F.array(*[cell("lon", i) for i in (-1, 0, 1)])).alias("ci"), cell("lat").alias("_j"))
-    near = near.withColumn("cj", F.explode(F.array(*[F.col("_j") + i for i in (-1, 0, 1)]))).drop("_j")
-    met = rest.withColumn("ci", cell("lon")).withColumn("cj", cell("lat")).join(near, ["ci", "cj"])
+    cell = lambda c: F.floor(F.col(c) / SAME_PLACE).cast("long")
+    wide = lambda c, d=0.0: F.floor((F.col(c) + d) / (CELL * SAME_PLACE)).cast("long")
+    room = SAME_PLACE * (1 + 1e-6)
+    near = right.select(F.col("id").alias("right_id"), F.col("lon").alias("rlon"), F.col("lat").alias("rlat"), F.explode(F.sequence(wide("lon", -room), wide("lon", room))).alias("ci"))
+    near = near.withColumn("cj", F.explode(F.sequence(wide("rlat", -room), wide("rlat", room))))
+    met = rest.withColumn("ci", wide("lon")).withColumn("cj", wide("lat")).join(near, ["ci", "cj"])
+    met = met.where((F.abs(cell("lon") - cell("rlon")) <= 1) & (F.abs(cell("lat") - cell("rlat")) <= 1))
     d = F.hypot(F.col("lon") - F.col("rlon"), F.col("lat") - F.col("rlat"))
     by_place = met.where(d <= SAME_PLACE).groupBy("id").agg(F.min(F.struct(F.round(d, 8).alias("d"), "right_id")).alias("m")).select("id", F.col("m.right_id").alias("right_id"), F.lit("place").alias("how"))
     return by_id.unionByName(by_place)

@@ -93,3 +93,20 @@ def test_pairs_with_areas_are_not_shuffled(spark):
     for name in ("points_in_areas", "lines_in_areas", "lines_meeting_areas"):
         steps = [line.lstrip(" :+-").split(" ")[0] for line in optimized(spark, name).splitlines()]
         assert set(steps[: steps.index("join")]) <= {"project", "filter", "generate"}, name
+
+
+def test_places_meet_in_few_cells(spark):
+    """Against all pairs, on places that lie on the sides of cells; a right feature is in far fewer than nine cells."""
+    from gridloom.operators import quality
+
+    rng = np.random.default_rng(4)
+    place = lambda n: (np.round(rng.integers(-12, 12, (n, 2)) * 0.00005, 8) + rng.choice([0.0, 1e-6], (n, 2))).tolist()
+    left, right = [(i, None, x, y) for i, (x, y) in enumerate(place(120))], [(i, None, x, y) for i, (x, y) in enumerate(place(120))]
+    frame = lambda rows: spark.createDataFrame(rows, "id long, stable_id string, lon double, lat double")
+    cell = lambda v: int(np.floor(v / 0.0001))
+    want = {}
+    for i, _, x, y in left:
+        near = [(round(float(np.hypot(x - a, y - b)), 8), j) for j, _, a, b in right if np.hypot(x - a, y - b) <= 0.0001 and abs(cell(x) - cell(a)) <= 1 and abs(cell(y) - cell(b)) <= 1]
+        want |= {i: min(near)[1]} if near else {}
+    assert {r.id: r.right_id for r in quality.pairs(frame(left), frame(right)).collect()} == want and len(want) > 60
+    assert "explode(array(" not in optimized(spark, "cross_source_pairs")
