@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from gridloom.operators.areas import line_cells
 
+#: Points of a line, at most, whose sides are compared in the line's own row.
+SHORT = 32
+
 
 def line_sides(lines: DataFrame, keys: list[str], line: str = "line") -> DataFrame:
     """``keys, k, n, closed, ax, ay, bx, by``: the sides of arrays of points (struct x, y), numbered from 1; repeated points make no side. ``closed`` where the last point is the first."""
@@ -30,13 +33,30 @@ def crossing_lines(sides: DataFrame, keys: list[str]) -> DataFrame:
     return pair.where(cross).select(*keys).distinct()
 
 
+def _crosses(line: Column) -> Column:
+    """Whether two sides of a short line cross, as :func:`crossing_lines` tells it."""
+    n = F.size(line) - 1
+    turn = lambda p, q, r: (q["x"] - p["x"]) * (r["y"] - p["y"]) - (q["y"] - p["y"]) * (r["x"] - p["x"]) > 0
+    at = lambda i: F.element_at(line, i)
+    apart = lambda p, q: (p["x"] != q["x"]) | (p["y"] != q["y"])
+
+    def cross(i, j):
+        a, b, c, d = at(i), at(i + 1), at(j), at(j + 1)
+        ends = (i == 1) & (j == n) & (at(F.lit(1)) == at(F.lit(-1)))
+        return ~ends & apart(a, b) & apart(c, d) & (turn(a, b, c) != turn(a, b, d)) & (turn(c, d, a) != turn(c, d, b))
+
+    pairs = lambda i: F.exists(F.sequence(i + 2, n), lambda j: cross(i, j))
+    return F.when(n < 3, False).otherwise(F.exists(F.sequence(F.lit(1), n - 2), pairs))
+
+
 def with_crossing(lines: DataFrame, keys: list[str], line: str = "line", name: str = "self_crossing") -> DataFrame:
-    """``lines`` with a boolean column ``name``: whether two sides of the line cross."""
-    found = crossing_lines(line_sides(lines, keys, line), keys).select(*[F.col(c).alias(f"_c_{c}") for c in keys], F.lit(True).alias("_x"))
+    """``lines`` with a boolean column ``name``: whether two sides of the line cross. Short lines are told in their own row, others by cells."""
+    short = F.size(line) <= SHORT
+    found = crossing_lines(line_sides(lines.where(~short), keys, line), keys).select(*[F.col(c).alias(f"_c_{c}") for c in keys], F.lit(True).alias("_x"))
     on = F.lit(True)
     for c in keys:
         on = on & (F.col(c) == F.col(f"_c_{c}"))
-    return lines.join(found, on, "left").withColumn(name, F.coalesce("_x", F.lit(False))).drop("_x", *[f"_c_{c}" for c in keys])
+    return lines.join(found, on, "left").withColumn(name, F.coalesce(F.when(short, _crosses(F.col(line))).otherwise(F.col("_x")), F.lit(False))).drop("_x", *[f"_c_{c}" for c in keys])
 
 
 def kind_or_line(kind: Column, line: str = "line", crossing: str = "self_crossing") -> Column:

@@ -110,3 +110,16 @@ def test_places_meet_in_few_cells(spark):
         want |= {i: min(near)[1]} if near else {}
     assert {r.id: r.right_id for r in quality.pairs(frame(left), frame(right)).collect()} == want and len(want) > 60
     assert "explode(array(" not in optimized(spark, "cross_source_pairs")
+
+
+def test_short_lines_are_told_in_their_row(spark):
+    """Both ways tell the same: by cells, and in the row of the line."""
+    from gridloom.operators import validity
+
+    rng = np.random.default_rng(9)
+    lines = [[tuple(map(float, p)) for p in rng.integers(0, 5, (n, 2))] for n in (1, 2, 3, 4, 4, 5, 6, 7, 9) for _ in range(12)]
+    lines = [p + [p[0]] if i % 3 == 0 else p for i, p in enumerate(lines)]
+    d = spark.createDataFrame([(i, p) for i, p in enumerate(lines)], "id int, line array<struct<x:double,y:double>>")
+    by_cells = {r.id for r in validity.crossing_lines(validity.line_sides(d, ["id"]), ["id"]).collect()}
+    assert {r.id for r in validity.with_crossing(d, ["id"]).where("self_crossing").collect()} == by_cells and 20 < len(by_cells) < 90
+    assert validity.SHORT >= 7
