@@ -16,8 +16,10 @@ def tile_cover(boxes: DataFrame, min_zoom: Column, max_zoom: int = MAX_ZOOM) ->
     first = F.greatest(min_zoom, F.lit(MIN_ZOOM))
     d = boxes.where(first <= max_zoom).withColumn("z", F.explode(F.sequence(first, F.lit(max_zoom))))
     z = F.col("z")
-    d = d.withColumn("x", F.explode(F.sequence(geo.tile_x(F.col("xmin"), z), geo.tile_x(F.col("xmax"), z))))
-    return d.withColumn("y", F.explode(F.sequence(geo.tile_y(F.col("ymax"), z), geo.tile_y(F.col("ymin"), z))))
+    # the range of a box at a zoom is worked out once, not again for each column of tiles
+    d = geo.once(d, "_q", w=geo.tile_x(F.col("xmin"), z), e=geo.tile_x(F.col("xmax"), z), n=geo.tile_y(F.col("ymax"), z), s=geo.tile_y(F.col("ymin"), z))
+    d = d.withColumn("x", F.explode(F.sequence("_q.w", "_q.e")))
+    return d.withColumn("y", F.explode(F.sequence("_q.n", "_q.s"))).drop("_q")
 
 
 def segment_tiles(seg: DataFrame, min_zoom: Column, max_zoom: int = MAX_ZOOM) -> DataFrame:

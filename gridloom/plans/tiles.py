@@ -31,7 +31,8 @@ def tile_bounds(t):
 
 @query("tile_cover", f"SELECT id, z, x, y FROM (SELECT id, z, unnest(range({_TX('min_lon', 'z')}, {_TX('max_lon', 'z')} + 1)) AS x, y0, y1 FROM (SELECT *, {_TY('max_lat', 'z')} AS y0, {_TY('min_lat', 'z')} AS y1 FROM site_box, (SELECT CAST(i AS INT) AS z FROM range(7, 15) r(i)))), range(16384) q(y) WHERE y BETWEEN y0 AND y1", "site_box")
 def tile_cover(t):
-    u = t("site_box").select("id", F.col("min_lon").alias("xmin"), F.col("min_lat").alias("ymin"), F.col("max_lon").alias("xmax"), F.col("max_lat").alias("ymax"))
+    # few bytes a row give one task for them all, and each becomes hundreds
+    u = t("site_box").repartition("id").select("id", F.col("min_lon").alias("xmin"), F.col("min_lat").alias("ymin"), F.col("max_lon").alias("xmax"), F.col("max_lat").alias("ymax"))
     return ops.tile_cover(u, F.lit(7)).select("id", "z", F.col("x").cast("long").alias("x"), F.col("y").cast("long").alias("y"))
 
 

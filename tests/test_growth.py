@@ -123,3 +123,8 @@ def test_short_lines_are_told_in_their_row(spark):
     by_cells = {r.id for r in validity.crossing_lines(validity.line_sides(d, ["id"]), ["id"]).collect()}
     assert {r.id for r in validity.with_crossing(d, ["id"]).where("self_crossing").collect()} == by_cells and 20 < len(by_cells) < 90
     assert validity.SHORT >= 7
+
+
+def test_boxes_are_dealt_before_their_tiles(spark):
+    plan = optimized(spark, "tile_cover")
+    assert "repartition" in plan and plan.count("asinh(") == 2
