@@ -1,6 +1,7 @@
 """Divergence of the sources of each language, from exact term counts.
 
 A term of a language is a token that carries the language before it, so one CountVectorizer with minDF counts documents and fixes vocabularies language by language; vocabSize is the largest integer, so no term is cut off.
+It is fitted on the terms of each document, less those that minDF documents of the same task gave before, since these are in the vocabulary by then; that leaves the vocabulary the same and spares the fit most of its pairs of documents and terms.
 Its vocabulary lives in the driver and in every task, so tokens are dealt by hash to as many vocabularies as keep each of them within a bound. The sparse vectors of the documents are summed by (language, source):
 sparse sums, since only the terms that occur are rows. Pairs of sources are evaluated in tiles, a slice of the terms by two blocks of sources; terms that no source of a tile holds
 are not in it and are added at the end, all at once. All numbers are whole.
@@ -9,9 +10,13 @@ are not in it and are added at the end, all at once. All numbers are whole.
 from __future__ import annotations
 
 import math
+from collections import Counter, defaultdict
+from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.feature import CountVectorizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -20,22 +25,56 @@ from pyspark.sql import Window as W
 from gridloom.llm.common import UPPER, materialize, table
 
 #: Fixed values of the measure.
-SEPARATORS = "".join(chr(c) for c in (*range(0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)))
+SEPARATORS = bytes((*range(0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)))
+#: For bytes.translate: separators to blanks, A-Z to a-z.
+PLAIN = bytes.maketrans(SEPARATORS + UPPER.encode(), b" " * len(SEPARATORS) + UPPER.lower().encode())
 SCALE_FACTORS = (31_250, 32_000)  # 10^9
 MIN_DOCS = 10
 MAX_INT = 2_147_483_647
 TOP = 10
 #: Kept terms of one vocabulary, at most about.
 VOCABULARY = 2_000_000
+#: Texts whose terms are made at a time, and bytes, about, that a task remembers of the terms it gave.
+ROWS, SEEN = 256, 64_000_000
 #: Terms of a slice and sources of a block: what a tile holds.
 SLICE, BLOCK = 4096, 64
 
 
-def _terms(lang, text):
-    """The terms of a text with their language in hex and a tab before them, as they occur, and at least once an empty one. Separators all become blanks as capitals become small, so what is left to split at is one character,
-    which takes no pattern, and no expression is worked out term by term."""
-    plain = F.translate(text, SEPARATORS + UPPER, " " * len(SEPARATORS) + UPPER.lower())
-    return F.split(F.replace(F.concat(F.lit(" "), plain), F.lit(" "), F.concat(F.lit("\n"), F.hex(F.encode(lang, "UTF-8")), F.lit("\t"))), "\n")
+def _listed(batches: Iterator[pa.RecordBatch], enough: int) -> Iterator[pa.RecordBatch]:
+    """``source, terms`` of the rows (lang, source, text as bytes): the terms of a text one to a line, with their language in hex and a tab before them, and before all an empty one.
+
+    With ``enough`` 0 the terms are as they occur. Else each comes once for a text, and no more once ``enough`` texts of the task gave it: whether at least so many documents hold it is decided by then. What the task has seen is forgotten
+    when it passes SEEN bytes, after which terms are given again; how many documents are counted for a term changes by that only beyond ``enough``."""
+    times, done, held = defaultdict(Counter), defaultdict(set), 0
+    for batch in batches:
+        for at in range(0, batch.num_rows, ROWS):
+            lang, source, text = batch.slice(at, ROWS).columns
+            out, given = [], defaultdict(Counter)
+            for code, body in zip(lang.to_pylist(), text.to_pylist()):
+                words = body.translate(PLAIN).split()
+                if enough:
+                    words = set(words).difference(done[code])
+                    given[code].update(words)
+                head = code.hex().encode() + b"\t"
+                out.append(head + (b"\n" + head).join([b"", *words]))
+            for code, texts in given.items():
+                before = times[code]
+                before.update(texts)
+                often = [w for w in texts if before[w] >= enough]
+                done[code].update(often)
+                for w in often:
+                    del before[w]
+            held += sum(len(body) for body in out)
+            if held > SEEN:
+                times.clear(), done.clear()
+                held = 0
+            yield pa.RecordBatch.from_arrays([source, pa.array(out, pa.binary())], names=["source", "terms"])
+
+
+def _terms(docs: DataFrame, enough: int = 0) -> DataFrame:
+    """``source, terms``: the terms of each of ``docs`` (lang, source, text) as an array; with ``enough``, only those that tell which terms that many documents hold."""
+    rows = docs.select(F.col("lang").cast("binary"), "source", F.col("text").cast("binary")).mapInArrow(partial(_listed, enough=enough), "source string, terms binary")
+    return rows.select("source", F.split(F.col("terms").cast("string"), "\n").alias("terms"))
 
 
 def _vocabularies(docs: DataFrame, min_docs: int, size: int) -> int:
@@ -48,7 +87,7 @@ def _vocabularies(docs: DataFrame, min_docs: int, size: int) -> int:
         return 0
     share, twice = 1 / 16, min_docs >= 10
     missed = (1 - share) ** min_docs + (min_docs * share * (1 - share) ** (min_docs - 1) if twice else 0)
-    found = docs.where(F.rand(12) < share).select(F.explode(F.array_distinct(_terms(F.col("lang"), F.col("text")))).alias("t")).groupBy(F.xxhash64("t")).count().where(F.col("count") >= (2 if twice else 1)).count()
+    found = _terms(docs.where(F.rand(12) < share), max(min_docs, 1)).select(F.explode("terms").alias("t")).groupBy(F.xxhash64("t")).count().where(F.col("count") >= (2 if twice else 1)).count()
     return max(1, math.ceil(found / (1 - missed) / size))
 
 
@@ -62,13 +101,12 @@ def term_counts(docs: DataFrame, min_docs: int = MIN_DOCS, vocabulary: int = VOC
     for block in range(blocks):
         # the empty term of a language is in every vocabulary, so none is empty
         mine = lambda t: (F.pmod(F.xxhash64(t), F.lit(blocks)) == block) | F.endswith(t, F.lit("\t"))  # noqa: E731, B023
-        terms = _terms(F.col("lang"), F.col("text"))
-        bags = docs.select("lang", "source", (F.filter(terms, mine) if blocks > 1 else terms).alias("terms"))
-        model = CountVectorizer(inputCol="terms", outputCol="vector", minDF=float(min_docs), vocabSize=MAX_INT).fit(bags.select("terms"))
+        bags = lambda enough: _terms(docs, enough).select("source", (F.filter("terms", mine) if blocks > 1 else F.col("terms")).alias("terms"))  # noqa: E731, B023
+        model = CountVectorizer(inputCol="terms", outputCol="vector", minDF=float(min_docs), vocabSize=MAX_INT).fit(bags(max(min_docs, 1)).select("terms"))
         entry = F.unwrap_udt("vector")
-        each = model.transform(bags).select("source", F.explode(F.arrays_zip(entry["indices"].alias("i"), entry["values"].alias("x"))).alias("e"))
+        each = model.transform(bags(0)).select("source", F.explode(F.arrays_zip(entry["indices"].alias("i"), entry["values"].alias("x"))).alias("e"))
         # a term's number tells its language
-        summed = each.groupBy("source", F.col("e.i").alias("i")).agg(F.sum(F.col("e.x").cast("long")).alias("n"))
+        summed = each.groupBy(F.col("e.i").alias("i"), "source").agg(F.sum(F.col("e.x").cast("long")).alias("n"))
         number = F.col("i").cast("long") * blocks + block
         listed = spark.createDataFrame(pd.DataFrame({"i": np.arange(len(model.vocabulary), dtype=np.int32), "token": model.vocabulary}), "i int, token string").where(F.contains("token", F.lit("\t")) & ~F.endswith("token", F.lit("\t")))
         lang = F.decode(F.unhex(F.substring_index("token", "\t", 1)), "UTF-8")

@@ -7,6 +7,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -156,6 +157,24 @@ def test_divergence_of_few_rows(spark):
     assert divergence.source_divergence(frame(spark, [])).collect() == []
 
 
+@pytest.mark.parametrize("bound", [64_000_000, 2_000])
+def test_divergence_fit_is_spared_what_is_decided(monkeypatch, bound):
+    """The fit gets a term from ten documents of a task or some more, not from all; also where the task forgets what it saw, as many documents as hold it count up to ten."""
+    monkeypatch.setattr(divergence, "SEEN", bound)
+    word = lambda k: "".join(chr(97 + int(c)) for c in str(k))
+    docs = [("en" if i % 3 else "de", "s", f"The the w{word(i % 300)} u{word(i // 2)}") for i in range(3000)]
+    batches = [pa.RecordBatch.from_arrays([pa.array([x.encode() for x in lang], pa.binary()), pa.array(source), pa.array([x.encode() for x in text], pa.binary())], names=["lang", "source", "text"])
+               for lang, source, text in (zip(*docs[k : k + 1000]) for k in range(0, 3000, 1000))]
+    given = [line.decode().split("\n") for b in divergence._listed(iter(batches), 10) for line in b.column("terms").to_pylist()]
+    held = Counter((lang.encode().hex(), w) for lang, _, text in docs for w in set(text.lower().split()))
+    got = Counter(tuple(x.split("\t")) for terms in given for x in set(terms) if x[-1] != "\t")
+    assert len(given) == 3000 and all(len(t) == len(set(t)) for t in given) and {k: min(n, 10) for k, n in got.items()} == {k: min(n, 10) for k, n in held.items()}
+    if bound > 2_000:
+        assert max(got.values()) <= divergence.ROWS + 10 and sum(got.values()) < sum(held.values()) - 2_000
+    whole = [line.decode().count("\tthe") for b in divergence._listed(iter(batches), 0) for line in b.column("terms").to_pylist()]
+    assert whole == [2] * 3000
+
+
 # Quality
 
 
