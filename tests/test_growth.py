@@ -128,3 +128,39 @@ def test_short_lines_are_told_in_their_row(spark):
 def test_boxes_are_dealt_before_their_tiles(spark):
     plan = optimized(spark, "tile_cover")
     assert "repartition" in plan and plan.count("asinh(") == 2
+
+
+def test_pairs_with_areas_are_told_in_code_that_the_jvm_compiles(spark):
+    """The step above the join is generated code, in methods below the 8000 bytes beyond which the JVM only interprets."""
+    import re
+
+    debug = spark._jvm.org.apache.spark.sql.execution.debug.__getattr__("package$").__getattr__("MODULE$")
+    for name in ("points_in_areas", "lines_in_areas", "lines_meeting_areas"):
+        plan = registry.queries()[name](spark, SF)._jdf.queryExecution().sparkPlan()
+        lines = plan.toString().splitlines()
+        above = lines[: next(i for i, line in enumerate(lines) if "Join" in line.split("[")[0])]
+        assert "lambda" not in above[-1], name
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        try:
+            text = debug.codegenString(registry.queries()[name](spark, SF)._jdf.queryExecution().executedPlan())
+        finally:
+            spark.conf.unset("spark.sql.adaptive.enabled")
+        assert max(int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", text)) < 8000, name
+
+
+def test_lines_are_told_with_and_without_pieces(spark):
+    """Shares of lines that cross plainly, and of those along borders, through corners and near many edges, against their pieces."""
+    from gridloom.operators import areas
+
+    rng = np.random.default_rng(12)
+    ring = lambda points: [(float(x), float(y)) for x, y in points]
+    star = [(5 + r * np.cos(a), 5 + r * np.sin(a)) for a, r in zip(np.linspace(0, 2 * np.pi, 60, endpoint=False), rng.uniform(1, 4, 60))]
+    shapes = {1: ring(star), 2: ring([(0, 0), (6, 0), (6, 6), (4, 6), (4, 2), (2, 2), (2, 6), (0, 6)])}
+    d = spark.createDataFrame([(a, 0, k, x, y) for a, points in shapes.items() for k, (x, y) in enumerate(points)], "area int, ring int, k int, x double, y double")
+    whole = rng.integers(-1, 9, (150, 4)).astype(float).tolist()
+    short = [[x, y, x + u, y + v] for x, y, u, v in np.column_stack([rng.uniform(-1, 9, (300, 2)), rng.uniform(-0.6, 0.6, (300, 2))]).tolist()]
+    lines = spark.createDataFrame([(i, *x) for i, x in enumerate(whole + short)], "id int, x1 double, y1 double, x2 double, y2 double")
+    edges = areas.ring_edges(d)
+    want = {(r.id, r.area): (len(r.pieces), round(sum(p.t1 - p.t0 for p in r.pieces), 9)) for r in areas.line_pieces(lines, edges, ["id"]).collect()}
+    got = {(r.id, r.area): (r.n_pieces, round(r.share, 9)) for r in areas.line_shares(lines, edges, ["id"]).collect()}
+    assert got == want and len(want) > 150 and {n for n, _ in want.values()} >= {1, 2}
